@@ -1 +1,5 @@
-def oracle_sql(): return {}
+from . import records
+
+
+def oracle_sql():
+    return records.oracle_sql()
