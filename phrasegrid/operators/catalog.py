@@ -1,0 +1,271 @@
+"""Catalog building: merging word-frequency sources, exclusions, stratified sampling, target checks, overlays."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.text import nfkc_term, script_term, stable_id
+
+ENTRY = T.StructType(
+    [
+        T.StructField("catalog_version", T.StringType()),
+        T.StructField("id", T.StringType()),
+        T.StructField("text", T.StringType()),
+        T.StructField("aliases", T.ArrayType(T.StringType())),
+        T.StructField("language", T.StringType()),
+        T.StructField("weight", T.DoubleType()),
+        T.StructField("metadata", T.StringType()),
+    ]
+)
+HAN = "㐀-䶿一-鿿"
+
+
+def fail_if_any(bad: DataFrame, message: str, show: str) -> None:
+    """Raise when ``bad`` has rows, naming up to ten values of ``show``."""
+    rows = bad.select(F.col(show).cast("string").alias("v")).distinct().orderBy("v").limit(10).collect()
+    if rows:
+        raise ValueError(f"{message}: {', '.join(str(r.v) for r in rows)}")
+
+
+def word_counts(lines: DataFrame, low: int = 2, high: int = 8, script: str = HAN) -> DataFrame:
+    """Counts per ``source`` and ``term`` of loaded ``(source, term, count)`` rows that fit the script and length."""
+    return lines.where(script_term(F.col("term"), low, high, script)).groupBy("source", "term").agg(F.sum("count").alias("count"))
+
+
+def load_stats(classified: DataFrame, low: int = 2, high: int = 8, script: str = HAN) -> DataFrame:
+    """One row per source over classified lines (``source, skipped, reason, term``): how many lines went where."""
+    fits = F.coalesce(script_term(F.col("term"), low, high, script), F.lit(False))
+    loaded = ~F.col("skipped") & F.col("reason").isNull()
+    return classified.groupBy("source").agg(
+        F.count(F.lit(1)).alias("total_lines"),
+        F.count_if(loaded & fits).alias("accepted_lines"),
+        F.count_if("skipped").alias("blank_or_comment_lines"),
+        F.count_if(loaded & ~fits).alias("filtered_lines"),
+        F.count_if(F.col("reason").isNotNull()).alias("failed_lines"),
+        F.count_distinct(F.when(loaded & fits, F.col("term"))).alias("unique_terms"),
+    )
+
+
+def merge_sources(counts: DataFrame) -> DataFrame:
+    """``text, source_frequencies map (sorted by source), total_frequency`` from per-source counts."""
+    pairs = F.sort_array(F.collect_list(F.struct("source", "count")))
+    return (
+        counts.groupBy(F.col("term").alias("text"))
+        .agg(pairs.alias("__pairs"), F.sum("count").alias("total_frequency"))
+        .select("text", F.map_from_entries("__pairs").alias("source_frequencies"), "total_frequency")
+    )
+
+
+def spellings(records: DataFrame) -> DataFrame:
+    """Distinct normalised texts and aliases, with the id that owns them."""
+    values = F.concat(F.array("text"), F.coalesce("aliases", F.array().cast("array<string>")))
+    rows = records.select("id", F.explode(values).alias("v")).where(F.col("v").isNotNull())
+    return rows.select("id", nfkc_term(F.col("v")).alias("spelling")).where("spelling <> ''").distinct()
+
+
+def ngrams(texts: DataFrame, text: str, low: int, high: int, whole: bool = True) -> DataFrame:
+    """Distinct substrings of ``low``..``high`` characters of normalised texts and, with ``whole``, the texts themselves.
+
+    Distinct per text first, then over all: long texts repeat most of their short substrings.
+    """
+    if not 0 < low <= high:
+        raise ValueError(f"bad n-gram range {low}..{high}")
+    t = nfkc_term(F.col(text))
+    rows = texts.where(F.col(text).isNotNull()).select(t.alias("__t")).where("__t <> ''").distinct()
+    sized = lambda n: F.transform(F.sequence(F.lit(1), F.length("__t") - n + 1), lambda i: F.substring(F.col("__t"), i, F.lit(n)))
+    none = F.array().cast("array<string>")
+    grams = [F.explode(F.array_distinct(F.when(F.length("__t") >= n, sized(n)).otherwise(none))) for n in range(low, high + 1)]
+    parts = [rows.select(g.alias("term")) for g in grams] + ([rows.select(F.col("__t").alias("term"))] if whole else [])
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
+def spoken_terms(texts: DataFrame, text: str, terms: DataFrame, term: str = "text") -> DataFrame:
+    """The ``terms`` that stand somewhere in the texts: only substrings of lengths that terms have are made, and they
+    meet the terms in a semi join before anything is made distinct over all texts."""
+    t = nfkc_term(F.col(text))
+    rows = texts.where(F.col(text).isNotNull()).select(t.alias("__t"))
+    lengths = [r[0] for r in terms.select(F.length(term).alias("n")).distinct().where("n > 0").collect()]
+    out = None
+    for n in sorted(lengths):
+        sized = F.transform(F.sequence(F.lit(1), F.length("__t") - n + 1), lambda i, n=n: F.substring(F.col("__t"), i, F.lit(n)))
+        part = rows.where(F.length("__t") >= n).select(F.explode(F.array_distinct(sized)).alias(term))
+        out = part if out is None else out.unionByName(part)
+    wanted = terms.select(term).distinct()
+    return wanted if out is None else wanted.join(out, term, "left_semi")
+
+
+def frequency_buckets(entries: DataFrame, buckets: int = 10) -> DataFrame:
+    """``__rank`` by falling frequency and ``bucket``: rank * B div n, B no more than n.
+
+    The global rank comes from a range-partitioned sort and per-partition offsets, not from one task.
+    """
+    ranked = global_rank(entries, [F.col("total_frequency").desc(), F.col("text")], "__rank")
+    n = entries.agg(F.count(F.lit(1))).first()[0]
+    b = max(1, min(int(buckets), n))
+    return ranked.withColumn("bucket", F.least(F.lit(b - 1), F.expr(f"(__rank * {b}) div {max(1, n)}")).cast("int"))
+
+
+def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """0-based rank over the whole table without gathering it: range partitions, counts, offsets."""
+    from ..runtime import materialize
+
+    keyed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialize(keyed.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    joined = placed.join(offsets.select("__part", "__first", "__before"), "__part")
+    return joined.withColumn(name, F.col("__before") + F.col("__at") - F.col("__first")).drop("__part", "__at", "__first", "__before")
+
+
+def select_stratified(entries: DataFrame, limit: int, excluded: DataFrame | None = None, seed: int = 42, buckets: int = 10, exact_shuffle: bool = False) -> DataFrame:
+    """``limit`` entries spread evenly over frequency-rank buckets: first of each bucket, second of each, ...
+
+    Within a bucket the order is a hash of seed, bucket and text. ``exact_shuffle`` orders each bucket as Python's
+    ``random.Random(f"{seed}:{bucket}").shuffle`` does, which takes a bucket in one task; for catalogs, not for corpora.
+    """
+    if limit < 0:
+        raise ValueError("limit must not be negative")
+    left = entries if excluded is None else entries.join(excluded.select(F.col(excluded.columns[0]).alias("text")).distinct(), "text", "left_anti")
+    if limit == 0:
+        return left.where(F.lit(False))
+    ranked = frequency_buckets(left, buckets)
+    if exact_shuffle:
+
+        def shuffled(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("__rank").reset_index(drop=True)
+            order = list(range(len(pdf)))
+            random.Random(f"{seed}:{pdf['bucket'].iloc[0]}").shuffle(order)
+            return pd.DataFrame({"text": pdf["text"].iloc[order].to_numpy(), "__pos": range(len(pdf))})
+
+        place = ranked.select("text", "bucket", "__rank").groupBy("bucket").applyInPandas(shuffled, "text string, __pos bigint")
+        ranked = ranked.join(place, "text")
+    else:
+        key = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("bucket").cast("string"), F.col("text")), 256)
+        ranked = ranked.withColumn("__pos", F.row_number().over(Window.partitionBy("bucket").orderBy(key, "text")) - 1)
+    chosen = ranked.orderBy("__pos", "bucket").limit(limit)
+    return chosen.select(*entries.columns, "bucket")
+
+
+def distractors(entries: DataFrame, version: str, prefix: str, role: str) -> DataFrame:
+    """Catalog rows of sampled entries."""
+    meta = F.to_json(F.struct(F.lit(role).alias("role"), "total_frequency", "source_frequencies"))
+    return entries.select(
+        F.lit(version).alias("catalog_version"),
+        stable_id(prefix, F.col("text")).alias("id"),
+        "text",
+        F.array().cast("array<string>").alias("aliases"),
+        F.lit("zh").alias("language"),
+        F.lit(1.0).alias("weight"),
+        meta.alias("metadata"),
+    )
+
+
+def check_targets(records: DataFrame) -> None:
+    """Target rows must have unique ids, texts that are not empty, and spellings owned by one id."""
+    fail_if_any(records.where(F.col("id").isNull() | F.col("text").isNull()), "target without id or text", "text")
+    fail_if_any(records.groupBy("id").count().where("count > 1"), "duplicate target id", "id")
+    fail_if_any(records.where(nfkc_term(F.col("text")) == ""), "target with an empty text", "id")
+    shared = spellings(records).groupBy("spelling").agg(F.count_distinct("id").alias("n")).where("n > 1")
+    fail_if_any(shared, "spelling shared by several ids", "spelling")
+
+
+def targets(records: DataFrame, version: str) -> DataFrame:
+    """Normalised target rows: aliases sorted and distinct, without the text itself; the role is 'target'."""
+    alias = F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: a)
+    exploded = records.select("id", F.explode_outer(alias).alias("a")).select("id", nfkc_term(F.col("a")).alias("a"))
+    by_id = exploded.groupBy("id").agg(F.sort_array(F.collect_set("a")).alias("__a"))
+    text = records.withColumn("__text", nfkc_term(F.col("text"))).join(by_id, "id", "left")
+    meta = F.coalesce(F.from_json("metadata", "map<string,string>"), F.create_map().cast("map<string,string>")) if "metadata" in records.columns else F.create_map().cast("map<string,string>")
+    meta = F.map_concat(F.map_filter(meta, lambda k, v: k != "role"), F.create_map(F.lit("role"), F.lit("target")))
+    return text.select(
+        F.lit(version).alias("catalog_version"),
+        "id",
+        F.col("__text").alias("text"),
+        F.filter("__a", lambda a: (a != "") & (a != F.col("__text"))).alias("aliases"),
+        (F.coalesce("language", F.lit("zh")) if "language" in records.columns else F.lit("zh")).alias("language"),
+        (F.coalesce("weight", F.lit(1.0)) if "weight" in records.columns else F.lit(1.0)).alias("weight"),
+        F.to_json(meta).alias("metadata"),
+    )
+
+
+def evaluation_catalog(records: DataFrame, entries: DataFrame, transcripts: DataFrame, text: str, size: int, version: str, seed: int = 42, low: int = 2, high: int = 8) -> DataFrame:
+    """Targets by id, then distractors by falling frequency that are neither a target's spelling nor spoken; ``position`` tells the order."""
+    check_targets(records)
+    count = records.count()
+    if not 0 < count <= size:
+        raise ValueError(f"{count} targets for a catalog of {size}")
+    fitting = entries.where(F.length("text").between(low, high))
+    spoken = spoken_terms(transcripts, text, fitting)
+    out = spoken.select("text").unionByName(spellings(records).select(F.col("spelling").alias("text"))).distinct()
+    chosen = select_stratified(entries, size - count, out, seed)
+    if chosen.count() < size - count:
+        raise ValueError(f"fewer than {size - count} terms are left after exclusion")
+    place = F.row_number().over(Window.orderBy(F.col("total_frequency").desc(), "text"))  # at most ``size`` rows
+    rest = chosen.withColumn("position", place + count)
+    rest = distractors(rest, version, "dist", "evaluation_distractor").join(rest.select("text", "position"), "text").select(*ENTRY.fieldNames(), "position")
+    first = targets(records, version).withColumn("position", F.row_number().over(Window.orderBy("id")))
+    return first.select(*ENTRY.fieldNames(), "position").unionByName(rest)
+
+
+def negative_catalog(entries: DataFrame, size: int, excluded: DataFrame | None = None, seed: int = 42, version: str = "train-neg-v1") -> DataFrame:
+    return distractors(select_stratified(entries, size, excluded, seed), version, "neg", "train_negative")
+
+
+def unknown_targets(manifest: DataFrame, catalog: DataFrame, ids: str = "target_hotword_ids") -> DataFrame:
+    """Ids that manifest rows name and the catalog lacks, with the rows that name them."""
+    return manifest.select(*(c for c in manifest.columns if c != ids), F.explode(ids).alias("id")).join(catalog.select("id"), "id", "left_anti")
+
+
+def overlay(base: DataFrame, over: DataFrame, key: str = "id") -> DataFrame:
+    """Upsert: rows of ``over`` win; of several with one key, the greatest ``__order`` or any."""
+    return over.unionByName(base.join(over.select(key), key, "left_anti"))
+
+
+def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+
+
+def text_variants(text: Column, aliases: Column, normalise) -> Column:
+    """Raw and normalised spellings, distinct, in order."""
+    values = F.concat(F.array(text), F.coalesce(aliases, F.array().cast("array<string>")))
+    return F.array_distinct(F.flatten(F.transform(values, lambda v: F.array(v, normalise(v)))))
+
+
+def tokenizer_variants(variants: Column) -> Column:
+    """Each spelling bare, after a blank and after a line feed."""
+    return F.array_distinct(F.flatten(F.transform(variants, lambda v: F.array(v, F.concat(F.lit(" "), v), F.concat(F.lit("\n"), v)))))
+
+
+def negative_vocabulary(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Distinct terms of one-term-a-line or TERM COUNT text: the last field goes if it is all digits; '#' starts a comment."""
+    from ..functions.text import SPACE, strip
+
+    line = strip(F.regexp_replace(F.col(value), "^﻿", ""))
+    bare = F.regexp_replace(line, rf"(?<!{SPACE}){SPACE}+\p{{Nd}}+$", "")
+    return lines.select(line.alias("__l"), bare.alias("term")).where((F.col("__l") != "") & ~F.col("__l").startswith("#") & (F.col("term") != "")).select("term").distinct()
+
+
+def shared_negatives(vocabulary: DataFrame, positives: DataFrame, count: int, seed: int = 0, epoch: int = 0, step: int = 0) -> DataFrame:
+    """``count`` vocabulary terms that are no positives, the same for the same seed, epoch and step."""
+    key = F.sha2(F.concat_ws(":", F.lit(f"{(seed << 32) ^ (epoch << 16) ^ step}"), F.col("term")), 256)
+    return vocabulary.select("term").distinct().join(positives.select("term").distinct(), "term", "left_anti").orderBy(key).limit(count)
+
+
+def local_positive(text: str, utt_id: str, epoch: int, seed: int, low: int = 2, high: int = 8) -> str:
+    """One substring of ``low``..``high`` characters, always the same for one utterance, epoch and seed."""
+    if not text:
+        raise ValueError("empty transcript")
+    low, high = min(low, len(text)), min(high, len(text))
+    rng = random.Random(int.from_bytes(hashlib.sha256(f"{seed}:{epoch}:{utt_id}".encode()).digest()[:8], "big"))
+    size = rng.randint(low, high)
+    at = rng.randint(0, len(text) - size)
+    return text[at : at + size]
