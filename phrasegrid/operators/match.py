@@ -127,11 +127,6 @@ def automaton_matches(texts: DataFrame, key: str, text: str, automaton: Automato
 
     rows = texts.where(F.col(text).isNotNull()).select(key, normalise(F.col(text)).alias("__t"))
     shared = texts.sparkSession.sparkContext.broadcast(automaton)
-    lengths: dict = {}
-    for path, phrase in automaton.paths():
-        lengths.setdefault(phrase, set()).add(len(path))
-    # Phrases of one length only, as n-gram patterns are.
-    size = {p: max(n) for p, n in lengths.items()}
     schema = T.StructType([rows.schema[key], T.StructField("id", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())])
 
     def run(batches):
@@ -140,25 +135,27 @@ def automaton_matches(texts: DataFrame, key: str, text: str, automaton: Automato
             which: list[int] = []
             ids: list[str] = []
             starts: list[int] = []
+            sizes: list[int] = []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 node = 0
                 for at, symbol in enumerate(t):
                     node = a.step(node, symbol)
-                    for phrase in a.out[node]:
+                    for phrase, size in a.out[node]:
                         which.append(i)
                         ids.append(phrase)
-                        starts.append(at + 1 - size[phrase])
+                        starts.append(at + 1 - size)
+                        sizes.append(size)
             keys = batch.column(0).take(pa.array(which, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [keys, pa.array(ids, pa.string()), pa.array(starts, pa.int32()), pa.array([size[p] for p in ids], pa.int32())], names=[key, "id", "start", "length"]
+                [keys, pa.array(ids, pa.string()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32())], names=[key, "id", "start", "length"]
             )
 
     return rows.mapInArrow(run, schema)
 
 
 def build_automaton(patterns: list[tuple[str, str]]) -> Automaton:
-    """From ``(id, normalised pattern)``."""
+    """From ``(id, normalised pattern)``, for ``automaton_matches``: phrases are (id, length), as an id may have several spellings."""
     a = Automaton()
     for phrase, pattern in patterns:
-        a.add(tuple(pattern), phrase)
+        a.add(tuple(pattern), (phrase, len(pattern)))
     return a.freeze()
