@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,3 +78,33 @@ def common_prefix(a: Column, b: Column) -> Column:
     same = F.transform(F.arrays_zip(F.slice(a, 1, F.size(b)).alias("x"), F.slice(b, 1, F.size(a)).alias("y")), lambda p: p["x"].eqNullSafe(p["y"]))
     first = F.array_position(same, False)
     return F.when(first == 0, F.size(same)).otherwise(first - 1).cast("int")
+
+
+def text_blocks(df: DataFrame, keep: list[str], text: str, overlap: int, size: int = 256) -> DataFrame:
+    """``keep``, ``block_start`` (0-based) and ``block`` of ``size`` characters and ``overlap`` of the next block.
+
+    Finding a character costs time by its distance from the start of the string, so a long text is cut twice: into
+    pieces of 64 blocks, then into blocks. Every position of a text is the start of exactly one place in one block.
+    """
+
+    def cut(rows: DataFrame, column: str, base, width: int) -> DataFrame:
+        at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(column) - F.lit(1)), F.lit(width))
+        rows = rows.select(*keep, column, *([base] if base else []), F.explode(at).alias("__at"))
+        start = F.col("__at") + F.col(base) if base else F.col("__at")
+        piece = F.substring(F.col(column), F.col("__at") + 1, F.lit(width + overlap))
+        return rows.select(*keep, start.alias("block_start"), piece.alias("block"), F.least(F.lit(width), F.length(column) - F.col("__at")).alias("__own"))
+
+    pieces = cut(df.select(*keep, text), text, None, 64 * size)
+    # Of a piece only its own characters start blocks; what overlaps belongs to the next piece.
+    at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("__own") - 1), F.lit(size))
+    rows = pieces.select(*keep, "block", "block_start", "__own", F.explode(at).alias("__at"))
+    own = F.least(F.lit(size), F.col("__own") - F.col("__at"))
+    return rows.select(*keep, (F.col("block_start") + F.col("__at")).alias("block_start"), F.substring(F.col("block"), F.col("__at") + 1, own + overlap).alias("block"), own.alias("own"))
+
+
+def grams(n: int, text: str = "block", own: str | None = "own") -> Column:
+    """Array of (i, g): substrings of ``n`` characters that start at the block's own places (all places without ``own``)."""
+    last = F.length(text) - n + 1
+    last = F.least(last, F.col(own)) if own else last
+    places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.struct((i - 1).alias("i"), F.substring(F.col(text), i, F.lit(n)).alias("g")))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import nfkc_term, script_term, stable_id
+from ..functions.text import grams, nfkc_term, script_term, stable_id, text_blocks
 
 ENTRY = T.StructType(
     [
@@ -72,19 +72,16 @@ def spellings(records: DataFrame) -> DataFrame:
 def ngrams(texts: DataFrame, text: str, low: int, high: int, whole: bool = True) -> DataFrame:
     """Distinct substrings of ``low``..``high`` characters of normalised texts and, with ``whole``, the texts themselves.
 
-    Distinct per text first, then over all: long texts repeat most of their short substrings.
+    Distinct per block of a text first, then over all.
     """
     if not 0 < low <= high:
         raise ValueError(f"bad n-gram range {low}..{high}")
     t = nfkc_term(F.col(text))
     rows = texts.where(F.col(text).isNotNull()).select(t.alias("__t")).where("__t <> ''").distinct()
-    sized = lambda n: F.transform(F.sequence(F.lit(1), F.length("__t") - n + 1), lambda i: F.substring(F.col("__t"), i, F.lit(n)))
-    none = F.array().cast("array<string>")
-    grams = [F.explode(F.array_distinct(F.when(F.length("__t") >= n, sized(n)).otherwise(none))) for n in range(low, high + 1)]
-    parts = [rows.select(g.alias("term")) for g in grams] + ([rows.select(F.col("__t").alias("term"))] if whole else [])
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    blocks = text_blocks(rows, [], "__t", high - 1)
+    out = blocks.select(F.explode(_distinct_grams(range(low, high + 1))).alias("term"))
+    if whole:
+        out = out.unionByName(rows.select(F.col("__t").alias("term")))
     return out.distinct()
 
 
@@ -94,13 +91,16 @@ def spoken_terms(texts: DataFrame, text: str, terms: DataFrame, term: str = "tex
     t = nfkc_term(F.col(text))
     rows = texts.where(F.col(text).isNotNull()).select(t.alias("__t"))
     lengths = [r[0] for r in terms.select(F.length(term).alias("n")).distinct().where("n > 0").collect()]
-    out = None
-    for n in sorted(lengths):
-        sized = F.transform(F.sequence(F.lit(1), F.length("__t") - n + 1), lambda i, n=n: F.substring(F.col("__t"), i, F.lit(n)))
-        part = rows.where(F.length("__t") >= n).select(F.explode(F.array_distinct(sized)).alias(term))
-        out = part if out is None else out.unionByName(part)
     wanted = terms.select(term).distinct()
-    return wanted if out is None else wanted.join(out, term, "left_semi")
+    if not lengths:
+        return wanted.where(F.lit(False))
+    blocks = text_blocks(rows, [], "__t", max(lengths) - 1)
+    out = blocks.select(F.explode(_distinct_grams(lengths)).alias(term))
+    return wanted.join(out, term, "left_semi")
+
+
+def _distinct_grams(lengths) -> Column:
+    return F.array_distinct(F.concat(*(F.transform(grams(n), lambda x: x["g"]) for n in sorted(lengths))))
 
 
 def frequency_buckets(entries: DataFrame, buckets: int = 10) -> DataFrame:

@@ -7,10 +7,10 @@ from collections import deque
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import match_text
+from ..functions.text import grams, match_text, text_blocks
 
 
-def ngram_matches(texts: DataFrame, key: str, text: str, patterns: DataFrame, normalise=match_text, block: int = 4000) -> DataFrame:
+def ngram_matches(texts: DataFrame, key: str, text: str, patterns: DataFrame, normalise=match_text) -> DataFrame:
     """Every occurrence, overlapping ones too, of every pattern: ``key, id, start, length``.
 
     ``patterns``: ``id, pattern``. Long texts are cut into overlapping blocks, so that one text is many rows; each
@@ -23,16 +23,9 @@ def ngram_matches(texts: DataFrame, key: str, text: str, patterns: DataFrame, no
     rows = texts.where(F.col(text).isNotNull()).select(key, normalise(F.col(text)).alias("__t"))
     if not lengths:
         lengths = [1]
-    longest = lengths[-1]
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("__t") - 1), F.lit(block))
-    rows = rows.select(key, "__t", F.explode(starts).alias("__at")).select(key, "__at", F.expr(f"substring(__t, __at + 1, {block + longest - 1})").alias("__t"))
-    out = None
-    for n in lengths:
-        at = F.sequence(F.lit(1), F.least(F.lit(block), F.length("__t") - n + 1))
-        grams = F.transform(at, lambda i, n=n: F.struct((i - 1).alias("i"), F.substring(F.col("__t"), i, F.lit(n)).alias("g")))
-        part = rows.where(F.length("__t") >= n).select(key, "__at", F.explode(grams).alias("x"))
-        part = part.select(key, (F.col("__at") + F.col("x.i")).alias("start"), F.col("x.g").alias("__p"))
-        out = part if out is None else out.unionByName(part)
+    blocks = text_blocks(rows, [key], "__t", lengths[-1] - 1)
+    found = blocks.select(key, "block_start", F.explode(F.concat(*(grams(n) for n in lengths))).alias("x"))
+    out = found.select(key, (F.col("block_start") + F.col("x.i")).alias("start"), F.col("x.g").alias("__p"))
     return out.join(pats, "__p").select(key, "id", "start", F.col("__n").alias("length"))
 
 

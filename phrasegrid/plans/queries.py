@@ -1,8 +1,9 @@
-from . import records
+"""All core queries by name."""
 
+from . import analytics, records
 
-def queries():
-    return records.queries()
+FLAGSHIP = analytics.catalog_evaluation
 
 
-FLAGSHIP = None
+def queries():
+    return records.queries() | analytics.queries()

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import pickle
+import shutil
+import tempfile
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,16 +90,39 @@ def replay(rows: DataFrame, catalog: Catalog, policy: Policy) -> DataFrame:
     return ordered.mapInPandas(run, RESULT)
 
 
+_catalogs: dict[str, Catalog] = {}
+
+
+def _send(spark, catalog: Catalog) -> str:
+    """Give every worker a copy as a file: the stream's driver-side worker loads no broadcast."""
+    name = f"catalog-{uuid.uuid4().hex}.pickle"
+    folder = tempfile.mkdtemp(prefix="phrasegrid-")  # the driver serves the file from here
+    atexit.register(shutil.rmtree, folder, True)
+    with open(os.path.join(folder, name), "wb") as file:
+        pickle.dump(catalog, file)
+    spark.sparkContext.addFile(file.name)
+    return name
+
+
+def _sent(name: str) -> Catalog:
+    if name not in _catalogs:
+        with open(SparkFiles.get(name), "rb") as file:
+            _catalogs[name] = pickle.load(file)
+    return _catalogs[name]
+
+
 def stream(rows: DataFrame, catalog: Catalog, policy: Policy) -> DataFrame:
     """The same on a stream: state per session, kept from micro-batch to micro-batch, cleared when a session ends."""
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+    name = _send(rows.sparkSession, catalog)
+
     class Sessions(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.state = handle.getValueState("session", "state string")
 
         def handleInputRows(self, key, batches, timers) -> Iterator[pd.DataFrame]:
-            session = Session(catalog, policy, folded)
+            session = Session(_sent(name), policy, folded)
             if self.state.exists():
                 session.load(self.state.get()[0])
             pdf = pd.concat(list(batches))  # one micro-batch of one session, whose rows come in any order
