@@ -12,13 +12,13 @@ from pyspark.sql import types as T
 #: A class of all characters with the Unicode property White_Space.
 SPACE = "[\\t-\\r \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 #: Characters whose NFKC form is themselves: printable ASCII and the unified ideographs.
-_INERT = r"^[\x21-\x7e㐀-䶿一-鿿]*$"
-_INERT_SPACED = r"^[\t-\r\x20-\x7e㐀-䶿一-鿿]*$"
+_INERT = r"^[\x21-\x7e㐀-䶿一-鿿]*\z"
+_INERT_SPACED = r"^[\t-\r\x20-\x7e㐀-䶿一-鿿]*\z"
 
 
 def strip(c: Column) -> Column:
     """White space of any kind off both ends."""
-    return F.regexp_replace(F.regexp_replace(c, f"^{SPACE}+", ""), f"(?<!{SPACE}){SPACE}+$", "")
+    return F.regexp_replace(F.regexp_replace(c, f"^{SPACE}+", ""), f"(?<!{SPACE}){SPACE}+\\z", "")
 
 
 def _plain_or(c: Column, inert: str, native, function) -> Column:
@@ -61,7 +61,7 @@ def alignment_text(c: Column) -> Column:
 
 def safe_id(c: Column) -> Column:
     """Runs of other characters than ASCII letters, digits, '_', '.', '-' become '_'; none at the ends."""
-    return F.regexp_replace(F.regexp_replace(c, "[^0-9A-Za-z_.-]+", "_"), "^_+|_+$", "")
+    return F.regexp_replace(F.regexp_replace(c, "[^0-9A-Za-z_.-]+", "_"), r"^_+|_+\z", "")
 
 
 def stable_id(prefix: str, normalized: Column) -> Column:
@@ -70,7 +70,7 @@ def stable_id(prefix: str, normalized: Column) -> Column:
 
 def script_term(c: Column, low: int = 2, high: int = 8, script: str = "㐀-䶿一-鿿") -> Column:
     """All characters of one script (default: Han) and ``low`` to ``high`` of them."""
-    return c.rlike(f"^[{script}]{{{low},{high}}}$")
+    return c.rlike(f"^[{script}]{{{low},{high}}}\\z")
 
 
 def common_prefix(a: Column, b: Column) -> Column:

@@ -53,7 +53,7 @@ def _reclassified(line: Column) -> Column:
 
     def cast(x: Column) -> Column:
         rest = x["rest"]
-        number = F.when(rest.rlike("^[0-9]+$"), rest.try_cast("bigint"))
+        number = F.when(rest.rlike(r"^[0-9]+\z"), rest.try_cast("bigint"))
         reason = (
             F.when(x["quoting"], "quoting").when((rest == "") | rest.rlike(SPACE), "columns").when(F.coalesce(number, F.lit(0)) < 1, "count")
         )
@@ -74,7 +74,7 @@ def classify_lines(df: DataFrame, value: str) -> DataFrame:
         & F.col("__csv.count").isNotNull()
         & (F.col("__csv.count") > 0)
         & ~F.col("__line").contains('"')
-        & F.col("__line").rlike(f"{SPACE}[0-9]{{1,19}}$")
+        & F.col("__line").rlike(f"{SPACE}[0-9]{{1,19}}\\z")
     )
     rows = rows.withColumn("__again", F.when(~clean, _reclassified(F.col("__line")))).select(
         *df.columns,

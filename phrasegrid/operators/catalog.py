@@ -34,8 +34,10 @@ def fail_if_any(bad: DataFrame, message: str, show: str) -> None:
 
 
 def word_counts(lines: DataFrame, low: int = 2, high: int = 8, script: str = HAN) -> DataFrame:
-    """Counts per ``source`` and ``term`` of loaded ``(source, term, count)`` rows that fit the script and length."""
-    return lines.where(script_term(F.col("term"), low, high, script)).groupBy("source", "term").agg(F.sum("count").alias("count"))
+    """Counts (decimal: sums may pass 2^63) per ``source`` and ``term`` of loaded rows that fit the script and length."""
+    return lines.where(script_term(F.col("term"), low, high, script)).groupBy("source", "term").agg(
+        F.sum(F.col("count").cast("decimal(38,0)")).alias("count")
+    )
 
 
 def load_stats(classified: DataFrame, low: int = 2, high: int = 8, script: str = HAN) -> DataFrame:
@@ -250,7 +252,7 @@ def negative_vocabulary(lines: DataFrame, value: str = "value") -> DataFrame:
     from ..functions.text import SPACE, strip
 
     line = strip(F.regexp_replace(F.col(value), "^﻿", ""))
-    bare = F.regexp_replace(line, rf"(?<!{SPACE}){SPACE}+\p{{Nd}}+$", "")
+    bare = F.regexp_replace(line, rf"(?<!{SPACE}){SPACE}+\p{{Nd}}+\z", "")
     return lines.select(line.alias("__l"), bare.alias("term")).where((F.col("__l") != "") & ~F.col("__l").startswith("#") & (F.col("term") != "")).select("term").distinct()
 
 

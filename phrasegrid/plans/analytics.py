@@ -24,6 +24,11 @@ def _entries(spark: SparkSession, d: str) -> DataFrame:
     return materialize(catalog.merge_sources(catalog.word_counts(lines)), "entries")
 
 
+def _total():
+    """As text: sums pass the range of bigint."""
+    return F.col("total_frequency").cast("string").alias("total_frequency")
+
+
 def _targets(spark: SparkSession, d: str) -> DataFrame:
     """Evaluation targets whose spellings no other target shares."""
     hot = read(spark, d, "hotwords").where(F.get_json_object("metadata", "$.role") == "evaluation_target")
@@ -56,7 +61,7 @@ def catalog_negatives(spark: SparkSession, d: str) -> DataFrame:
 
 def word_freq_merged(spark: SparkSession, d: str) -> DataFrame:
     pairs = F.array_join(F.transform(F.map_entries("source_frequencies"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
-    return _entries(spark, d).select("text", pairs.alias("sources"), "total_frequency")
+    return _entries(spark, d).select("text", pairs.alias("sources"), _total())
 
 
 def load_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +83,7 @@ def spoken_terms(spark: SparkSession, d: str) -> DataFrame:
 
 def unspoken_terms(spark: SparkSession, d: str) -> DataFrame:
     entries = _entries(spark, d)
-    return entries.join(catalog.spoken_terms(_transcripts(spark, d), "text", entries), "text", "left_anti").select("text", "total_frequency")
+    return entries.join(catalog.spoken_terms(_transcripts(spark, d), "text", entries), "text", "left_anti").select("text", _total())
 
 
 def transcript_ngrams(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +97,7 @@ def frequency_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     entries = _entries(spark, d)
-    return catalog.select_stratified(entries, 200).select("text", "total_frequency", "bucket")
+    return catalog.select_stratified(entries, 200).select("text", _total(), "bucket")
 
 
 def stable_ids(spark: SparkSession, d: str) -> DataFrame:
