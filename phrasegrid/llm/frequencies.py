@@ -14,26 +14,14 @@ an empty table gives no rows; only named columns are read, so extra columns cann
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_PLAIN = r"^[\x21-\x7e㐀-䶿一-鿿]*$"
-
-
-@F.pandas_udf(T.StringType())
-def _nfkc_term(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else "".join(unicodedata.normalize("NFKC", x).split()))
-
+from ..functions.text import nfkc_term
 
-def nfkc_term(text) -> F.Column:
-    """NFKC, then all white space removed. Text of ASCII and unified ideographs only is its own NFKC and stays in the JVM."""
-    plain = text.rlike(_PLAIN)
-    return F.when(plain, text).otherwise(_nfkc_term(F.when(~plain, text)))
+_MOST = (1 << 63) - 1
 
 
 def _intervals(max_n: int, sums: int):
@@ -51,12 +39,12 @@ def _intervals(max_n: int, sums: int):
                 done = acc.pop()
                 edge = last or (first is not None and first[:depth] == prev[:depth])
                 out.append((prev[:depth], edge, *done))
-                
+
         def flush():
             cols = list(zip(*out))
             out.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array(list(cols[0]), pa.list_(pa.string())), pa.array(cols[1], pa.bool_()), *(pa.array(c, pa.int64()) for c in cols[2:])],
+                [pa.array(list(cols[0]), pa.list_(pa.string())), pa.array(cols[1], pa.bool_()), *(pa.array([min(x, _MOST) for x in c], pa.int64()) for c in cols[2:])],
                 names=["gram", "edge", *(f"s{i}" for i in range(sums))],
             )
 
@@ -91,6 +79,11 @@ def _intervals(max_n: int, sums: int):
     return run
 
 
+def _sum(column: str) -> F.Column:
+    """Sum that stays at the greatest bigint instead of passing it."""
+    return F.least(F.sum(F.col(column).cast("decimal(38,0)")), F.lit(_MOST).cast("decimal(38,0)")).cast("bigint")
+
+
 def interval_frequencies(suffixes: DataFrame, tokens: str, sums: list[str], max_n: int, dup: str | None = None) -> DataFrame:
     """N-grams of up to ``max_n`` tokens with the sum of each column of ``sums`` over their suffixes.
 
@@ -103,15 +96,14 @@ def interval_frequencies(suffixes: DataFrame, tokens: str, sums: list[str], max_
         (F.col(dup) if dup else F.lit(0)).cast("int").alias("__d"),
         *(F.col(s).cast("bigint").alias(f"__s{i}") for i, s in enumerate(sums)),
     )
-    grouped = rows.groupBy("__t", "__d").agg(*(F.sum(f"__s{i}").alias(f"__s{i}") for i in range(len(sums))))
+    grouped = rows.groupBy("__t", "__d").agg(*(_sum(f"__s{i}").alias(f"__s{i}") for i in range(len(sums))))
     ordered = grouped.repartitionByRange("__t", "__d").sortWithinPartitions("__t", "__d")
     schema = T.StructType(
         [T.StructField("gram", T.ArrayType(T.StringType())), T.StructField("edge", T.BooleanType())]
         + [T.StructField(f"s{i}", T.LongType()) for i in range(len(sums))]
     )
     found = ordered.mapInArrow(_intervals(max_n, len(sums)), schema)
-    final = found.groupBy("gram").agg(*(F.sum(f"s{i}").alias(s) for i, s in enumerate(sums)))
-    return final
+    return found.groupBy("gram").agg(*(_sum(f"s{i}").alias(s) for i, s in enumerate(sums)))
 
 
 def record_suffixes(df: DataFrame, tokens: str, max_n: int) -> DataFrame:
@@ -169,7 +161,7 @@ def term_frequencies(entries: DataFrame) -> DataFrame:
 
     ``entries``: ``entry_id, shard_id, text, source_frequencies map<string,bigint>, loaded_at``. Records with one
     ``entry_id`` count once (the one loaded last); a null id is nobody's repeat. Null text counts nowhere, a null map
-    or count is 0. A term occurs in a shard if its counts there add up to at least 1; a null shard is no shard.
+    or count is 0. Sums stay at 2^63 - 1 instead of passing it. A term occurs in a shard if its counts there add up to at least 1; a null shard is no shard.
     A term is one token here: its shards lie side by side in the sorted array and repeats in one shard are already one row.
     """
     rows = entries.where(F.col("text").isNotNull()).select(
@@ -177,17 +169,20 @@ def term_frequencies(entries: DataFrame) -> DataFrame:
         "shard_id",
         "loaded_at",
         nfkc_term(F.col("text")).alias("term"),
-        F.aggregate(
-            F.coalesce(F.map_values("source_frequencies"), F.array().cast("array<bigint>")),
-            F.lit(0).cast("bigint"),
-            lambda a, x: a + F.coalesce(x, F.lit(0).cast("bigint")),
-        ).alias("total"),
+        F.least(
+            F.aggregate(
+                F.coalesce(F.map_values("source_frequencies"), F.array().cast("array<bigint>")),
+                F.lit(0).cast("decimal(38,0)"),
+                lambda a, x: (a + F.coalesce(x, F.lit(0).cast("bigint"))).cast("decimal(38,0)"),
+            ),
+            F.lit(_MOST).cast("decimal(38,0)"),
+        ).cast("bigint").alias("total"),
     )
     known = rows.where(F.col("entry_id").isNotNull()).groupBy("entry_id").agg(
         F.max(F.struct("loaded_at", "term", "shard_id", "total")).alias("r")
     )
     once = known.select("r.term", "r.shard_id", "r.total").unionByName(rows.where(F.col("entry_id").isNull()).select("term", "shard_id", "total"))
-    by_shard = once.groupBy("term", "shard_id").agg(F.sum("total").alias("total"), F.count(F.lit(1)).alias("records"))
+    by_shard = once.groupBy("term", "shard_id").agg(_sum("total").alias("total"), F.count(F.lit(1)).alias("records"))
     by_shard = by_shard.select(
         F.array("term").alias("tokens"), "total", "records", F.when(F.col("shard_id").isNotNull() & (F.col("total") >= 1), 1).otherwise(0).alias("shards")
     )

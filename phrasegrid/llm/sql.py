@@ -1,5 +1,7 @@
 """The same results as SQL, where SQL can say them."""
 
+from ..plans.sql import norm
+
 _BEST = """
 SELECT utt_id, chunk_id, hotword_id, score, CAST(pos AS INTEGER) AS pos FROM (
   SELECT *, row_number() OVER (PARTITION BY utt_id, chunk_id ORDER BY score DESC, hotword_id) AS pos FROM (
@@ -15,10 +17,25 @@ v AS (SELECT run_no, chunk_id, e.key AS timing, e.value AS value FROM t
 m AS (SELECT timing, chunk_id, count(*) AS n, quantile_cont(value, 0.5) AS median FROM v GROUP BY ALL)"""
 
 
+_TERMS = f"""
+WITH e AS (SELECT entry_id, shard_id, {norm('text')} AS term, coalesce(list_sum(list_transform(map_values(source_frequencies), lambda x: coalesce(x, 0))), 0) AS n, loaded_at
+  FROM word_entries WHERE text IS NOT NULL),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY loaded_at DESC, term DESC, shard_id DESC, n DESC) AS k FROM e) WHERE k = 1 OR entry_id IS NULL),
+s AS (SELECT term, shard_id, sum(n) AS n, count(*) AS records FROM o GROUP BY ALL),
+t AS (SELECT term, CAST(sum(n) AS BIGINT) AS total, CAST(sum(records) AS BIGINT) AS records, count(*) FILTER (n >= 1 AND shard_id IS NOT NULL) AS shards FROM s GROUP BY term),
+m AS (SELECT *, CASE WHEN shards * 2 > (SELECT count(DISTINCT shard_id) FROM word_entries) THEN 'common' WHEN total BETWEEN 1 AND 4 THEN 'rare' END AS mark FROM t)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": f"SELECT utt_id, chunk_id, hotword_id, pos FROM ({_BEST})",
         "p2_top5_scores": _BEST,
+        "p5_found": _TERMS + " SELECT term, mark FROM m WHERE mark IS NOT NULL",
+        "p5_terms": _TERMS + " SELECT * FROM m",
+        "p5_ngrams": f"""
+WITH r AS (SELECT row_number() OVER () AS r, {norm('text')} AS t FROM word_entries WHERE text IS NOT NULL),
+g AS (SELECT r, substr(t, CAST(i AS INTEGER), CAST(k AS INTEGER)) AS ngram FROM (SELECT r, t, k, unnest(generate_series(1, len(t) - k + 1)) AS i FROM (SELECT r, t, unnest(generate_series(1, 6)) AS k FROM r)))
+SELECT ngram, count(*) AS occurrences, count(DISTINCT r) AS records FROM g GROUP BY ngram""",
         "p4_found": _TIMINGS + " SELECT run_no, chunk_id, timing FROM v JOIN m USING (timing, chunk_id) WHERE value > 4 * median",
         "p4_medians": _TIMINGS + " SELECT timing, chunk_id, median FROM m",
     }
