@@ -3,7 +3,8 @@
 A source that must give W tokens and has T uses every document W/T times on average (times its weight; never more
 than ``max_repeats``). The whole part of that number is allotted for certain. The rest is an inclusion probability:
 documents are ranked by random odds over inclusion odds, and taken in that order until the source's remaining tokens
-are reached: a sample of fixed size in tokens with unequal probabilities.
+are reached: a sample of fixed size in tokens with unequal probabilities. Where a long document would pass the
+target, those behind it that still fit fill the gap.
 
 The place where a source's ranking is cut is found by histograms of the rank's leading 16-bit digits with token
 sums, following only the digit that holds the cut; only the documents of one last cell (about 2^-32 of a source)
@@ -43,6 +44,45 @@ def _allot(docs: DataFrame, targets: DataFrame, weight: str | None) -> tuple[Dat
     return placed, sources
 
 
+def _after(edge: str):
+    """Rows behind an edge in ranking order; a null edge stands before all rows."""
+    place = F.struct(F.col("__key").alias("k"), F.col("doc_id").alias("d"))
+    return F.col(edge).isNull() | (place > F.col(edge))
+
+
+def _cut(drawn: DataFrame, need: DataFrame, nearest: bool) -> DataFrame:
+    """Where each source's ranking is cut: ``source, __edge`` (the last taken (key, document), null: none) and ``__left``,
+    the tokens still wanted. ``nearest`` also takes the document at the cut if that comes closer than leaving it.
+
+    Two 16-bit digits by histograms of token sums, then a running sum within the one cell that is left of a source.
+    """
+    cut = need.withColumn("__prefix", F.lit(0).cast("bigint"))
+    for level in (1, 2):
+        up = F.shiftright("__key", _BITS - 16 * (level - 1)) if level > 1 else F.lit(0).cast("bigint")
+        digits = drawn.select("source", "tokens", up.alias("__prefix"), F.shiftright("__key", _BITS - 16 * level).alias("__next"))
+        if level > 1:
+            digits = digits.join(cut.select("source", "__prefix"), ["source", "__prefix"], "left_semi")
+        hist = digits.groupBy("source", "__prefix", "__next").agg(F.sum("tokens").alias("__t"))
+        hist = hist.withColumn("__upto", F.sum("__t").over(Window.partitionBy("source", "__prefix").orderBy("__next").rowsBetween(Window.unboundedPreceding, 0)))
+        # The cell that the need ends in, or the last one if all fits.
+        at = cut.join(hist, ["source", "__prefix"]).groupBy("source", "__need").agg(
+            F.min(F.when(F.col("__upto") > F.col("__need"), F.struct("__next", "__upto", "__t"))).alias("__c"), F.max(F.struct("__next", "__upto", "__t")).alias("__z")
+        )
+        at = at.select("source", "__need", F.coalesce("__c", "__z").alias("c"))
+        cut = at.select("source", F.col("c.__next").alias("__prefix"), (F.col("__need") - (F.col("c.__upto") - F.col("c.__t"))).alias("__need"))
+    cell = F.shiftright("__key", _BITS - 32)
+    last = drawn.withColumn("__prefix", cell).join(cut, ["source", "__prefix"])
+    order = Window.partitionBy("source").orderBy("__key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    last = last.withColumn("__upto", F.sum("tokens").over(order))
+    fits = F.col("__upto") - (F.col("tokens") / 2.0 if nearest else F.lit(0)) <= F.col("__need")
+    edge = last.where(fits).groupBy("source").agg(F.max(F.struct(F.col("__key").alias("k"), F.col("doc_id").alias("d"))).alias("__in"), F.max("__upto").alias("__got"))
+    # Nothing of the cell is taken: the edge is the place before its first document.
+    before = F.struct((F.shiftleft("__prefix", _BITS - 32) - 1).alias("k"), F.lit(None).cast(drawn.schema["doc_id"].dataType).alias("d"))
+    return cut.join(edge, "source", "left").select(
+        "source", F.coalesce("__in", before).alias("__edge"), (F.col("__need") - F.coalesce("__got", F.lit(0))).alias("__left")
+    )
+
+
 def pareto_mix(documents: DataFrame, targets: DataFrame, seed: int = 17, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``documents``: ``doc_id, source, tokens`` (null tokens: no text); ``targets``: ``source, target_share, max_repeats``.
 
@@ -56,48 +96,21 @@ def pareto_mix(documents: DataFrame, targets: DataFrame, seed: int = 17, weight:
     placed, sources = _allot(docs, targets, weight)
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     odds = (u / (1 - u)) / (F.col("__pi") / (1 - F.col("__pi")))
-    key = F.floor(odds / (1 + odds) * F.lit(float(1 << _BITS))).cast("bigint")
-    placed = placed.withColumn("__key", F.when((F.col("__pi") > 0) & F.col("tokens").isNotNull(), F.least(key, F.lit((1 << _BITS) - 1)))).drop("wanted")
+    key = F.least(F.floor(odds / (1 + odds) * F.lit(float(1 << _BITS))).cast("bigint"), F.lit((1 << _BITS) - 1))
+    key = F.when((F.col("__pi") > 0) & F.col("tokens").isNotNull(), key)
+    placed = materialize(placed.select("doc_id", "source", "tokens", "__whole", key.alias("__key")), "mix-ranked")
+    sources = materialize(sources, "mix-sources")
     certain = placed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("__whole")).alias("certain"))
-    need = sources.join(certain, "source", "left").select(
-        "source", F.greatest(F.lit(0.0), F.col("wanted") - F.coalesce("certain", F.lit(0))).alias("__need"), F.lit(0).cast("bigint").alias("__prefix")
-    )
+    need = sources.join(certain, "source", "left").select("source", F.greatest(F.lit(0.0), F.col("wanted") - F.coalesce("certain", F.lit(0))).alias("__need"))
     drawn = placed.where(F.col("__key").isNotNull()).select("source", "doc_id", "tokens", "__key")
-    cut = need
-    for level in (1, 2):
-        prefix = F.shiftright("__key", _BITS - 16 * (level - 1)) if level > 1 else F.lit(0).cast("bigint")
-        digits = drawn.select("source", "tokens", prefix.alias("__prefix"), F.shiftright("__key", _BITS - 16 * level).alias("__next"))
-        if level > 1:
-            digits = digits.join(cut.select("source", "__prefix"), ["source", "__prefix"], "left_semi")
-        hist = digits.groupBy("source", "__prefix", "__next").agg(F.sum("tokens").alias("__t"))
-        hist = hist.withColumn("__upto", F.sum("__t").over(Window.partitionBy("source", "__prefix").orderBy("__next").rowsBetween(Window.unboundedPreceding, 0)))
-        # The cell that the need ends in; where all fit, the cell after the last one.
-        at = cut.join(hist, ["source", "__prefix"]).groupBy("source", "__prefix", "__need").agg(
-            F.min(F.when(F.col("__upto") >= F.col("__need"), F.struct("__next", "__upto", "__t"))).alias("__c"),
-            F.max("__next").alias("__last"),
-            F.sum("__t").alias("__sum"),
-        )
-        cut = at.select(
-            "source",
-            F.coalesce(F.col("__c.__next"), F.col("__last") + 1).alias("__prefix"),
-            (F.col("__need") - F.coalesce(F.col("__c.__upto") - F.col("__c.__t"), F.col("__sum"))).alias("__need"),
-        )
-    cell = F.shiftright("__key", _BITS - 32)
-    last = drawn.withColumn("__prefix", cell).join(cut, ["source", "__prefix"])
-    upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("__key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    # Of the document that the need ends in: taken if that comes closer to the need than leaving it.
-    taken = last.withColumn("__upto", upto).where(F.col("__upto") - F.col("tokens") / 2.0 <= F.col("__need")).select(
-        "source", F.col("__key").alias("__k"), F.col("doc_id").alias("__d")
-    )
-    edge = taken.groupBy("source").agg(F.max(F.struct("__k", "__d")).alias("__edge"))
-    bounds = cut.select("source", F.col("__prefix").alias("__cell")).join(edge, "source", "left")
+    first = materialize(_cut(drawn, need, False), "mix-cut")
+    # What the document at the cut was too long for is filled by those behind it that fit, in the same order.
+    behind = drawn.join(first, "source").where(_after("__edge") & (F.col("tokens") <= F.col("__left"))).select(*drawn.columns)
+    second = materialize(_cut(behind, first.select("source", F.col("__left").alias("__need")), True), "mix-cut")
+    bounds = first.select("source", F.col("__edge").alias("__one"), F.col("__left").alias("__gap")).join(second.select("source", F.col("__edge").alias("__two")), "source", "left")
     marked = placed.join(bounds, "source", "left")
-    extra = (
-        F.when(F.col("__key").isNull() | F.col("__cell").isNull(), 0)
-        .when(cell < F.col("__cell"), 1)
-        .when((cell == F.col("__cell")) & F.col("__edge").isNotNull() & (F.struct(F.col("__key").alias("__k"), F.col("doc_id").alias("__d")) <= F.col("__edge")), 1)
-        .otherwise(0)
-    )
+    taken = ~_after("__one") | (_after("__one") & (F.col("tokens") <= F.col("__gap")) & ~_after("__two"))
+    extra = F.when(F.col("__key").isNotNull() & F.col("__gap").isNotNull() & taken, 1).otherwise(0)
     uses = marked.select(
         "doc_id", "source", "tokens", F.when(F.col("tokens").isNull(), 0).otherwise(F.col("__whole") + extra).cast("int").alias("uses")
     )
