@@ -8,8 +8,7 @@ group: summaries of separate partitions or days are combined by putting their ce
 All histograms are grouped counts with map-side partial aggregation, so a group that holds a third of all rows
 sends at most one row per map task and digit. Nothing is collected on the driver and no stage is a cross join.
 
-Defined results: rows with a null value or key are left out by ``ordered_key``'s callers; -0.0 counts as 0.0;
-NaN sorts above infinity. A null group column is a group value. An empty table gives no rows.
+Defined results: null and NaN have no key, and rows without a key are left out; -0.0 counts as 0.0. A null group column is a group value. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,16 +19,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIGITS, WIDTH = 4, 16
+_NARROW = 8
 _TOP = -(1 << 63)
 
 
 @F.pandas_udf(T.LongType())
 def ordered_key(v: pd.Series) -> pd.Series:
-    """Order-preserving signed integer of a double; null stays null."""
+    """Order-preserving signed integer of a double; null for null and NaN (which arrive alike)."""
     import numpy as np
 
     x = v.to_numpy(dtype="float64", na_value=np.nan) + 0.0
-    x = np.where(np.isnan(x), np.nan, x)
     bits = x.view("int64")
     key = np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
     return pd.Series(key, dtype="Int64").mask(v.isna())
@@ -49,9 +48,9 @@ def _unsigned(key):
     return key.bitwiseXOR(F.lit(_TOP))
 
 
-def _prefix(key, level: int):
+def _prefix(key, level: int, width: int = WIDTH):
     """The top ``level`` digits as an integer (0 digits: 0)."""
-    return F.lit(0).cast("bigint") if level == 0 else F.shiftrightunsigned(_unsigned(key), 64 - WIDTH * level)
+    return F.lit(0).cast("bigint") if level == 0 else F.shiftrightunsigned(_unsigned(key), 64 - width * level)
 
 
 def _digit(key, level: int):
@@ -73,7 +72,7 @@ def radix_select(data: DataFrame, groups: list[str], key: str, targets: DataFram
 
     Returns ``groups``, ``target``, ``key bigint``. Ranks beyond a group's rows give no row.
     """
-    rows = data.select(*groups, F.col(key).alias("__key"))
+    rows = data.where(F.col(key).isNotNull()).select(*groups, F.col(key).alias("__key"))
     open_ = targets.select(*groups, "target", F.col("rank").alias("__rank"), F.lit(0).cast("bigint").alias("__prefix"))
     for level in range(DIGITS):
         part = rows.select(*groups, _prefix(F.col("__key"), level).alias("__prefix"), _digit(F.col("__key"), level).alias("__digit"))
@@ -97,7 +96,7 @@ def radix_select(data: DataFrame, groups: list[str], key: str, targets: DataFram
 
 def exact_medians(data: DataFrame, groups: list[str], key: str) -> DataFrame:
     """``groups``, ``median``: the mean of the two middle values (one and the same for odd n)."""
-    counts = data.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
+    counts = data.where(F.col(key).isNotNull()).groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
     middle = counts.select(*groups, "n", F.explode(F.array(F.lit("lo"), F.lit("hi"))).alias("target")).withColumn(
         "rank", F.when(F.col("target") == "lo", F.expr("(n - 1) div 2")).otherwise(F.expr("n div 2"))
     )
@@ -106,28 +105,34 @@ def exact_medians(data: DataFrame, groups: list[str], key: str) -> DataFrame:
 
 
 def radix_summary(data: DataFrame, groups: list[str], key: str, rank_error: float = 0.01) -> DataFrame:
-    """Cells ``groups, level, prefix, low, high, n`` (low, high: least and greatest key seen in the cell).
+    """Cells ``groups, low, high, n`` (low, high: least and greatest key seen in the cell).
 
-    A cell holds at most half ``rank_error`` of its group's rows, or one single value. Cells of one summary
-    are disjoint. Group by the day (or partition) as well and combine with ``summary_quantiles``.
+    A cell holds at most half ``rank_error`` of its group's rows, or one single value; there are at most about
+    12 / ``rank_error`` cells a group, whatever its size. Cells of one summary are disjoint. Digits have 8 bits here:
+    an open prefix has at most 256 followers. Group by the day (or partition) as well and combine with ``summary_quantiles``.
     """
-    rows = data.select(*groups, F.col(key).alias("__key"))
-    most = data.groupBy(*groups).agg((F.count(F.lit(1)) * F.lit(rank_error / 2)).alias("__most"))
+    rows = data.where(F.col(key).isNotNull()).select(*groups, F.col(key).alias("__key"))
+    # Cells of at most a quarter are made first; neighbours are then put together up to a half.
+    width = rows.groupBy(*groups).agg((F.count(F.lit(1)) * F.lit(rank_error / 4)).alias("__w"))
     cells: DataFrame | None = None
     open_: DataFrame | None = None
-    for level in range(DIGITS):
-        part = rows.select(*groups, "__key", _prefix(F.col("__key"), level).alias("__up"))
+    for level in range(64 // _NARROW):
+        part = rows.select(*groups, "__key", _prefix(F.col("__key"), level, _NARROW).alias("__up"))
         if open_ is not None:
             part = _on(part, open_, [*groups, "__up"], "left_semi")
-        hist = part.groupBy(*groups, _prefix(F.col("__key"), level + 1).alias("prefix")).agg(
+        hist = part.groupBy(*groups, _prefix(F.col("__key"), level + 1, _NARROW).alias("__up")).agg(
             F.min("__key").alias("low"), F.max("__key").alias("high"), F.count(F.lit(1)).alias("n")
         )
-        hist = _on(hist, most, groups, "inner")
-        done = (F.col("n") <= F.col("__most")) | (F.col("low") == F.col("high"))
-        out = hist.where(done).select(*groups, F.lit(level).alias("level"), "prefix", "low", "high", "n")
+        hist = _on(hist, width, groups, "inner")
+        done = (F.col("n") <= F.col("__w")) | (F.col("low") == F.col("high"))
+        out = hist.where(done).select(*groups, "low", "high", "n", "__w")
         cells = out if cells is None else cells.unionByName(out)
-        open_ = hist.where(~done).select(*groups, F.col("prefix").alias("__up"))
-    return cells
+        open_ = hist.where(~done).select(*groups, "__up")
+    order = Window.partitionBy(*groups).orderBy("low").rowsBetween(Window.unboundedPreceding, 0)
+    heavy = (F.col("n") > F.col("__w")).cast("int")  # one value of many rows: a cell of its own, and a border
+    placed = cells.withColumns({"__upto": F.sum("n").over(order), "__heavy": F.sum(heavy).over(order)})
+    place = F.struct(F.floor((F.col("__upto") - 1) / F.col("__w")), "__heavy", heavy.alias("own"))
+    return placed.groupBy(*groups, place.alias("__place")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).drop("__place")
 
 
 def summary_quantiles(cells: DataFrame, groups: list[str], quantiles: dict[str, float]) -> DataFrame:
