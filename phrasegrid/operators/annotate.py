@@ -224,3 +224,27 @@ def reconcile(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFr
 def pending(source: DataFrame, done: DataFrame, grain: list[str], unit: list[str]) -> DataFrame:
     """Units with anything at the finer grain still to do."""
     return source.join(done.select(*grain).distinct(), grain, "left_anti").select(*unit).distinct()
+
+
+def check_aligned(aligned: DataFrame, source_keys: DataFrame, catalog_ids: DataFrame, durations: DataFrame | None = None) -> DataFrame:
+    """Faults of aligned rows: ``source_utt_id, aligned_mention_id, fault``.
+
+    ``aligned``: ``source_utt_id, aligned_mention_id, aligned_hotword_id, target_hotword_ids, hotword_start_sec,
+    hotword_end_sec``; ``source_keys``: the (source_utt_id, aligned_mention_id) expected; ``durations``:
+    ``source_utt_id, seconds``. Missing and unexpected keys are faults too.
+    """
+    keys = ["source_utt_id", "aligned_mention_id"]
+    rows = aligned.join(catalog_ids.select(F.col("id").alias("aligned_hotword_id"), F.lit(True).alias("__known")), "aligned_hotword_id", "left")
+    rows = rows.join(durations.select("source_utt_id", F.col("seconds").alias("__sec")), "source_utt_id", "left") if durations is not None else rows.withColumn("__sec", F.lit(None).cast("double"))
+    start, end = F.col("hotword_start_sec"), F.col("hotword_end_sec")
+    blank = lambda c: F.col(c).isNull() | (F.col(c) == "")
+    fault = (
+        F.when(blank("source_utt_id") | blank("aligned_mention_id") | blank("aligned_hotword_id"), "missing key")
+        .when(F.col("__known").isNull(), "unknown phrase")
+        .when(~F.coalesce(target_ids(F.col("target_hotword_ids")) == F.array("aligned_hotword_id"), F.lit(False)), "other targets")
+        .when(~F.coalesce((start >= 0) & (start < end), F.lit(False)), "invalid span")
+        .when(end > F.col("__sec") + 0.001, "span beyond the audio")
+    )
+    found = rows.select(*keys, fault.alias("fault")).where("fault is not null")
+    both = reconcile(source_keys, aligned, keys).select(*keys, F.col("status").alias("fault"))
+    return found.unionByName(both)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import common_prefix, match_text, nfkc_term, safe_id, script_term, stable_id
-from ..operators import annotate, badrows, catalog, lattice, match, metrics, search
+from ..operators import annotate, badrows, catalog, hooks, lattice, match, metrics, search
 from ..runtime import materialize, read, scratch_path
 from ..sources import readers, writers
 from ..streaming import kernel, sessions
@@ -525,6 +525,42 @@ def audio_pieces(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("run_no", F.explode(readers.pieces(total, 1600)).alias("p")).select("run_no", "p.seq", "p.start", "p.n")
 
 
+def entity_types(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions and records per entity type."""
+    return _mentions(spark, d).groupBy("entity_type").agg(F.count(F.lit(1)).alias("mentions"), F.count_distinct("record_no").alias("records"))
+
+
+def entity_records(spark: SparkSession, d: str) -> DataFrame:
+    """Manifest records with at least one mention."""
+    return read(spark, d, "manifest_raw").select("record_no", "shard").join(_mentions(spark, d).select("record_no").distinct(), "record_no", "left_semi")
+
+
+def pronunciations(spark: SparkSession, d: str) -> DataFrame:
+    paths = hooks.pronunciation_paths(F.col("metadata"), F.col("text"))
+    return read(spark, d, "hotwords").select("id", F.posexplode(paths).alias("n", "path")).select("id", "n", F.array_join("path", " ").alias("path"))
+
+
+def training_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Records of every shard in the shuffled order of one epoch, in batches of 48."""
+    rows = read(spark, d, "manifest_raw").select("record_no", "shard")
+    return hooks.batch_numbers(rows, [hooks.epoch_order(rows, "record_no", 42, 1)], 48, ["shard"])
+
+
+def positive_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of a run and phrases of the catalog that spell their best hit alike."""
+    hits = read(spark, d, "retrieval_runs").select("run_no", F.get("final_batch.hits", F.lit(0))["variant"].alias("text")).where("text is not null")
+    return hooks.equal_pairs(hits, read(spark, d, "hotwords").select("text", "id"), "text", "run_no", "id")
+
+
+def overlapped_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of final audio that begin 200 ms early."""
+    return hooks.left_overlap(audio_pieces(spark, d), ["run_no"], "start", 3200).select("run_no", "seq", "from", "overlap")
+
+
+def hotword_languages(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "hotwords").groupBy(hooks.language_name(F.col("language"), "zh").alias("language")).agg(F.count(F.lit(1)).alias("phrases"))
+
+
 def queries():
     names = (
         catalog_evaluation, catalog_negatives, word_freq_merged, load_stats, term_filter, spoken_terms, unspoken_terms, transcript_ngrams, frequency_buckets,
@@ -534,5 +570,6 @@ def queries():
         vector_top10, phrase_search, accumulated_search, utterance_top50, retrieval_scores, retrieval_report, recall_by_boundary, latency_percentiles,
         streaming_report, keyword_counts, transcript_report, partitioned_errors, partitioned_report, part_name_errors, paired_rtf, bootstrap_recall,
         release_gates, tumbling_chunks, accumulated_refreshes, revision_prefix, rollback_starts, session_replay, session_stream, audio_pieces,
+        entity_types, entity_records, pronunciations, training_batches, positive_pairs, overlapped_chunks, hotword_languages,
     )
     return {f.__name__: f for f in names}

@@ -169,4 +169,14 @@ u AS (SELECT *, greatest(c, least(1, n), n - 5) AS usual FROM l)
 SELECT l_orderkey, l_linenumber, CAST(CASE WHEN k < 2 THEN c WHEN a IS NULL THEN usual ELSE greatest(c, n - 32, least(usual, least(n, greatest(0, a)))) END AS INTEGER) AS rollback_start FROM u"""
     q["audio_pieces"] = """WITH r AS (SELECT run_no, CAST(round_even(final_batch.accumulated_audio_sec * 16000, 0) AS BIGINT) AS t FROM retrieval_runs WHERE final_batch.accumulated_audio_sec > 0)
 SELECT run_no, CAST(i AS INTEGER) AS seq, CAST(i * 1600 AS BIGINT) AS start, CAST(least(1600, t - i * 1600) AS BIGINT) AS n FROM (SELECT run_no, t, unnest(range(0, (t + 1599) // 1600)) AS i FROM r)"""
+    q["entity_types"] = _MENTIONS + " SELECT entity_type, count(*) AS mentions, count(DISTINCT record_no) AS records FROM men GROUP BY 1"
+    q["entity_records"] = _MENTIONS + " SELECT record_no, shard FROM manifest_raw WHERE record_no IN (SELECT record_no FROM men)"
+    q["pronunciations"] = """WITH p AS (SELECT id, text, CAST(metadata::JSON->'pronunciations' AS VARCHAR[][]) AS p FROM hotwords),
+a AS (SELECT id, CASE WHEN p IS NULL OR len(p) = 0 THEN [string_split(text, '')] ELSE p END AS p FROM p)
+SELECT id, CAST(i - 1 AS INTEGER) AS n, array_to_string(p[i], ' ') AS path FROM (SELECT id, p, unnest(generate_series(1, len(p))) AS i FROM a)"""
+    q["training_batches"] = "SELECT record_no, shard, CAST((row_number() OVER (PARTITION BY shard ORDER BY sha256('42:1:' || record_no)) - 1) // 48 AS INTEGER) AS batch FROM manifest_raw"
+    q["positive_pairs"] = "SELECT run_no, id FROM (SELECT run_no, final_batch.hits[1].variant AS text FROM retrieval_runs) JOIN hotwords USING (text)"
+    q["overlapped_chunks"] = f'SELECT run_no, seq, greatest(0, start - 3200) AS "from", start - greatest(0, start - 3200) AS overlap FROM ({q["audio_pieces"]})'
+    q["hotword_languages"] = """SELECT coalesce(n, l) AS language, count(*) AS phrases FROM (SELECT trim(coalesce(language, 'zh')) AS l FROM hotwords)
+LEFT JOIN (VALUES ('zh', 'Chinese'), ('zh-cn', 'Chinese'), ('chinese', 'Chinese'), ('en', 'English'), ('english', 'English'), ('yue', 'Cantonese'), ('cantonese', 'Cantonese')) v(k, n) ON lower(l) = k GROUP BY 1"""
     return {k: v for k, v in q.items() if v}
