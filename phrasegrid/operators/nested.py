@@ -10,7 +10,7 @@ with a third of all objects only makes its own task longer by the length of its
 
 Defined results: a null array, map or object gives no rows; a null element gives none but keeps its place; a null
 root key is kept; a record without children still gives its own row; text that is no JSON object goes to the tag
-``_corrupt`` with the raw text. Columns not named are dropped, so extra columns cannot clash.
+``_corrupt`` with the raw text; a lone half of a surrogate pair becomes '?'. Columns not named are dropped, so extra columns cannot clash.
 """
 
 from __future__ import annotations
@@ -193,6 +193,14 @@ _JSON_ROWS = T.StructType(
 )
 
 
+def _array(values: tuple, kind: pa.DataType) -> pa.Array:
+    """Arrow array; halves of surrogate pairs that JSON escapes leave behind become question marks."""
+    try:
+        return pa.array(values, kind)
+    except UnicodeEncodeError:
+        return pa.array([v if v is None else v.encode("utf-8", "replace").decode() for v in values], kind)
+
+
 def emit_json(df: DataFrame, key: str, value: str, marked: tuple[Marked, ...], schemas: dict[str, T.StructType]) -> Tagged:
     """One row per object of raw JSON text, whatever its depth: ``record`` (the root), one tag per ``Marked``, else ``node``.
 
@@ -227,7 +235,7 @@ def emit_json(df: DataFrame, key: str, value: str, marked: tuple[Marked, ...], s
                     out.append(("_corrupt", root, [], None, None, "", None, 0, 0, text))
             for at in range(0, len(out), 20_000):
                 cols = list(zip(*out[at : at + 20_000]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([_array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
     rows = df.select(F.col(key).cast("bigint"), F.col(value).cast("string")).mapInArrow(run, _JSON_ROWS)
     return Tagged(rows, schemas)

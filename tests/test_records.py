@@ -68,11 +68,12 @@ def test_json_at_any_depth(spark):
         "not json",
         None,
         json.dumps({"entities": [m] * 5000, "text": "长" * 200_000}),
+        '{"a\\ud83d": "\\ude00", "entities": [{"char_start": NaN, "entity_type": "x\\ud83d"}]}',
     ]
     flat = mentions(spark, values)
     rows = [(r.root, r.outer_pos, r.inner_pos, r.entity_type) for r in flat.table("mention").collect()]
     small = sorted((r for r in rows if r[0] != 9), key=lambda r: r[:3])
-    assert small == [(0, 0, 0, "PER"), (0, 0, 2, None), (1, 0, 0, "PER"), (2, 1, 0, "PER"), (3, 1, 0, "ORG"), (4, 0, 1, "LOC")]
+    assert small == [(0, 0, 0, "PER"), (0, 0, 2, None), (1, 0, 0, "PER"), (2, 1, 0, "PER"), (3, 1, 0, "ORG"), (4, 0, 1, "LOC"), (10, 0, 0, "x?")]
     assert sorted(r[2] for r in rows if r[0] == 9) == list(range(5000))
     assert flat.rows.where("tag = '_corrupt'").count() == 2
     assert {r.key for r in flat.table("record").collect()} >= {"k", "none"}
