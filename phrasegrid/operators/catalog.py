@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import grams, nfkc_term, script_term, stable_id, text_blocks
+from .ranking import running
 
 ENTRY = T.StructType(
     [
@@ -108,26 +109,14 @@ def _distinct_grams(lengths) -> Column:
 def frequency_buckets(entries: DataFrame, buckets: int = 10) -> DataFrame:
     """``__rank`` by falling frequency and ``bucket``: rank * B div n, B no more than n.
 
-    The global rank comes from a range-partitioned sort and per-partition offsets, not from one task.
+    The rank over all entries comes from range partitions and their offsets, not from one task.
     """
-    ranked = global_rank(entries, [F.col("total_frequency").desc(), F.col("text")], "__rank")
+    ranked = running(entries, [], [F.col("total_frequency").desc(), F.col("text")], "__rank")
     n = entries.agg(F.count(F.lit(1))).first()[0]
     b = max(1, min(int(buckets), n))
     return ranked.withColumn("bucket", F.least(F.lit(b - 1), F.expr(f"(__rank * {b}) div {max(1, n)}")).cast("int"))
 
 
-def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """0-based rank over the whole table without gathering it: range partitions, counts, offsets."""
-    from ..runtime import materialize
-
-    keyed = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = materialize(keyed.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), "ranked")
-    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
-    offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = placed.join(offsets.select("__part", "__first", "__before"), "__part")
-    return joined.withColumn(name, F.col("__before") + F.col("__at") - F.col("__first")).drop("__part", "__at", "__first", "__before")
-
-
 def select_stratified(entries: DataFrame, limit: int, excluded: DataFrame | None = None, seed: int = 42, buckets: int = 10, exact_shuffle: bool = False) -> DataFrame:
     """``limit`` entries spread evenly over frequency-rank buckets: first of each bucket, second of each, ...
 
@@ -152,7 +141,7 @@ def select_stratified(entries: DataFrame, limit: int, excluded: DataFrame | None
         ranked = ranked.join(place, "text")
     else:
         key = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("bucket").cast("string"), F.col("text")), 256)
-        ranked = ranked.withColumn("__pos", F.row_number().over(Window.partitionBy("bucket").orderBy(key, "text")) - 1)
+        ranked = running(ranked, ["bucket"], [key, F.col("text")], "__pos")
     chosen = ranked.orderBy("__pos", "bucket").limit(limit)
     return chosen.select(*entries.columns, "bucket")
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ranking import running
+
 FRAMES = "array<array<float>>"
 
 
@@ -125,17 +127,16 @@ def render_context(static: Column, names: Column) -> Column:
     return F.when(F.size(names) > 0, F.trim(F.concat(static, F.lit("\n"), line))).otherwise(static)
 
 
-def epoch_order(df: DataFrame, key: str, seed: int, epoch: int) -> Column:
+def epoch_order(key: str, seed: int, epoch: int) -> Column:
     """A sort key that shuffles records anew every epoch, the same way in every run."""
-    return F.sha2(F.concat_ws(":", F.lit(f"{seed}:{epoch}"), df[key].cast("string")), 256)
+    return F.sha2(F.concat_ws(":", F.lit(f"{seed}:{epoch}"), F.col(key).cast("string")), 256)
 
 
 def batch_numbers(df: DataFrame, order: list[Column], size: int, within: list[str]) -> DataFrame:
     """``batch`` of ``size`` consecutive rows within each of ``within`` (a shard, say)."""
     if size <= 0:
         raise ValueError("batches need rows")
-    n = F.row_number().over(Window.partitionBy(*within).orderBy(*order)) - 1
-    return df.withColumn("batch", F.floor(n / size).cast("int"))
+    return running(df, within, order, "__n").withColumn("batch", F.floor(F.col("__n") / size).cast("int")).drop("__n")
 
 
 def equal_pairs(left: DataFrame, right: DataFrame, key: str, row: str, column: str) -> DataFrame:

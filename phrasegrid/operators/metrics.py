@@ -274,9 +274,11 @@ def bootstrap_ci(differences: DataFrame, value: str, key: str, samples: int = 20
 
     def run(batches):
         sums, weights = np.zeros(samples), np.zeros(samples)
+        total, count = 0.0, 0
         for pdf in batches:
             h = pdf["h"].to_numpy().view("uint64")
             v = pdf["v"].to_numpy()
+            total, count = total + float(v.sum()), count + len(v)
             for at in range(0, len(v), 512):
                 x = h[at : at + 512, None] + np.arange(1, samples + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
                 x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -284,13 +286,14 @@ def bootstrap_ci(differences: DataFrame, value: str, key: str, samples: int = 20
                 w = np.searchsorted(cumulative, (x >> np.uint64(11)).astype(np.float64) / 2.0**53).astype(np.float64)
                 sums += v[at : at + 512] @ w
                 weights += w.sum(axis=0)
-        yield pd.DataFrame({"sample": range(samples), "s": sums, "w": weights})
+        yield pd.DataFrame({"sample": range(-1, samples), "s": np.r_[total, sums], "w": np.r_[float(count), weights]})
 
-    means = rows.mapInPandas(run, "sample int, s double, w double").groupBy("sample").agg((F.sum("s") / F.sum("w")).alias("m"))
-    mean = rows.agg(F.avg("v").alias("mean"))
-    return means.where(F.col("m").isNotNull() & ~F.isnan("m")).agg(
-        F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high")
-    ).join(mean, F.lit(True)).select("mean", "low", "high")
+    means = rows.mapInPandas(run, "sample int, s double, w double").groupBy("sample").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
+    m = F.when(F.col("w") > 0, F.col("s") / F.nullif("w", F.lit(0.0)))  # sample -1 is the table itself
+    drawn = F.when(F.col("sample") >= 0, m)
+    return means.agg(
+        F.max(F.when(F.col("sample") < 0, m)).alias("mean"), F.percentile(drawn, F.lit(0.025)).alias("low"), F.percentile(drawn, F.lit(0.975)).alias("high")
+    )
 
 
 def bootstrap_exact(values: list[float], samples: int = 2000, seed: int = 42) -> tuple[float, float]:

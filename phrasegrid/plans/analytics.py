@@ -483,8 +483,11 @@ def _session_catalog(spark: SparkSession, d: str) -> kernel.Catalog:
 
 
 def _known(rows: DataFrame, spark: SparkSession, d: str) -> DataFrame:
-    known = read(spark, d, "hotwords").agg(F.collect_set("id").alias("known"))  # 10,000 rows, fixed
-    wide = rows.where("enabled is not null").join(F.broadcast(known), F.lit(True)).withColumn("enabled", F.array_intersect("enabled", "known")).drop("known")
+    """Control rows keep the ids that the catalog has."""
+    control = rows.where("enabled is not null")
+    ids = control.select("session_id", "seq", F.explode("enabled").alias("id")).join(read(spark, d, "hotwords").select("id"), "id", "left_semi")
+    kept = ids.groupBy("session_id", "seq").agg(F.sort_array(F.collect_set("id")).alias("__e"))
+    wide = control.join(kept, ["session_id", "seq"], "left").withColumn("enabled", F.coalesce("__e", F.array().cast(NO_IDS))).select(*rows.columns)
     return rows.where("enabled is null").unionByName(wide)
 
 
@@ -543,7 +546,7 @@ def pronunciations(spark: SparkSession, d: str) -> DataFrame:
 def training_batches(spark: SparkSession, d: str) -> DataFrame:
     """Records of every shard in the shuffled order of one epoch, in batches of 48."""
     rows = read(spark, d, "manifest_raw").select("record_no", "shard")
-    return hooks.batch_numbers(rows, [hooks.epoch_order(rows, "record_no", 42, 1)], 48, ["shard"])
+    return hooks.batch_numbers(rows, [hooks.epoch_order("record_no", 42, 1)], 48, ["shard"])
 
 
 def positive_pairs(spark: SparkSession, d: str) -> DataFrame:

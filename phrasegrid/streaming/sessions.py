@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ranking import running
 from .kernel import Catalog, Policy, Session
 
 RESULT = T.StructType(
@@ -151,16 +152,19 @@ def write_trace(results: DataFrame, path: str, checkpoint: str):
 
 def tumbling_chunks(events: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:
     """Count-based chunks: the running number of each row and ``chunk_id`` of ``size`` rows; the last may be short."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    return events.withColumn("position", n).withColumn("chunk_id", F.floor(F.col("position") / size).cast("int"))
+    rows = running(events, keys, [F.col(o) for o in order])
+    return rows.withColumn("chunk_id", F.floor(F.col("position") / size).cast("int"))
 
 
 def refreshes(samples: DataFrame, keys: list[str], seq: str, count: str, chunk: int) -> DataFrame:
     """Accumulated refreshes of a stream of pieces: after each piece, how many boundaries of ``chunk`` samples are passed,
     and one last refresh with ``is_final`` at the end (in place of a boundary that falls on the end exactly)."""
-    w = Window.partitionBy(*keys).orderBy(seq)
-    total = F.sum(count).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = samples.select(*keys, seq, count, total.alias("__end")).withColumn("__last", F.lead(F.lit(1)).over(w).isNull())
+    rows = running(samples.select(*keys, seq, count), keys, [F.col(seq)], "__at", count)
+    last = rows.groupBy(*keys).agg(F.max("__at").alias("__max")).withColumnsRenamed({k: f"__k{i}" for i, k in enumerate(keys)})
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    rows = rows.join(last, same).select(*keys, seq, count, (F.col(f"{count}_before") + F.col(count)).alias("__end"), (F.col("__at") == F.col("__max")).alias("__last"))
     before = F.floor((F.col("__end") - F.col(count)) / chunk)
     passed = F.when(F.floor(F.col("__end") / chunk) > before, F.sequence(before + 1, F.floor(F.col("__end") / chunk))).otherwise(F.array().cast("array<bigint>"))
     ends = F.transform(passed, lambda i: i * chunk)

@@ -70,3 +70,21 @@ def test_catalog_files(spark, tmp_path):
     assert (m.key, m.source, m.target, m.target_hotword_ids) == ("u", "s", "", ["h"])
     with pytest.raises(ValueError):
         catalogs.read_manifest(spark, write("e", {"utt_id": "u", "text": "t"}))
+
+
+def test_running_splits_hot_groups(spark):
+    import random
+
+    from phrasegrid.operators.ranking import running
+
+    rng = random.Random(1)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", None]), i, rng.choice([1, 5, None])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, i int, v int").repartition(5)
+    got = {r.i: (r.position, r.v_before) for r in running(df, ["k"], [F.col("i")], total="v").collect()}
+    seen: dict = {}
+    for k, i, v in rows:
+        n, s = seen.get(k, (0, 0))
+        assert got[i] == (n, s)
+        seen[k] = (n + 1, s + (v or 0))
+    assert running(df.where("false"), ["k"], [F.col("i")]).count() == 0
+    assert sorted(r.position for r in running(df, [], [F.col("i").desc()]).collect()) == list(range(3000))
