@@ -318,7 +318,7 @@ def phrase_search(spark: SparkSession, d: str) -> DataFrame:
     """Labels as phrases with many variants, utterances of several frames: greatest over frames, best variant, top 5."""
     v = _vectors(spark, d)
     frames = v.where("vec_id % 50 = 0").select(F.expr("vec_id div 200").alias("utt"), F.expr("int(vec_id % 200)").alias("frame"), F.col("v").alias("vec"))
-    keys = v.where("vec_id % 50 <> 0").select(F.format_string("h%d", "label").alias("hotword_id"), F.format_string("v%07d", "vec_id").alias("variant"), F.col("v").alias("key"))
+    keys = v.select(F.format_string("h%d", "label").alias("hotword_id"), F.format_string("v%07d", "vec_id").alias("variant"), F.col("v").alias("key"))
     return search.search_blocks(frames, keys, ["utt"], 5)
 
 
@@ -328,7 +328,7 @@ def accumulated_search(spark: SparkSession, d: str) -> DataFrame:
     frames = v.where("vec_id % 50 = 0").select(
         F.expr("vec_id div 500").alias("utt"), F.expr("int((vec_id % 500) div 100)").alias("chunk"), F.expr("int(vec_id % 500)").alias("frame"), F.col("v").alias("vec")
     )
-    keys = v.where("vec_id % 50 <> 0").select(F.format_string("h%d", "label").alias("hotword_id"), F.format_string("v%07d", "vec_id").alias("variant"), F.col("v").alias("key"))
+    keys = v.select(F.format_string("h%d", "label").alias("hotword_id"), F.format_string("v%07d", "vec_id").alias("variant"), F.col("v").alias("key"))
     return search.search_blocks(frames, keys, ["utt", "chunk"], 3, growing=True)
 
 

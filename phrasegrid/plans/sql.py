@@ -121,7 +121,7 @@ SELECT event_id, name AS boundary_group, round(q, 6) AS leading_silence_sec, rou
     q["jsonl_round_trip"] = "SELECT id, text, array_to_string(aliases, ',') AS aliases, weight, metadata FROM hotwords"
     q["vector_top10"] = f"""WITH {_VEC}, p AS (SELECT a.vec_id AS query, printf('k%07d', b.vec_id) AS hotword_id, round(list_dot_product(a.v, b.v), 6) AS score FROM v a, v b WHERE a.vec_id % 50 = 0)
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, hotword_id) AS INTEGER) AS rank FROM p) WHERE rank <= 10"""
-    best = f"""WITH {_VEC}, f AS (SELECT {{unit}}, CAST({{frame}} AS INTEGER) AS frame, v FROM v WHERE vec_id % 50 = 0), k AS (SELECT 'h' || label AS hotword_id, printf('v%07d', vec_id) AS variant, v FROM v WHERE vec_id % 50 <> 0),
+    best = f"""WITH {_VEC}, f AS (SELECT {{unit}}, CAST({{frame}} AS INTEGER) AS frame, v FROM v WHERE vec_id % 50 = 0), k AS (SELECT 'h' || label AS hotword_id, printf('v%07d', vec_id) AS variant, v FROM v),
 p AS (SELECT {{cols}}, hotword_id, variant, frame, round(list_dot_product(f.v, k.v), 6) AS score FROM {{from}}, k),
 one AS (SELECT *, row_number() OVER (PARTITION BY {{keys}}, hotword_id ORDER BY score DESC, variant, frame) AS n FROM p),
 top AS (SELECT *, CAST(row_number() OVER (PARTITION BY {{keys}} ORDER BY score DESC, hotword_id) AS INTEGER) AS rank FROM one WHERE n = 1)

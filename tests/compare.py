@@ -31,10 +31,17 @@ def connect():
     return con
 
 
+def check_plan(df):
+    """No join of all with all, anywhere."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, plan
+
+
 def same(spark, con, query, sql):
     df = query(spark, DATA)
     cols = sorted(df.columns)
     got = sorted(tuple(map(canon, r)) for r in df.select(*cols).collect())
+    check_plan(df)
     found = con.execute(sql)
     names = [c[0] for c in found.description]
     assert sorted(names) == cols
