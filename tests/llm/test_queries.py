@@ -4,7 +4,7 @@ import pytest
 
 from phrasegrid.llm import queries, sql
 
-from ..compare import DATA, connect, same
+from ..compare import DATA, check_plan, connect, same
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
@@ -23,4 +23,5 @@ def test_query_equals_its_sql(spark, con, name):
 def test_query_without_sql_runs(spark, name):
     df = queries.queries()[name](spark, DATA)
     assert len(set(df.columns)) == len(df.columns)
+    check_plan(df)
     df.write.format("noop").mode("overwrite").save()
