@@ -40,6 +40,7 @@ RESULT = T.StructType(
     ]
 )
 ROW = "session_id string, seq bigint, hypothesis string, n_samples bigint, enabled array<string>, end boolean"
+OVERLAY = "array<struct<id:string,text:string,weight:double>>"
 
 
 def folded(text: str) -> str:
@@ -55,6 +56,7 @@ def _rows(pdf: pd.DataFrame) -> list[dict]:
                 "hypothesis": None if r["hypothesis"] is None or r["hypothesis"] != r["hypothesis"] else r["hypothesis"],
                 "n_samples": None if r["n_samples"] is None or r["n_samples"] != r["n_samples"] else int(r["n_samples"]),
                 "enabled": None if r["enabled"] is None or isinstance(r["enabled"], float) else [x for x in r["enabled"] if x is not None],
+                "overlay": None if r["overlay"] is None or isinstance(r["overlay"], float) else [x.asDict() if hasattr(x, "asDict") else dict(x) for x in r["overlay"]],
                 "end": bool(r["end"]) if r["end"] is not None and r["end"] == r["end"] else False,
             }
         )
@@ -69,12 +71,18 @@ def _run(session: Session, session_id: str, rows: list[dict]) -> list[dict]:
     return [{"session_id": session_id, "seq": row["seq"], **result} for row in rows for result in session.step(row)]
 
 
+def _wide(rows: DataFrame) -> DataFrame:
+    """Input columns in order; ``overlay`` may be absent."""
+    names = [c.strip().split(" ")[0] for c in ROW.split(",")]
+    overlay = F.col("overlay").cast(OVERLAY) if "overlay" in rows.columns else F.lit(None).cast(OVERLAY)
+    return rows.select(*names, overlay.alias("overlay"))
+
+
 def replay(rows: DataFrame, catalog: Catalog, policy: Policy) -> DataFrame:
     """Results of finished sessions. Rows of a session stream through its state in Arrow batches, in ``seq`` order;
-    only the state is held, not the session. Input columns as in ``ROW``."""
+    only the state is held, not the session. Input columns as in ``ROW``, and ``overlay`` if there are any."""
     shared = rows.sparkSession.sparkContext.broadcast(catalog)
-    names = [c.strip().split(" ")[0] for c in ROW.split(",")]
-    ordered = rows.select(*names).repartition("session_id").sortWithinPartitions("session_id", "seq")
+    ordered = _wide(rows).repartition("session_id").sortWithinPartitions("session_id", "seq")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, session = None, None
@@ -137,7 +145,7 @@ def stream(rows: DataFrame, catalog: Catalog, policy: Policy) -> DataFrame:
         def close(self) -> None:
             pass
 
-    return rows.groupBy("session_id").transformWithStateInPandas(Sessions(), RESULT, "Append", "None")
+    return _wide(rows).groupBy("session_id").transformWithStateInPandas(Sessions(), RESULT, "Append", "None")
 
 
 def write_trace(results: DataFrame, path: str, checkpoint: str):

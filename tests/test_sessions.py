@@ -137,13 +137,21 @@ def chunk_rows():
     texts = ["今天", "今天张三", "今天张三丰在北", "今天张三丰在北京大学讲", "今天张三丰在北京大学讲课好"]
     rows = [("s1", i, t, 16000, None, i == 4) for i, t in enumerate(texts)]
     rows += [("s2", i, t, 8000, ["h2"] if i == 1 else None, i == 4) for i, t in enumerate(texts)]
+    rows += [("s5", i, t, 16000, None, i == 4) for i, t in enumerate(texts)]
     rows += [("s3", 0, None, None, None, True), ("s4", 0, "", 16000, None, False)]
     return rows
 
 
+def with_overlay(spark):
+    """Session s5 gets an entry of its own before its fourth chunk."""
+    df = spark.createDataFrame(chunk_rows(), sessions.ROW)
+    new = F.array(F.struct(F.lit("own").alias("id"), F.lit("讲课").alias("text"), F.lit(1.0).alias("weight")))
+    return df.withColumn("overlay", F.when((F.col("session_id") == "s5") & (F.col("seq") == 3), new))
+
+
 def test_session_matches_commits_and_ends(spark):
     catalog = kernel.Catalog.build(ENTRIES, sessions.folded)
-    df = spark.createDataFrame(chunk_rows(), sessions.ROW)
+    df = with_overlay(spark)
     rows = sorted(sessions.replay(df, catalog, Policy()).collect(), key=lambda r: (r.session_id, r.seq, r.is_final))
     one = [r for r in rows if r.session_id == "s1"]
     assert one[1].active_ids == ["h1"] and one[2].confirmed_ids == ["h1"]
@@ -152,6 +160,8 @@ def test_session_matches_commits_and_ends(spark):
     two = [r for r in rows if r.session_id == "s2"]
     assert all(r.confirmed_ids in ([], ["h2"]) for r in two) and two[-1].audio_samples == 40000
     assert [r.is_final for r in rows if r.session_id == "s3"] == [True]
+    five = [r for r in rows if r.session_id == "s5"]
+    assert "own" in five[4].confirmed_ids and "h1" in five[3].confirmed_ids and not any("own" in r.confirmed_ids for r in one)
     assert sessions.replay(df.where("false"), catalog, Policy()).count() == 0
     with pytest.raises(ValueError):
         s = kernel.Session(catalog, Policy(), sessions.folded)
@@ -162,6 +172,7 @@ def test_session_matches_commits_and_ends(spark):
 def test_state_survives_as_json():
     catalog = kernel.Catalog.build(ENTRIES, sessions.folded)
     rows = [dict(zip(("session_id", "seq", "hypothesis", "n_samples", "enabled", "end"), r)) for r in chunk_rows() if r[0] == "s1"]
+    rows[2]["overlay"] = [{"id": "own", "text": "在北", "weight": 2.0}]
     whole = kernel.Session(catalog, Policy(), sessions.folded)
     want = [x for r in rows for x in whole.step(r)]
     got, state = [], None
@@ -177,7 +188,7 @@ def test_state_survives_as_json():
 
 def test_stream_equals_replay(spark, tmp_path):
     catalog = kernel.Catalog.build(ENTRIES, sessions.folded)
-    df = spark.createDataFrame(chunk_rows(), sessions.ROW)
+    df = with_overlay(spark)
     for k in range(3):  # three files, one micro-batch each
         part = {0: "seq < 2", 1: "seq = 2", 2: "seq > 2"}[k]
         df.where(part).coalesce(1).write.parquet(str(tmp_path / f"in/f{k}"))
