@@ -271,9 +271,9 @@ def graded(labels: DataFrame) -> DataFrame:
     return share.select("doc_id", F.when(F.col("share") == 0, 0).when(F.col("share") == 1, 2).otherwise(1).alias("grade"))
 
 
-def train(documents: DataFrame, labels: DataFrame, max_flagged: int = 3000, max_plain: int = 5000, max_chars: int = 5000) -> Model | None:
+def train(documents: DataFrame, labels: DataFrame, max_flagged: int = 3000, max_plain: int = 5000, max_chars: int = 2000) -> Model | None:
     """Fit on a bounded sample of labelled texts, chosen by a hash of the id: at most ``max_flagged`` that some rater
-    flagged and ``max_plain`` others, each of at most ``max_chars`` characters (so 40 million in all)."""
+    flagged and ``max_plain`` others, each of at most ``max_chars`` characters (so 16 million in all)."""
     g = graded(labels).withColumn("__h", F.xxhash64("doc_id", F.lit(7)))
     sample = g.where("grade > 0").orderBy("__h", "doc_id").limit(max_flagged).unionByName(g.where("grade = 0").orderBy("__h", "doc_id").limit(max_plain))
     texts = documents.where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).select("doc_id", "text")
