@@ -65,36 +65,39 @@ def _reclassified(line: Column) -> Column:
 
 def classify_lines(df: DataFrame, value: str) -> DataFrame:
     """``df`` with ``__reason`` ('quoting', 'columns', 'count', 'term', null for good lines), ``__term`` and ``__count``; skipped lines are gone."""
+    # Each explode gives one row or none: unlike a filter or a projection it is never merged with its neighbours,
+    # so that no expression (and no visit to Python) is computed twice.
     line = strip(F.regexp_replace(F.col(value), "^﻿", ""))
-    rows = df.withColumn("__line", line).where((F.col("__line") != "") & ~F.col("__line").startswith("#"))
+    rows = df.select(*df.columns, F.explode(F.filter(F.array(line), lambda x: (x != "") & ~x.startswith("#"))).alias("__line"))
     # Permissive read: runs of white space are the separator, inside quotes they are irrelevant (terms have none in the end).
-    rows = rows.withColumn("__csv", F.from_csv(F.regexp_replace("__line", f"{SPACE}+", "\t"), _PARSED.simpleString(), _CSV))
-    clean = (
-        F.col("__csv._corrupt").isNull()
-        & F.col("__csv.count").isNotNull()
-        & (F.col("__csv.count") > 0)
-        & ~F.col("__line").contains('"')
-        & F.col("__line").rlike(f"{SPACE}[0-9]{{1,19}}\\z")
-    )
-    rows = rows.withColumn("__again", F.when(~clean, _reclassified(F.col("__line")))).select(
-        *df.columns,
-        F.when(F.col("__again").isNull(), F.col("__csv.term")).otherwise(F.col("__again.term")).alias("__first"),
-        F.when(F.col("__again").isNull(), F.col("__csv.count")).otherwise(F.col("__again.count")).alias("__number"),
-        F.col("__again.reason").alias("__structure"),
-    )
-    rows = rows.withColumn("__norm", nfkc_term(F.when(F.col("__structure").isNull(), F.col("__first"))))
+    parsed = F.from_csv(F.regexp_replace("__line", f"{SPACE}+", "\t"), _PARSED.simpleString(), _CSV)
+    line = F.col("__line")
+
+    def accept(csv: Column) -> Column:
+        clean = (
+            csv["_corrupt"].isNull() & (F.coalesce(csv["count"], F.lit(0)) > 0) & ~line.contains('"') & line.rlike(f"{SPACE}[0-9]{{1,19}}\\z")
+        )
+        good = F.struct(csv["term"].alias("term"), csv["count"].alias("count"), F.lit(None).cast("string").alias("reason"))
+        return F.when(clean, good).otherwise(_reclassified(line))
+
+    rows = rows.select(*df.columns, F.explode(F.transform(F.array(parsed), accept)).alias("__judged"))
+    structure = F.col("__judged.reason")
+    rows = rows.select(*df.columns, "__judged", nfkc_term(F.when(structure.isNull(), F.col("__judged.term"))).alias("__norm"))
     bad_term = (F.col("__norm") == "") | ~F.col("__norm").rlike(_LETTER) | F.col("__norm").rlike(_CONTROL)
-    reason = F.when(F.col("__structure").isNotNull(), F.col("__structure")).when(bad_term, "term")
-    good = reason.isNull()
-    return rows.select(*df.columns, reason.alias("__reason"), F.when(good, F.col("__norm")).alias("__term"), F.when(good, F.col("__number")).alias("__count"))
+    reason = F.when(structure.isNotNull(), structure).when(bad_term, "term")
+    rows = rows.select(*df.columns, "__judged", "__norm", reason.alias("__reason"))
+    good = F.col("__reason").isNull()
+    return rows.select(*df.columns, "__reason", F.when(good, F.col("__norm")).alias("__term"), F.when(good, F.col("__judged.count")).alias("__count"))
 
 
 def rejected(df: DataFrame, value: str) -> DataFrame:
     """Failed lines: the columns of ``df`` and ``reason``."""
-    return classify_lines(df, value).where(F.col("__reason").isNotNull()).select(*df.columns, F.col("__reason").alias("reason"))
+    rows = classify_lines(df, value)
+    return rows.select(*df.columns, F.explode(F.filter(F.array("__reason"), lambda r: r.isNotNull())).alias("reason"))
 
 
 def loaded(df: DataFrame, value: str) -> DataFrame:
     """Good lines: the other columns of ``df``, ``term`` (NFKC, no white space) and ``count bigint``."""
-    rows = classify_lines(df, value).where(F.col("__reason").isNull())
-    return rows.select(*(c for c in df.columns if c not in (value, "term", "count")), F.col("__term").alias("term"), F.col("__count").alias("count"))
+    keep = [c for c in df.columns if c not in (value, "term", "count")]
+    entry = F.when(F.col("__reason").isNull(), F.array(F.struct(F.col("__term").alias("term"), F.col("__count").alias("count"))))
+    return classify_lines(df, value).select(*keep, F.explode(entry).alias("__e")).select(*keep, "__e.term", "__e.count")
