@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import grams, nfkc_term, script_term, stable_id, text_blocks
+from .match import ngram_matches
 from .ranking import running
 
 ENTRY = T.StructType(
@@ -89,17 +90,10 @@ def ngrams(texts: DataFrame, text: str, low: int, high: int, whole: bool = True)
 
 
 def spoken_terms(texts: DataFrame, text: str, terms: DataFrame, term: str = "text") -> DataFrame:
-    """The ``terms`` that stand somewhere in the texts: only substrings of lengths that terms have are made, and they
-    meet the terms in a semi join before anything is made distinct over all texts."""
-    t = nfkc_term(F.col(text))
-    rows = texts.where(F.col(text).isNotNull()).select(t.alias("__t"))
-    lengths = [r[0] for r in terms.select(F.length(term).alias("n")).distinct().where("n > 0").collect()]
-    wanted = terms.select(term).distinct()
-    if not lengths:
-        return wanted.where(F.lit(False))
-    blocks = text_blocks(rows, [], "__t", max(lengths) - 1)
-    out = blocks.select(F.explode(_distinct_grams(lengths)).alias(term))
-    return wanted.join(out, term, "left_semi")
+    """The ``terms`` (normalised ones) that stand somewhere in the normalised texts."""
+    wanted = terms.select(F.col(term).alias("id"), F.col(term).alias("pattern"))
+    found = ngram_matches(texts.select(F.lit(0).alias("__key"), text), "__key", text, wanted, nfkc_term)
+    return found.select(F.col("id").alias(term)).distinct()
 
 
 def _distinct_grams(lengths) -> Column:

@@ -7,26 +7,42 @@ from collections import deque
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import grams, match_text, text_blocks
+from ..functions.text import match_text, text_blocks
+from ..runtime import materialize
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast if ``rows`` rows fit the session's threshold (100 bytes a row), else marked for a sort-merge join: the
+    optimizer cannot know how many rows an explode makes, and must not take the exploded side for the small one."""
+    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    text = limit.lower().removesuffix("b")
+    size = int(float(text[:-1]) * unit[text[-1]]) if text[-1:] in unit else int(text)
+    return F.broadcast(df) if rows * 100 <= size else df.hint("merge")
 
 
 def ngram_matches(texts: DataFrame, key: str, text: str, patterns: DataFrame, normalise=match_text) -> DataFrame:
     """Every occurrence, overlapping ones too, of every pattern: ``key, id, start, length``.
 
-    ``patterns``: ``id, pattern``. Long texts are cut into overlapping blocks, so that one text is many rows; each
-    block's substrings of the lengths that patterns have are made one at a time and meet the patterns in an equi-join
-    (broadcast by the optimizer if small, else shuffled). Texts and patterns are compared normalised.
+    ``patterns``: ``id, pattern``. Long texts are cut into overlapping blocks, so that one text is many rows. Every
+    place gives one substring as long as the longest pattern; its first characters meet those that patterns begin with,
+    and what is left meets the patterns of each length that such a beginning has: two equi-joins, with a checked
+    broadcast or a sort-merge, whatever the number of patterns. Texts and patterns are compared normalised.
     """
     pats = patterns.where(F.col("pattern").isNotNull()).select("id", normalise(F.col("pattern")).alias("__p")).where("__p <> ''").distinct()
-    pats = pats.withColumn("__n", F.length("__p"))
-    lengths = [r[0] for r in pats.select("__n").distinct().orderBy("__n").collect()]
+    pats = materialize(pats, "patterns")
+    shape = pats.select(F.length("__p").alias("n")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("n").alias("rows")).first()
+    low, high = shape["low"] or 1, shape["high"] or 1
+    head = min(2, low)
+    begins = pats.groupBy(F.substring("__p", 1, head).alias("__g")).agg(F.collect_set(F.length("__p")).alias("__lengths"))
     rows = texts.where(F.col(text).isNotNull()).select(key, normalise(F.col(text)).alias("__t"))
-    if not lengths:
-        lengths = [1]
-    blocks = text_blocks(rows, [key], "__t", lengths[-1] - 1)
-    found = blocks.select(key, "block_start", F.explode(F.concat(*(grams(n) for n in lengths))).alias("x"))
-    out = found.select(key, (F.col("block_start") + F.col("x.i")).alias("start"), F.col("x.g").alias("__p"))
-    return out.join(pats, "__p").select(key, "id", "start", F.col("__n").alias("length"))
+    blocks = text_blocks(rows, [key], "__t", high - 1)
+    places = F.transform(F.sequence(F.lit(1), F.col("own")), lambda i: F.struct((i - 1).alias("i"), F.substring(F.col("block"), i, F.lit(high)).alias("s")))
+    at = blocks.where("own > 0").select(key, "block_start", F.explode(places).alias("x"))
+    at = at.select(key, (F.col("block_start") + F.col("x.i")).alias("start"), F.col("x.s").alias("__s"), F.substring("x.s", 1, head).alias("__g"))
+    some = at.join(_small(begins, shape["rows"]), "__g").select(key, "start", "__s", F.explode("__lengths").alias("length"))
+    some = some.where(F.length("__s") >= F.col("length")).select(key, "start", "length", F.substring(F.col("__s"), F.lit(1), F.col("length")).alias("__p"))
+    return some.join(_small(pats, shape["rows"]), "__p").select(key, "id", "start", "length")
 
 
 def longest_matches(matches: DataFrame, key: str) -> DataFrame:
