@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..runtime import shuffle_width
 from ..streaming.kernel import Lattice
 from .match import Automaton
 
@@ -20,7 +21,7 @@ def lattice_matches(chunks: DataFrame, automaton: Automaton, symbols: list[str],
     its bounded path state (256 paths by default) in chunk order; a session is never held whole.
     """
     shared = chunks.sparkSession.sparkContext.broadcast(automaton)
-    ordered = chunks.select("session_id", "chunk_id", "frame_offset", "log_probs").repartition("session_id").sortWithinPartitions("session_id", "chunk_id")
+    ordered = chunks.select("session_id", "chunk_id", "frame_offset", "log_probs").repartition(shuffle_width(chunks.sparkSession), "session_id").sortWithinPartitions("session_id", "chunk_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, lattice = None, None

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import match_text, text_blocks
-from ..runtime import materialize
+from ..runtime import materialize, spread
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -35,7 +35,7 @@ def ngram_matches(texts: DataFrame, key: str, text: str, patterns: DataFrame, no
     low, high = shape["low"] or 1, shape["high"] or 1
     head = min(2, low)
     begins = pats.groupBy(F.substring("__p", 1, head).alias("__g")).agg(F.collect_set(F.length("__p")).alias("__lengths"))
-    rows = texts.where(F.col(text).isNotNull()).select(key, normalise(F.col(text)).alias("__t"))
+    rows = spread(texts.where(F.col(text).isNotNull()).select(key, text)).select(key, normalise(F.col(text)).alias("__t"))
     blocks = text_blocks(rows, [key], "__t", high - 1)
     places = F.transform(F.sequence(F.lit(1), F.col("own")), lambda i: F.struct((i - 1).alias("i"), F.substring(F.col("block"), i, F.lit(high)).alias("s")))
     at = blocks.where("own > 0").select(key, "block_start", F.explode(places).alias("x"))
@@ -134,7 +134,7 @@ def automaton_matches(texts: DataFrame, key: str, text: str, automaton: Automato
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    rows = texts.where(F.col(text).isNotNull()).select(key, normalise(F.col(text)).alias("__t"))
+    rows = spread(texts.where(F.col(text).isNotNull()).select(key, text)).select(key, normalise(F.col(text)).alias("__t"))
     shared = texts.sparkSession.sparkContext.broadcast(automaton)
     schema = T.StructType([rows.schema[key], T.StructField("id", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())])
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import materialize
+from ..runtime import materialize, spread
 
 
 def _is_child(t: T.DataType) -> bool:
@@ -118,7 +118,7 @@ def emit_structs(df: DataFrame, key: str, tags: dict[str, str]) -> Tagged:
     wanted = T.StructType([f for f in df.schema.fields if f.name != key])
     payloads = payload_schemas(wanted, tags)
     record = F.struct(*(F.col(f.name).alias(f.name) for f in wanted.fields))
-    rows = df.select(F.col(key).alias("root"), F.explode(_visit(record, wanted, "", [], None, tags, payloads)).alias("r"))
+    rows = spread(df).select(F.col(key).alias("root"), F.explode(_visit(record, wanted, "", [], None, tags, payloads)).alias("r"))
     return Tagged(rows.select("r.tag", "root", "r.pos", "r.parent_tag", "r.parent_pos", "r.payload"), payloads)
 
 
@@ -237,5 +237,5 @@ def emit_json(df: DataFrame, key: str, value: str, marked: tuple[Marked, ...], s
                 cols = list(zip(*out[at : at + 20_000]))
                 yield pa.RecordBatch.from_arrays([_array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
-    rows = df.select(F.col(key).cast("bigint"), F.col(value).cast("string")).mapInArrow(run, _JSON_ROWS)
+    rows = spread(df.select(F.col(key).cast("bigint"), F.col(value).cast("string"))).mapInArrow(run, _JSON_ROWS)
     return Tagged(rows, schemas)

@@ -87,3 +87,14 @@ def shuffle_width(spark: SparkSession) -> int:
 
 def env_path(name: str, default: str) -> str:
     return os.environ.get(name, default)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` (a scan with projections) over all cores, where its files give too few tasks for costly work to come.
+
+    A table of few small files is one task however many cores there are. Large tables have more tasks than cores and
+    are left as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if tasks * 2 <= cores else df

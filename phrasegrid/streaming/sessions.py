@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ranking import running
+from ..runtime import shuffle_width
 from .kernel import Catalog, Policy, Session
 
 RESULT = T.StructType(
@@ -82,7 +83,8 @@ def replay(rows: DataFrame, catalog: Catalog, policy: Policy) -> DataFrame:
     """Results of finished sessions. Rows of a session stream through its state in Arrow batches, in ``seq`` order;
     only the state is held, not the session. Input columns as in ``ROW``, and ``overlay`` if there are any."""
     shared = rows.sparkSession.sparkContext.broadcast(catalog)
-    ordered = _wide(rows).repartition("session_id").sortWithinPartitions("session_id", "seq")
+    # The number of partitions is given, so that small ones are not put together: the work is in the sessions, not the bytes.
+    ordered = _wide(rows).repartition(shuffle_width(rows.sparkSession), "session_id").sortWithinPartitions("session_id", "seq")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, session = None, None
