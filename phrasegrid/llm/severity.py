@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import spread
+
 ORDERS = (1, 2, 3, 4, 6)
 BITS = 18
 GRADES = 3
@@ -291,7 +293,7 @@ def score(documents: DataFrame, model: Model | None, keep: list[str], threshold:
     from pyspark.sql import types as T
 
     spark = documents.sparkSession
-    rows = documents.select(*keep, "text")
+    rows = spread(documents.select(*keep, "text"))
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):

@@ -8,6 +8,8 @@ import os
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..runtime import spread
+
 #: Folder of the public vocabularies; a parameter everywhere below.
 TOKENIZER_DIR = os.environ.get("PHRASEGRID_TOKENIZERS", "/opt/tokenizers")
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -42,7 +44,7 @@ def token_counts(df: DataFrame, text: str, keep: list[str], tokenizer_dir: str |
     spark: SparkSession = df.sparkSession
     with open(os.path.join(tokenizer_dir or TOKENIZER_DIR, tokenizer), "rb") as file:
         vocabulary = spark.sparkContext.broadcast(file.read())
-    rows = df.select(*keep, text)
+    rows = spread(df.select(*keep, text))
 
     def run(batches):
         encoder = _encoder(vocabulary.value)
