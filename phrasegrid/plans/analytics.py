@@ -420,14 +420,15 @@ def bootstrap_recall(spark: SparkSession, d: str) -> DataFrame:
 
 
 def release_gates(spark: SparkSession, d: str) -> DataFrame:
-    r = retrieval_report(spark, d)
-    timing = latency_percentiles(spark, d).where("name = 'search_ms'").agg(F.max("p95").alias("search_p95"))
+    named = lambda df, name, value: df.select(F.lit(name).alias("name"), value.cast("double").alias("value"))
+    timing = latency_percentiles(spark, d).where("name = 'search_ms'")
     parity = read(spark, d, "retrieval_runs").agg(F.avg(F.col("offline_final_exact_match").cast("int")).alias("parity"))
-    row = r.select(F.lit(1).alias("k"), "boundary_penalty").join(timing.withColumn("k", F.lit(1)), "k").join(parity.withColumn("k", F.lit(1)), "k")
-    penalty, exact, p95 = F.col("boundary_penalty"), F.col("parity"), F.col("search_p95")
-    return row.select(
-        metrics.gates(penalty=penalty).alias("penalty_ok"), metrics.gates(parity=exact).alias("parity_ok"), metrics.gates(p95=p95).alias("latency_ok"), F.round("parity", 9).alias("parity")
-    )
+    rows = named(retrieval_report(spark, d), "penalty", F.col("boundary_penalty")).unionByName(named(timing, "p95", F.col("p95"))).unionByName(named(parity, "parity", F.col("parity")))
+    one = rows.agg(*(F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in ("penalty", "p95", "parity")))
+    return one.select(
+        metrics.gates(penalty=F.col("penalty")).alias("penalty_ok"), metrics.gates(parity=F.col("parity")).alias("parity_ok"),
+        metrics.gates(p95=F.col("p95")).alias("latency_ok"), F.round("parity", 9).alias("parity"),
+    )
 
 
 # Streams
