@@ -211,7 +211,7 @@ def unknown_targets(manifest: DataFrame, catalog: DataFrame, ids: str = "target_
 
 
 def overlay(base: DataFrame, over: DataFrame, key: str = "id") -> DataFrame:
-    """Upsert: rows of ``over`` win; of several with one key, the greatest ``__order`` or any."""
+    """Upsert: rows of ``over`` win over rows of ``base`` with the same key; doubled keys of ``over`` stay doubled."""
     return over.unionByName(base.join(over.select(key), key, "left_anti"))
 
 
