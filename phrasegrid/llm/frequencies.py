@@ -1,6 +1,6 @@
 """Frequencies of terms and n-grams from a distributed suffix array with common-prefix intervals.
 
-Suffixes (at most ``max_n`` tokens long) are range-partitioned and sorted, which makes the partitions one after
+Suffixes (whole, or cut at ``max_n`` tokens if that is given) are range-partitioned and sorted, which makes the partitions one after
 another a suffix array. A pass over each partition keeps the interval of every open common prefix on a stack: all
 suffixes that begin with an n-gram lie side by side, so the interval's size is the n-gram's number of occurrences.
 The number of records is that size less the duplicates within a record: each suffix carries the length of the
@@ -22,9 +22,10 @@ from pyspark.sql import types as T
 from ..functions.text import nfkc_term
 
 _MOST = (1 << 63) - 1
+_HELD = 500_000  # tokens held in Python lists before they become a batch
 
 
-def _intervals(max_n: int, sums: int):
+def _intervals(sums: int):
     """Kernel: sorted (tokens, dup, sums...) in; (gram, sums..., edge) out, an interval touching a border is an edge."""
 
     def run(batches):
@@ -32,17 +33,21 @@ def _intervals(max_n: int, sums: int):
         prev: list = []
         first: list | None = None
         out: list[tuple] = []
+        held = 0
 
-        def close(to: int, last: bool) -> None:
-            while len(acc) > to:
-                depth = len(acc)
-                done = acc.pop()
-                edge = last or (first is not None and first[:depth] == prev[:depth])
-                out.append((prev[:depth], edge, *done))
+        def close(last: bool) -> None:
+            nonlocal held
+            depth = len(acc)
+            done = acc.pop()
+            edge = last or (first is not None and first[:depth] == prev[:depth])
+            out.append((prev[:depth], edge, *done))
+            held += depth
 
         def flush():
+            nonlocal held
             cols = list(zip(*out))
             out.clear()
+            held = 0
             return pa.RecordBatch.from_arrays(
                 [pa.array(list(cols[0]), pa.list_(pa.string())), pa.array(cols[1], pa.bool_()), *(pa.array([min(x, _MOST) for x in c], pa.int64()) for c in cols[2:])],
                 names=["gram", "edge", *(f"s{i}" for i in range(sums))],
@@ -58,7 +63,10 @@ def _intervals(max_n: int, sums: int):
                     if a != b:
                         break
                     common += 1
-                close(common, False)
+                while len(acc) > common:
+                    close(False)
+                    if held > _HELD:
+                        yield flush()
                 if first is None:
                     first = t
                 prev = t
@@ -72,7 +80,10 @@ def _intervals(max_n: int, sums: int):
                         row[-1] -= v[-1]
             if len(out) > 20_000:
                 yield flush()
-        close(0, True)
+        while acc:
+            close(True)
+            if held > _HELD:
+                yield flush()
         if out:
             yield flush()
 
@@ -84,15 +95,15 @@ def _sum(column: str) -> F.Column:
     return F.least(F.sum(F.col(column).cast("decimal(38,0)")), F.lit(_MOST).cast("decimal(38,0)")).cast("bigint")
 
 
-def interval_frequencies(suffixes: DataFrame, tokens: str, sums: list[str], max_n: int, dup: str | None = None) -> DataFrame:
-    """N-grams of up to ``max_n`` tokens with the sum of each column of ``sums`` over their suffixes.
+def interval_frequencies(suffixes: DataFrame, tokens: str, sums: list[str], max_n: int | None, dup: str | None = None) -> DataFrame:
+    """N-grams of up to ``max_n`` tokens (None: of any length) with the sum of each column of ``sums`` over their suffixes.
 
     ``suffixes``: one row per suffix (or per distinct suffix with sums). From the last column of ``sums`` those
     rows are taken off whose ``dup`` (tokens shared with the neighbour in the own record) covers the n-gram.
     Returns ``gram array<string>`` and the sums as bigint.
     """
     rows = suffixes.select(
-        F.slice(F.col(tokens), 1, max_n).alias("__t"),
+        (F.col(tokens) if max_n is None else F.slice(F.col(tokens), 1, max_n)).alias("__t"),
         (F.col(dup) if dup else F.lit(0)).cast("int").alias("__d"),
         *(F.col(s).cast("bigint").alias(f"__s{i}") for i, s in enumerate(sums)),
     )
@@ -102,12 +113,12 @@ def interval_frequencies(suffixes: DataFrame, tokens: str, sums: list[str], max_
         [T.StructField("gram", T.ArrayType(T.StringType())), T.StructField("edge", T.BooleanType())]
         + [T.StructField(f"s{i}", T.LongType()) for i in range(len(sums))]
     )
-    found = ordered.mapInArrow(_intervals(max_n, len(sums)), schema)
+    found = ordered.mapInArrow(_intervals(len(sums)), schema)
     return found.groupBy("gram").agg(*(_sum(f"s{i}").alias(s) for i, s in enumerate(sums)))
 
 
-def record_suffixes(df: DataFrame, tokens: str, max_n: int) -> DataFrame:
-    """``suffix array<string>`` (cut at ``max_n``) and ``dup int``: the tokens it shares with the one before it in its record's own suffix array."""
+def record_suffixes(df: DataFrame, tokens: str, max_n: int | None) -> DataFrame:
+    """``suffix array<string>`` (cut at ``max_n`` unless that is None) and ``dup int``: the tokens it shares with the one before it in its record's own suffix array."""
     arrays = df.select(F.col(tokens).alias("__tokens")).where(F.size("__tokens") > 0)
     schema = T.StructType([T.StructField("suffix", T.ArrayType(T.StringType())), T.StructField("dup", T.IntegerType())])
 
@@ -115,11 +126,14 @@ def record_suffixes(df: DataFrame, tokens: str, max_n: int) -> DataFrame:
         for batch in batches:
             suffix: list = []
             dup: list = []
+            held = 0
 
             def flush():
+                nonlocal held
                 out = pa.RecordBatch.from_arrays([pa.array(suffix, pa.list_(pa.string())), pa.array(dup, pa.int32())], names=["suffix", "dup"])
                 suffix.clear()
                 dup.clear()
+                held = 0
                 return out
 
             for t in batch.column(0):
@@ -130,7 +144,7 @@ def record_suffixes(df: DataFrame, tokens: str, max_n: int) -> DataFrame:
                     if t[i] is None:
                         end = i
                     elif i < end:
-                        own.append(t[i : min(end, i + max_n)])
+                        own.append(t[i : end if max_n is None else min(end, i + max_n)])
                 own.sort()
                 prev: list = []
                 for s in own:
@@ -142,6 +156,9 @@ def record_suffixes(df: DataFrame, tokens: str, max_n: int) -> DataFrame:
                     suffix.append(s)
                     dup.append(common)
                     prev = s
+                    held += len(s)
+                    if held > _HELD:
+                        yield flush()
                 if len(suffix) > 20_000:
                     yield flush()
             if suffix:
@@ -150,8 +167,8 @@ def record_suffixes(df: DataFrame, tokens: str, max_n: int) -> DataFrame:
     return arrays.mapInArrow(run, schema)
 
 
-def ngram_frequencies(df: DataFrame, tokens: str, max_n: int) -> DataFrame:
-    """``gram array<string>, occurrences bigint, records bigint`` of all n-grams of 1..``max_n`` tokens."""
+def ngram_frequencies(df: DataFrame, tokens: str, max_n: int | None = None) -> DataFrame:
+    """``gram array<string>, occurrences bigint, records bigint`` of all n-grams, of at most ``max_n`` tokens if that is given."""
     suffixes = record_suffixes(df, tokens, max_n).withColumns({"occurrences": F.lit(1), "records": F.lit(1)})
     return interval_frequencies(suffixes, "suffix", ["occurrences", "records"], max_n, "dup")
 

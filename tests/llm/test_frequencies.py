@@ -1,7 +1,8 @@
+import datetime
 import random
 from collections import Counter
 
-from phrasegrid.llm import frequencies
+from phrasegrid.llm import frequencies, queries
 
 
 def grams(records, n):
@@ -59,3 +60,29 @@ def test_terms(spark):
     assert got["长" * 100_000] == (1, 1, 1, "rare")
     assert len(got) == 5
     assert frequencies.term_frequencies(df.where("false")).count() == 0
+
+
+def entries_at(spark, path, rows):
+    df = spark.createDataFrame(rows, "entry_id bigint, shard_id string, text string, source_frequencies map<string,bigint>, loaded_at timestamp_ntz")
+    df.write.parquet(f"{path}/word_entries.parquet")
+    return str(path)
+
+
+def character_ngrams(spark, d):
+    return {tuple(r.ngram): (r.occurrences, r.records) for r in queries.p5_ngrams(spark, d).collect()}
+
+
+def test_ngrams_of_any_length(spark, monkeypatch):
+    monkeypatch.setattr(frequencies, "_HELD", 50)
+    rng = random.Random(2)
+    records = [rng.choices(["a", "b", "词", None], k=rng.randint(0, 40)) for _ in range(60)] + [["a"] * 70, ["a"] * 70, None, []]
+    df = spark.createDataFrame([(t,) for t in records], "tokens array<string>").repartition(5)
+    got = frequencies.ngram_frequencies(df, "tokens").collect()
+    assert len(got) == len({tuple(r.gram) for r in got})
+    assert {tuple(r.gram): (r.occurrences, r.records) for r in got} == grams(records, 70)
+
+
+def test_query_counts_ngrams_as_long_as_the_terms(spark, tmp_path):
+    texts = ["abcdefghi", "ＡＢabcdefgh", "abababababab", "语音识别热词增强系统", None]
+    d = entries_at(spark, tmp_path, [(i, "s", t, None, datetime.datetime(2026, 1, 1)) for i, t in enumerate(texts)])
+    assert character_ngrams(spark, d) == grams(["abcdefghi", "ABabcdefgh", "abababababab", "语音识别热词增强系统"], 12)
