@@ -173,6 +173,18 @@ def ngram_frequencies(df: DataFrame, tokens: str, max_n: int | None = None) -> D
     return interval_frequencies(suffixes, "suffix", ["occurrences", "records"], max_n, "dup")
 
 
+def loaded_once(entries: DataFrame, **others: F.Column) -> DataFrame:
+    """``term`` and the columns ``others`` of word-frequency records, one row a record.
+
+    Rows with one ``entry_id`` are one record (the row loaded last; of several, the greatest term, then ``others``);
+    a null id is nobody's repeat. Null text counts nowhere.
+    """
+    rows = entries.where(F.col("text").isNotNull()).select("entry_id", "loaded_at", nfkc_term(F.col("text")).alias("term"), *(c.alias(n) for n, c in others.items()))
+    names = ["term", *others]
+    known = rows.where(F.col("entry_id").isNotNull()).groupBy("entry_id").agg(F.max(F.struct("loaded_at", *names)).alias("r"))
+    return known.select(*(f"r.{n}" for n in names)).unionByName(rows.where(F.col("entry_id").isNull()).select(*names))
+
+
 def term_frequencies(entries: DataFrame) -> DataFrame:
     """Terms of word-frequency records: ``term, total, records, shards bigint``.
 
@@ -181,24 +193,15 @@ def term_frequencies(entries: DataFrame) -> DataFrame:
     or count is 0. Sums stay at 2^63 - 1 instead of passing it. A term occurs in a shard if its counts there add up to at least 1; a null shard is no shard.
     A term is one token here: its shards lie side by side in the sorted array and repeats in one shard are already one row.
     """
-    rows = entries.where(F.col("text").isNotNull()).select(
-        "entry_id",
-        "shard_id",
-        "loaded_at",
-        nfkc_term(F.col("text")).alias("term"),
-        F.least(
-            F.aggregate(
-                F.coalesce(F.map_values("source_frequencies"), F.array().cast("array<bigint>")),
-                F.lit(0).cast("decimal(38,0)"),
-                lambda a, x: (a + F.coalesce(x, F.lit(0).cast("bigint"))).cast("decimal(38,0)"),
-            ),
-            F.lit(_MOST).cast("decimal(38,0)"),
-        ).cast("bigint").alias("total"),
-    )
-    known = rows.where(F.col("entry_id").isNotNull()).groupBy("entry_id").agg(
-        F.max(F.struct("loaded_at", "term", "shard_id", "total")).alias("r")
-    )
-    once = known.select("r.term", "r.shard_id", "r.total").unionByName(rows.where(F.col("entry_id").isNull()).select("term", "shard_id", "total"))
+    total = F.least(
+        F.aggregate(
+            F.coalesce(F.map_values("source_frequencies"), F.array().cast("array<bigint>")),
+            F.lit(0).cast("decimal(38,0)"),
+            lambda a, x: (a + F.coalesce(x, F.lit(0).cast("bigint"))).cast("decimal(38,0)"),
+        ),
+        F.lit(_MOST).cast("decimal(38,0)"),
+    ).cast("bigint")
+    once = loaded_once(entries, shard_id=F.col("shard_id"), total=total)
     by_shard = once.groupBy("term", "shard_id").agg(_sum("total").alias("total"), F.count(F.lit(1)).alias("records"))
     by_shard = by_shard.select(
         F.array("term").alias("tokens"), "total", "records", F.when(F.col("shard_id").isNotNull() & (F.col("total") >= 1), 1).otherwise(0).alias("shards")

@@ -57,9 +57,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    """Character n-grams of every length of all terms: occurrences and records that hold them."""
-    term = frequencies.nfkc_term(F.col("text"))
-    chars = read(spark, d, "word_entries").where(F.col("text").isNotNull()).select(F.filter(F.split(term, ""), lambda c: c != "").alias("chars"))
+    """Character n-grams of every length of all terms: occurrences and records (rows with one ``entry_id`` are one) that hold them."""
+    terms = frequencies.loaded_once(read(spark, d, "word_entries"))
+    chars = terms.select(F.filter(F.split("term", ""), lambda c: c != "").alias("chars"))
     grams = frequencies.ngram_frequencies(chars, "chars")
     return grams.select(F.array_join("gram", "").alias("ngram"), "occurrences", "records")
 

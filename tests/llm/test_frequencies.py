@@ -86,3 +86,10 @@ def test_query_counts_ngrams_as_long_as_the_terms(spark, tmp_path):
     texts = ["abcdefghi", "ＡＢabcdefgh", "abababababab", "语音识别热词增强系统", None]
     d = entries_at(spark, tmp_path, [(i, "s", t, None, datetime.datetime(2026, 1, 1)) for i, t in enumerate(texts)])
     assert character_ngrams(spark, d) == grams(["abcdefghi", "ABabcdefgh", "abababababab", "语音识别热词增强系统"], 12)
+
+
+def test_query_counts_a_record_loaded_twice_once(spark, tmp_path):
+    day = lambda n: datetime.datetime(2026, 1, n)
+    rows = [(1, "旧词", 1), (1, "新词", 2), (2, "新词", 1), (2, "新 词", 1), (3, "留下", 1), (3, None, 2), (None, "词", 1), (None, "词", 1)]
+    d = entries_at(spark, tmp_path, [(i, "s", t, None, day(n)) for i, t, n in rows])
+    assert character_ngrams(spark, d) == grams(["新词", "新词", "留下", "词", "词"], 2)
