@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..runtime import spread
 
@@ -273,13 +274,23 @@ def graded(labels: DataFrame) -> DataFrame:
     return share.select("doc_id", F.when(F.col("share") == 0, 0).when(F.col("share") == 1, 2).otherwise(1).alias("grade"))
 
 
-def train(documents: DataFrame, labels: DataFrame, max_flagged: int = 3000, max_plain: int = 5000, max_chars: int = 2000) -> Model | None:
-    """Fit on a bounded sample of labelled texts, chosen by a hash of the id: at most ``max_flagged`` that some rater
-    flagged and ``max_plain`` others, each of at most ``max_chars`` characters (so 16 million in all)."""
+def train(documents: DataFrame, labels: DataFrame, max_flagged: int = 3000, max_plain: int = 5000, max_total: int = 16_000_000) -> Model | None:
+    """Fit on a bounded sample of labelled texts of any length, chosen by a hash of the id: at most ``max_flagged`` that
+    some rater flagged and ``max_plain`` others, of at most ``max_total`` characters in all. A text that no longer fits
+    in what those before it leave of the total is passed over."""
+    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
     g = graded(labels).withColumn("__h", F.xxhash64("doc_id", F.lit(7)))
+    g = g.join(texts.select("doc_id", F.length("text").alias("__n")), "doc_id")
     sample = g.where("grade > 0").orderBy("__h", "doc_id").limit(max_flagged).unionByName(g.where("grade = 0").orderBy("__h", "doc_id").limit(max_plain))
-    texts = documents.where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).select("doc_id", "text")
-    rows = texts.join(F.broadcast(sample.select("doc_id", "grade")), "doc_id").select("doc_id", "text", "grade").toArrow()
+    left, taken = max_total, []
+    for r in sorted(sample.collect(), key=lambda r: (r["__h"], r["doc_id"])):
+        if r["__n"] <= left:
+            left -= r["__n"]
+            taken.append((r["doc_id"], r["grade"]))
+    if not taken:
+        return None
+    chosen = documents.sparkSession.createDataFrame(taken, T.StructType([g.schema["doc_id"], g.schema["grade"]]))
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade").toArrow()
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
     found = rows.column("text").to_pylist()
     grades = rows.column("grade").to_numpy()[order]
@@ -290,8 +301,6 @@ def train(documents: DataFrame, labels: DataFrame, max_flagged: int = 3000, max_
 
 def score(documents: DataFrame, model: Model | None, keep: list[str], threshold: float = 0.5) -> DataFrame:
     """Columns ``keep``, ``severity double`` (0..2) and ``flagged int``: 1 if P(grade 2) is at least ``threshold``."""
-    from pyspark.sql import types as T
-
     spark = documents.sparkSession
     rows = spread(documents.select(*keep, "text"))
     shared = spark.sparkContext.broadcast(model)
