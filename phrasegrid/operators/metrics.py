@@ -16,9 +16,9 @@ KS = (1, 5, 10, 20, 50)
 
 
 def token_distance(a: Column, b: Column) -> Column:
-    """Edit distance of two string arrays: each distinct token becomes one private-use character."""
+    """Edit distance of two string arrays: each distinct token becomes one character beyond U+FFFF (at most 1,048,575; more is an error)."""
     words = F.array_distinct(F.concat(a, b))
-    code = lambda t: F.decode(F.unhex(F.hex(F.lit(57344) + F.array_position(words, t).cast("int"))), "UTF-16BE")
+    code = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.lit(65536) + F.array_position(words, t).cast("int")), 8, "0")), "UTF-32")
     return F.levenshtein(F.array_join(F.transform(a, code), ""), F.array_join(F.transform(b, code), ""))
 
 

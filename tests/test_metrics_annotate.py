@@ -155,3 +155,9 @@ def test_ids_and_reconciling(spark):
     e, a = (spark.createDataFrame(x, "u string, m string") for x in ([("1", "a"), ("1", "b"), (None, "n")], [("1", "a"), ("1", "a"), ("2", "c"), (None, "n")]))
     assert sorted((r.u, r.m, r.status) for r in annotate.reconcile(e, a, ["u", "m"]).collect()) == [("1", "a", "duplicate"), ("1", "b", "missing"), ("2", "c", "extra")]
     assert [r.u for r in annotate.pending(e.where("u is not null"), a, ["u", "m"], ["u"]).collect()] == ["1"]
+
+
+def test_distance_of_more_tokens_than_one_unit_can_name(spark):
+    a = [f"w{i}" for i in range(8_200)]
+    row = spark.createDataFrame([(a, [*a[-3:], "other"])], "a array<string>, b array<string>").select(metrics.token_distance(F.col("a"), F.col("b")).alias("n"))
+    assert row.first().n == 8_198
