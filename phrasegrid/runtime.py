@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -23,6 +23,7 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(SCAN_TASKS, str(partitions))
         .getOrCreate()
     )
 
@@ -44,11 +45,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{base}"
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """The JVM's ``Path`` and the file system it lies in."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, removed when the driver ends."""
+    """A fresh path below the shared folder, removed when the driver's JVM ends, whatever the file system."""
     path = f"{shared_dir(spark)}/phrasegrid/{name}-{uuid.uuid4().hex}"
-    if path.startswith("file:"):
-        atexit.register(shutil.rmtree, path.removeprefix("file://"), True)
+    where, files = hadoop_path(spark, path)
+    files.deleteOnExit(where)
     return path
 
 
@@ -85,16 +92,57 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def env_path(name: str, default: str) -> str:
-    return os.environ.get(name, default)
+def broadcast_limit(spark: SparkSession) -> int:
+    """Bytes up to which the session broadcasts a side of a join; negative: never."""
+    return spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` (a scan with projections) over all cores, where its files give too few tasks for costly work to come.
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes that a row takes in memory: 8 a field and 24 a row, and what strings, arrays, maps and structs hold beside."""
+    size = F.lit(24 + 8 * len(df.columns)).cast("bigint")
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0))
+    return size
+
+
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows of ``df`` (a stored table, or cheap to make twice) and the bytes that they take in memory."""
+    r = df.select(row_bytes(df).alias("b")).agg(F.count("b").alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    return r["n"], r["b"]
 
-    A table of few small files is one task however many cores there are. Large tables have more tasks than cores and
-    are left as they are, without a shuffle.
+
+def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", salts: int = 32) -> DataFrame:
+    """Null-safe equi-join (inner, left or left_semi) of rows with a table that is small as a rule, on like-named ``keys``.
+
+    The bytes of ``small`` are measured. Up to the session's broadcast limit it is broadcast, and ``big`` does not move.
+    Beyond it both sides are shuffled, with every row of ``small`` copied to ``salts`` places, so that a key that holds a
+    third of ``big`` is spread over as many tasks; the optimizer may still split those.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    tasks = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if tasks * 2 <= cores else df
+    spark = big.sparkSession
+    names = {k: f"__on{i}" for i, k in enumerate(keys)}
+    right = small.withColumnsRenamed(names)
+    on = F.lit(True)
+    for k, n in names.items():
+        on = on & big[k].eqNullSafe(right[n])
+    if measured(small)[1] <= broadcast_limit(spark):
+        return big.join(F.broadcast(right), on, how).drop(*names.values())
+    left = big.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    right = right.withColumn("__place", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    on = left["__salt"] == right["__place"]
+    for k, n in names.items():
+        on = on & left[k].eqNullSafe(right[n])
+    return left.join(right.hint("merge"), on, how).drop("__salt", "__place", *names.values())
+
+
+#: Session setting: the number of tasks that scans ahead of costly work are spread over. Unset on a cluster, where tables
+#: have many files and row groups; a single machine sets it for tables that are one row group, which Spark cannot split.
+SCAN_TASKS = "spark.phrasegrid.scan.tasks"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` (a scan with projections) over as many tasks as the session asks for, whatever its size; as it is without the setting."""
+    tasks = df.sparkSession.conf.get(SCAN_TASKS, None)
+    return df.repartition(int(tasks)) if tasks else df
