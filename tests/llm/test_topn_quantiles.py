@@ -94,3 +94,29 @@ def test_summaries_of_days_combine_within_the_bound(spark):
         low, high = np.searchsorted(everything, row[name], "left"), np.searchsorted(everything, row[name], "right")
         assert low < high, "a value that occurs"
         assert low - 0.01 * n <= max(1, math.ceil(q * n)) <= high + 0.01 * n
+
+
+def test_medians_are_the_same_without_broadcasts(spark):
+    rng = random.Random(4)
+    rows = [("hot" if rng.random() < 0.6 else rng.choice(["a", "b", None]), rng.choice([rng.random(), 1.0, 2.0, None])) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "g string, v double").withColumn("k", quantiles.ordered_key("v")).repartition(4)
+    want = {g: float(np.median([v for h, v in rows if h == g and v is not None])) for g in {g for g, _ in rows}}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for limit in (before, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            assert {r.g: r.median for r in quantiles.exact_medians(df, ["g"], "k").collect()} == want
+            cells = quantiles.radix_summary(df, ["g"], "k", 0.05)
+            assert {r.g: r.n for r in quantiles.summary_quantiles(cells, ["g"], {"p": 0.5}).collect()} == {g: sum(h == g and v is not None for h, v in rows) for g in want}
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_rows_do_not_move(spark, tmp_path):
+    """The join of the rows with their groups' medians broadcasts the medians, never the rows."""
+    from phrasegrid.llm import queries
+
+    from ..compare import DATA
+
+    plan = queries.p4_found(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan and "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
