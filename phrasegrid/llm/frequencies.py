@@ -8,6 +8,9 @@ prefix it shares with its neighbour in the suffix array of its own record, and a
 neighbour shares the whole n-gram is a repeat. Both are sums, so an interval cut by a partition border is put
 together by adding its parts, and equal suffixes are counted before the shuffle: no hot n-gram reaches one task.
 
+Whole values (``value_frequencies``) are the same array cut at one token, with the shards as its records: there a
+neighbour in the record's own array is a neighbour in the whole one, because equal tokens are ordered by record.
+
 Defined results: null or empty token arrays give no n-grams; null tokens end a record's token run like a border;
 an empty table gives no rows; only named columns are read, so extra columns cannot clash.
 """
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import nfkc_term
+from ..runtime import materialize
 
 _MOST = (1 << 63) - 1
 _HELD = 500_000  # tokens held in Python lists before they become a batch
@@ -185,28 +189,143 @@ def loaded_once(entries: DataFrame, **others: F.Column) -> DataFrame:
     return known.select(*(f"r.{n}" for n in names)).unionByName(rows.where(F.col("entry_id").isNull()).select(*names))
 
 
+_LOW = (1 << 32) - 1
+
+
+def _combined(batches):
+    """Equal (value, document) of a batch put together: value, document, n, and the sum in two halves that cannot overflow."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        amount = batch.column(2)
+        t = pa.table(
+            {"value": batch.column(0), "document": batch.column(1), "n": pa.array([1] * batch.num_rows, pa.int64()),
+             "high": pc.shift_right(amount, 32), "low": pc.bit_wise_and(amount, _LOW)}
+        )
+        t = t.group_by(["value", "document"], use_threads=False).aggregate([("n", "sum"), ("high", "sum"), ("low", "sum")])
+        yield from t.select(["value", "document", "n_sum", "high_sum", "low_sum"]).rename_columns(["value", "document", "n", "high", "low"]).combine_chunks().to_batches()
+
+
+def _changes(column: pa.ChunkedArray):
+    """Where a sorted column differs from the row before; the first row always does, and nulls are alike."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    new = np.ones(len(column), dtype=bool)
+    if len(column) > 1:
+        a, b = column.slice(1), column.slice(0, len(column) - 1)
+        same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+        new[1:] = ~same.to_numpy(zero_copy_only=False) if isinstance(same, pa.Array) else ~same.to_numpy()
+    return new
+
+
+def _value_intervals():
+    """Kernel: sorted (value, document, n, high, low) in; per interval (value, records, documents, high, low, edge) out.
+
+    A row stands for n equal suffixes of its document, which are n - 1 adjacencies; rows of one (value, document) lie side
+    by side and make one adjacency each with the row before. The documents of an interval are its occurrences less the
+    adjacencies, of those documents whose sum is at least 1; a null document is none.
+    """
+
+    def run(batches):
+        import itertools
+
+        import numpy as np
+
+        names = ["value", "document", "n", "repeats", "high", "low"]
+        held = None  # the last (value, document), which the next batch may go on with, as a table of one row
+        value, sums, first = None, None, True  # the open interval, without what is held
+
+        def out(values, records, documents, high, low, edge):
+            high, low = high + (low >> 32), low & _LOW
+            total = np.where(high >= 1 << 31, _MOST, (np.minimum(high, (1 << 31) - 1) << 32) | low)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(values, pa.string()), *(pa.array(x, pa.int64()) for x in (total, records, documents)), pa.array(edge, pa.bool_())],
+                names=["term", "total", "records", "shards", "edge"],
+            )
+
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                rows = pa.Table.from_batches([batch]).select(["value", "document", "n", "high", "low"])
+                rows = rows.add_column(3, "repeats", pa.array(batch.column("n").to_numpy() - 1))
+                rows = pa.concat_tables([held, rows]) if held is not None else rows
+            else:
+                rows = held
+            if rows is None or not rows.num_rows:
+                continue
+            new_value = _changes(rows.column("value"))
+            new = new_value | _changes(rows.column("document"))
+            starts = np.flatnonzero(new)
+            n, repeats, high, low = (np.add.reduceat(rows.column(c).to_numpy(), starts) for c in names[2:])
+            repeats += np.diff(np.append(starts, len(new))) - 1  # every row but the first lies beside one of its own document
+            if batch is not None:
+                k = len(starts) - 1
+                held = rows.slice(int(starts[k]), 1).select(["value", "document"])
+                for c, x in zip(names[2:], (n, repeats, high, low)):
+                    held = held.append_column(c, pa.array(x[k:]))
+            else:
+                k, held = len(starts), None
+            if not k:
+                continue
+            n, repeats, high, low, starts = n[:k], repeats[:k], high[:k], low[:k], starts[:k]
+            total = high + (low >> 32)
+            there = (total > 0) | ((total == 0) & ((low & _LOW) >= 1))
+            there &= ~rows.column("document").take(pa.array(starts)).is_null().to_numpy()
+            begin = np.flatnonzero(new_value[starts])
+            found = [np.add.reduceat(x, begin) for x in (n, np.where(there, n - repeats, 0), high, low)]
+            values = rows.column("value").take(pa.array(starts[begin])).to_pylist()
+            if value is not None:
+                if values[0] == value:
+                    for x, y in zip(found, sums):
+                        x[0] += y
+                else:
+                    yield out([value], *(np.array([x]) for x in sums), [first])
+                    first = False
+            if len(values) > 1:
+                yield out(values[:-1], *(x[:-1] for x in found), [first, *[False] * (len(values) - 2)])
+                first = False
+            value, sums = values[-1], [int(x[-1]) for x in found]
+        if value is not None:
+            yield out([value], *(np.array([x]) for x in sums), [True])
+
+    return run
+
+
+def value_frequencies(df: DataFrame, value: str, document: str, amount: str) -> DataFrame:
+    """Whole values as tokens of their documents: ``term, total, records, shards`` of each value that is not null.
+
+    The suffix array is cut at one token and ordered by (value, document), so that the intervals are the values and a
+    document's repeats are neighbours. Equal rows are put together within Arrow batches before the shuffle; the range
+    partitions split a hot value by its documents, and intervals cut by a border are added up.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).alias("value"), F.col(document).alias("document"), F.col(amount).alias("amount"))
+    counts = T.StructType([rows.schema["value"], rows.schema["document"], *(T.StructField(c, T.LongType()) for c in ("n", "high", "low"))])
+    stored = materialize(rows.mapInArrow(_combined, counts), "values")
+    ordered = stored.repartitionByRange("value", "document").sortWithinPartitions("value", "document")
+    found = ordered.mapInArrow(_value_intervals(), "term string, total bigint, records bigint, shards bigint, edge boolean")
+    return found.groupBy("term").agg(*(_sum(c).alias(c) for c in ("total", "records", "shards")))
+
+
 def term_frequencies(entries: DataFrame) -> DataFrame:
     """Terms of word-frequency records: ``term, total, records, shards bigint``.
 
     ``entries``: ``entry_id, shard_id, text, source_frequencies map<string,bigint>, loaded_at``. Records with one
     ``entry_id`` count once (the one loaded last); a null id is nobody's repeat. Null text counts nowhere, a null map
-    or count is 0. Sums stay at 2^63 - 1 instead of passing it. A term occurs in a shard if its counts there add up to at least 1; a null shard is no shard.
-    A term is one token here: its shards lie side by side in the sorted array and repeats in one shard are already one row.
+    or count is 0. Sums stay at 2^63 - 1 instead of passing it. A term occurs in a shard if its counts there add up to
+    at least 1; a null shard is no shard. Shards are the documents of the suffix array.
     """
-    total = F.least(
-        F.aggregate(
-            F.coalesce(F.map_values("source_frequencies"), F.array().cast("array<bigint>")),
-            F.lit(0).cast("decimal(38,0)"),
-            lambda a, x: (a + F.coalesce(x, F.lit(0).cast("bigint"))).cast("decimal(38,0)"),
+    total = F.greatest(
+        F.least(
+            F.aggregate(
+                F.coalesce(F.map_values("source_frequencies"), F.array().cast("array<bigint>")),
+                F.lit(0).cast("decimal(38,0)"),
+                lambda a, x: (a + F.coalesce(x, F.lit(0).cast("bigint"))).cast("decimal(38,0)"),
+            ),
+            F.lit(_MOST).cast("decimal(38,0)"),
         ),
-        F.lit(_MOST).cast("decimal(38,0)"),
+        F.lit(-_MOST).cast("decimal(38,0)"),
     ).cast("bigint")
-    once = loaded_once(entries, shard_id=F.col("shard_id"), total=total)
-    by_shard = once.groupBy("term", "shard_id").agg(_sum("total").alias("total"), F.count(F.lit(1)).alias("records"))
-    by_shard = by_shard.select(
-        F.array("term").alias("tokens"), "total", "records", F.when(F.col("shard_id").isNotNull() & (F.col("total") >= 1), 1).otherwise(0).alias("shards")
-    )
-    return interval_frequencies(by_shard, "tokens", ["total", "records", "shards"], 1).select(F.col("gram")[0].alias("term"), "total", "records", "shards")
+    return value_frequencies(loaded_once(entries, shard_id=F.col("shard_id"), total=total), "term", "shard_id", "total")
 
 
 def mark_terms(terms: DataFrame, shards: int, common_share: float = 0.5, rare_most: int = 4) -> DataFrame:

@@ -32,9 +32,9 @@ def oracle_sql() -> dict[str, str]:
         "p2_top5_scores": _BEST,
         "p5_found": _TERMS + " SELECT term, mark FROM m WHERE mark IS NOT NULL",
         "p5_terms": _TERMS + " SELECT * FROM m",
-        "p5_ngrams": f"""
-WITH r AS (SELECT row_number() OVER () AS r, {norm('text')} AS t FROM word_entries WHERE text IS NOT NULL),
-g AS (SELECT r, substr(t, CAST(i AS INTEGER), CAST(k AS INTEGER)) AS ngram FROM (SELECT r, t, k, unnest(generate_series(1, len(t) - k + 1)) AS i FROM (SELECT r, t, unnest(generate_series(1, 6)) AS k FROM r)))
+        "p5_ngrams": _TERMS + """,
+w AS (SELECT row_number() OVER () AS r, term AS t, len(term) AS l FROM o),
+g AS (SELECT r, substr(t, CAST(i AS INTEGER), CAST(k AS INTEGER)) AS ngram FROM (SELECT r, t, i, unnest(generate_series(1, l - i + 1)) AS k FROM (SELECT r, t, l, unnest(generate_series(1, l)) AS i FROM w)))
 SELECT ngram, count(*) AS occurrences, count(DISTINCT r) AS records FROM g GROUP BY ngram""",
         "p4_found": _TIMINGS + " SELECT run_no, chunk_id, timing FROM v JOIN m USING (timing, chunk_id) WHERE value > 4 * median",
         "p4_rank_check": _TIMINGS + """ SELECT timing, chunk_id, percentile, n AS "values", true AS within_bound FROM m, (VALUES ('p50'), ('p90'), ('p95'), ('p99')) p(percentile)""",

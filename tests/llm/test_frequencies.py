@@ -62,6 +62,59 @@ def test_terms(spark):
     assert frequencies.term_frequencies(df.where("false")).count() == 0
 
 
+def shards_of(rows):
+    """Brute force of (term, shard, total) rows: totals, records and shards."""
+    total, records, by_shard = Counter(), Counter(), Counter()
+    for t, shard, n in rows:
+        total[t] += n
+        records[t] += 1
+        by_shard[t, shard] += n
+    shards = Counter(t for (t, shard), n in by_shard.items() if n >= 1 and shard is not None)
+    return {t: (total[t], records[t], shards[t]) for t in records}
+
+
+def hot_values():
+    rng = random.Random(3)
+    rows = [(rng.choice(["热", "b", "c", "", f"x{rng.randint(0, 50)}"]), rng.choice(["s1", "s1", "s2", f"s{rng.randint(0, 99)}", None]), rng.choice([0, 0, 1, 2**62])) for _ in range(5000)]
+    return rows + [("hot", "s1", 1)] * 3000 + [("hot", f"s{i}", i % 2) for i in range(2000)]
+
+
+def test_values_in_documents_equal_brute_force(spark):
+    rows = hot_values()
+    df = spark.createDataFrame(rows, "v string, d string, n bigint").repartition(7)
+    want = {t: (min(a, 2**63 - 1), b, c) for t, (a, b, c) in shards_of(rows).items()}
+    keys = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        for values in (before, ("false", "23", "10000"), ("false", "5", "3")):
+            for k, v in zip(keys, values):
+                spark.conf.set(k, v)
+            got = frequencies.value_frequencies(df, "v", "d", "n").collect()
+            assert {r.term: (r.total, r.records, r.shards) for r in got} == want and len(got) == len(want)
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
+
+
+def test_shards_come_from_the_intervals(spark, monkeypatch):
+    """With a kernel that gives every row back as it came, the counts of shards are wrong: nothing behind it makes up for that."""
+    import pyarrow as pa
+
+    def identity():
+        def run(batches):
+            for b in batches:
+                n = b.column("n")
+                yield pa.RecordBatch.from_arrays([b.column("value"), b.column("low"), n, n, pa.array([False] * b.num_rows)], names=["term", "total", "records", "shards", "edge"])
+
+        return run
+
+    rows = hot_values()
+    df = spark.createDataFrame(rows, "v string, d string, n bigint").repartition(7)
+    monkeypatch.setattr(frequencies, "_value_intervals", identity)
+    got = {r.term: r.shards for r in frequencies.value_frequencies(df, "v", "d", "n").collect()}
+    assert got != {t: c for t, (_, _, c) in shards_of(rows).items()}
+
+
 def entries_at(spark, path, rows):
     df = spark.createDataFrame(rows, "entry_id bigint, shard_id string, text string, source_frequencies map<string,bigint>, loaded_at timestamp_ntz")
     df.write.parquet(f"{path}/word_entries.parquet")
