@@ -1,14 +1,16 @@
 """Mixing sources to target shares by Pareto order sampling.
 
-A source that must give W tokens and has T uses every document W/T times on average (times its weight; never more
-than ``max_repeats``). The whole part of that number is allotted for certain. The rest is an inclusion probability:
+A source that must give W tokens and has T uses every document W/T times on average; with weights, in proportion to
+them. No document is used more than ``max_repeats`` times on average, and what that takes from the heavy ones is given to
+the others of the source (``_rates``). The whole part of that number is allotted for certain. The rest is an inclusion probability:
 documents are ranked by random odds over inclusion odds, and taken in that order until the source's remaining tokens
 are reached: a sample of fixed size in tokens with unequal probabilities. Where a long document would pass the
-target, those behind it that still fit fill the gap.
+target, those behind it that still fit fill the gap, and one last document closes what is left if that comes nearer.
 
 The place where a source's ranking is cut is found by histograms of the rank's leading 16-bit digits with token
 sums, following only the digit that holds the cut; only the documents of one last cell (about 2^-32 of a source)
-are sorted. No source, however large, is sorted or gathered in one task.
+are sorted. No source, however large, is sorted or gathered in one task, and documents are never shuffled: they meet
+their source's numbers in small tables whose size is measured before they are broadcast.
 
 Random numbers are a hash of the document id and the seed, so a lost task repeats the same choice.
 
@@ -22,24 +24,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import join_small, materialize
 
 _BITS = 48
 
 
-def _allot(docs: DataFrame, targets: DataFrame, weight: str | None) -> tuple[DataFrame, DataFrame]:
+def _rates(docs: DataFrame, sources: DataFrame) -> DataFrame:
+    """``source, __rate``: a document of weight w is used min(rate * w, max_repeats) times on average.
+
+    What the limit takes from heavy documents is given to the others of their source: the rate is raised until no further
+    document meets the limit, so a source gives its tokens whenever its documents can. Each round is one sum over
+    (source, weight) cells; a source whose documents all stand at the limit has an infinite rate.
+    """
+    most = F.coalesce(F.col("max_repeats").cast("double"), F.lit(0.0))
+    cells = docs.where((F.col("tokens") > 0) & (F.col("__w") > 0)).groupBy("source", "__w").agg(F.sum("tokens").alias("__t"))
+    cells = materialize(join_small(cells, sources.select("source", "wanted", most.alias("__most")), ["source"]), "mix-weights")
+    rates = materialize(sources.select("source", F.lit(0.0).alias("__rate")), "mix-rates")
+    limited = -1
+    while True:
+        at = F.col("__rate") * F.col("__w") >= F.col("__most")
+        first = F.lit(limited < 0)  # before the first round nothing is at its limit
+        held = F.when(at & ~first, F.col("__most") * F.col("__t")).otherwise(F.lit(0.0))
+        free = F.when(at & ~first, F.lit(0.0)).otherwise(F.col("__w") * F.col("__t"))
+        sums = join_small(cells, rates, ["source"]).groupBy("source").agg(
+            F.max("wanted").alias("w"), F.sum(held).alias("h"), F.sum(free).alias("f"), F.count_if(at & ~first).alias("__limited")
+        )
+        rate = F.when(F.col("f") > 0, F.greatest(F.lit(0.0), F.col("w") - F.col("h")) / F.col("f")).otherwise(F.lit(float("inf")))
+        rates = materialize(sums.select("source", rate.alias("__rate"), "__limited"), "mix-rates")
+        now = rates.agg(F.coalesce(F.sum("__limited"), F.lit(0)).alias("n")).first()["n"]
+        rates = rates.select("source", "__rate")
+        if now == limited:
+            return rates
+        limited = now
+
+
+def _allot(docs: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents with whole copies and residual probability; the sources with wanted tokens."""
-    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
-    docs = docs.withColumn("__w", F.greatest(w, F.lit(0.0)))
-    totals = docs.groupBy("source").agg(F.sum("tokens").alias("have"), F.sum(F.col("tokens") * F.col("__w")).alias("weighed"))
+    totals = docs.groupBy("source").agg(F.sum("tokens").alias("have"))
     all_tokens = totals.agg(F.coalesce(F.sum("have"), F.lit(0)).alias("all_tokens")).first()["all_tokens"]
     wanted = targets.withColumn("wanted", F.col("target_share") * F.lit(float(all_tokens)))
-    sources = wanted.join(totals, "source", "left").withColumns(
-        {"have": F.coalesce("have", F.lit(0)), "weighed": F.coalesce("weighed", F.lit(0.0)), "all_tokens": F.lit(all_tokens)}
-    )
-    rate = F.when(F.col("weighed") > 0, F.col("wanted") / F.col("weighed")).otherwise(F.lit(0.0))
-    placed = docs.join(sources.select("source", "wanted", "max_repeats", rate.alias("__rate")), "source", "left")
-    mean = F.least(F.coalesce(F.col("__rate"), F.lit(0.0)) * F.col("__w"), F.coalesce(F.col("max_repeats").cast("double"), F.lit(0.0)))
+    sources = wanted.join(totals, "source", "left").withColumns({"have": F.coalesce("have", F.lit(0)), "all_tokens": F.lit(all_tokens)})
+    sources = materialize(sources, "mix-sources")
+    limits = sources.select("source", "max_repeats").join(_rates(docs, sources), "source", "left")
+    placed = join_small(docs, materialize(limits, "mix-limits"), ["source"], "left")
+    drawn = F.when((F.col("__w") > 0) & (F.coalesce("__rate", F.lit(0.0)) > 0), F.col("__rate") * F.col("__w")).otherwise(F.lit(0.0))
+    mean = F.least(drawn, F.coalesce(F.col("max_repeats").cast("double"), F.lit(0.0)))
     placed = placed.withColumn("__mean", mean).withColumn("__whole", F.floor("__mean").cast("int")).withColumn("__pi", F.col("__mean") - F.col("__whole"))
     return placed, sources
 
@@ -61,17 +90,18 @@ def _cut(drawn: DataFrame, need: DataFrame, nearest: bool) -> DataFrame:
         up = F.shiftright("__key", _BITS - 16 * (level - 1)) if level > 1 else F.lit(0).cast("bigint")
         digits = drawn.select("source", "tokens", up.alias("__prefix"), F.shiftright("__key", _BITS - 16 * level).alias("__next"))
         if level > 1:
-            digits = digits.join(cut.select("source", "__prefix"), ["source", "__prefix"], "left_semi")
+            digits = join_small(digits, cut.select("source", "__prefix"), ["source", "__prefix"], "left_semi")
         hist = digits.groupBy("source", "__prefix", "__next").agg(F.sum("tokens").alias("__t"))
         hist = hist.withColumn("__upto", F.sum("__t").over(Window.partitionBy("source", "__prefix").orderBy("__next").rowsBetween(Window.unboundedPreceding, 0)))
         # The cell that the need ends in, or the last one if all fits.
-        at = cut.join(hist, ["source", "__prefix"]).groupBy("source", "__need").agg(
+        at = join_small(hist, cut, ["source", "__prefix"]).groupBy("source", "__need").agg(
             F.min(F.when(F.col("__upto") > F.col("__need"), F.struct("__next", "__upto", "__t"))).alias("__c"), F.max(F.struct("__next", "__upto", "__t")).alias("__z")
         )
         at = at.select("source", "__need", F.coalesce("__c", "__z").alias("c"))
         cut = at.select("source", F.col("c.__next").alias("__prefix"), (F.col("__need") - (F.col("c.__upto") - F.col("c.__t"))).alias("__need"))
+        cut = materialize(cut, "mix-cut")
     cell = F.shiftright("__key", _BITS - 32)
-    last = drawn.withColumn("__prefix", cell).join(cut, ["source", "__prefix"])
+    last = join_small(drawn.withColumn("__prefix", cell), cut, ["source", "__prefix"])
     order = Window.partitionBy("source").orderBy("__key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     last = last.withColumn("__upto", F.sum("tokens").over(order))
     fits = F.col("__upto") - (F.col("tokens") / 2.0 if nearest else F.lit(0)) <= F.col("__need")
@@ -85,35 +115,47 @@ def _cut(drawn: DataFrame, need: DataFrame, nearest: bool) -> DataFrame:
 
 def pareto_mix(documents: DataFrame, targets: DataFrame, seed: int = 17, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``documents``: ``doc_id, source, tokens`` (null tokens: no text); ``targets``: ``source, target_share, max_repeats``.
+    ``weight``: a column of relative weights; null, NaN and negative ones are 0, and such documents are not used.
 
     Returns the uses (``doc_id, source, tokens, uses``) and the shares (``source, target_share, max_repeats,
     documents, have_tokens, wanted_tokens, actual_tokens, actual_share, most_uses``).
     """
     name = lambda c: F.lower(F.regexp_replace(F.col(c), r"(?U)^\s+|\s+$", ""))
-    docs = documents.select("doc_id", name("source").alias("source"), "tokens", *([weight] if weight else []))
+    w = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight else F.lit(1.0)
+    docs = documents.select("doc_id", name("source").alias("source"), "tokens", F.when(F.isnan(w), 0.0).otherwise(w).alias("__w"))
     targets = targets.select(name("source").alias("source"), F.col("target_share").cast("double").alias("target_share"), "max_repeats")
     docs = materialize(docs, "mix-tokens")
-    placed, sources = _allot(docs, targets, weight)
+    placed, sources = _allot(docs, targets)
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     odds = (u / (1 - u)) / (F.col("__pi") / (1 - F.col("__pi")))
     key = F.least(F.floor(odds / (1 + odds) * F.lit(float(1 << _BITS))).cast("bigint"), F.lit((1 << _BITS) - 1))
     key = F.when((F.col("__pi") > 0) & F.col("tokens").isNotNull(), key)
     placed = materialize(placed.select("doc_id", "source", "tokens", "__whole", key.alias("__key")), "mix-ranked")
-    sources = materialize(sources, "mix-sources")
     certain = placed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("__whole")).alias("certain"))
     need = sources.join(certain, "source", "left").select("source", F.greatest(F.lit(0.0), F.col("wanted") - F.coalesce("certain", F.lit(0))).alias("__need"))
+    need = materialize(need, "mix-need")
     drawn = placed.where(F.col("__key").isNotNull()).select("source", "doc_id", "tokens", "__key")
     first = materialize(_cut(drawn, need, False), "mix-cut")
     # What the document at the cut was too long for is filled by those behind it that fit, in the same order.
-    behind = drawn.join(first, "source").where(_after("__edge") & (F.col("tokens") <= F.col("__left"))).select(*drawn.columns)
-    second = materialize(_cut(behind, first.select("source", F.col("__left").alias("__need")), True), "mix-cut")
-    bounds = first.select("source", F.col("__edge").alias("__one"), F.col("__left").alias("__gap")).join(second.select("source", F.col("__edge").alias("__two")), "source", "left")
-    marked = placed.join(bounds, "source", "left")
+    behind = join_small(drawn, first, ["source"]).where(_after("__edge") & (F.col("tokens") <= F.col("__left"))).select(*drawn.columns)
+    rest = materialize(first.select("source", F.col("__left").alias("__need")), "mix-need")
+    second = materialize(_cut(behind, rest, True), "mix-cut")
+    gap = F.coalesce(second["__left"], first["__left"])
+    bounds = first.join(second.withColumnsRenamed({"source": "__s", "__edge": "__two"}), F.col("source") == F.col("__s"), "left").select(
+        "source", F.col("__edge").alias("__one"), first["__left"].alias("__gap"), "__two", gap.alias("__open")
+    )
+    bounds = bounds.join(sources.select("source", F.col("max_repeats").alias("__most")), "source")
+    marked = join_small(placed, materialize(bounds, "mix-bounds"), ["source"], "left")
     taken = ~_after("__one") | (_after("__one") & (F.col("tokens") <= F.col("__gap")) & ~_after("__two"))
     extra = F.when(F.col("__key").isNotNull() & F.col("__gap").isNotNull() & taken, 1).otherwise(0)
-    uses = marked.select(
-        "doc_id", "source", "tokens", F.when(F.col("tokens").isNull(), 0).otherwise(F.col("__whole") + extra).cast("int").alias("uses")
-    )
+    # What is still open is met best by one further document of its source, if any comes nearer than none.
+    off = F.abs(F.col("__open") - F.col("tokens"))
+    spare = marked.where((F.col("__open") > 0) & F.col("__key").isNotNull() & (extra == 0) & (F.col("__whole") < F.col("__most")) & (off < F.col("__open")))
+    last = spare.groupBy("source").agg(F.min(F.struct(off.alias("o"), F.col("__key").alias("k"), F.col("doc_id").alias("d"))).alias("p"))
+    last = materialize(last.select("source", F.col("p.d").alias("doc_id"), F.lit(1).alias("__more")), "mix-last")
+    marked = join_small(marked, last, ["source", "doc_id"], "left")
+    count = F.col("__whole") + F.when(extra == 1, 1).otherwise(F.coalesce("__more", F.lit(0)))
+    uses = marked.select("doc_id", "source", "tokens", F.when(F.col("tokens").isNull(), 0).otherwise(count).cast("int").alias("uses"))
     used = uses.groupBy("source").agg(
         F.count("tokens").alias("documents"), F.sum(F.col("tokens") * F.col("uses")).alias("actual_tokens"), F.max("uses").alias("most_uses")
     )

@@ -100,12 +100,37 @@ def p6_room(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p6_check(spark: SparkSession, d: str) -> DataFrame:
+    """Per source: its documents, whether each lies in the sequences once and whole, is cut only if it is longer than one,
+    and whether no sequence holds more than 2,048 tokens and their numbers run without a gap."""
+    counts = materialize(tokens.token_counts(read(spark, d, "documents"), "text", ["doc_id", "source"]).withColumn("source", F.coalesce(_source(), F.lit(""))), "tokens")
+    packed = materialize(packing.pack(counts, "doc_id", "source", "tokens", 2048), "packed")
+    pieces = packed.groupBy("doc_id").agg(
+        F.sum("tokens").alias("got"), F.count(F.lit(1)).alias("pieces"), F.count_distinct("piece").alias("different"), F.min("piece").alias("low"), F.max("piece").alias("high")
+    )
+    whole = (F.col("got") == F.col("tokens")) & (F.col("different") == F.col("pieces")) & (F.col("low") == 0) & (F.col("high") == F.col("pieces") - 1)
+    uncut = F.col("pieces") == F.greatest(F.lit(1), F.ceil(F.col("tokens") / 2048))
+    docs = counts.where("tokens is not null").join(pieces, "doc_id", "left").groupBy("source").agg(
+        F.count(F.lit(1)).alias("documents"), F.every(F.coalesce(whole, F.lit(False))).alias("once_and_whole"), F.every(F.coalesce(uncut, F.lit(False))).alias("no_needless_cut")
+    )
+    number = F.regexp_extract("sequence", "#([0-9]+)$", 1).cast("bigint")
+    filled = packed.groupBy(F.regexp_replace("sequence", "#[0-9]+$", "").alias("source"), number.alias("n")).agg(F.sum("tokens").alias("used"))
+    room = filled.groupBy("source").agg(F.every(F.col("used") <= 2048).alias("within_capacity"), (F.max("n") == F.count(F.lit(1)) - 1).alias("no_gap"))
+    return docs.join(room, "source", "left")
+
+
+#: Documents below this many tokens are drawn in proportion to their length, longer ones alike.
+FULL_WEIGHT = 64
+
+
 def _mix(spark: SparkSession, d: str):
     docs = tokens.token_counts(read(spark, d, "documents"), "text", ["doc_id", "source"])
-    return mixing.pareto_mix(docs, read(spark, d, "mix_targets"))
+    docs = docs.withColumn("weight", F.least(F.lit(1.0), F.col("tokens") / F.lit(float(FULL_WEIGHT))))
+    return mixing.pareto_mix(docs, read(spark, d, "mix_targets"), weight="weight")
 
 
 def p7_uses(spark: SparkSession, d: str) -> DataFrame:
+    """Fragments of a few tokens are drawn less often than texts: the weight is the length, up to ``FULL_WEIGHT`` tokens."""
     return _mix(spark, d)[0]
 
 
@@ -113,6 +138,18 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """Per listed source: its documents, whether none is used more than ``max_repeats`` times and whether the share is met
+    within one document's length, or else all that the source may give is given."""
+    uses, shares = _mix(spark, d)
+    uses = materialize(uses, "uses")
+    own = uses.where("tokens is not null").groupBy("source").agg(F.max("tokens").alias("longest"))
+    capped = F.col("most_uses") <= F.col("max_repeats")
+    most = F.col("have_tokens") * F.col("max_repeats")
+    met = F.abs(F.col("actual_tokens") - F.least(F.col("wanted_tokens"), most)) <= F.coalesce("longest", F.lit(0))
+    return shares.join(own, "source", "left").select("source", "documents", capped.alias("within_repeats"), met.alias("share_met"))
+
+
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")
     model = severity.train(docs, read(spark, d, "content_labels"))
@@ -132,6 +169,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             p2_found, p2_top5_scores, p4_found, p4_medians, p4_percentiles, p4_rank_check, p5_found, p5_terms, p5_ngrams,
-            p6_pack, p6_room, p7_uses, p7_shares, p8_found, p8_scores, p8_rates,
+            p6_pack, p6_room, p6_check, p7_uses, p7_shares, p7_check, p8_found, p8_scores, p8_rates,
         )
     }

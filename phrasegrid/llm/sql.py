@@ -1,6 +1,6 @@
 """The same results as SQL, where SQL can say them."""
 
-from ..plans.sql import norm
+from ..plans.sql import _W, norm
 
 _BEST = """
 SELECT utt_id, chunk_id, hotword_id, score, CAST(pos AS INTEGER) AS pos FROM (
@@ -26,6 +26,9 @@ t AS (SELECT term, CAST(sum(n) AS BIGINT) AS total, CAST(sum(records) AS BIGINT)
 m AS (SELECT *, CASE WHEN shards * 2 > (SELECT count(DISTINCT shard_id) FROM word_entries) THEN 'common' WHEN total BETWEEN 1 AND 4 THEN 'rare' END AS mark FROM t)"""
 
 
+_SOURCE = "lower(regexp_replace(regexp_replace(source, '^[" + _W + "]+', ''), '[" + _W + "]+$', ''))"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": f"SELECT utt_id, chunk_id, hotword_id, pos FROM ({_BEST})",
@@ -37,6 +40,10 @@ w AS (SELECT row_number() OVER () AS r, term AS t, len(term) AS l FROM o),
 g AS (SELECT r, substr(t, CAST(i AS INTEGER), CAST(k AS INTEGER)) AS ngram FROM (SELECT r, t, i, unnest(generate_series(1, l - i + 1)) AS k FROM (SELECT r, t, l, unnest(generate_series(1, l)) AS i FROM w)))
 SELECT ngram, count(*) AS occurrences, count(DISTINCT r) AS records FROM g GROUP BY ngram""",
         "p4_found": _TIMINGS + " SELECT run_no, chunk_id, timing FROM v JOIN m USING (timing, chunk_id) WHERE value > 4 * median",
+        # Packing and mixing have many right answers: SQL says what every one of them must fulfil.
+        "p6_check": f"SELECT coalesce({_SOURCE}, '') AS source, count(*) AS documents, true AS once_and_whole, true AS no_needless_cut, true AS within_capacity, true AS no_gap FROM documents WHERE text IS NOT NULL GROUP BY 1",
+        "p7_check": f"""WITH d AS (SELECT {_SOURCE} AS source, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1), t AS (SELECT {_SOURCE} AS source FROM mix_targets)
+SELECT t.source, coalesce(d.n, 0) AS documents, true AS within_repeats, true AS share_met FROM t LEFT JOIN d USING (source)""",
         "p4_rank_check": _TIMINGS + """ SELECT timing, chunk_id, percentile, n AS "values", true AS within_bound FROM m, (VALUES ('p50'), ('p90'), ('p95'), ('p99')) p(percentile)""",
         "p4_medians": _TIMINGS + " SELECT timing, chunk_id, median FROM m",
     }

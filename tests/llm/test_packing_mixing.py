@@ -109,6 +109,25 @@ def test_token_counts(spark):
     assert tokens.token_counts(df.where("false"), "text", ["i"]).count() == 0
 
 
+def test_long_runs_of_white_space_are_counted_exactly():
+    """Against the splitter itself, made to fall back at runs that it can still take."""
+    import re
+
+    with open(f"{tokens.TOKENIZER_DIR}/{tokens.TOKENIZER}", "rb") as file:
+        encoder = tokens._encoder(file.read())
+    rng = random.Random(8)
+    before = tokens._LONG_SPACE
+    tokens._LONG_SPACE = re.compile(before.pattern.replace("5000", "3"))
+    try:
+        for _ in range(500):
+            text = "".join(rng.choice([" " * rng.randint(1, 9), "\n" * rng.randint(1, 9), "\u3000 ", "a", "I's", "词语", "12", "!?", "　"]) for _ in range(rng.randint(0, 12)))
+            assert tokens._count(encoder, text) == len(encoder.encode_ordinary(text)), repr(text)
+    finally:
+        tokens._LONG_SPACE = before
+    assert tokens._count(encoder, "a" * 1_000_000) == len(encoder.encode_ordinary("a" * 1_000_000))
+    assert tokens._count(encoder, " " * 1_000_000 + "b" + "\n" * 1_000_000) > 2
+
+
 def mix(spark, docs, targets, **kw):
     d = spark.createDataFrame([(*x, "clash") for x in docs], "doc_id bigint, source string, tokens bigint, uses string" + (", w double" if kw.pop("_w", False) else ""))
     t = spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
@@ -157,3 +176,30 @@ def test_inclusion_follows_the_weights(spark):
     rate = {r.odd: r.rate for r in uses.where("source = 's'").groupBy((F.col("doc_id") % 2).alias("odd")).agg(F.avg("uses").alias("rate")).collect()}
     assert rate[0] == pytest.approx(0.75, abs=0.03) and rate[1] == pytest.approx(0.25, abs=0.03)
     assert {r.source: r.actual_tokens for r in shares.collect()}["s"] == pytest.approx(20_000, abs=10)
+
+
+def test_what_the_limit_takes_goes_to_others(spark):
+    """Heavy documents stand at ``max_repeats``; the rest of the source makes up for them, and the share is met."""
+    docs = [(i, "s", 10, 100.0 if i < 50 else 1.0 + i % 3) for i in range(1000)] + [(9_999, "rest", 10_000, 1.0), (10_000, "s", 10, None), (10_001, "s", 10, float("nan"))]
+    d = spark.createDataFrame(docs, "doc_id bigint, source string, tokens bigint, w double")
+    t = spark.createDataFrame([("s", 0.45, 2)], "source string, target_share double, max_repeats int")
+    uses, shares = mixing.pareto_mix(d, t, weight="w")
+    got = {r.doc_id: r.uses for r in uses.collect()}
+    assert max(got.values()) == 2 and all(got[i] == 2 for i in range(50)) and got[10_000] == got[10_001] == 0
+    share = shares.first()
+    assert share.actual_tokens == pytest.approx(0.45 * 20_020, abs=10)
+    rates = [sum(got[i] for i in range(50, 1000) if i % 3 == k) for k in range(3)]
+    assert rates[0] < rates[1] < rates[2]
+
+
+def test_mixing_is_the_same_without_broadcasts(spark):
+    rng = random.Random(6)
+    docs = [(i, "hot" if rng.random() < 0.7 else rng.choice(["a", "b", None]), rng.choice([1, 5, 60, None])) for i in range(600)]
+    targets = [("hot", 0.6, 1), ("a", 0.3, 3), ("b", 0.1, 3)]
+    want = mix(spark, docs, targets)[0]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert mix(spark, docs, targets)[0] == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
