@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..runtime import shuffle_width
-from ..streaming.kernel import Lattice
+from ..streaming.posteriors import Lattice
 from .match import Automaton
 
 SCHEMA = "session_id string, chunk_id int, kind string, phrase string, confidence double, start_frame int"

@@ -1,3 +1,4 @@
+import itertools
 import json
 import math
 import random
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from phrasegrid.operators import lattice, match
-from phrasegrid.streaming import kernel, sessions
+from phrasegrid.streaming import kernel, posteriors, sessions
 from phrasegrid.streaming.kernel import Candidates, Evidence, Policy
 
 
@@ -97,9 +98,9 @@ def test_lattice_repeats_and_blanks():
     symbols = ["-", "p", "q"]
     frame = lambda *p: [math.log(x) for x in p]
     p, q, blank = frame(0.05, 0.9, 0.05), frame(0.05, 0.05, 0.9), frame(0.9, 0.05, 0.05)
-    done = lambda *rows: {e.phrase for e in kernel.Lattice(a).consume(list(rows), 0, 0, symbols, 0, None)[1]}
+    done = lambda *rows: {e.phrase for e in posteriors.Lattice(a).consume(list(rows), 0, 0, symbols, 0, None)[1]}
     assert done(p, q) == {"pq"} and done(p, p) == set() and done(p, blank, p) == {"pp"}
-    split = kernel.Lattice(a)
+    split = posteriors.Lattice(a)
     open_, _ = split.consume([p], 0, 0, symbols, 4, None)
     assert {e.phrase for e in open_} == {"pq", "pp"} and open_[0].confidence == pytest.approx(0.9)
     _, complete = split.consume([q], 1, 0, symbols, 9, None)
@@ -123,7 +124,7 @@ def test_lattice_on_tables_does_not_depend_on_partitions(spark):
     assert run(df) == run(df.repartition(5)) != []
     want = []
     for s in range(4):
-        one = kernel.Lattice(a, least=0.1)
+        one = posteriors.Lattice(a, least=0.1)
         for _, c, offset, probs in rows[s * 3 : s * 3 + 3]:
             active, complete = one.consume(probs, offset, 0, [f"s{i}" for i in range(6)], 0, None)
             want += [(f"k{s}", c, k, e.phrase, e.confidence, e.start) for k, found in (("active", active), ("complete", complete)) for e in found]
@@ -206,3 +207,67 @@ def test_refreshes(spark):
     df = spark.createDataFrame([("a", 0, 3), ("a", 1, 5), ("b", 0, 4), ("c", 0, 0), ("d", 0, 9)], "k string, i int, n int")
     got = sorted(tuple(r) for r in sessions.refreshes(df, ["k"], "i", "n", 4).select("k", "i", "chunk_id", "sample_count", "is_final").collect())
     assert got == [("a", 1, 0, 4, False), ("a", 1, 1, 8, True), ("b", 0, 0, 4, True), ("c", 0, 0, 0, True), ("d", 0, 0, 4, False), ("d", 0, 1, 8, False), ("d", 0, 2, 9, True)]
+
+
+def all_ways(a, symbols, rows, blank):
+    """Every path and its summed probability after the last frame, by walking all sequences of tokens one by one."""
+    total = {}
+    for start in range(len(rows)):
+        for tokens in itertools.product(range(len(symbols)), repeat=len(rows) - start):
+            node, last, rested, p = 0, None, False, 1.0
+            for i, t in enumerate(tokens):
+                p *= math.exp(rows[start + i][t])
+                if t == blank and i:
+                    rested = True
+                elif i and t == last and not rested:
+                    pass
+                else:
+                    node = a.next[node].get(symbols[t]) if t != blank else None
+                    last, rested = t, False
+                if node is None:
+                    break
+            else:
+                key = (node, last, int(rested), start)
+                total[key] = total.get(key, 0.0) + p
+    return total
+
+
+def test_paths_sum_all_ways():
+    rng = random.Random(7)
+    symbols = ["-", "x", "y", "z"]
+    for _ in range(20):
+        a = match.Automaton()
+        for i in range(4):
+            a.add(tuple(rng.choice("xyz") for _ in range(rng.randint(1, 4))), f"p{i}")
+        a.freeze()
+        rows = []
+        for _ in range(5):
+            w = [rng.random() + 0.01 for _ in symbols]
+            rows.append([math.log(x / sum(w)) for x in w])
+        one, two = posteriors.Lattice(a, 10_000, 1e9, 9, 99, 0.0), posteriors.Lattice(a, 10_000, 1e9, 9, 99, 0.0)
+        one.consume(rows, 0, 0, symbols, 0, None)
+        two.consume(rows[:2], 0, 0, symbols, 0, None)
+        saved = json.loads(json.dumps(two.dump()))
+        two = posteriors.Lattice(a, 10_000, 1e9, 9, 99, 0.0)
+        two.load(saved)
+        two.consume(rows[2:], 2, 0, symbols, 0, None)
+        want = all_ways(a, symbols, rows, 0)
+        for lattice_ in (one, two):
+            got = {tuple(s[:4]): math.exp(v) for s, v in zip(lattice_.state.tolist(), lattice_.score.tolist())}
+            assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+        tight = posteriors.Lattice(a, 3, 1e9)
+        tight.consume(rows, 0, 0, symbols, 0, None)
+        assert len(tight.score) <= 3 and (tight.score[:-1] >= tight.score[1:]).all()
+
+
+def test_edges_of_paths():
+    a = match.Automaton()
+    a.add(("p",), "p")
+    a.freeze()
+    lattice_ = posteriors.Lattice(a)
+    assert lattice_.consume([], 0, 0, ["-", "p"], 0, None) == ([], [])
+    assert lattice_.consume([[0.0, -math.inf]], 0, 0, ["-", "p"], 0, None)[1] == []
+    assert [e.phrase for e in lattice_.consume([[-5.0, 0.0]], 1, 0, ["-", "p"], 0, {"p"})[1]] == ["p"]
+    assert lattice_.consume([[-5.0, 0.0]], 2, 0, ["-", "p"], 0, set()) == ([], [])
+    empty = posteriors.Lattice(match.Automaton().freeze())
+    assert empty.consume([[0.0, 0.0]], 0, 0, ["-", "p"], 0, None) == ([], [])
