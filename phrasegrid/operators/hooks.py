@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import shuffle_width
 from .ranking import running
 
 FRAMES = "array<array<float>>"
@@ -32,6 +33,43 @@ def explode_frames(df: DataFrame, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.posexplode("frames").alias("frame", "vec"))
 
 
+def probe_posteriors(
+    df: DataFrame, session: str, seq: str, pcm: str, make_probe: Callable[[], Callable], rate: int = 16000, frame_rate: float = 12.5, overlap_ms: int = 200
+) -> DataFrame:
+    """``session, seq, frame_offset, log_probs`` of an acoustic probe over the pieces of sessions, in their order.
+
+    ``make_probe()`` is called once a task and gives a function from samples to a T x S matrix of log probabilities. Each
+    piece is given with the last ``overlap_ms`` of those before it, whose frames are taken off again. A session streams
+    through its tail of samples and is never held whole; a piece without new frames gives an empty matrix.
+    """
+    rows = df.select(F.col(session).alias("session"), F.col(seq).alias("seq"), F.col(pcm).alias("pcm"))
+    schema = T.StructType([rows.schema["session"], rows.schema["seq"], T.StructField("frame_offset", T.IntegerType()), T.StructField("log_probs", T.ArrayType(T.ArrayType(T.DoubleType())))])
+    keep = round(rate * overlap_ms / 1000)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        probe = make_probe()
+        current, tail, frames = None, np.zeros(0), 0
+        for pdf in batches:
+            out = []
+            for sid, n, samples in pdf.itertuples(index=False):
+                if sid != current:
+                    current, tail, frames = sid, np.zeros(0), 0
+                heard = np.concatenate([tail, np.asarray([] if samples is None else samples, dtype=np.float64)])
+                found = np.atleast_2d(np.asarray(probe(heard), dtype=np.float64)) if len(heard) else np.zeros((0, 0))
+                new = found[min(len(found), round(len(tail) / rate * frame_rate)) :]
+                out.append((sid, n, frames, new.tolist()))
+                frames += len(new)
+                tail = heard[-keep:] if keep else np.zeros(0)
+            yield pd.DataFrame(out, columns=schema.fieldNames())
+
+    return rows.repartition(session_partitions(df), "session").sortWithinPartitions("session", "seq").mapInPandas(run, schema).withColumnsRenamed({"session": session, "seq": seq})
+
+
+def session_partitions(df: DataFrame) -> int:
+    """A given number of partitions, which small sizes do not reduce: the work is in the model, not the bytes."""
+    return shuffle_width(df.sparkSession)
+
+
 def align_batches(df: DataFrame, keep: list[str], audio: str, text: str, language: str, make_aligner: Callable[[], Callable]) -> DataFrame:
     """``keep`` and ``items``: the aligner gets lists of audio, text and language and must give a list as long of (text, start, end) lists."""
     item = T.StructType([T.StructField("text", T.StringType()), T.StructField("start_time", T.DoubleType()), T.StructField("end_time", T.DoubleType())])

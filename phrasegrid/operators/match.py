@@ -61,7 +61,9 @@ class Automaton:
         self.own: list[set] = [set()]
         self.out: list[tuple] = [()]
         self.shortest: dict = {}
+        self.spelt: dict = {}
         self._below: dict = {}
+        self.arrays: dict = {}  # forms of the trie that others made of it, by what they need to know it by
 
     def add(self, path, phrase) -> None:
         if not path:
@@ -79,11 +81,13 @@ class Automaton:
                 self.out.append(())
             node = following
         self.own[node].add(phrase)
+        self.spelt.setdefault(phrase, []).append(tuple(path))
         self.shortest[phrase] = min(len(path), self.shortest.get(phrase, len(path)))
 
     def freeze(self) -> Automaton:
         """Failure links and outputs, breadth first."""
         self._below.clear()
+        self.arrays.clear()
         self.out[0] = tuple(sorted(self.own[0]))
         queue = deque(self.next[0].values())
         for child in self.next[0].values():

@@ -11,10 +11,31 @@ to that path by then: the frame mean of its probability. Of several arrivals the
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import numpy as np
 
 from ..operators.match import Automaton
-from .kernel import Evidence
+
+
+@dataclass
+class Evidence:
+    """What one look at text or sound says of a phrase."""
+
+    phrase: str
+    confidence: float
+    start: int | None = None
+    anchor: int | None = None
+
+
+@dataclass(frozen=True)
+class Sounds:
+    """The symbols of posterior frames, the blank's place among them, and bounds of the paths (see ``Lattice``)."""
+
+    symbols: tuple
+    blank: int = 0
+    bounds: dict = field(default_factory=dict)
+
 
 _FIELDS = ("node", "token", "rested", "start", "anchor")
 
@@ -22,7 +43,7 @@ _FIELDS = ("node", "token", "rested", "start", "anchor")
 class Trie:
     """The children of an automaton's nodes for the symbols of a posterior, as sorted arrays."""
 
-    def __init__(self, automaton: Automaton, symbols: list) -> None:
+    def __init__(self, automaton: Automaton, symbols: tuple) -> None:
         self.width = len(symbols)
         place: dict = {}
         for i, s in enumerate(symbols):
@@ -119,7 +140,8 @@ class Lattice:
     def consume(self, rows, offset: int, blank: int, symbols, anchor: int, enabled: set[str] | None) -> tuple[list[Evidence], list[Evidence]]:
         """Evidence after further frames of log probabilities: phrases still open, and those completed, at most ``most`` of each."""
         if self.trie is None or symbols is not self.symbols:
-            self.trie, self.symbols = Trie(self.automaton, list(symbols)), symbols
+            key, self.symbols = tuple(symbols), symbols
+            self.trie = self.automaton.arrays[key] = self.automaton.arrays.get(key) or Trie(self.automaton, key)
         allowed = lambda p: enabled is None or p in enabled
         done: dict[str, Evidence] = {}
         for frame, row in enumerate(rows, offset):

@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
-import os
 import pickle
-import shutil
-import tempfile
 import unicodedata
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ranking import running
-from ..runtime import shuffle_width
-from .kernel import Catalog, Policy, Session
+from ..runtime import hadoop_path, scratch_path, shuffle_width
+from .kernel import Catalog, Policy, Session, Tokenizer
+from .posteriors import Sounds
 
 RESULT = T.StructType(
     [
@@ -34,14 +30,17 @@ RESULT = T.StructType(
         T.StructField("prompt", T.StringType()),
         T.StructField("rollback_start", T.IntegerType()),
         T.StructField("decode_start", T.IntegerType()),
-        T.StructField("biased_symbols", T.IntegerType()),
+        T.StructField("bias", T.MapType(T.StringType(), T.DoubleType())),
         T.StructField("revisions", T.IntegerType()),
         T.StructField("audio_samples", T.LongType()),
+        T.StructField("open_paths", T.IntegerType()),
+        T.StructField("processing_ms", T.DoubleType()),
         T.StructField("is_final", T.BooleanType()),
     ]
 )
 ROW = "session_id string, seq bigint, hypothesis string, n_samples bigint, enabled array<string>, end boolean"
 OVERLAY = "array<struct<id:string,text:string,weight:double>>"
+FRAMES = "array<array<double>>"
 
 
 def folded(text: str) -> str:
@@ -58,6 +57,7 @@ def _rows(pdf: pd.DataFrame) -> list[dict]:
                 "n_samples": None if r["n_samples"] is None or r["n_samples"] != r["n_samples"] else int(r["n_samples"]),
                 "enabled": None if r["enabled"] is None or isinstance(r["enabled"], float) else [x for x in r["enabled"] if x is not None],
                 "overlay": None if r["overlay"] is None or isinstance(r["overlay"], float) else [x.asDict() if hasattr(x, "asDict") else dict(x) for x in r["overlay"]],
+                "log_probs": None if r["log_probs"] is None or isinstance(r["log_probs"], float) else [[float(x) for x in f] for f in r["log_probs"]],
                 "end": bool(r["end"]) if r["end"] is not None and r["end"] == r["end"] else False,
             }
         )
@@ -73,15 +73,15 @@ def _run(session: Session, session_id: str, rows: list[dict]) -> list[dict]:
 
 
 def _wide(rows: DataFrame) -> DataFrame:
-    """Input columns in order; ``overlay`` may be absent."""
+    """Input columns in order; ``overlay`` and ``log_probs`` may be absent."""
     names = [c.strip().split(" ")[0] for c in ROW.split(",")]
-    overlay = F.col("overlay").cast(OVERLAY) if "overlay" in rows.columns else F.lit(None).cast(OVERLAY)
-    return rows.select(*names, overlay.alias("overlay"))
+    further = {"overlay": OVERLAY, "log_probs": FRAMES}
+    return rows.select(*names, *((F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in further.items()))
 
 
-def replay(rows: DataFrame, catalog: Catalog, policy: Policy) -> DataFrame:
+def replay(rows: DataFrame, catalog: Catalog, policy: Policy, sounds: Sounds | None = None, tokenizer: Tokenizer = Tokenizer()) -> DataFrame:
     """Results of finished sessions. Rows of a session stream through its state in Arrow batches, in ``seq`` order;
-    only the state is held, not the session. Input columns as in ``ROW``, and ``overlay`` if there are any."""
+    only the state is held, not the session. Input columns as in ``ROW``, and ``overlay`` and ``log_probs`` if there are any."""
     shared = rows.sparkSession.sparkContext.broadcast(catalog)
     # The number of partitions is given, so that small ones are not put together: the work is in the sessions, not the bytes.
     ordered = _wide(rows).repartition(shuffle_width(rows.sparkSession), "session_id").sortWithinPartitions("session_id", "seq")
@@ -94,7 +94,7 @@ def replay(rows: DataFrame, catalog: Catalog, policy: Policy) -> DataFrame:
             for _, part in pdf.groupby(cut, sort=False):
                 sid = part["session_id"].iloc[0]
                 if session is None or sid != current:
-                    current, session = sid, Session(shared.value, policy, folded)
+                    current, session = sid, Session(shared.value, policy, folded, "", sounds, tokenizer)
                 out += _run(session, sid, _rows(part))
             yield _frame(out)
 
@@ -105,14 +105,15 @@ _catalogs: dict[str, Catalog] = {}
 
 
 def _send(spark, catalog: Catalog) -> str:
-    """Give every worker a copy as a file: the stream's driver-side worker loads no broadcast."""
-    name = f"catalog-{uuid.uuid4().hex}.pickle"
-    folder = tempfile.mkdtemp(prefix="phrasegrid-")  # the driver serves the file from here
-    atexit.register(shutil.rmtree, folder, True)
-    with open(os.path.join(folder, name), "wb") as file:
-        pickle.dump(catalog, file)
-    spark.sparkContext.addFile(file.name)
-    return name
+    """Give every worker a copy as a file in the shared folder: the stream's driver-side worker loads no broadcast."""
+    path = scratch_path(spark, "catalog") + ".pickle"
+    where, files = hadoop_path(spark, path)
+    files.deleteOnExit(where)
+    out = files.create(where)
+    out.write(bytearray(pickle.dumps(catalog)))
+    out.close()
+    spark.sparkContext.addFile(path)
+    return path.rpartition("/")[2]
 
 
 def _sent(name: str) -> Catalog:
@@ -122,7 +123,7 @@ def _sent(name: str) -> Catalog:
     return _catalogs[name]
 
 
-def stream(rows: DataFrame, catalog: Catalog, policy: Policy) -> DataFrame:
+def stream(rows: DataFrame, catalog: Catalog, policy: Policy, sounds: Sounds | None = None, tokenizer: Tokenizer = Tokenizer()) -> DataFrame:
     """The same on a stream: state per session, kept from micro-batch to micro-batch, cleared when a session ends."""
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -133,7 +134,7 @@ def stream(rows: DataFrame, catalog: Catalog, policy: Policy) -> DataFrame:
             self.state = handle.getValueState("session", "state string")
 
         def handleInputRows(self, key, batches, timers) -> Iterator[pd.DataFrame]:
-            session = Session(_sent(name), policy, folded)
+            session = Session(_sent(name), policy, folded, "", sounds, tokenizer)
             if self.state.exists():
                 session.load(self.state.get()[0])
             pdf = pd.concat(list(batches))  # one micro-batch of one session, whose rows come in any order
@@ -150,12 +151,17 @@ def stream(rows: DataFrame, catalog: Catalog, policy: Policy) -> DataFrame:
     return _wide(rows).groupBy("session_id").transformWithStateInPandas(Sessions(), RESULT, "Append", "None")
 
 
-def write_trace(results: DataFrame, path: str, checkpoint: str):
-    """Append each micro-batch as JSON under one folder per session; a rerun of a batch replaces its own files only."""
+def write_trace(results: DataFrame, path: str, checkpoint: str, buckets: int = 16):
+    """Append each micro-batch as JSON lines, the rows of a session side by side and in order.
+
+    A micro-batch writes at most ``buckets`` files however many sessions it has: sessions are hashed into files and sorted
+    there (results of a chunk before a session's last one). A rerun of a batch replaces its own folder only.
+    """
 
     def one(df: DataFrame, batch: int) -> None:
-        out = df.select(F.to_json(F.struct(*sorted(df.columns))).alias("value"), "session_id")
-        out.write.mode("overwrite").partitionBy("session_id").text(f"{path}/batch={batch}")
+        line = F.to_json(F.struct(*sorted(df.columns))).alias("value")
+        rows = df.repartition(buckets, "session_id").sortWithinPartitions("session_id", "seq", "is_final", "chunk_id")
+        rows.select(line).write.mode("overwrite").text(f"{path}/batch={batch}")
 
     return results.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
 

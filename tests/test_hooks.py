@@ -88,3 +88,15 @@ def test_running_splits_hot_groups(spark):
         seen[k] = (n + 1, s + (v or 0))
     assert running(df.where("false"), ["k"], [F.col("i")]).count() == 0
     assert sorted(r.position for r in running(df, [], [F.col("i").desc()]).collect()) == list(range(3000))
+
+
+def test_probe_sees_what_went_before(spark):
+    """A probe of one frame for 4 samples that gives their sum; with an overlap of 4 samples every frame still comes once."""
+    rows = [("a", 0, [1.0] * 8), ("a", 1, [2.0] * 4), ("a", 2, None), ("a", 3, [3.0] * 8), ("b", 0, []), ("b", 1, [9.0] * 4)]
+    df = spark.createDataFrame(rows, "k string, n int, pcm array<double>").repartition(3)
+    probe = lambda: lambda x: x.reshape(-1, 4).sum(axis=1)[:, None]
+    out = hooks.probe_posteriors(df, "k", "n", "pcm", probe, rate=16, frame_rate=4.0, overlap_ms=250)
+    got = {(r.k, r.n): (r.frame_offset, r.log_probs) for r in out.collect()}
+    assert got == {
+        ("a", 0): (0, [[4.0], [4.0]]), ("a", 1): (2, [[8.0]]), ("a", 2): (3, []), ("a", 3): (3, [[12.0], [12.0]]), ("b", 0): (0, []), ("b", 1): (0, [[36.0]]),
+    }
