@@ -10,12 +10,13 @@ with a third of all objects only makes its own task longer by the length of its
 
 Defined results: a null array, map or object gives no rows; a null element gives none but keeps its place; a null
 root key is kept; a record without children still gives its own row; text that is no JSON object goes to the tag
-``_corrupt`` with the raw text; a lone half of a surrogate pair becomes '?'. Columns not named are dropped, so extra columns cannot clash.
+``_corrupt`` with the raw text (``Tagged.corrupt``); an object may be nested to any depth; a lone half of a surrogate pair becomes '?'. Columns not named are dropped, so extra columns cannot clash.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -100,6 +101,10 @@ class Tagged:
         """Write once, one folder per tag."""
         return Tagged(materialize(self.rows, name, partition_by="tag"), self.schemas, True)
 
+    def corrupt(self) -> DataFrame:
+        """``root`` and raw ``value`` of input that was no JSON object."""
+        return self.rows.where(F.col("tag") == "_corrupt").select("root", F.col("payload").alias("value"))
+
     def table(self, tag: str) -> DataFrame:
         """Rows of one table: ``root``, ``pos``, the parent's key, and the payload's fields under the table's schema."""
         rows = self.rows.where(F.col("tag") == tag)
@@ -122,6 +127,9 @@ def emit_structs(df: DataFrame, key: str, tags: dict[str, str]) -> Tagged:
     return Tagged(rows.select("r.tag", "root", "r.pos", "r.parent_tag", "r.parent_pos", "r.payload"), payloads)
 
 
+_HELD = 16_000_000  # characters held before they become a batch
+
+
 @dataclass(frozen=True)
 class Marked:
     """A table of raw JSON: objects that have ``marker``; ``hoist``: keys looked up anywhere inside the object."""
@@ -131,50 +139,133 @@ class Marked:
     hoist: tuple[str, ...] = ()
 
 
-def _hoist(value, name: str, marker: str, top: bool = True):
+_TOKEN = re.compile(r'[ \t\n\r]*(?:(?P<mark>[{}\[\],:])|(?P<string>")|(?P<word>true|false|null|NaN|-?Infinity|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?))')
+
+
+def _parse_deep(text: str):
+    """JSON of any depth, with a stack of its own: what ``json.loads`` gives where it does not give up."""
+    open_: list = []  # (container, its key so far)
+    at, want, root = 0, "value", None
+    while True:
+        found = _TOKEN.match(text, at)
+        if found is None or not found.group():
+            raise ValueError(f"no JSON at {at}")
+        at, mark = found.end(), found["mark"]
+        if want in ("key", "first key") and found["string"]:
+            key, at = json.decoder.scanstring(text, at)
+            colon = _TOKEN.match(text, at)
+            if colon is None or colon["mark"] != ":":
+                raise ValueError(f"no colon at {at}")
+            open_[-1][1], at, want = key, colon.end(), "value"
+            continue
+        if want in ("value", "first value") and (mark in ("{", "[") or not mark):
+            if mark:
+                value = {} if mark == "{" else []
+            elif found["string"]:
+                value, at = json.decoder.scanstring(text, at)
+            else:
+                value = json.loads(found["word"])
+            if not open_:
+                root = value
+            elif isinstance(open_[-1][0], dict):
+                open_[-1][0][open_[-1][1]] = value
+            else:
+                open_[-1][0].append(value)
+            if mark:
+                open_.append([value, None])
+                want = "first key" if mark == "{" else "first value"
+            else:
+                want = "next"
+        elif mark == "," and want == "next":
+            want = "key" if isinstance(open_[-1][0], dict) else "value"
+        elif mark in ("}", "]") and want in ("next", "first key" if mark == "}" else "first value") and isinstance(open_[-1][0], dict if mark == "}" else list):
+            open_.pop()
+            want = "next"
+        else:
+            raise ValueError(f"no JSON at {found.start()}")
+        if not open_:
+            if text[at:].strip(" \t\n\r"):
+                raise ValueError(f"more than one value at {at}")
+            return root
+
+
+def _parse(text: str):
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return _parse_deep(text)
+
+
+def _dump(value) -> str:
+    """Compact JSON of any depth."""
+    try:
+        return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    except RecursionError:
+        out: list[str] = []
+        todo: list = [value]
+        while todo:
+            v = todo.pop()
+            if isinstance(v, _Text):
+                out.append(v)
+            elif isinstance(v, dict):
+                inner = [x for k, y in v.items() for x in (_Text(","), _Text(json.dumps(k, ensure_ascii=False) + ":"), y)][1:]
+                todo += [_Text("}"), *reversed(inner), _Text("{")]
+            elif isinstance(v, list):
+                inner = [x for y in v for x in (_Text(","), y)][1:]
+                todo += [_Text("]"), *reversed(inner), _Text("[")]
+            else:
+                out.append(json.dumps(v, ensure_ascii=False))
+        return "".join(out)
+
+
+class _Text(str):
+    """Text that is written as it stands."""
+
+
+def _hoist(root: dict, name: str, marker: str):
     """First non-null value of ``name``, the object's own before deeper ones in document order; other marked objects are not entered."""
-    if isinstance(value, dict):
-        if not top and marker in value:
-            return None
-        if value.get(name) is not None:
-            return value[name]
-        value = value.values()
-    elif not isinstance(value, list):
-        return None
-    for v in value:
-        found = _hoist(v, name, marker, False)
-        if found is not None:
-            return found
+    todo: list = [root]
+    while todo:
+        value = todo.pop()
+        if isinstance(value, dict):
+            if value is not root and marker in value:
+                continue
+            if value.get(name) is not None:
+                return value[name]
+            todo += reversed(list(value.values()))
+        elif isinstance(value, list):
+            todo += reversed(value)
     return None
 
 
-def _walk(root: object, marked: tuple[Marked, ...], emit) -> None:
-    def visit(value, path: str, idx: list[int], in_list: bool, up: tuple) -> None:
+def _flat(value) -> bool:
+    return not isinstance(value, dict) and not (isinstance(value, list) and any(isinstance(x, (dict, list)) for x in value))
+
+
+def _walk(root: dict, marked: tuple[Marked, ...], schemas: dict[str, T.StructType], emit) -> None:
+    """Depth first, in document order, with a stack of its own. Payloads hold the fields of their table's schema."""
+    names = {tag: set(schema.fieldNames()) for tag, schema in schemas.items()}
+    todo: list[tuple] = [(root, "", [], False, (None, None, None))]
+    while todo:
+        value, path, idx, in_list, up = todo.pop()
         if isinstance(value, list):
-            for i, v in enumerate(value):
-                visit(v, f"{path}[{i}]", [*idx, i], True, up)
-            return
-        if not isinstance(value, dict):
-            return
+            todo += [(v, f"{path}[{i}]", [*idx, i], True, up) for i, v in reversed(list(enumerate(value))) if isinstance(v, (dict, list))]
+            continue
         mark = next((m for m in marked if m.marker in value), None)
         rest = idx[:-1] if in_list else idx
         tag = mark.tag if mark else ("record" if not path else "node")
+        wanted = names.get(tag)
+        body = {k: v for k, v in value.items() if (wanted is None or k in wanted) and (mark or _flat(v))}
         if mark:
-            body = dict(value)
             for name in mark.hoist:
                 found = _hoist(value, name, mark.marker)
                 if found is None:
                     body.pop(name, None)
                 else:
-                    body[name] = found if isinstance(found, str) else json.dumps(found, ensure_ascii=False)
-        else:
-            body = {k: v for k, v in value.items() if not isinstance(v, (dict, list)) or (isinstance(v, list) and not any(isinstance(x, (dict, list)) for x in v))}
+                    body[name] = found if isinstance(found, str) else _dump(found)
         emit(tag, path, idx, up, rest[-1] if rest else 0, idx[-1] if in_list else 0, body)
-        for k, v in value.items():
-            if isinstance(v, (dict, list)):
-                visit(v, f"{path}.{k}" if path else k, idx, False, (tag, path, idx))
-
-    visit(root, "", [], False, (None, None, None))
+        below = [(v, f"{path}.{k}" if path else k, idx, False, (tag, path, idx)) for k, v in value.items() if isinstance(v, (dict, list))]
+        todo += reversed(below)
 
 
 _JSON_ROWS = T.StructType(
@@ -215,27 +306,40 @@ def emit_json(df: DataFrame, key: str, value: str, marked: tuple[Marked, ...], s
     )
 
     def run(batches):
+        out: list[tuple] = []
+        size = 0
+
+        def flush():
+            nonlocal size
+            cols = list(zip(*out))
+            out.clear()
+            size = 0
+            return pa.RecordBatch.from_arrays([_array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
+
         for batch in batches:
-            out: list[tuple] = []
             for root, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text is None:
                     continue
-
-                def emit(tag, path, idx, up, outer, inner, body, root=root):
-                    out.append((tag, root, idx, up[0], up[2], path, up[1], outer, inner, json.dumps(body, ensure_ascii=False, separators=(",", ":"))))
-
-                size = len(out)
                 try:
-                    parsed = json.loads(text)
+                    parsed = _parse(text)
                     if not isinstance(parsed, dict):
                         raise ValueError("no object")
-                    _walk(parsed, marked, emit)
-                except (ValueError, RecursionError):
-                    del out[size:]
+                except ValueError:
                     out.append(("_corrupt", root, [], None, None, "", None, 0, 0, text))
-            for at in range(0, len(out), 20_000):
-                cols = list(zip(*out[at : at + 20_000]))
-                yield pa.RecordBatch.from_arrays([_array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
+                    size += len(text)
+                    continue
+
+                def emit(tag, path, idx, up, outer, inner, body, root=root):
+                    nonlocal size
+                    payload = _dump(body)
+                    size += len(payload) + 2 * len(path) + 12 * len(idx)
+                    out.append((tag, root, idx, up[0], up[2], path, up[1], outer, inner, payload))
+
+                _walk(parsed, marked, schemas, emit)
+                if size > _HELD or len(out) > 20_000:
+                    yield flush()
+        if out:
+            yield flush()
 
     rows = spread(df.select(F.col(key).cast("bigint"), F.col(value).cast("string"))).mapInArrow(run, _JSON_ROWS)
     return Tagged(rows, schemas)

@@ -78,6 +78,11 @@ def p1_mentions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p1_corrupt(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the manifest that hold no JSON object: they have no rows in the other tables."""
+    return manifest(spark, d).corrupt().select(F.col("root").alias("record_no"), "value")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return badrows.rejected(read(spark, d, "word_freq"), "value").select("line_id", "reason")
 
@@ -93,7 +98,7 @@ def p3_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_records, p1_batches, p1_timings, p1_mentions, p3_found, p3_loaded, p3_reasons)}
+    return {f.__name__: f for f in (p1_found, p1_records, p1_batches, p1_timings, p1_mentions, p1_corrupt, p3_found, p3_loaded, p3_reasons)}
 
 
 _HITS = """
@@ -104,13 +109,15 @@ WHERE h IS NOT NULL"""
 _MENTIONS = """
 WITH r AS (SELECT record_no, value::JSON AS j FROM manifest_raw),
 lists AS (
-  SELECT record_no, 0 AS outer_pos, j->'entities' AS l FROM r
-  UNION ALL SELECT record_no, 0, j->'annotations' FROM r UNION ALL SELECT record_no, 0, j->'segments' FROM r
-  UNION ALL SELECT record_no, i - 1, (j->'annotations'->(i - 1)::INTEGER)->'entities' FROM (SELECT record_no, j, unnest(generate_series(1, json_array_length(j, '$.annotations')::BIGINT)) AS i FROM r)
-  UNION ALL SELECT record_no, i - 1, (j->'segments'->(i - 1)::INTEGER)->'entities' FROM (SELECT record_no, j, unnest(generate_series(1, json_array_length(j, '$.segments')::BIGINT)) AS i FROM r)),
+  SELECT record_no, 0 AS outer_pos, j->'entities' AS l, 'entities' AS path, '' AS parent_path FROM r
+  UNION ALL SELECT record_no, 0, j->'annotations', 'annotations', '' FROM r UNION ALL SELECT record_no, 0, j->'segments', 'segments', '' FROM r
+  UNION ALL SELECT record_no, i - 1, (j->'annotations'->(i - 1)::INTEGER)->'entities', 'annotations[' || (i - 1) || '].entities', 'annotations[' || (i - 1) || ']'
+    FROM (SELECT record_no, j, unnest(generate_series(1, json_array_length(j, '$.annotations')::BIGINT)) AS i FROM r)
+  UNION ALL SELECT record_no, i - 1, (j->'segments'->(i - 1)::INTEGER)->'entities', 'segments[' || (i - 1) || '].entities', 'segments[' || (i - 1) || ']'
+    FROM (SELECT record_no, j, unnest(generate_series(1, json_array_length(j, '$.segments')::BIGINT)) AS i FROM r)),
 m AS (
-  SELECT record_no, outer_pos, 0 AS inner_pos, l AS e FROM lists WHERE json_type(l) = 'OBJECT'
-  UNION ALL SELECT record_no, outer_pos, k - 1, l->(k - 1)::INTEGER FROM (SELECT *, unnest(generate_series(1, json_array_length(l)::BIGINT)) AS k FROM lists WHERE json_type(l) = 'ARRAY'))
+  SELECT record_no, outer_pos, 0 AS inner_pos, l AS e, path, parent_path FROM lists WHERE json_type(l) = 'OBJECT'
+  UNION ALL SELECT record_no, outer_pos, k - 1, l->(k - 1)::INTEGER, path || '[' || (k - 1) || ']', parent_path FROM (SELECT *, unnest(generate_series(1, json_array_length(l)::BIGINT)) AS k FROM lists WHERE json_type(l) = 'ARRAY'))
 SELECT 'mention' AS kind, record_no AS row_no, CAST(outer_pos AS INTEGER) AS outer_pos, CAST(inner_pos AS INTEGER) AS inner_pos,
   coalesce(e->>'entity_type', e->'attrs'->>'entity_type', '') AS label
 FROM m WHERE json_type(e) = 'OBJECT' AND json_exists(e, '$.char_start')"""
@@ -150,6 +157,11 @@ FROM retrieval_runs WHERE final_batch IS NOT NULL""",
 SELECT run_no, CAST(o - 1 AS INTEGER) AS batch_pos, chunk_id, e.key AS timing, e.value AS value FROM (
   SELECT run_no, o, b.chunk_id AS chunk_id, unnest(map_entries(b.timings_ms)) AS e
   FROM (SELECT run_no, o, batches[o] AS b FROM (SELECT run_no, batches, unnest(generate_series(1, len(batches))) AS o FROM retrieval_runs)) WHERE b IS NOT NULL)""",
+        "p1_mentions": _MENTIONS.rpartition("SELECT 'mention' AS kind")[0] + """
+SELECT record_no, path, parent_path, e->>'mention_id' AS mention_id, e->>'hotword_id' AS hotword_id, e->>'text' AS text, coalesce(e->>'entity_type', e->'attrs'->>'entity_type') AS entity_type,
+  CAST(e->>'char_start' AS INTEGER) AS char_start, CAST(e->>'char_end' AS INTEGER) AS char_end, CAST(e->>'occurrence_index' AS INTEGER) AS occurrence_index
+FROM m WHERE json_type(e) = 'OBJECT' AND json_exists(e, '$.char_start')""",
+        "p1_corrupt": "SELECT record_no, value FROM manifest_raw WHERE CASE WHEN json_valid(value) THEN json_type(value) <> 'OBJECT' ELSE value IS NOT NULL END",
         "p3_found": _LINES + " SELECT line_id, reason FROM c WHERE reason IS NOT NULL",
         "p3_reasons": _LINES + " SELECT source, coalesce(reason, 'loaded') AS reason, count(*) AS lines FROM c GROUP BY ALL",
     }

@@ -74,7 +74,6 @@ _SERIES = lambda name, src: f"SELECT '{name}' AS name, avg(value) AS mean, quant
 def oracle_sql() -> dict[str, str]:
     q = dict(records.oracle_sql())
     q["p3_loaded"] = _LOADED + " SELECT line_id, source, term, n AS count FROM g"
-    q["p1_mentions"] = None
     q["word_freq_merged"] = _ENTRIES + " SELECT text, sources, CAST(total_frequency AS VARCHAR) AS total_frequency FROM entries"
     q["load_stats"] = _LOADED + f""", j AS (SELECT w.source, c.line_id IS NULL AS skipped, c.reason, regexp_matches(g.term, '{_HAN}') AS fits, g.term FROM word_freq w LEFT JOIN c USING (line_id) LEFT JOIN g USING (line_id))
 SELECT source, count(*) AS total_lines, count(*) FILTER (fits) AS accepted_lines, count(*) FILTER (skipped) AS blank_or_comment_lines,

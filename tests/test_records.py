@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from phrasegrid.operators import badrows, nested
+from phrasegrid.plans import records
 from phrasegrid.plans.records import MANIFEST_TABLES, RUN_TABLES
 
 BATCH = "struct<accumulated_audio_sec:double,chunk_id:int,hits:array<struct<hotword_id:string,score:double>>,timings_ms:map<string,double>>"
@@ -148,3 +149,48 @@ def test_lines_of_empty_table(spark):
 def test_repeated_lines_count_each(spark, copies):
     df = spark.createDataFrame([(7, "x y z")] * copies, "line_id bigint, value string")
     assert badrows.rejected(df, "value").where(F.col("reason") == "columns").count() == copies
+
+
+def test_records_of_any_depth_keep_their_links(spark):
+    deep = '{"a":' * 5000 + '{"char_start": 3, "text": "x", "deep": {"entity_type": "PER"}}' + "}" * 5000
+    lists = '{"l":' + "[" * 3000 + '{"char_start": 1}' + "]" * 3000 + "}"
+    broken = '{"a":' * 5000 + "1" + "}" * 4999
+    df = spark.createDataFrame([(1, deep), (2, lists), (3, broken), (4, "[1]"), (5, None)], "n bigint, v string")
+    tagged = nested.emit_json(df, "n", "v", (nested.Marked("mention", "char_start", ("entity_type",)),), {"mention": records.MENTION}).store()
+    found = {r.root: r for r in tagged.table("mention").collect()}
+    assert set(found) == {1, 2} and found[1].entity_type == "PER" and found[1].text == "x"
+    assert found[1].path == ".".join(["a"] * 5000) and found[1].parent_path == ".".join(["a"] * 4999)
+    assert found[2].pos == [0] * 3000 and found[2].parent_tag == "record"
+    assert sorted((r.root, r.value) for r in tagged.corrupt().collect()) == [(3, broken), (4, "[1]")]
+
+
+def test_deep_parser_agrees_with_the_shallow_one():
+    rng = random.Random(5)
+
+    def value(depth):
+        kind = rng.randint(0, 7 if depth else 5)
+        if kind == 6:
+            return {rng.choice("abc"): value(depth - 1) for _ in range(3)}
+        return [value(depth - 1) for _ in range(3)] if kind == 7 else [1, -2.5e3, "a\"\\\u0001词", None, True, ""][kind]
+
+    for _ in range(300):
+        v = {"x": value(4)}
+        text = json.dumps(v, indent=rng.choice([None, 1]))
+        assert nested._parse_deep(text) == v
+        broken = list(text)
+        broken[rng.randrange(len(broken))] = rng.choice('{}[],:"x1 ')
+        broken = "".join(broken)
+        try:
+            want = json.loads(broken)
+        except ValueError:
+            with pytest.raises(ValueError):
+                nested._parse_deep(broken)
+        else:
+            assert nested._parse_deep(broken) == want
+    for bad in ("", "{", "[1,]", '{"a":1,}', "{,}", "[}", "1 2", '{"a" 1}', "]", "nul"):
+        with pytest.raises(ValueError):
+            nested._parse_deep(bad)
+    deep = []
+    for _ in range(4000):
+        deep = [deep, {"k": 1}]
+    assert nested._parse_deep(nested._dump(deep))[1] == {"k": 1}
