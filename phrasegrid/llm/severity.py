@@ -6,7 +6,8 @@ overlapping windows. A passage's score is the sum of the weights of its hashed c
 that of its worst passage, so one sentence in a text of any length counts fully. P(grade > k) = sigmoid(score - cut_k):
 all thresholds share the weights, the cuts are ordered by construction, expected severity = sum over k of P(grade > k).
 
-Grades come from the raters: 0 none flagged the text, 1 they disagree, 2 all flagged it.
+Grades come from the raters: 0 none flagged the text, 1 they disagree, 2 all flagged it. Grade 1 is doubt, not mildness:
+``severity`` (0 to 2) says how sure raters would be that a text is abusive, not how bad it is.
 
 Defined results: null text has null severity and is not flagged; empty text has the least severity. Labels other
 than 0 and 1, with null ids or of unknown texts are left out, repeated ones count once. Without any labelled text of
@@ -274,29 +275,50 @@ def graded(labels: DataFrame) -> DataFrame:
     return share.select("doc_id", F.when(F.col("share") == 0, 0).when(F.col("share") == 1, 2).otherwise(1).alias("grade"))
 
 
-def train(documents: DataFrame, labels: DataFrame, max_flagged: int = 3000, max_plain: int = 5000, max_total: int = 16_000_000) -> Model | None:
-    """Fit on a bounded sample of labelled texts of any length, chosen by a hash of the id: at most ``max_flagged`` that
+def sample(documents: DataFrame, labels: DataFrame, max_flagged: int = 3000, max_plain: int = 5000, max_total: int = 16_000_000) -> DataFrame | None:
+    """``doc_id, text, grade`` of a bounded sample of labelled texts of any length, chosen by a hash of the id: at most ``max_flagged`` that
     some rater flagged and ``max_plain`` others, of at most ``max_total`` characters in all. A text that no longer fits
     in what those before it leave of the total is passed over."""
     texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
     g = graded(labels).withColumn("__h", F.xxhash64("doc_id", F.lit(7)))
     g = g.join(texts.select("doc_id", F.length("text").alias("__n")), "doc_id")
-    sample = g.where("grade > 0").orderBy("__h", "doc_id").limit(max_flagged).unionByName(g.where("grade = 0").orderBy("__h", "doc_id").limit(max_plain))
+    drawn = g.where("grade > 0").orderBy("__h", "doc_id").limit(max_flagged).unionByName(g.where("grade = 0").orderBy("__h", "doc_id").limit(max_plain))
     left, taken = max_total, []
-    for r in sorted(sample.collect(), key=lambda r: (r["__h"], r["doc_id"])):
+    for r in sorted(drawn.collect(), key=lambda r: (r["__h"], r["doc_id"])):
         if r["__n"] <= left:
             left -= r["__n"]
             taken.append((r["doc_id"], r["grade"]))
     if not taken:
         return None
     chosen = documents.sparkSession.createDataFrame(taken, T.StructType([g.schema["doc_id"], g.schema["grade"]]))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade").toArrow()
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    found = rows.column("text").to_pylist()
-    grades = rows.column("grade").to_numpy()[order]
-    if not ((grades == 0).any() and (grades == GRADES - 1).any()):
+    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade")
+
+
+def train(documents: DataFrame, labels: DataFrame, **bounds) -> Model | None:
+    """Fit on a bounded ``sample``.
+
+    The ids of the sample pass the driver (at most 8,000), its texts go to the one task that fits (at most 16 million
+    characters: about 500 MB there), and the model comes back (5 MB). None of these grows with the tables.
+    """
+    rows = sample(documents, labels, **bounds)
+    if rows is None:
+        return None
+
+    def run(batches):
+        t = pa.Table.from_batches(list(batches))
+        if not t.num_rows:
+            return
+        order = np.argsort(t.column("doc_id").to_numpy(), kind="stable")
+        found, grades = t.column("text").to_pylist(), t.column("grade").to_numpy()[order]
+        if (grades == 0).any() and (grades == GRADES - 1).any():
+            model = fit([found[i] for i in order], grades, np.ones(len(order)))
+            yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.cuts.tolist()], pa.list_(pa.float64()))], names=["weights", "cuts"])
+
+    # The fit has a task of its own; only the weights (5 MB) come to the driver.
+    fitted = rows.repartition(1).mapInArrow(run, "weights binary, cuts array<double>").first()
+    if fitted is None:
         return None
-    return fit([found[i] for i in order], grades, np.ones(len(order)))
+    return Model(np.frombuffer(bytes(fitted["weights"]), dtype=np.float32).reshape(len(ORDERS), -1), np.array(fitted["cuts"]))
 
 
 def score(documents: DataFrame, model: Model | None, keep: list[str], threshold: float = 0.5) -> DataFrame:

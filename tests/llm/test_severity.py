@@ -99,14 +99,15 @@ def test_tables(spark):
     assert s.train(d, lab, max_flagged=50, max_plain=60) is not None
 
 
-def test_fit_takes_long_texts_and_bounds_their_sum(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(s, "fit", lambda texts, grades, weight: seen.append((sorted(map(len, texts)), sorted(grades))))
+def test_fit_takes_long_texts_and_bounds_their_sum(spark):
     texts = [(i, "x" * 10) for i in range(4)] + [(4, "y" * 9_000), (5, "z" * 3_000), (6, None)]
     d = spark.createDataFrame(texts, "doc_id bigint, text string")
     lab = spark.createDataFrame([(i, int(i > 3), "r") for i in range(8)], "doc_id bigint, flagged int, rater string")
-    s.train(d, lab)
-    s.train(d, lab, max_flagged=2, max_plain=4)  # ids without text take no place
-    assert seen == [([10, 10, 10, 10, 3_000, 9_000], [0, 0, 0, 0, 2, 2])] * 2
-    s.train(d, lab, max_total=3_045)
-    assert seen[2] == ([10, 10, 10, 10, 3_000], [0, 0, 0, 0, 2])
+
+    def seen(**bounds):
+        rows = s.sample(d, lab, **bounds).collect()
+        return sorted(len(r.text) for r in rows), sorted(r.grade for r in rows)
+
+    all_ = ([10, 10, 10, 10, 3_000, 9_000], [0, 0, 0, 0, 2, 2])
+    assert seen() == all_ and seen(max_flagged=2, max_plain=4) == all_, "ids without text take no place"
+    assert seen(max_total=3_045) == ([10, 10, 10, 10, 3_000], [0, 0, 0, 0, 2])
