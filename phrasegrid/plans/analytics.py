@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import common_prefix, match_text, nfkc_term, safe_id, script_term, stable_id
 from ..operators import annotate, badrows, catalog, hooks, lattice, match, metrics, search
-from ..runtime import materialize, read, scratch_path
+from ..runtime import fitting, join_small, materialize, read, scratch_path
 from ..sources import readers, writers
 from ..streaming import kernel, sessions
 from . import records
@@ -268,15 +268,15 @@ def phrase_matches(spark: SparkSession, d: str) -> DataFrame:
 
 def phrase_matches_automaton(spark: SparkSession, d: str) -> DataFrame:
     """The same by a broadcast automaton (the catalog table has a fixed 10,000 rows)."""
-    pats = _patterns(spark, d).select("id", match_text(F.col("pattern")).alias("p")).where("p <> ''").distinct().collect()
-    found = match.automaton_matches(read(spark, d, "documents"), "doc_id", "text", match.build_automaton([(r.id, r.p) for r in pats]))
+    pats = _patterns(spark, d).select("id", match_text(F.col("pattern")).alias("p")).where("p <> ''").distinct()
+    pats = fitting(pats, "the automaton's phrases").collect()
+    found = match.automaton_matches(read(spark, d, "documents"), "doc_id", "text", [(r.id, r.p) for r in pats])
     return found.groupBy("id").agg(F.count(F.lit(1)).alias("matches"), F.count_distinct("doc_id").alias("documents"))
 
 
 def transcript_matches(spark: SparkSession, d: str) -> DataFrame:
     """Longest catalog phrase at every place of every transcript."""
-    rows = read(spark, d, "manifest_raw").select("record_no").join(_transcript_rows(spark, d), "record_no")
-    found = match.longest_matches(match.ngram_matches(rows, "record_no", "text", _patterns(spark, d)), "record_no")
+    found = match.longest_matches(match.ngram_matches(_transcript_rows(spark, d), "record_no", "text", _patterns(spark, d)), "record_no")
     return found.select("record_no", "id", F.col("start").cast("int").alias("start"), "length")
 
 
@@ -477,7 +477,8 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _session_catalog(spark: SparkSession, d: str) -> kernel.Catalog:
-    rows = read(spark, d, "hotwords").select("id", "text", "aliases", "weight").where("id is not null and text is not null").collect()  # 10,000 rows, fixed
+    rows = read(spark, d, "hotwords").select("id", "text", "aliases", "weight").where("id is not null and text is not null")
+    rows = fitting(rows, "the sessions' catalog").collect()
     seen = {r.id: r.asDict() for r in rows}
     # A control row may name ids the catalog no longer has; those are kept out of filters.
     return kernel.Catalog.build(list(seen.values()), sessions.folded)

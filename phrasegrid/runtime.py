@@ -114,6 +114,14 @@ def measured(df: DataFrame) -> tuple[int, int]:
     return r["n"], r["b"]
 
 
+def fitting(df: DataFrame, what: str, most: int = 64 << 20) -> DataFrame:
+    """``df`` if its measured bytes may go to the driver and to every task (64 MB: a catalog of half a million phrases); raises otherwise."""
+    rows, size = measured(df)
+    if size > most:
+        raise ValueError(f"{what}: {rows} rows of {size} bytes, but only {most} may be sent to every task")
+    return df
+
+
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", salts: int = 32) -> DataFrame:
     """Null-safe equi-join (inner, left or left_semi) of rows with a table that is small as a rule, on like-named ``keys``.
 

@@ -24,10 +24,21 @@ def test_two_matchers_and_brute_force(spark):
     t = spark.createDataFrame([(k, v, "x") for k, v in texts], "k int, v string, id string")
     p = spark.createDataFrame(patterns, "id string, pattern string")
     want = brute(texts, patterns)
-    got = sorted(tuple(r) for r in match.ngram_matches(t, "k", "v", p).select("k", "id", "start", "length").collect())
-    assert got == want
-    a = match.build_automaton([(i, " ".join(x.casefold().split())) for i, x in set(patterns) if x])
-    assert sorted(tuple(r) for r in match.automaton_matches(t, "k", "v", a).collect()) == want
+    plain = [(i, " ".join(x.casefold().split())) for i, x in set(patterns) if x]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for limit in (before, "-1"):  # without broadcasts, by classes of length
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            assert sorted(tuple(r) for r in match.ngram_matches(t, "k", "v", p).select("k", "id", "start", "length").collect()) == want
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(tuple(r) for r in match.automaton_matches(t, "k", "v", plain).collect()) == want
+    a = match.build_automaton(plain)
+    node, found = 0, []
+    for at, c in enumerate("a  bab".replace("  ", " ")):
+        node = a.step(node, c)
+        found += [(i, at + 1 - n, n) for i, n in a.out[node]]
+    assert sorted(found) == sorted(x[1:] for x in brute([(0, "a  bab")], patterns))
     assert match.ngram_matches(t, "k", "v", p.where("false")).count() == 0
     assert match.ngram_matches(t.where("false"), "k", "v", p).count() == 0
     best = match.longest_matches(match.ngram_matches(t, "k", "v", p), "k")
@@ -110,3 +121,26 @@ def test_index_round_trip(spark, tmp_path):
     assert (meta.hotword_count, meta.variant_count, meta.dim) == (1, 2, 2)
     with pytest.raises(ValueError):
         search.check_dimensions(spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "k array<double>"), "k")
+
+
+def test_hundred_thousand_phrases(spark):
+    """A catalog of 100,000 is built and one text is matched; also as a join beyond the broadcast limit."""
+    import time
+
+    from phrasegrid.streaming import kernel, sessions
+
+    began = time.time()
+    entries = [{"id": f"hw-{i}", "text": f"entity{i:06d}", "aliases": None, "weight": 1.0} for i in range(100_000)]
+    catalog = kernel.Catalog.build(entries, sessions.folded)
+    probe = kernel.TextProbe(catalog.automaton, catalog.spellings, sessions.folded)
+    assert [e.phrase for e in probe.observe("before entity054321 after", 0, None)[1]] == ["hw-54321"]
+    assert time.time() - began < 60
+    t = spark.createDataFrame([(1, "before entity054321 after entity000007")], "k int, v string")
+    p = spark.createDataFrame([(e["id"], e["text"]) for e in entries], "id string, pattern string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for limit in (before, "1000"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            assert sorted((r.id, r.start) for r in match.ngram_matches(t, "k", "v", p).collect()) == [("hw-54321", 7), ("hw-7", 26)]
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
