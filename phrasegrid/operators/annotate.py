@@ -123,25 +123,28 @@ def find_spans(aligned: DataFrame, keys: list[str], items: str = "items", varian
         *keys, "__i", alignment_text(F.col("__it.text")).alias("__t"), F.col("__it.start_time").alias("__s"), F.col("__it.end_time").alias("__e")
     )
     flat = item.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__i", "__t", "__s", "__e"))).alias("__items"))
-    text = F.array_join(F.transform("__items", lambda x: x["__t"]), "")
+    chars = F.filter(F.split(F.array_join(F.transform("__items", lambda x: x["__t"]), ""), ""), lambda c: c != "")
     owner = F.flatten(F.transform("__items", lambda x: F.array_repeat(x["__i"], F.length(x["__t"]))))
-    flat = flat.withColumns({"__text": text, "__owner": owner})
+    flat = flat.withColumns({"__chars": chars, "__owner": owner})
     var = aligned.select(*keys, F.posexplode(variants).alias("__v", "variant")).withColumn("__norm", alignment_text(F.col("variant"))).where("__norm <> ''")
     first = Window.partitionBy(*keys, "__norm").orderBy("__v")
-    var = var.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    var = var.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*keys, "__v", "variant", F.filter(F.split("__norm", ""), lambda c: c != "").alias("__want"))
     joined = var.join(flat, keys)
-    places = F.filter(F.sequence(F.lit(1), F.length("__text") - F.length("__norm") + 1), lambda p: F.substring(F.col("__text"), p, F.length("__norm")) == F.col("__norm"))
-    hits = joined.where(F.length("__text") >= F.length("__norm")).select("*", F.explode(places).alias("__p"))
-    hits = hits.select(
-        *keys, "variant", "__v", "__p", "__items", F.element_at("__owner", F.col("__p")).alias("first_item"),
-        F.element_at("__owner", F.col("__p") + F.length("__norm") - 1).alias("last_item"),
-    )
+    # A character of an array is reached at once, wherever it stands: a place costs one look, unless the variant begins there.
+    n = F.size("__want")
+    begins = lambda p: (F.element_at("__chars", p) == F.element_at("__want", F.lit(1))) & (F.slice(F.col("__chars"), p, n) == F.col("__want"))
+    places = F.filter(F.sequence(F.lit(1), F.size("__chars") - n + 1), begins)
+
+    def span(p: Column) -> Column:
+        a, z = F.element_at("__owner", p), F.element_at("__owner", p + n - 1)
+        return F.struct(
+            p.alias("__p"), a.alias("first_item"), z.alias("last_item"), F.element_at("__items", a + 1)["__s"].alias("start_time"), F.element_at("__items", z + 1)["__e"].alias("end_time")
+        )
+
+    hits = joined.where(F.size("__chars") >= n).select(*keys, "variant", "__v", F.explode(F.transform(places, span)).alias("__h")).select(*keys, "variant", "__v", "__h.*")
     best = Window.partitionBy(*keys, "first_item", "last_item").orderBy("__v", "__p")
     hits = hits.withColumn("__n", F.row_number().over(best)).where("__n = 1")
-    spans = hits.select(
-        *keys, "variant", F.element_at("__items", F.col("first_item") + 1)["__s"].alias("start_time"),
-        F.element_at("__items", F.col("last_item") + 1)["__e"].alias("end_time"), "first_item", "last_item",
-    )
+    spans = hits.select(*keys, "variant", "start_time", "end_time", "first_item", "last_item")
     order = Window.partitionBy(*keys).orderBy("start_time", "end_time", "variant", "first_item")
     return spans.withColumn("span_index", F.row_number().over(order) - 1)
 

@@ -63,12 +63,17 @@ def _reclassified(line: Column) -> Column:
     return _let(_let(_let(start, split), judge), cast)
 
 
-def classify_lines(df: DataFrame, value: str) -> DataFrame:
-    """``df`` with ``__reason`` ('quoting', 'columns', 'count', 'term', null for good lines), ``__term`` and ``__count``; skipped lines are gone."""
+def classify_lines(df: DataFrame, value: str, keep_skipped: bool = False) -> DataFrame:
+    """``df`` with ``__reason`` ('quoting', 'columns', 'count', 'term', null for good lines), ``__term`` and ``__count``.
+
+    Skipped lines (null, blank, comment) are gone, or with ``keep_skipped`` stay, told by ``__skipped`` and without reason or term.
+    """
     # Each explode gives one row or none: unlike a filter or a projection it is never merged with its neighbours,
     # so that no expression (and no visit to Python) is computed twice.
     line = strip(F.regexp_replace(F.col(value), "^﻿", ""))
-    rows = df.select(*df.columns, F.explode(F.filter(F.array(line), lambda x: (x != "") & ~x.startswith("#"))).alias("__line"))
+    counts = lambda x: x.isNotNull() & (x != "") & ~x.startswith("#")
+    lines = F.transform(F.array(line), lambda x: F.when(counts(x), x)) if keep_skipped else F.filter(F.array(line), counts)
+    rows = df.select(*df.columns, F.explode(lines).alias("__line"))
     # Permissive read: runs of white space are the separator, inside quotes they are irrelevant (terms have none in the end).
     parsed = F.from_csv(F.regexp_replace("__line", f"{SPACE}+", "\t"), _PARSED.simpleString(), _CSV)
     line = F.col("__line")
@@ -78,7 +83,7 @@ def classify_lines(df: DataFrame, value: str) -> DataFrame:
             csv["_corrupt"].isNull() & (F.coalesce(csv["count"], F.lit(0)) > 0) & ~line.contains('"') & line.rlike(f"{SPACE}[0-9]{{1,19}}\\z")
         )
         good = F.struct(csv["term"].alias("term"), csv["count"].alias("count"), F.lit(None).cast("string").alias("reason"))
-        return F.when(clean, good).otherwise(_reclassified(line))
+        return F.when(line.isNotNull(), F.when(clean, good).otherwise(_reclassified(line)))
 
     rows = rows.select(*df.columns, F.explode(F.transform(F.array(parsed), accept)).alias("__judged"))
     structure = F.col("__judged.reason")
@@ -87,7 +92,8 @@ def classify_lines(df: DataFrame, value: str) -> DataFrame:
     reason = F.when(structure.isNotNull(), structure).when(bad_term, "term")
     rows = rows.select(*df.columns, "__judged", "__norm", reason.alias("__reason"))
     good = F.col("__reason").isNull()
-    return rows.select(*df.columns, "__reason", F.when(good, F.col("__norm")).alias("__term"), F.when(good, F.col("__judged.count")).alias("__count"))
+    skipped = [F.col("__judged").isNull().alias("__skipped")] if keep_skipped else []
+    return rows.select(*df.columns, *skipped, "__reason", F.when(good, F.col("__norm")).alias("__term"), F.when(good, F.col("__judged.count")).alias("__count"))
 
 
 def rejected(df: DataFrame, value: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import grams, nfkc_term, script_term, stable_id, text_blocks
+from ..runtime import materialize
 from .match import ngram_matches
 from .ranking import running
 
@@ -140,8 +141,8 @@ def select_stratified(entries: DataFrame, limit: int, excluded: DataFrame | None
     return chosen.select(*entries.columns, "bucket")
 
 
-def distractors(entries: DataFrame, version: str, prefix: str, role: str) -> DataFrame:
-    """Catalog rows of sampled entries."""
+def distractors(entries: DataFrame, version: str, prefix: str, role: str, keep: list[str] | None = None) -> DataFrame:
+    """Catalog rows of sampled entries, with their columns ``keep``."""
     meta = F.to_json(F.struct(F.lit(role).alias("role"), "total_frequency", "source_frequencies"))
     return entries.select(
         F.lit(version).alias("catalog_version"),
@@ -151,16 +152,23 @@ def distractors(entries: DataFrame, version: str, prefix: str, role: str) -> Dat
         F.lit("zh").alias("language"),
         F.lit(1.0).alias("weight"),
         meta.alias("metadata"),
+        *(keep or []),
     )
 
 
 def check_targets(records: DataFrame) -> None:
-    """Target rows must have unique ids, texts that are not empty, and spellings owned by one id."""
-    fail_if_any(records.where(F.col("id").isNull() | F.col("text").isNull()), "target without id or text", "text")
-    fail_if_any(records.groupBy("id").count().where("count > 1"), "duplicate target id", "id")
-    fail_if_any(records.where(nfkc_term(F.col("text")) == ""), "target with an empty text", "id")
+    """Target rows must have unique ids, texts that are not empty, and spellings owned by one id. One job finds all faults."""
+    fault = lambda df, what, show: df.select(F.lit(what).alias("fault"), F.col(show).cast("string").alias("v"))
     shared = spellings(records).groupBy("spelling").agg(F.count_distinct("id").alias("n")).where("n > 1")
-    fail_if_any(shared, "spelling shared by several ids", "spelling")
+    faults = (
+        fault(records.where(F.col("id").isNull() | F.col("text").isNull()), "target without id or text", "text")
+        .unionByName(fault(records.groupBy("id").count().where("count > 1"), "duplicate target id", "id"))
+        .unionByName(fault(records.where(nfkc_term(F.col("text")) == ""), "target with an empty text", "id"))
+        .unionByName(fault(shared, "spelling shared by several ids", "spelling"))
+    )
+    rows = faults.distinct().orderBy("fault", "v").limit(10).collect()
+    if rows:
+        raise ValueError("; ".join(f"{r.fault}: {r.v}" for r in rows))
 
 
 def targets(records: DataFrame, version: str) -> DataFrame:
@@ -182,23 +190,29 @@ def targets(records: DataFrame, version: str) -> DataFrame:
     )
 
 
-def evaluation_catalog(records: DataFrame, entries: DataFrame, transcripts: DataFrame, text: str, size: int, version: str, seed: int = 42, low: int = 2, high: int = 8) -> DataFrame:
-    """Targets by id, then distractors by falling frequency that are neither a target's spelling nor spoken; ``position`` tells the order."""
+def evaluation_catalog(
+    records: DataFrame, entries: DataFrame, transcripts: DataFrame, text: str, size: int, version: str, seed: int = 42, low: int = 2, high: int = 8, fill: bool = True
+) -> DataFrame:
+    """Targets by id, then distractors by falling frequency that are neither a target's spelling nor spoken; ``position`` tells the order.
+
+    Fewer terms than ``size`` needs raise, unless ``fill`` is off: then all that are left are taken.
+    """
+    records = materialize(records, "targets")
     check_targets(records)
     count = records.count()
     if not 0 < count <= size:
         raise ValueError(f"{count} targets for a catalog of {size}")
-    fitting = entries.where(F.length("text").between(low, high))
+    fitting = materialize(entries.where(F.length("text").between(low, high)), "fitting")
     spoken = spoken_terms(transcripts, text, fitting)
     out = spoken.select("text").unionByName(spellings(records).select(F.col("spelling").alias("text"))).distinct()
-    chosen = select_stratified(entries, size - count, out, seed)
-    if chosen.count() < size - count:
+    chosen = materialize(select_stratified(fitting, size - count, out, seed), "distractors")
+    if fill and chosen.count() < size - count:
         raise ValueError(f"fewer than {size - count} terms are left after exclusion")
     place = F.row_number().over(Window.orderBy(F.col("total_frequency").desc(), "text"))  # at most ``size`` rows
-    rest = chosen.withColumn("position", place + count)
-    rest = distractors(rest, version, "dist", "evaluation_distractor").join(rest.select("text", "position"), "text").select(*ENTRY.fieldNames(), "position")
+    columns = [*ENTRY.fieldNames(), "position"]
+    rest = distractors(chosen.withColumn("position", place + count), version, "dist", "evaluation_distractor", ["position"]).select(*columns)
     first = targets(records, version).withColumn("position", F.row_number().over(Window.orderBy("id")))
-    return first.select(*ENTRY.fieldNames(), "position").unionByName(rest)
+    return first.select(*columns).unionByName(rest)
 
 
 def negative_catalog(entries: DataFrame, size: int, excluded: DataFrame | None = None, seed: int = 42, version: str = "train-neg-v1") -> DataFrame:

@@ -95,15 +95,16 @@ def search_blocks(
     """Top ``k`` phrases of every unit, by matrix products of blocks: ``unit, hotword_id, score, rank, peak_frame, variant``.
 
     ``frames``: ``unit, frame int, vec``; ``keys``: ``hotword_id, variant, key``; vectors normalised beforehand.
-    All variants of a phrase are in one key block and all frames of a unit in one frame block, so a block's own top k
-    is exact and only k rows a unit and block are shuffled on. Each side is sent once per block of the other.
+    All variants of a phrase are in one key block. Frames of a unit are spread over all frame blocks: a phrase of the whole
+    top k is in the top k of the block that holds its best frame, so only k rows a unit and block are shuffled on. Each side is sent once per block of the other.
     With ``growing`` the last column of ``unit`` is a chunk: a chunk's result is that of all frames up to it, kept as a
-    running greatest score, without another look at earlier frames. Similarities are rounded to ``decimals``.
+    running greatest score, without another look at earlier frames; there all frames of a stream are in one block. Similarities are rounded to ``decimals``.
     """
     if k < 0:
         raise ValueError("k must not be negative")
     check_dimensions(keys, "key")
-    stream = unit[:-1] if growing and len(unit) > 1 else unit
+    # Any frame block's own top k is enough, as the greatest score of a phrase lies in some block; only growing results need a stream's frames together.
+    stream = (unit[:-1] or unit) if growing else [*unit, "frame"]
     frame_blocks = max(1, -(-frames.count() // frame_rows))
     key_blocks = max(1, -(-keys.count() // key_rows))
     left = frames.select(*unit, "frame", "vec").withColumns(

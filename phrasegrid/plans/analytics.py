@@ -44,12 +44,7 @@ def _transcripts(spark: SparkSession, d: str) -> DataFrame:
 
 def catalog_evaluation(spark: SparkSession, d: str) -> DataFrame:
     """Targets, then stratified distractors that nobody speaks, up to a catalog of 10,000 (or all that is left)."""
-    entries, targets = _entries(spark, d), materialize(_targets(spark, d), "targets")
-    spoken = catalog.spoken_terms(_transcripts(spark, d), "text", entries)
-    owned = catalog.spellings(targets).select(F.col("spelling").alias("text"))
-    free = materialize(entries.join(spoken.unionByName(owned).distinct(), "text", "left_anti"), "free")
-    size = min(10_000, targets.count() + free.count())
-    return catalog.evaluation_catalog(targets, free, _transcripts(spark, d).where(F.lit(False)), "text", size, "eval-1").select(
+    return catalog.evaluation_catalog(_targets(spark, d), _entries(spark, d), _transcripts(spark, d), "text", 10_000, "eval-1", fill=False).select(
         "position", "id", "text", F.array_join("aliases", ",").alias("aliases"), "language", "weight"
     )
 
@@ -65,10 +60,8 @@ def word_freq_merged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def load_stats(spark: SparkSession, d: str) -> DataFrame:
-    lines = read(spark, d, "word_freq")
-    kept = badrows.classify_lines(lines, "value").select("line_id", F.col("__reason").alias("reason"), F.col("__term").alias("term"))
-    rows = lines.select("line_id", "source").join(kept.withColumn("k", F.lit(1)), "line_id", "left").withColumn("skipped", F.col("k").isNull())
-    return catalog.load_stats(rows)
+    rows = badrows.classify_lines(read(spark, d, "word_freq"), "value", keep_skipped=True)
+    return catalog.load_stats(rows.select("source", F.col("__skipped").alias("skipped"), F.col("__reason").alias("reason"), F.col("__term").alias("term")))
 
 
 def term_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -200,20 +193,25 @@ def marker_parse(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.trim(kind).alias("error")).agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(F.size("mentions")), F.lit(0)).alias("mentions"))
 
 
+def _spans(spark: SparkSession, d: str, mentions: DataFrame) -> DataFrame:
+    items = F.transform(F.split("text", ""), lambda c, i: F.struct(c.alias("text"), (i / 10.0).alias("start_time"), ((i + 1) / 10.0).alias("end_time")))
+    transcripts = _transcript_rows(spark, d).select("record_no", items.alias("items")).where("items is not null")
+    wanted = mentions.where("text is not null").groupBy("record_no").agg(F.sort_array(F.collect_set("text")).alias("variants"))
+    return annotate.find_spans(transcripts.join(wanted, "record_no"), ["record_no"]).select("record_no", "variant", "first_item", "last_item", "span_index")
+
+
 def mention_spans(spark: SparkSession, d: str) -> DataFrame:
     """Every place of a mention's text among the characters of its transcript, a tenth of a second each."""
-    text = annotate.first_filled(F.get_json_object("value", "$.target"), F.get_json_object("value", "$.text"))
-    items = F.transform(F.split(text, ""), lambda c, i: F.struct(c.alias("text"), (i / 10.0).alias("start_time"), ((i + 1) / 10.0).alias("end_time")))
-    transcripts = read(spark, d, "manifest_raw").select("record_no", items.alias("items")).where("items is not null")
-    wanted = _mentions(spark, d).where("text is not null").groupBy("record_no").agg(F.sort_array(F.collect_set("text")).alias("variants"))
-    return annotate.find_spans(transcripts.join(wanted, "record_no"), ["record_no"]).select("record_no", "variant", "first_item", "last_item", "span_index")
+    return _spans(spark, d, _mentions(spark, d))
 
 
 def resolved_spans(spark: SparkSession, d: str) -> DataFrame:
-    spans = materialize(mention_spans(spark, d), "spans").withColumns({"start_time": F.col("first_item") / 10.0, "end_time": (F.col("last_item") + 1) / 10.0}).drop("span_index")
+    mentions = materialize(_mentions(spark, d), "mentions")
+    spans = _spans(spark, d, mentions).withColumns({"start_time": F.col("first_item") / 10.0, "end_time": (F.col("last_item") + 1) / 10.0}).drop("span_index")
     w = Window.partitionBy("record_no", "variant").orderBy("first_item")
-    spans = spans.withColumn("span_index", F.row_number().over(w) - 1)
-    wanted = occurrence_index(spark, d).select("record_no", F.col("text").alias("variant"), "occurrence_index").where("variant is not null")
+    spans = materialize(spans.withColumn("span_index", F.row_number().over(w) - 1), "spans")
+    wanted = annotate.occurrence_index(mentions, "record_no").select("record_no", F.col("text").alias("variant"), F.col("occurrence_index").cast("int").alias("occurrence_index"))
+    wanted = wanted.where("variant is not null")
     return annotate.resolve_spans(spans, wanted, ["record_no", "variant"]).select("record_no", "variant", "occurrence_index", "first_item", "error")
 
 
