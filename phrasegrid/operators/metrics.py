@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import match_text
+from ..functions.text import _folded, match_text
+from .ranking import running
 
 KS = (1, 5, 10, 20, 50)
 
@@ -85,40 +87,50 @@ def transcript_report(pairs: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _rows(reference: np.ndarray, hypothesis: np.ndarray, row: np.ndarray, first: int):
+    """Rows of the table of costs below ``row`` (that of ``first`` reference units), each with the cost of its diagonal moves."""
+    steps = np.arange(len(hypothesis) + 1)
+    for i, code in enumerate(reference, first + 1):
+        diagonal = row[:-1] + (hypothesis != code)
+        best = np.concatenate(([i], np.minimum(diagonal, row[1:] + 1)))
+        cost = np.minimum.accumulate(best - steps) + steps  # insertions run along the row
+        yield cost, diagonal, row
+        row = cost
+
+
 def align(reference: list[str], hypothesis: list[str]) -> list[tuple[str | None, str | None]]:
     """Pairs of a cheapest alignment; going back from the end, diagonal before deletion before insertion.
 
-    Rows of the table are computed by numpy; only back pointers are kept, one byte a cell.
+    Rows are computed by numpy. Of the table only every k-th row is kept (k: the root of their number); going back, the
+    moves of one stretch at a time are made again from the row above it, so memory grows with the root of the table's size.
     """
     n, m = len(reference), len(hypothesis)
     codes = {t: i for i, t in enumerate(dict.fromkeys([*reference, *hypothesis]))}
-    h = np.array([codes[t] for t in hypothesis], dtype=np.int64)
-    steps = np.arange(m + 1)
-    row = steps.copy()
-    back = np.zeros((n + 1, m + 1), dtype=np.int8)
-    back[0, 1:] = 2
-    for i in range(1, n + 1):
-        diagonal = row[:-1] + (h != codes[reference[i - 1]])
-        best = np.empty(m + 1, dtype=np.int64)
-        best[0] = i
-        best[1:] = np.minimum(diagonal, row[1:] + 1)
-        cost = np.minimum.accumulate(best - steps) + steps  # insertions run along the row
-        back[i, 0] = 1
-        back[i, 1:] = np.where(cost[1:] == diagonal, 0, np.where(cost[1:] == row[1:] + 1, 1, 2))
-        row = cost
+    r, h = (np.array([codes[t] for t in x], dtype=np.int64) for x in (reference, hypothesis))
+    stretch = max(1, math.isqrt(n))
+    kept = [np.arange(m + 1)]
+    for i, (cost, _, _) in enumerate(_rows(r, h, kept[0], 0), 1):
+        if i % stretch == 0:
+            kept.append(cost)
     out = []
     i, j = n, m
-    while i or j:
-        b = back[i, j]
-        if b == 0:
-            i, j = i - 1, j - 1
-            out.append((reference[i], hypothesis[j]))
-        elif b == 1:
-            i -= 1
-            out.append((reference[i], None))
-        else:
+    moves: list[np.ndarray] = []
+    while i:
+        top = (i - 1) // stretch * stretch
+        if not moves:
+            for cost, diagonal, above in _rows(r[top:i], h, kept[top // stretch], top):
+                moves.append(np.concatenate(([1], np.where(cost[1:] == diagonal, 0, np.where(cost[1:] == above[1:] + 1, 1, 2)))).astype(np.int8))
+        move = moves[i - 1 - top][j]
+        if move == 2:
             j -= 1
             out.append((None, hypothesis[j]))
+            continue
+        i -= 1
+        moves.pop()
+        if move == 0:
+            j -= 1
+        out.append((reference[i], hypothesis[j] if move == 0 else None))
+    out += [(None, t) for t in reversed(hypothesis[:j])]
     return out[::-1]
 
 
@@ -144,15 +156,13 @@ def partitioned_errors(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """
 
     def run(ref: pd.Series, hyp: pd.Series, hot: pd.Series) -> pd.DataFrame:
-        rows = [_partition(r or "", h or "", k if k is not None else ()) for r, h, k in zip(ref, hyp, hot)]
+        words = lambda k: () if k is None else [_folded(w) for w in k if w is not None]
+        rows = [_partition(r or "", h or "", words(k)) for r, h, k in zip(ref, hyp, hot)]
         return pd.DataFrame(rows, columns=_PARTS.fieldNames(), dtype="int64")
 
     run.__annotations__ = {"ref": pd.Series, "hyp": pd.Series, "hot": pd.Series, "return": pd.DataFrame}
     udf = F.pandas_udf(run, _PARTS)
-    hot = pairs.select(*keys, "reference", "hypothesis", F.posexplode_outer("hotwords").alias("__i", "__w")).withColumn("__w", match_text(F.col("__w")))
-    grouped = hot.groupBy(*keys, "reference", "hypothesis").agg(F.collect_set("__w").alias("__hot"))
-    out = grouped.select(*keys, udf(match_text(F.col("reference")), match_text(F.col("hypothesis")), F.col("__hot")).alias("p"))
-    return out.select(*keys, "p.*")
+    return pairs.select(*keys, udf(match_text(F.col("reference")), match_text(F.col("hypothesis")), F.col("hotwords")).alias("p")).select(*keys, "p.*")
 
 
 def partitioned_report(parts: DataFrame) -> DataFrame:
@@ -169,10 +179,17 @@ def boundary(label: Column) -> Column:
 def hit_scores(runs: DataFrame, keep: list[str], ks=KS) -> DataFrame:
     """Per record: gold size, recall and precision at each k, reciprocal rank, first chunk with gold in its top 50.
 
-    ``runs`` needs ``target_hotword_ids``, ``final_batch`` and ``batches``; null hits and ids match nothing.
+    ``runs`` needs ``target_hotword_ids`` (or, where that is null, ``hotword_ids``), ``final_batch`` (or ``final_hits``) and
+    ``batches``; null hits and ids match nothing, a batch without ``chunk_id`` is chunk 0.
     """
-    gold = F.array_distinct(F.filter(F.coalesce("target_hotword_ids", F.array().cast("array<string>")), lambda x: x.isNotNull()))
-    hits = F.transform("final_batch.hits", lambda h: h["hotword_id"])
+    none = F.array().cast("array<string>")
+    have = lambda *names: [F.col(n) for n in names if n in runs.columns]
+    ids = lambda c: F.transform(c, lambda h: h["hotword_id"])
+    gold = F.array_distinct(F.filter(F.coalesce(*have("target_hotword_ids", "hotword_ids"), none), lambda x: x.isNotNull()))
+    last = F.col("final_batch")
+    hits = ids(last["hits"])
+    if "final_hits" in runs.columns:
+        hits = F.when(last.isNotNull(), hits).otherwise(ids(F.col("final_hits")))
     rows = runs.withColumns({"__gold": gold, "__hits": F.coalesce(hits, F.array().cast("array<string>"))})
     has = lambda a: F.array_contains(F.col("__gold"), a)
     cols: dict[str, Column] = {"gold": F.size("__gold")}
@@ -184,7 +201,7 @@ def hit_scores(runs: DataFrame, keep: list[str], ks=KS) -> DataFrame:
     first = F.array_position(F.transform("__hits", lambda h: F.coalesce(has(h), F.lit(False))), True)
     cols["reciprocal_rank"] = F.when(first > 0, 1.0 / first).otherwise(0.0)
     found = F.filter("batches", lambda b: F.exists(F.slice(F.coalesce(b["hits"], F.slice(b["hits"], 1, 0)), 1, 50), lambda h: F.coalesce(has(h["hotword_id"]), F.lit(False))))
-    cols["first_top50_chunk"] = F.get(found, 0)["chunk_id"]
+    cols["first_top50_chunk"] = F.when(F.size(found) > 0, F.coalesce(F.get(found, 0)["chunk_id"], F.lit(0)))
     return rows.select(*keep, *(c.alias(n) for n, c in cols.items()))
 
 
@@ -210,16 +227,39 @@ def finite(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
 
 
-def percentile_or_zero(value: Column, q: float) -> Column:
-    """Linear percentile of the finite values, 0.0 without any."""
-    return F.coalesce(F.percentile(F.when(finite(value), value), F.lit(q)), F.lit(0.0))
+def exact_percentiles(values: DataFrame, groups: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """``groups`` and one double a name: linear percentiles of the finite values, however many there are and however few groups.
+
+    Equal values are counted before the shuffle; running counts over range partitions find the values at the ranks, so no
+    task holds a group. A group without finite values has no row.
+    """
+    counts = values.where(finite(F.col(value))).groupBy(*groups, (F.col(value).cast("double") + F.lit(0.0)).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    placed = running(counts, groups, [F.col("__v")], "__at", "__c")
+    total = placed.groupBy(*groups).agg(F.sum("__c").alias("__n")).withColumnsRenamed({g: f"__g{i}" for i, g in enumerate(groups)})
+    same = F.lit(True)
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    wanted = total.select(
+        "*", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), (F.col("__n") - 1).cast("double").alias("last"), F.lit(float(q)).alias("q")) for n, q in quantiles.items()))).alias("__q")
+    ).withColumn("__r", F.col("__q.q") * F.col("__q.last"))
+    low, high = F.floor("__r"), F.ceil("__r")
+    holds = lambda r: (F.col("__c_before") <= r) & (r < F.col("__c_before") + F.col("__c"))
+    at = placed.join(wanted, same).where(holds(low) | holds(high))
+    one = at.groupBy(*groups, F.col("__q.name").alias("__name"), (F.col("__r") - low).alias("__part")).agg(
+        F.max(F.when(holds(low), F.col("__v"))).alias("a"), F.max(F.when(holds(high), F.col("__v"))).alias("b")
+    )
+    between = F.col("a") + (F.col("b") - F.col("a")) * F.col("__part")
+    return one.groupBy(*groups).agg(*(F.max(F.when(F.col("__name") == n, between)).alias(n) for n in quantiles))
 
 
 def series_aggregates(values: DataFrame, name: str = "name", value: str = "value", biggest: bool = True) -> DataFrame:
     """Mean, p50, p95 and greatest of long-form measurements ``(name, value)``; names without values are absent."""
     v = F.col(value)
-    aggs = [F.avg(v).alias("mean"), percentile_or_zero(v, 0.5).alias("p50"), percentile_or_zero(v, 0.95).alias("p95")]
-    return values.where(v.isNotNull()).groupBy(name).agg(*aggs, *([F.max(v).alias("max")] if biggest else []))
+    rows = values.where(v.isNotNull()).select(name, value)
+    sums = rows.groupBy(name).agg(F.avg(v).alias("mean"), *([F.max(v).alias("max")] if biggest else []))
+    ranks = exact_percentiles(rows, [name], value, {"p50": 0.5, "p95": 0.95})
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return sums.join(ranks, name, "left").select(name, "mean", zero("p50"), zero("p95"), *(["max"] if biggest else []))
 
 
 #: Measurement families and the field names that may hold them (the first present one counts).
@@ -305,6 +345,53 @@ def bootstrap_exact(values: list[float], samples: int = 2000, seed: int = 42) ->
     return float(np.quantile(means, 0.025)), float(np.quantile(means, 0.975))
 
 
+def bootstrap_nearest(values: list[float], samples: int = 2000, confidence: float = 0.95, seed: int = 42) -> tuple[float, float]:
+    """Driver-side interval by nearest ranks, drawn with Python's generator, for a few thousand differences at most."""
+    if not values:
+        raise ValueError("no differences")
+    draw = random.Random(seed).choice
+    means = sorted(math.fsum(draw(values) for _ in values) / len(values) for _ in range(samples))
+    return tuple(means[i] for i in nearest_ranks(samples, confidence))
+
+
+def nearest_ranks(samples: int, confidence: float) -> tuple[int, int]:
+    """0-based places of the bounds among sorted samples."""
+    outside = (1 - confidence) / 2
+    return max(0, math.floor(outside * samples)), min(samples - 1, math.ceil((1 - outside) * samples) - 1)
+
+
+def run_metrics(runs: DataFrame, ks=KS) -> DataFrame:
+    """Everything a retrieval run is judged by, as ``name string, value double``: utterances, the retrieval report, p50 and p95
+    of every timing, mean real-time factor, greatest memory (0 without any) and, if any record says, the rate of equal offline results."""
+    long = lambda df: df.select(F.explode(F.map_from_arrays(F.array(*(F.lit(c) for c in df.columns)), F.array(*(F.col(c).cast("double") for c in df.columns)))).alias("name", "value"))
+    scores = hit_scores(runs, [c for c in ("boundary_group",) if c in runs.columns], ks)
+    times = runs.select(F.explode("batches").alias("b")).select(F.explode("b.timings_ms").alias("name", "value"))
+    ranks = exact_percentiles(times, ["name"], "value", {"p50": 0.5, "p95": 0.95})
+    pairs = F.explode(F.array(*(F.struct(F.concat(F.col("name"), F.lit(f"_{p}")).alias("name"), F.col(p).alias("value")) for p in ("p50", "p95"))))
+    whole = runs.agg(
+        F.count(F.lit(1)).alias("utterances"), F.coalesce(F.avg("rtf"), F.lit(0.0)).alias("rtf_mean"), F.coalesce(F.max("peak_memory_mb"), F.lit(0.0)).alias("peak_memory_mb_max"),
+        F.avg(F.col("offline_final_exact_match").cast("int")).alias("offline_final_exact_match_rate"),
+    )
+    out = long(whole).unionByName(long(retrieval_report(scores, ks))).unionByName(ranks.select(pairs.alias("e")).select("e.*"))
+    return out.where("value is not null")
+
+
+def verdict(measured: DataFrame) -> DataFrame:
+    """One row of gates over ``name, value`` measurements, and ``go``: all of them. What is not measured does not pass.
+
+    Names beyond those of ``run_metrics``: ``recall_gain`` and ``recall_gain_low`` (the interval's lower bound).
+    """
+    at = lambda n: F.max(F.when(F.col("name") == n, F.col("value"))).alias(n)
+    names = ("recall_gain", "recall_gain_low", "boundary_penalty", "center_utterances", "cross_utterances", "offline_final_exact_match_rate", "search_ms_p95")
+    one = measured.agg(*(at(n) for n in names))
+    both = (F.coalesce("center_utterances", F.lit(0)) > 0) & (F.coalesce("cross_utterances", F.lit(0)) > 0)
+    parts = {
+        "recall_ok": gates(gain=F.col("recall_gain"), low=F.col("recall_gain_low")), "boundary_ok": both & gates(penalty=F.col("boundary_penalty")),
+        "parity_ok": gates(parity=F.col("offline_final_exact_match_rate")), "latency_ok": gates(p95=F.col("search_ms_p95")),
+    }
+    return one.select(*(c.alias(n) for n, c in parts.items())).withColumn("go", F.expr(" and ".join(parts)))
+
+
 def gates(gain: Column | None = None, low: Column | None = None, penalty: Column | None = None, parity: Column | None = None, p95: Column | None = None) -> Column:
     """True if recall gained at least 5 points with a positive lower bound, the penalty is at most 0.03, parity is full and p95 under 10 ms."""
     ok = F.lit(True)

@@ -361,7 +361,7 @@ def recall_by_boundary(spark: SparkSession, d: str) -> DataFrame:
 
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "retrieval_runs").select(F.explode("batches").alias("b")).select(F.explode("b.timings_ms").alias("name", "value"))
-    return rows.groupBy("name").agg(metrics.percentile_or_zero(F.col("value"), 0.5).alias("p50"), metrics.percentile_or_zero(F.col("value"), 0.95).alias("p95"))
+    return metrics.exact_percentiles(rows, ["name"], "value", {"p50": 0.5, "p95": 0.95})
 
 
 def streaming_report(spark: SparkSession, d: str) -> DataFrame:
@@ -417,16 +417,14 @@ def bootstrap_recall(spark: SparkSession, d: str) -> DataFrame:
     return metrics.bootstrap_ci(rows, "gain", "run_no")
 
 
+def run_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.run_metrics(read(spark, d, "retrieval_runs"))
+
+
 def release_gates(spark: SparkSession, d: str) -> DataFrame:
-    named = lambda df, name, value: df.select(F.lit(name).alias("name"), value.cast("double").alias("value"))
-    timing = latency_percentiles(spark, d).where("name = 'search_ms'")
-    parity = read(spark, d, "retrieval_runs").agg(F.avg(F.col("offline_final_exact_match").cast("int")).alias("parity"))
-    rows = named(retrieval_report(spark, d), "penalty", F.col("boundary_penalty")).unionByName(named(timing, "p95", F.col("p95"))).unionByName(named(parity, "parity", F.col("parity")))
-    one = rows.agg(*(F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in ("penalty", "p95", "parity")))
-    return one.select(
-        metrics.gates(penalty=F.col("penalty")).alias("penalty_ok"), metrics.gates(parity=F.col("parity")).alias("parity_ok"),
-        metrics.gates(p95=F.col("p95")).alias("latency_ok"), F.round("parity", 9).alias("parity"),
-    )
+    """Gates over all measurements; the gain is that of recall at 50 over recall at 5 of the same record, with its interval."""
+    gain = bootstrap_recall(spark, d).select(F.explode(F.create_map(F.lit("recall_gain"), F.col("mean"), F.lit("recall_gain_low"), F.col("low"))).alias("name", "value"))
+    return metrics.verdict(run_metrics(spark, d).unionByName(gain))
 
 
 # Streams
@@ -572,7 +570,7 @@ def queries():
         pending_utterances, safe_ids, boundary_variants, jsonl_round_trip, phrase_matches, phrase_matches_automaton, transcript_matches, lattice_evidence,
         vector_top10, phrase_search, accumulated_search, utterance_top50, retrieval_scores, retrieval_report, recall_by_boundary, latency_percentiles,
         streaming_report, keyword_counts, transcript_report, partitioned_errors, partitioned_report, part_name_errors, paired_rtf, bootstrap_recall,
-        release_gates, tumbling_chunks, accumulated_refreshes, revision_prefix, rollback_starts, session_replay, session_stream, audio_pieces,
+        run_metrics, release_gates, tumbling_chunks, accumulated_refreshes, revision_prefix, rollback_starts, session_replay, session_stream, audio_pieces,
         entity_types, entity_records, pronunciations, training_batches, positive_pairs, overlapped_chunks, hotword_languages,
     )
     return {f.__name__: f for f in names}

@@ -1,5 +1,7 @@
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +163,70 @@ def test_distance_of_more_tokens_than_one_unit_can_name(spark):
     a = [f"w{i}" for i in range(8_200)]
     row = spark.createDataFrame([(a, [*a[-3:], "other"])], "a array<string>, b array<string>").select(metrics.token_distance(F.col("a"), F.col("b")).alias("n"))
     assert row.first().n == 8_198
+
+
+def test_alignment_keeps_its_choice_in_little_memory():
+    """The same pairs as from the whole table of moves, whatever the stretch."""
+    rng = random.Random(9)
+    for _ in range(200):
+        a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 14))] for _ in range(2))
+        n, m = len(a), len(b)
+        cost = [[i + j if not i or not j else 0 for j in range(m + 1)] for i in range(n + 1)]
+        for i in range(1, n + 1):
+            for j in range(1, m + 1):
+                cost[i][j] = min(cost[i - 1][j - 1] + (a[i - 1] != b[j - 1]), cost[i - 1][j] + 1, cost[i][j - 1] + 1)
+        i, j, want = n, m, []
+        while i or j:
+            if i and j and cost[i][j] == cost[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
+                i, j = i - 1, j - 1
+                want.append((a[i], b[j]))
+            elif i and cost[i][j] == cost[i - 1][j] + 1:
+                i -= 1
+                want.append((a[i], None))
+            else:
+                j -= 1
+                want.append((None, b[j]))
+        assert metrics.align(a, b) == want[::-1]
+    long = [str(i) for i in range(3000)]
+    assert len(metrics.align(long, long[1:])) == 3000
+
+
+def test_percentiles_without_a_buffer(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([1.0, 2.0, rng.random(), None, float("nan"), float("inf")])) for _ in range(500)] + [("one", 5.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: (r.p50, r.p95) for r in metrics.exact_percentiles(df, ["g"], "v", {"p50": 0.5, "p95": 0.95}).collect()}
+    finite = {g: [v for h, v in rows if h == g and v is not None and math.isfinite(v)] for g, _ in rows}
+    assert got.keys() == {g for g, v in finite.items() if v}
+    assert all(got[g] == pytest.approx((np.percentile(finite[g], 50), np.percentile(finite[g], 95))) for g in got)
+
+
+def test_scores_fall_back(spark):
+    hit = "struct<hotword_id:string>"
+    batch = f"struct<hits:array<{hit}>,chunk_id:int>"
+    rows = [
+        (None, ["x"], ({"hits": [{"hotword_id": "y"}], "chunk_id": 1}), [{"hotword_id": "x"}], [{"hits": [{"hotword_id": "x"}], "chunk_id": None}]),
+        (["x"], ["z"], None, [{"hotword_id": "y"}, {"hotword_id": "x"}], None),
+        (["x"], None, {"hits": None, "chunk_id": 0}, [{"hotword_id": "x"}], [{"hits": [], "chunk_id": 4}]),
+    ]
+    df = spark.createDataFrame(rows, f"target_hotword_ids array<string>, hotword_ids array<string>, final_batch {batch}, final_hits array<{hit}>, batches array<{batch}>")
+    got = [(r.gold, r.reciprocal_rank, r.first_top50_chunk) for r in metrics.hit_scores(df, []).collect()]
+    assert got == [(1, 0.0, 0), (1, 0.5, None), (1, 0.0, None)]
+
+
+def test_intervals_by_nearest_ranks():
+    low, high = metrics.bootstrap_nearest([0.1, 0.2, 0.3, 0.4], 200)
+    assert 0.1 <= low < 0.25 < high <= 0.4 and metrics.bootstrap_nearest([0.1, 0.2, 0.3, 0.4], 200) == (low, high)
+    assert metrics.nearest_ranks(2000, 0.95) == (50, 1949) and metrics.nearest_ranks(1, 0.95) == (0, 0)
+    with pytest.raises(ValueError):
+        metrics.bootstrap_nearest([])
+
+
+def test_verdict(spark):
+    good = {"recall_gain": 0.06, "recall_gain_low": 0.01, "boundary_penalty": 0.03, "center_utterances": 1.0, "cross_utterances": 2.0, "offline_final_exact_match_rate": 1.0, "search_ms_p95": 9.9}
+    of = lambda m: metrics.verdict(spark.createDataFrame([(k, v) for k, v in m.items()], "name string, value double")).first().asDict()
+    assert all(of(good).values())
+    for name, bad, gate in (("recall_gain_low", 0.0, "recall_ok"), ("cross_utterances", 0.0, "boundary_ok"), ("offline_final_exact_match_rate", 0.99, "parity_ok"), ("search_ms_p95", 10.0, "latency_ok")):
+        found = of(good | {name: bad})
+        assert not found["go"] and [k for k, v in found.items() if not v] == [gate, "go"]
+    assert not any(of({"x": 1.0}).values())
