@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import grams, nfkc_term, script_term, stable_id, text_blocks
-from ..runtime import materialize
+from ..runtime import fitting, materialize
 from .match import ngram_matches
 from .ranking import running
 
@@ -202,10 +202,10 @@ def evaluation_catalog(
     count = records.count()
     if not 0 < count <= size:
         raise ValueError(f"{count} targets for a catalog of {size}")
-    fitting = materialize(entries.where(F.length("text").between(low, high)), "fitting")
-    spoken = spoken_terms(transcripts, text, fitting)
+    terms = materialize(entries.where(F.length("text").between(low, high)), "fitting")
+    spoken = spoken_terms(transcripts, text, terms)
     out = spoken.select("text").unionByName(spellings(records).select(F.col("spelling").alias("text"))).distinct()
-    chosen = materialize(select_stratified(fitting, size - count, out, seed), "distractors")
+    chosen = materialize(select_stratified(terms, size - count, out, seed), "distractors")
     if fill and chosen.count() < size - count:
         raise ValueError(f"fewer than {size - count} terms are left after exclusion")
     place = F.row_number().over(Window.orderBy(F.col("total_frequency").desc(), "text"))  # at most ``size`` rows
@@ -215,6 +215,19 @@ def evaluation_catalog(
     return first.select(*columns).unionByName(rest)
 
 
+def catalog_report(targets: DataFrame, manifest: DataFrame, entries: DataFrame, sources: DataFrame, **provenance) -> dict:
+    """Counts of what a catalog was built from, load statistics a source (``sources``: one row each), and ``provenance``."""
+    count = F.count(F.lit(1))
+    return provenance | {
+        "format_version": 1,
+        "target_records": targets.agg(count).first()[0],
+        "target_spellings": spellings(targets).agg(F.count_distinct("spelling")).first()[0],
+        "evaluation_manifest_records": manifest.agg(count).first()[0],
+        "merged_unique_distractor_terms": entries.agg(count).first()[0],
+        "sources": [r.asDict() for r in fitting(sources, "sources").orderBy("source").collect()],
+    }
+
+
 def negative_catalog(entries: DataFrame, size: int, excluded: DataFrame | None = None, seed: int = 42, version: str = "train-neg-v1") -> DataFrame:
     return distractors(select_stratified(entries, size, excluded, seed), version, "neg", "train_negative")
 

@@ -182,6 +182,12 @@ def equal_pairs(left: DataFrame, right: DataFrame, key: str, row: str, column: s
     return left.select(key, row).join(right.select(key, column), key).select(row, column)
 
 
+def ordered_union(*arrays: Column) -> Column:
+    """All elements that are not null once, in order of first appearance: positives, then negatives that are none."""
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.filter(F.concat(*(F.coalesce(a, none) for a in arrays)), lambda x: x.isNotNull()))
+
+
 def left_overlap(chunks: DataFrame, keys: list[str], start: str, samples: int) -> DataFrame:
     """Chunks as sample ranges that begin ``samples`` earlier, but not before the stream; ``overlap`` tells how much is repeated."""
     first = F.min(start).over(Window.partitionBy(*keys))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import common_prefix, match_text, nfkc_term, safe_id, script_term, stable_id
 from ..operators import annotate, badrows, catalog, hooks, lattice, match, metrics, search
-from ..runtime import fitting, join_small, materialize, read, scratch_path
+from ..runtime import fitting, hadoop_path, materialize, read, scratch_path
 from ..sources import readers, writers
-from ..streaming import kernel, sessions
+from ..streaming import kernel, posteriors, sessions
 from . import records
 
 NO_IDS = "array<string>"
@@ -215,6 +215,25 @@ def resolved_spans(spark: SparkSession, d: str) -> DataFrame:
     return annotate.resolve_spans(spans, wanted, ["record_no", "variant"]).select("record_no", "variant", "occurrence_index", "first_item", "error")
 
 
+def mention_ids(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("record_no").orderBy("char_start", "text")
+    rows = _mentions(spark, d).withColumn("i", F.row_number().over(w) - 1)
+    return annotate.mention_ids(rows, "record_no", "i").select("record_no", "char_start", "mention_id")
+
+
+def aligned_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Events as aligned rows, of which some lack keys, name unknown phrases or other targets, or have spans that cannot be."""
+    id_ = F.col("event_id")
+    rows = read(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("source_utt_id"), id_.cast("string").alias("aligned_mention_id"), "event_id",
+        F.when(id_ % 11 != 0, F.concat(F.lit("h"), id_ % 7)).alias("aligned_hotword_id"), (id_ % 13).cast("double").alias("hotword_start_sec"), (id_ % 17).cast("double").alias("hotword_end_sec"),
+    )
+    rows = rows.withColumn("target_hotword_ids", F.when(id_ % 5 == 0, F.array(F.lit("other"), F.lit("h1"))).otherwise(F.array("aligned_hotword_id")))
+    known = spark.range(6).select(F.concat(F.lit("h"), F.col("id")).alias("id"))
+    seconds = rows.select("source_utt_id").distinct().withColumn("seconds", F.lit(15.0))
+    return annotate.check_aligned(rows.where("event_id % 19 <> 0"), rows.select("source_utt_id", "aligned_mention_id"), known, seconds)
+
+
 def key_reconcile(spark: SparkSession, d: str) -> DataFrame:
     """(utterance, phrase) pairs that the manifest expects and the runs lack, or the other way round, or doubled."""
     j = lambda n: F.get_json_object("value", f"$.{n}")
@@ -250,6 +269,82 @@ def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_jsonl(spark, path, catalog.ENTRY).select("id", "text", F.array_join("aliases", ",").alias("aliases"), "weight", "metadata")
 
 
+def index_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Embedding keys saved as an index and loaded again."""
+    path = scratch_path(spark, "index")
+    keys = read(spark, d, "embeddings").select(F.format_string("h%d", "label").alias("hotword_id"), F.format_string("v%07d", "vec_id").alias("variant"), F.col("embedding").alias("key"))
+    search.save_index(keys, path, "v1")
+    return search.load_index(spark, path).select("hotword_id", "variant", F.size("key").alias("dim"), F.round(F.col("key")[0].cast("double"), 6).alias("first"))
+
+
+def append_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """Half of the events, then all of them, appended to one output, and once more: each stands there once."""
+    path = scratch_path(spark, "appended")
+    events = read(spark, d, "events").select("event_id", "ts")
+    counts = [writers.append_new(part, path, ["event_id"]) for part in (events.where("event_id % 2 = 0"), events, events)]
+    if counts[2]:
+        raise ValueError(f"{counts[2]} rows were appended again")
+    return spark.read.parquet(path).groupBy("event_id").agg(F.count(F.lit(1)).alias("copies"))
+
+
+def _tone(n: int) -> bytes:
+    import io
+    import wave
+
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setparams((1, 2, 16000, 0, "NONE", ""))
+        w.writeframes((1000).to_bytes(2, "little") * n)
+    return out.getvalue()
+
+
+def wave_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A recording for every nation, with silence put before it, decoded."""
+    import pandas as pd
+
+    def tones(n: pd.Series) -> pd.Series:
+        return n.map(lambda k: _tone(1600 + int(k)))
+
+    tones.__annotations__ = {"n": pd.Series, "return": pd.Series}
+    rows = read(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") % 3 * 0.05).alias("s"))
+    files = rows.withColumn("content", F.pandas_udf(tones, "binary")(F.col("n_nationkey")))
+    heard = readers.waves(writers.silenced(files, "content", "s"))
+    silent = F.size(F.filter("samples", lambda x: x == 0))
+    return heard.select("n_nationkey", "rate", F.size("samples").alias("samples"), silent.alias("silent"), F.round("seconds", 6).alias("seconds"))
+
+
+def audio_joined(spark: SparkSession, d: str) -> DataFrame:
+    """Utterances (one a nation) and the recordings that lie in a folder by their names; every fifth has none."""
+    folder = scratch_path(spark, "audio")
+    for k in [r[0] for r in read(spark, d, "nation").select("n_nationkey").where("n_nationkey % 5 <> 0").limit(100).collect()]:
+        where, files = hadoop_path(spark, f"{folder}/part{k % 2}/{k}.wav")
+        out = files.create(where)
+        out.write(bytearray(_tone(16)))
+        out.close()
+    rows = read(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("utt_id"))
+    return readers.with_audio(rows, readers.file_index(spark, folder), "utt_id").select("utt_id", F.col("path").isNotNull().alias("has_audio"))
+
+
+def tagged_transcripts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as lines of tagged text, written, read and parsed."""
+    path = scratch_path(spark, "tagged")
+    tagged = F.concat("p_name", F.lit(" ["), "p_brand", F.lit("]("), F.split("p_type", " ")[0], F.lit(")"))
+    read(spark, d, "part").select(F.concat_ws(" ", F.col("p_partkey").cast("string"), tagged).alias("value")).write.text(path)
+    rows = annotate.parse_annotated(readers.read_tagged(spark, path), "tagged")
+    first = F.col("mentions")[0]
+    return rows.select("utt_id", "tagged", "transcript", first["text"].alias("first_entity"), first["char_start"].alias("first_start"), F.size("mentions").alias("mentions"))
+
+
+def catalog_report(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of the report that goes with the evaluation catalog, written as JSON and read back."""
+    path = scratch_path(spark, "report") + ".json"
+    report = catalog.catalog_report(_targets(spark, d), read(spark, d, "manifest_raw"), _entries(spark, d), load_stats(spark, d), purpose="evaluation", seed=42)
+    writers.write_report(spark, path, report)
+    counts = [k for k, v in report.items() if k.startswith(("target_", "evaluation_", "merged_"))]
+    back = spark.read.option("multiLine", "true").json(path)
+    return back.select(F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.col(k).alias("value")) for k in counts))).alias("e")).select("e.*")
+
+
 # Matching
 
 
@@ -288,13 +383,17 @@ def lattice_evidence(spark: SparkSession, d: str) -> DataFrame:
     automaton = match.Automaton()
     for i in range(1, 63):
         automaton.add((f"s{i}", f"s{i + 1}"), f"p{i:02d}")
+    found = lattice.lattice_matches(_posteriors(spark, d), automaton.freeze(), [f"s{i}" for i in range(64)], 0, least=0.02)
+    return found.select("session_id", "chunk_id", "kind", "phrase", F.round("confidence", 9).alias("confidence"), "start_frame")
+
+
+def _posteriors(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings of a label as the frames of a session, 25 a chunk."""
     rows = read(spark, d, "embeddings").withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
     scaled = F.transform("embedding", lambda x: x.cast("double") * 12)
     total = F.log(F.aggregate(F.transform(scaled, F.exp), F.lit(0.0), lambda a, x: a + x))
     frames = rows.select(F.concat(F.lit("l"), F.col("label")).alias("session_id"), F.floor(F.col("n") / 25).cast("int").alias("chunk_id"), "n", F.transform(scaled, lambda x: x - total).alias("row"))
-    chunks = frames.groupBy("session_id", "chunk_id").agg(F.min("n").alias("frame_offset"), F.transform(F.sort_array(F.collect_list(F.struct("n", "row"))), lambda r: r["row"]).alias("log_probs"))
-    found = lattice.lattice_matches(chunks, automaton.freeze(), [f"s{i}" for i in range(64)], 0, least=0.02)
-    return found.select("session_id", "chunk_id", "kind", "phrase", F.round("confidence", 9).alias("confidence"), "start_frame")
+    return frames.groupBy("session_id", "chunk_id").agg(F.min("n").alias("frame_offset"), F.transform(F.sort_array(F.collect_list(F.struct("n", "row"))), lambda r: r["row"]).alias("log_probs"))
 
 
 # Search
@@ -411,6 +510,23 @@ def paired_rtf(spark: SparkSession, d: str) -> DataFrame:
     return metrics.paired_differences(runs.select("run_no", "utt_id", "rtf"), runs, ["utt_id"], ["logged_at", "run_no"], "rtf").select("run_no", "utt_id", "difference")
 
 
+def partition_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What partitioned errors add up to: the units of the reference, and its edit distance."""
+    rows = metrics.partitioned_errors(_pairs(spark, d), ["utt_id"])
+    return rows.select("utt_id", (F.col("biased_ref") + F.col("unbiased_ref")).alias("units"), (F.col("biased_errors") + F.col("unbiased_errors")).alias("errors"))
+
+
+def bootstrap_check(spark: SparkSession, d: str) -> DataFrame:
+    """The interval's mean, whether it lies between the bounds, and whether these are those of the normal law within a tenth of its width."""
+    gains = _hit_scores(spark, d).where("gold > 0").select((F.col("recall_at_50") - F.col("recall_at_5")).alias("g"))
+    error = gains.select(F.lit("error").alias("name"), "g").groupBy("name").agg((F.stddev_samp("g") / F.sqrt(F.count("g"))).alias("value"))
+    bounds = bootstrap_recall(spark, d)
+    named = bounds.select(F.explode(F.create_map(*(x for c in bounds.columns for x in (F.lit(c), F.col(c))))).alias("name", "value")).unionByName(error)
+    one = named.agg(*(F.max(F.when(F.col("name") == c, F.col("value"))).alias(c) for c in ("mean", "low", "high", "error")))
+    near = lambda bound, side: F.abs(F.col(bound) - (F.col("mean") + side * 1.96 * F.col("error"))) <= 0.392 * F.col("error")
+    return one.select(F.round("mean", 9).alias("mean"), ((F.col("low") <= F.col("mean")) & (F.col("mean") <= F.col("high"))).alias("ordered"), (near("low", -1) & near("high", 1)).alias("as_wide_as_normal"))
+
+
 def bootstrap_recall(spark: SparkSession, d: str) -> DataFrame:
     """Interval of the mean gain of recall at 50 over recall at 5."""
     rows = _hit_scores(spark, d).where("gold > 0").select("run_no", (F.col("recall_at_50") - F.col("recall_at_5")).alias("gain"))
@@ -519,6 +635,40 @@ def session_stream(spark: SparkSession, d: str) -> DataFrame:
     return _session_columns(lines.select(F.from_json("value", sessions.RESULT).alias("r")).select("r.*"))
 
 
+def session_check(spark: SparkSession, d: str) -> DataFrame:
+    """Per session: results, its last text, and whether what is committed only grows, adds up to that text, and ends once."""
+    w = Window.partitionBy("session_id").orderBy("seq", "is_final")
+    rows = session_replay(spark, d).withColumn("before", F.coalesce(F.lag("stable_text").over(w), F.lit("")))
+    ordered = F.sort_array(F.collect_list(F.struct("seq", "is_final", "committed_delta")))
+    last = F.max(F.when(F.col("is_final"), F.col("stable_text")))
+    sums = rows.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("results"), last.alias("final_text"), F.every(F.col("stable_text").startswith(F.col("before"))).alias("prefix_grows"),
+        (F.array_join(F.transform(ordered, lambda x: x["committed_delta"]), "") == last).alias("deltas_add_up"), (F.count_if("is_final") == 1).alias("one_end"),
+    )
+    return sums
+
+
+def session_lookahead(spark: SparkSession, d: str) -> DataFrame:
+    """The same sessions, with chunks that wait for 200 ms more while a candidate is neither likely nor unlikely."""
+    policy = kernel.Policy(lookahead_samples=3200)
+    out = sessions.replay(_known(_chunks(spark, d), spark, d), _session_catalog(spark, d), policy)
+    return _session_columns(out).join(out.select("session_id", "seq", "is_final", "chunk_id", "audio_samples"), ["session_id", "seq", "is_final", "chunk_id"])
+
+
+def session_acoustic(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions without text: candidates come from posterior frames alone (see ``lattice_evidence``)."""
+    phrases = [{"id": f"p{i:02d}", "text": f"phrase {i}", "weight": 1.0, "paths": [[f"s{i}", f"s{i + 1}"]]} for i in range(1, 63)]
+    rows = _posteriors(spark, d)
+    last = Window.partitionBy("session_id")
+    rows = rows.select(
+        "session_id", F.col("chunk_id").cast("bigint").alias("seq"), F.lit("").alias("hypothesis"), F.lit(16000).cast("bigint").alias("n_samples"), F.lit(None).cast(NO_IDS).alias("enabled"),
+        (F.col("chunk_id") == F.max("chunk_id").over(last)).alias("end"), "log_probs",
+    )
+    sounds = posteriors.Sounds(tuple(f"s{i}" for i in range(64)), 0, {"least": 0.02})
+    out = sessions.replay(rows, kernel.Catalog.build(phrases, sessions.folded), kernel.Policy(enter=0.02, leave=0.01), sounds)
+    return out.select("session_id", "seq", F.array_join("active_ids", ",").alias("active"), F.array_join("confirmed_ids", ",").alias("confirmed"), "prompt", "open_paths", "is_final")
+
+
 def audio_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Final audio of every run cut into pieces of 100 ms at 16 kHz."""
     rows = read(spark, d, "retrieval_runs").where("final_batch.accumulated_audio_sec > 0")
@@ -547,6 +697,13 @@ def training_batches(spark: SparkSession, d: str) -> DataFrame:
     return hooks.batch_numbers(rows, [hooks.epoch_order("record_no", 42, 1)], 48, ["shard"])
 
 
+def training_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Phrases a run is trained against: what it hit, then shared negatives that it did not hit."""
+    shared = [r[0] for r in read(spark, d, "hotwords").orderBy("id").limit(20).select("text").collect()]
+    hits = F.transform("final_batch.hits", lambda h: h["variant"])
+    return read(spark, d, "retrieval_runs").select("run_no", F.array_join(hooks.ordered_union(hits, F.array(*map(F.lit, shared))), ",").alias("candidates"))
+
+
 def positive_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Batches of a run and phrases of the catalog that spell their best hit alike."""
     hits = read(spark, d, "retrieval_runs").select("run_no", F.get("final_batch.hits", F.lit(0))["variant"].alias("text")).where("text is not null")
@@ -572,5 +729,7 @@ def queries():
         streaming_report, keyword_counts, transcript_report, partitioned_errors, partitioned_report, part_name_errors, paired_rtf, bootstrap_recall,
         run_metrics, release_gates, tumbling_chunks, accumulated_refreshes, revision_prefix, rollback_starts, session_replay, session_stream, audio_pieces,
         entity_types, entity_records, pronunciations, training_batches, positive_pairs, overlapped_chunks, hotword_languages,
+        mention_ids, aligned_faults, index_round_trip, append_resumed, wave_round_trip, audio_joined, tagged_transcripts, catalog_report, partition_totals,
+        bootstrap_check, session_check, session_lookahead, session_acoustic, training_candidates,
     )
     return {f.__name__: f for f in names}

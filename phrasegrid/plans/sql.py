@@ -6,17 +6,36 @@ import unicodedata
 
 from . import records
 
-# Single characters with a single-character NFKC form, by rule: radicals, full-width forms, superscripts.
-_FROM = [chr(c) for r in ((0x2F00, 0x2FD6), (0xFF01, 0xFF5F), (0xB2, 0xB4), (0xB9, 0xBA)) for c in range(*r)]
+# By rule: characters whose NFKC form is one other character, and those of general punctuation and of the ligatures with a longer form.
+_FROM = [c for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x30000)]) if len(unicodedata.normalize("NFKC", c)) == 1 and unicodedata.normalize("NFKC", c) != c]
 _PLAIN = "".join(_FROM)
 _NORMAL = "".join(unicodedata.normalize("NFKC", c) for c in _FROM)
+_LONG = {c: unicodedata.normalize("NFKC", c) for c in map(chr, [*range(0x2010, 0x2050), *range(0xFB00, 0xFB07)]) if len(unicodedata.normalize("NFKC", c)) > 1}
 _W = "\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 
 
-def norm(x: str) -> str:
-    """NFKC (as far as test data need it) without white space."""
+def nfkc(x: str) -> str:
+    """NFKC; text of ASCII and ideographs is its own."""
     quote = lambda s: s.replace("'", "''")
-    return f"regexp_replace(translate({x}, '{quote(_PLAIN)}', '{quote(_NORMAL)}'), '[{_W}]+', '', 'g')"
+    long = x
+    for c, form in _LONG.items():
+        long = f"replace({long}, '{c}', '{quote(form)}')"
+    return f"CASE WHEN regexp_full_match({x}, '[\\x00-\\x7f\\x{{3400}}-\\x{{4dbf}}\\x{{4e00}}-\\x{{9fff}}]*', 's') THEN {x} ELSE nfc_normalize(translate({long}, '{quote(_PLAIN)}', '{quote(_NORMAL)}')) END"
+
+
+def norm(x: str) -> str:
+    """NFKC without white space."""
+    return f"regexp_replace({nfkc(x)}, '[{_W}]+', '', 'g')"
+
+
+def folded(x: str) -> str:
+    """NFKC, lower case, white space to single blanks, trimmed."""
+    return f"trim(regexp_replace(lower({nfkc(x)}), '[{_W}]+', ' ', 'g'))"
+
+
+def aligned(x: str) -> str:
+    """NFKC, lower case, letters and digits only."""
+    return f"regexp_replace(lower({nfkc(x)}), '[^\\pL\\pN]+', '', 'g')"
 
 
 _HAN = "^[\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}]{2,8}$"
@@ -61,10 +80,10 @@ _CENTER, _CROSS = (f"coalesce(avg(recall_at_50) FILTER (b = '{x}'), 0.0)" for x
 _PAIRS = f"""{_MAN}, runs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY utt_id ORDER BY logged_at DESC, run_no DESC) AS k FROM retrieval_runs WHERE utt_id IS NOT NULL) WHERE k = 1),
 lastm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY utt_id ORDER BY received_at DESC, record_no DESC) AS k FROM man WHERE utt_id IS NOT NULL AND target IS NOT NULL) WHERE k = 1),
 want AS (SELECT utt_id, list_distinct(list(h.text)) AS hotwords FROM (SELECT utt_id, unnest(target_hotword_ids) AS id FROM runs) r JOIN hotwords h USING (id) GROUP BY utt_id),
-pairs AS (SELECT m.utt_id, m.target AS reference, coalesce(array_to_string(list_transform(r.final_batch.hits, lambda h: h.variant), ' '), '') AS hypothesis, w.hotwords
+pairs AS (SELECT m.utt_id, m.target AS reference, coalesce(array_to_string(list_transform(r.final_batch.hits, lambda h: h.variant), ' '), '') AS hypothesis, r.boundary_group, r.rtf, w.hotwords
   FROM lastm m JOIN runs r USING (utt_id) LEFT JOIN want w USING (utt_id)),
-folded AS (SELECT utt_id, len(coalesce(hotwords, [])) AS n, trim(regexp_replace(lower(reference), '[{_W}]+', ' ', 'g')) AS r, trim(regexp_replace(lower(hypothesis), '[{_W}]+', ' ', 'g')) AS h, coalesce(hotwords, []) AS hotwords FROM pairs),
-each AS (SELECT utt_id, n, r, h, trim(regexp_replace(lower(k), '[{_W}]+', ' ', 'g')) AS k FROM (SELECT utt_id, n, r, h, unnest(CASE WHEN len(hotwords) = 0 THEN [''] ELSE hotwords END) AS k FROM folded)),
+folded AS (SELECT utt_id, len(coalesce(hotwords, [])) AS n, {folded('reference')} AS r, {folded('hypothesis')} AS h, coalesce(hotwords, []) AS hotwords FROM pairs),
+each AS (SELECT utt_id, n, r, h, {folded('k')} AS k FROM (SELECT utt_id, n, r, h, unnest(CASE WHEN len(hotwords) = 0 THEN [''] ELSE hotwords END) AS k FROM folded)),
 cnt AS (SELECT utt_id, n, CASE WHEN k = '' THEN 0 ELSE (len(r) - len(replace(r, k, ''))) // len(k) END AS e, CASE WHEN k = '' THEN 0 ELSE (len(h) - len(replace(h, k, ''))) // len(k) END AS p FROM each),
 sums AS (SELECT utt_id, n, CAST(sum(e) AS BIGINT) AS keyword_ref, CAST(sum(p) AS BIGINT) AS keyword_hyp, CAST(sum(least(e, p)) AS BIGINT) AS keyword_tp FROM cnt GROUP BY ALL)"""
 _FINITE = "value IS NOT NULL AND NOT isnan(value) AND NOT isinf(value)"
@@ -85,7 +104,6 @@ SELECT source, count(*) AS total_lines, count(*) FILTER (fits) AS accepted_lines
     q["frequency_buckets"] = _ENTRIES + _BUCKETS.format(src="entries") + " SELECT text, rank, CAST(bucket AS INTEGER) AS bucket FROM bucketed"
     q["stratified_sample"] = _ENTRIES + _BUCKETS.format(src="entries") + """, placed AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY sha256('42:' || CAST(bucket AS VARCHAR) || ':' || text), text) - 1 AS pos FROM bucketed)
 SELECT text, CAST(total_frequency AS VARCHAR) AS total_frequency, CAST(bucket AS INTEGER) AS bucket FROM placed ORDER BY pos, bucket LIMIT 200"""
-    q["catalog_negatives"] = None
     q["stable_ids"] = f"SELECT id, 'neg-' || substr(sha256({norm('text')}), 1, 16) AS stable_id FROM hotwords"
     q["negative_vocabulary"] = f"""WITH l AS (SELECT regexp_replace(regexp_replace(regexp_replace(value, '^\\x{{feff}}', ''), '^[{_W}]+', ''), '[{_W}]+$', '') AS l FROM word_freq)
 SELECT DISTINCT term FROM (SELECT l, regexp_replace(l, '[{_W}]+\\p{{Nd}}+$', '') AS term FROM l) WHERE l <> '' AND NOT starts_with(l, '#') AND term <> ''"""
@@ -190,4 +208,6 @@ SELECT id, CAST(i - 1 AS INTEGER) AS n, array_to_string(p[i], ' ') AS path FROM
     q["overlapped_chunks"] = f'SELECT run_no, seq, greatest(0, start - 3200) AS "from", start - greatest(0, start - 3200) AS overlap FROM ({q["audio_pieces"]})'
     q["hotword_languages"] = """SELECT coalesce(n, l) AS language, count(*) AS phrases FROM (SELECT trim(coalesce(language, 'zh')) AS l FROM hotwords)
 LEFT JOIN (VALUES ('zh', 'Chinese'), ('zh-cn', 'Chinese'), ('chinese', 'Chinese'), ('en', 'English'), ('english', 'English'), ('yue', 'Cantonese'), ('cantonese', 'Cantonese')) v(k, n) ON lower(l) = k GROUP BY 1"""
-    return {k: v for k, v in q.items() if v}
+    from . import sql_texts
+
+    return q | sql_texts.oracle_sql()

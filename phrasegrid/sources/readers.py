@@ -15,7 +15,7 @@ from ..functions.text import SPACE, strip
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: bool = True) -> DataFrame:
     """JSON objects, one a line; a leading byte-order mark and blank lines are dropped. ``strict`` fails on the first bad
-    line, else bad lines are left out."""
+    line; else bad lines are rows of nulls whose raw text stands in ``_corrupt_record`` (null for good lines)."""
     lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("value")).where(strip(F.col("value")) != "")
     return parse_jsonl(lines, "value", schema, strict)
 
@@ -25,7 +25,7 @@ def parse_jsonl(lines: DataFrame, value: str, schema: T.StructType, strict: bool
         return lines.select(F.from_json(value, schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
     wide = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
     parsed = lines.select(F.from_json(value, wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
-    return parsed.where("r._corrupt_record is null").select("r.*").drop("_corrupt_record")
+    return parsed.select("r.*")
 
 
 def read_word_lines(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
@@ -53,6 +53,22 @@ def file_index(spark: SparkSession, root: str, suffix: str = ".wav") -> DataFram
     return files.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"), "path")
 
 
+def with_audio(records: DataFrame, index: DataFrame, key: str) -> DataFrame:
+    """``records`` with the ``path`` of the file whose stem is their ``key``; null where there is none. Of several files of one
+    stem the first path counts."""
+    one = index.groupBy(F.col("stem").alias(key)).agg(F.min("path").alias("path"))
+    return records.join(one, key, "left")
+
+
+def require_audio(joined: DataFrame, key: str) -> DataFrame:
+    """``joined`` as it is, unless a record has no file: that raises, with how many and the first ten."""
+    missing = joined.where(F.col("path").isNull())
+    some = [r[0] for r in missing.select(F.col(key).cast("string")).orderBy(key).limit(10).collect()]
+    if some:
+        raise ValueError(f"{missing.count()} records without audio: {', '.join(some)}")
+    return joined
+
+
 def sha256_files(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").load(root).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
@@ -88,6 +104,24 @@ def waves(files: DataFrame, content: str = "content", rate: int | None = 16000)
     return files.withColumn("__w", F.pandas_udf(run, _WAVE)(F.col(content))).select(*files.columns, "__w.*")
 
 
+def wave_headers(files: DataFrame, content: str = "content") -> DataFrame:
+    """``files`` with ``rate, seconds, error`` of their headers; no sample is decoded."""
+    schema = T.StructType([f for f in _WAVE.fields if f.name != "samples"])
+
+    def header(raw) -> tuple:
+        try:
+            with wave.open(io.BytesIO(bytes(raw))) as w:
+                return w.getframerate(), w.getnframes() / w.getframerate(), None
+        except (wave.Error, EOFError, TypeError) as error:
+            return None, None, f"no WAV: {error}"
+
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([header(c) for c in s], columns=schema.fieldNames())
+
+    run.__annotations__ = {"s": pd.Series, "return": pd.DataFrame}
+    return files.withColumn("__w", F.pandas_udf(run, schema)(F.col(content))).select(*files.columns, "__w.*")
+
+
 def pieces(total: Column, step: int) -> Column:
     """Array of (seq, start, n) of consecutive pieces of ``step`` samples, the last one shorter."""
     count = F.ceil(total / step).cast("int")

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import io
+import json
 import wave
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import hadoop_path
+
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One object a line, keys sorted, characters as they are, null fields left out."""
@@ -25,15 +28,23 @@ def append_new(df: DataFrame, path: str, keys: list[str]) -> int:
     doubled = df.groupBy(*keys).count().where("count > 1").limit(1).collect()
     if doubled:
         raise ValueError(f"doubled key {doubled[0]}")
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    where, files = hadoop_path(spark, path)
+    exists = files.exists(where)
     new = df
     if exists:
         done = spark.read.parquet(path).select(*keys).distinct()
         new = df.join(done, keys, "left_anti")
-    before = spark.read.parquet(path).count() if exists else 0
-    new.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    written = Observation()
+    new.observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return written.get["n"]
+
+
+def write_report(spark: SparkSession, path: str, report: dict) -> None:
+    """A small report as one indented JSON file with sorted keys, in any file system the session knows."""
+    where, files = hadoop_path(spark, path)
+    out = files.create(where, True)
+    out.write(bytearray((json.dumps(report, ensure_ascii=False, indent=2, sort_keys=True) + "\n").encode()))
+    out.close()
 
 
 def with_silence(content: bytes, seconds: float) -> bytes:
