@@ -147,7 +147,7 @@ def enabled_or_all(ids: Column, everything: Column) -> Column:
     return F.when(F.size(F.coalesce(ids, F.array().cast("array<string>"))) > 0, ids).otherwise(everything)
 
 
-def decode_projection(df: DataFrame, elapsed: str, samples: str, revisions: str, stable: str, rate: int = 16000) -> DataFrame:
+def decode_projection(df: DataFrame, elapsed: str, samples: str, revisions: str, stable: str | Column, rate: int = 16000) -> DataFrame:
     """``duration_sec``, ``rtf`` and ``revision_rate`` (revisions a character of stable text)."""
     seconds = F.col(samples) / rate
     return df.withColumns(

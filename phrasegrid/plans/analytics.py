@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import common_prefix, match_text, nfkc_term, safe_id, script_term, stable_id
 from ..operators import annotate, badrows, catalog, hooks, lattice, match, metrics, search
 from ..runtime import fitting, hadoop_path, materialize, read, scratch_path
-from ..sources import readers, writers
+from ..sources import catalogs, readers, writers
 from ..streaming import kernel, posteriors, sessions
 from . import records
 
@@ -345,6 +346,69 @@ def catalog_report(spark: SparkSession, d: str) -> DataFrame:
     return back.select(F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.col(k).alias("value")) for k in counts))).alias("e")).select("e.*")
 
 
+def jsonl_lenient(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the manifest, every seventh cut short, read leniently: how many are good, and how many are kept as raw text."""
+    lines = read(spark, d, "manifest_raw").select(F.when(F.col("record_no") % 7 == 0, F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value")).alias("value"))
+    rows = readers.parse_jsonl(lines, "value", T.StructType([T.StructField("key", T.StringType()), T.StructField("text", T.StringType())]), strict=False)
+    return rows.groupBy(F.col("_corrupt_record").isNull().alias("good")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+def catalog_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Catalog written as JSON lines and read with its checks and defaults."""
+    path = scratch_path(spark, "catalog-checked")
+    hot = read(spark, d, "hotwords")
+    version = hot.agg(F.max("catalog_version")).first()[0]  # a catalog has one
+    writers.write_jsonl(hot.where(F.col("catalog_version") == version), path)
+    return catalogs.read_catalog(spark, path).select("id", "text", F.array_join("aliases", ",").alias("aliases"), "language", "weight")
+
+
+def manifest_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Complete manifest lines written as text and read under either spelling of their fields."""
+    path = scratch_path(spark, "manifest-lines")
+    good = read(spark, d, "manifest_raw").join(manifest_invalid(spark, d).select("record_no"), "record_no", "left_anti")
+    good.select("value").write.text(path)
+    rows = catalogs.read_manifest(spark, path)
+    return rows.groupBy("key", "source", "target", F.array_join("target_hotword_ids", ",").alias("target_ids")).agg(F.count(F.lit(1)).alias("copies"))
+
+
+def word_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Names of parts as several named text sources."""
+    paths = {f"s{k}": scratch_path(spark, f"words-{k}") for k in range(3)}
+    for k, path in enumerate(paths.values()):
+        read(spark, d, "part").where(F.col("p_size") % 3 == k).select(F.concat_ws(" ", "p_name", F.col("p_size").cast("string")).alias("value")).write.text(path)
+    return readers.read_word_lines(spark, paths).groupBy("source", "value").agg(F.count(F.lit(1)).alias("lines"))
+
+
+def decoded_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Output columns of decoded runs: seconds, real-time factor, revisions a character."""
+    sec = F.col("final_batch.accumulated_audio_sec")
+    rows = read(spark, d, "retrieval_runs").where("final_batch.accumulated_audio_sec is not null").select(
+        "run_no", (sec * 16000).alias("samples"), (sec * 0.25).alias("elapsed"), F.size(F.coalesce("batches", F.slice("batches", 1, 0))).alias("revisions"), "utt_id"
+    )
+    out = hooks.decode_projection(rows.withColumn("revisions", F.greatest("revisions", F.lit(0))), "elapsed", "samples", "revisions", F.coalesce("utt_id", F.lit("")))
+    return out.select("run_no", *(F.round(c, 9).alias(c) for c in ("duration_sec", "rtf", "revision_rate")))
+
+
+def contexts(spark: SparkSession, d: str) -> DataFrame:
+    """What a decoder is told of each run: the phrases wanted, or the first of the catalog where none is."""
+    ids = F.filter(F.coalesce("target_hotword_ids", F.array().cast(NO_IDS)), lambda x: x.isNotNull())
+    rows = read(spark, d, "retrieval_runs").select("run_no", ids.alias("ids"))
+    both = [("wanted", F.col("ids")), ("enabled", hooks.enabled_or_all(F.col("ids"), F.array(F.lit("all"), F.lit("phrases"))))]
+    return rows.select("run_no", *(hooks.render_context(F.lit("Talk."), c).alias(n) for n, c in both))
+
+
+def aligned_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Records of resolved mentions, one an occurrence: own names where a record has several, times in milliseconds."""
+    rows = resolved_spans(spark, d).where("error is null")
+    n = F.count(F.lit(1)).over(Window.partitionBy("record_no"))
+    rows = rows.select(
+        F.col("record_no").cast("string").alias("source_utt_id"), F.concat(F.lit("#m "), F.col("record_no"), F.lit("/"), F.col("first_item")).alias("mention"), n.alias("n"),
+        (F.col("first_item") * 0.1005).alias("start_time"), (F.col("first_item") * 0.1005 + 0.5).alias("end_time"),
+    )
+    out = annotate.aligned_records(rows, "source_utt_id", "mention", "n")
+    return out.select("source_utt_id", "utt_id", "mention", F.round("hotword_start_sec", 3).alias("hotword_start_sec"), F.round("hotword_end_sec", 3).alias("hotword_end_sec"))
+
+
 # Matching
 
 
@@ -649,10 +713,13 @@ def session_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 def session_lookahead(spark: SparkSession, d: str) -> DataFrame:
-    """The same sessions, with chunks that wait for 200 ms more while a candidate is neither likely nor unlikely."""
+    """The same sessions, with chunks that wait for 200 ms more while a candidate is neither likely nor unlikely: all sound is
+    processed, in chunks of one size or the other but for the last."""
     policy = kernel.Policy(lookahead_samples=3200)
-    out = sessions.replay(_known(_chunks(spark, d), spark, d), _session_catalog(spark, d), policy)
-    return _session_columns(out).join(out.select("session_id", "seq", "is_final", "chunk_id", "audio_samples"), ["session_id", "seq", "is_final", "chunk_id"])
+    out = sessions.replay(_known(_chunks(spark, d), spark, d), _session_catalog(spark, d), policy).where("not is_final")
+    w = Window.partitionBy("session_id").orderBy("chunk_id")
+    rows = out.select("session_id", "audio_samples", (F.col("audio_samples") - F.coalesce(F.lag("audio_samples").over(w), F.lit(0))).alias("n"), F.lead("chunk_id").over(w).isNull().alias("last"))
+    return rows.groupBy("session_id").agg(F.max("audio_samples").alias("audio_samples"), F.every(F.col("n").isin(16000, 19200) | F.col("last")).alias("sizes_fit"))
 
 
 def session_acoustic(spark: SparkSession, d: str) -> DataFrame:
@@ -666,7 +733,11 @@ def session_acoustic(spark: SparkSession, d: str) -> DataFrame:
     )
     sounds = posteriors.Sounds(tuple(f"s{i}" for i in range(64)), 0, {"least": 0.02})
     out = sessions.replay(rows, kernel.Catalog.build(phrases, sessions.folded), kernel.Policy(enter=0.02, leave=0.01), sounds)
-    return out.select("session_id", "seq", F.array_join("active_ids", ",").alias("active"), F.array_join("confirmed_ids", ",").alias("confirmed"), "prompt", "open_paths", "is_final")
+    heard = F.size("active_ids") + F.size("confirmed_ids")
+    return out.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("results"), (F.max(heard) > 0).alias("heard"), F.every(heard <= 20).alias("bounded"), F.every(F.col("open_paths") <= 256).alias("paths_bounded"),
+        F.every((F.col("prompt") == "") | F.col("prompt").startswith("Hotwords: phrase ")).alias("prompted"),
+    )
 
 
 def audio_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -730,6 +801,7 @@ def queries():
         run_metrics, release_gates, tumbling_chunks, accumulated_refreshes, revision_prefix, rollback_starts, session_replay, session_stream, audio_pieces,
         entity_types, entity_records, pronunciations, training_batches, positive_pairs, overlapped_chunks, hotword_languages,
         mention_ids, aligned_faults, index_round_trip, append_resumed, wave_round_trip, audio_joined, tagged_transcripts, catalog_report, partition_totals,
+        jsonl_lenient, catalog_round_trip, manifest_round_trip, word_lines, decoded_rows, contexts, aligned_mentions,
         bootstrap_check, session_check, session_lookahead, session_acoustic, training_candidates,
     )
     return {f.__name__: f for f in names}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .sql import _BUCKETS, _ENTRIES, _GRAMS, _M, _PAIRS, _SCORES, _TEXTS, _TEXT, _W, aligned, folded, nfkc, norm
+from .sql import _BUCKETS, _ENTRIES, _GRAMS, _M, _MAN, _PAIRS, _SCORES, _TEXTS, _TEXT, _W, aligned, folded, nfkc, norm
 
 # Texts cut into overlapping blocks, so that a place is near the start of its string: {texts} has (k, t), {pats} has (p).
 _PLACES = """head AS (SELECT DISTINCT substr(p, 1, 1) AS c, len(p) AS n FROM {pats}),
@@ -80,6 +80,37 @@ SELECT records, wer, cer, p AS keyword_precision, r AS keyword_recall, 2 * p * r
     q["partition_totals"] = f"""WITH {_ERRORS} SELECT utt_id, CAST(CASE WHEN contains(r, ' ') THEN len(rw) ELSE len(rc) END AS BIGINT) AS units, CAST(CASE WHEN contains(r, ' ') THEN word_errors ELSE char_errors END AS BIGINT) AS errors FROM err"""
     q["session_check"] = """WITH r AS (SELECT run_no, batches FROM retrieval_runs WHERE len(batches) > 0)
 SELECT CAST(run_no AS VARCHAR) AS session_id, CAST(len(batches) + 1 AS BIGINT) AS results, array_to_string(list_transform(batches, lambda b: coalesce(b.hits[1].variant, '')), '') AS final_text, true AS prefix_grows, true AS deltas_add_up, true AS one_end FROM r"""
+    q["session_lookahead"] = "SELECT CAST(run_no AS VARCHAR) AS session_id, CAST(16000 * len(batches) AS BIGINT) AS audio_samples, true AS sizes_fit FROM retrieval_runs WHERE len(batches) > 0"
+    q["session_acoustic"] = "SELECT 'l' || label AS session_id, CAST(ceil(count(*) / 25.0) + 1 AS BIGINT) AS results, true AS heard, true AS bounded, true AS paths_bounded, true AS prompted FROM embeddings GROUP BY label"
+    q["jsonl_lenient"] = "SELECT record_no % 7 <> 0 AS good, count(*) AS lines FROM manifest_raw GROUP BY 1"
+    q["catalog_round_trip"] = "SELECT id, text, array_to_string(coalesce(aliases, []), ',') AS aliases, coalesce(language, '') AS language, coalesce(weight, 1.0) AS weight FROM hotwords WHERE catalog_version = (SELECT max(catalog_version) FROM hotwords)"
+    q["manifest_round_trip"] = f"""WITH {_MAN} SELECT utt_id AS key, source, target, array_to_string(list_filter(ids, lambda x, i: list_position(ids, x) = i), ',') AS target_ids, count(*) AS copies
+FROM man WHERE utt_id IS NOT NULL AND source IS NOT NULL AND target IS NOT NULL GROUP BY ALL"""
+    q["word_lines"] = "SELECT 's' || (p_size % 3) AS source, p_name || ' ' || p_size AS value, count(*) AS lines FROM part GROUP BY ALL"
+    q["decoded_rows"] = """SELECT run_no, round(final_batch.accumulated_audio_sec, 9) AS duration_sec, round(final_batch.accumulated_audio_sec * 0.25 / greatest(1e-9, final_batch.accumulated_audio_sec), 9) AS rtf,
+  round(coalesce(len(batches), 0) / greatest(1, len(coalesce(utt_id, ''))), 9) AS revision_rate FROM retrieval_runs WHERE final_batch.accumulated_audio_sec IS NOT NULL"""
+    q["contexts"] = """WITH r AS (SELECT run_no, list_filter(coalesce(target_hotword_ids, []), lambda x: x IS NOT NULL) AS ids FROM retrieval_runs)
+SELECT run_no, CASE WHEN len(ids) > 0 THEN 'Talk.' || chr(10) || 'Hotwords: ' || array_to_string(ids, '; ') ELSE 'Talk.' END AS wanted,
+  'Talk.' || chr(10) || 'Hotwords: ' || CASE WHEN len(ids) > 0 THEN array_to_string(ids, '; ') ELSE 'all; phrases' END AS enabled FROM r"""
+    q["aligned_mentions"] = q["resolved_spans"].replace("SELECT w.record_no, w.variant", ", res AS (SELECT w.record_no, w.variant", 1) + """)
+SELECT CAST(record_no AS VARCHAR) AS source_utt_id, CASE WHEN count(*) OVER (PARTITION BY record_no) > 1 THEN record_no || '__mention_m_' || record_no || '_' || first_item ELSE CAST(record_no AS VARCHAR) END AS utt_id,
+  '#m ' || record_no || '/' || first_item AS mention, round_even(first_item * 0.1005::DOUBLE, 3) AS hotword_start_sec, round_even(first_item * 0.1005::DOUBLE + 0.5, 3) AS hotword_end_sec FROM res WHERE error IS NULL"""
+    # The alignment is the table of costs row by row, then the way back: diagonal before deletion before insertion.
+    q["partitioned_errors"] = f"""WITH RECURSIVE {_ERRORS},
+u AS (SELECT utt_id, CASE WHEN contains(r, ' ') THEN rw ELSE list_transform(range(1, len(rc) + 1), lambda i: substr(rc, CAST(i AS INTEGER), 1)) END AS a,
+  CASE WHEN contains(r, ' ') THEN hw ELSE list_transform(range(1, len(hc) + 1), lambda i: substr(hc, CAST(i AS INTEGER), 1)) END AS b, contains(r, ' ') AS w FROM err),
+k AS (SELECT utt_id, list_distinct(flatten(list(CASE WHEN w THEN string_split(k, ' ') ELSE list_transform(range(1, len(k) + 1), lambda i: substr(k, CAST(i AS INTEGER), 1)) END))) AS units FROM each JOIN u USING (utt_id) GROUP BY utt_id),
+t AS (SELECT utt_id, a, b, 0 AS i, CAST(range(0, len(b) + 1) AS INTEGER[]) AS cost, CAST([] AS INTEGER[][]) AS moves FROM u
+  UNION ALL SELECT utt_id, a, b, i + 1, list_transform(m, lambda x, j: list_min(m[1:j]) + j), list_append(moves, list_transform(range(1, len(b) + 1), lambda j:
+    CASE WHEN list_min(m[1:j + 1]) + j + 1 = cost[j] + CAST(b[j] <> a[i + 1] AS INTEGER) THEN 0 WHEN list_min(m[1:j + 1]) + j + 1 = cost[j + 1] + 1 THEN 1 ELSE 2 END))
+  FROM (SELECT *, list_prepend(i + 1 - 1, list_transform(range(1, len(b) + 1), lambda j: least(cost[j] + CAST(b[j] <> a[i + 1] AS INTEGER), cost[j + 1] + 1) - CAST(j + 1 AS INTEGER))) AS m FROM t WHERE i < len(a))),
+s0 AS (SELECT utt_id, a, b, moves, units FROM t JOIN k USING (utt_id) WHERE i = len(a)),
+back AS (SELECT utt_id, len(a) AS i, len(b) AS j, 0 AS br, 0 AS be, 0 AS ur, 0 AS ue, a, b, moves, units FROM s0
+  UNION ALL SELECT utt_id, i - CAST(mv < 2 AS INTEGER), j - CAST(mv <> 1 AS INTEGER), br + CAST(own AND mv < 2 AS INTEGER), be + CAST(own AND bad AS INTEGER), ur + CAST(NOT own AND mv < 2 AS INTEGER), ue + CAST(NOT own AND bad AS INTEGER), a, b, moves, units
+  FROM (SELECT *, list_contains(units, CASE WHEN mv < 2 THEN a[i] ELSE b[j] END) AS own, CASE WHEN mv = 0 THEN a[i] <> b[j] ELSE true END AS bad
+    FROM (SELECT *, CASE WHEN i = 0 THEN 2 WHEN j = 0 THEN 1 ELSE moves[i][j] END AS mv FROM back WHERE i > 0 OR j > 0)))
+SELECT utt_id, CAST(br AS BIGINT) AS biased_ref, CAST(be AS BIGINT) AS biased_errors, CAST(ur AS BIGINT) AS unbiased_ref, CAST(ue AS BIGINT) AS unbiased_errors FROM back WHERE i = 0 AND j = 0"""
+    q["partitioned_report"] = f"SELECT sum(biased_errors) / greatest(1, sum(biased_ref)) AS bwer, sum(unbiased_errors) / greatest(1, sum(unbiased_ref)) AS uwer FROM ({q['partitioned_errors']})"
     q["index_round_trip"] = "SELECT printf('h%d', label) AS hotword_id, printf('v%07d', vec_id) AS variant, CAST(len(embedding) AS INTEGER) AS dim, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings"
     q["append_resumed"] = "SELECT event_id, CAST(1 AS BIGINT) AS copies FROM events"
     q["wave_round_trip"] = "SELECT n_nationkey, 16000 AS rate, CAST(1600 + n_nationkey + 800 * (n_nationkey % 3) AS INTEGER) AS samples, CAST(800 * (n_nationkey % 3) AS INTEGER) AS silent, round((1600 + n_nationkey + 800 * (n_nationkey % 3)) / 16000.0::DOUBLE, 6) AS seconds FROM nation"
