@@ -127,6 +127,19 @@ class Lexicon:
         return combined_paths(units, self.most)
 
 
+def readings(text: Column, make_provider: Callable[[], Callable]) -> Column:
+    """Symbol paths of texts by any provider: ``make_provider()`` is called once a task and gives a function from text to paths
+    (a ``Lexicon``, say, or a library's). Null text has null paths; explode the result for a row a path."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        provide = make_provider()
+        for s in batches:
+            yield s.map(lambda t: None if t is None else [list(p) for p in provide(t)])
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "array<array<string>>")(text)
+
+
 #: Language names by code or name, case folded.
 LANGUAGES = {"zh": "Chinese", "zh-cn": "Chinese", "chinese": "Chinese", "en": "English", "english": "English", "yue": "Cantonese", "cantonese": "Cantonese"}
 

@@ -149,6 +149,7 @@ SELECT {{keys}}, hotword_id, score, rank, frame AS peak_frame, variant FROM top
         unit="vec_id // 500 AS utt, CAST((vec_id % 500) // 100 AS INTEGER) AS chunk", frame="vec_id % 500", cols="c.utt, c.chunk", keys="utt, chunk", k=3,
         **{"from": "(SELECT DISTINCT utt, chunk FROM f) c JOIN f ON f.utt = c.utt AND f.chunk <= c.chunk"},
     )
+    q["retrieval_stream"] = q["accumulated_search"]
     q["utterance_top50"] = """WITH b AS (SELECT utt_id, hotword_id, max(score) AS score FROM search_hits WHERE hotword_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY ALL)
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY utt_id ORDER BY score DESC, hotword_id) AS INTEGER) AS rank FROM b) WHERE rank <= 50"""
     q["retrieval_scores"] = f"WITH {_SCORES} SELECT run_no, gold, recall_at_1, recall_at_5, precision_at_5, reciprocal_rank, first_top50_chunk FROM s"

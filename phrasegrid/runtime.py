@@ -122,10 +122,10 @@ def fitting(df: DataFrame, what: str, most: int = 64 << 20) -> DataFrame:
     return df
 
 
-def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", salts: int = 32) -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", size: int | None = None, salts: int = 32) -> DataFrame:
     """Null-safe equi-join (inner, left or left_semi) of rows with a table that is small as a rule, on like-named ``keys``.
 
-    The bytes of ``small`` are measured. Up to the session's broadcast limit it is broadcast, and ``big`` does not move.
+    The bytes of ``small`` are measured, unless ``size`` tells a bound that was measured before. Up to the session's broadcast limit it is broadcast, and ``big`` does not move.
     Beyond it both sides are shuffled, with every row of ``small`` copied to ``salts`` places, so that a key that holds a
     third of ``big`` is spread over as many tasks; the optimizer may still split those.
     """
@@ -135,7 +135,7 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "in
     on = F.lit(True)
     for k, n in names.items():
         on = on & big[k].eqNullSafe(right[n])
-    if measured(small)[1] <= broadcast_limit(spark):
+    if (measured(small)[1] if size is None else size) <= broadcast_limit(spark):
         return big.join(F.broadcast(right), on, how).drop(*names.values())
     left = big.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     right = right.withColumn("__place", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -27,6 +27,8 @@ def test_pronunciations(spark):
     lex = hooks.Lexicon({"行": [("x", "ing"), ("h", "ang")]}, {"go": [("G", "OW")]})
     assert lex("行-行 go Zz") == [(*a, *b, "G", "OW", "en:char:z", "en:char:z") for a in [("x", "ing"), ("h", "ang")] for b in [("x", "ing"), ("h", "ang")]]
     assert len(lex("行" * 9)) == 8 and lex("  ") == []
+    words = spark.createDataFrame([("行",), (None,), ("",)], "t string")
+    assert [r.p for r in words.select(hooks.readings(F.col("t"), lambda: lex).alias("p")).collect()] == [[["x", "ing"], ["h", "ang"]], None, []]
 
 
 def test_small_rules(spark):

@@ -144,3 +144,46 @@ def test_hundred_thousand_phrases(spark):
             assert sorted((r.id, r.start) for r in match.ngram_matches(t, "k", "v", p).collect()) == [("hw-54321", 7), ("hw-7", 26)]
         finally:
             spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_stream_of_frames():
+    from phrasegrid.streaming.retrieval import Index, Stream
+
+    index = Index.of([("b", "v2", [0.0, 1.0]), ("a", None, [1.0, 0.0]), ("b", "v1", [0.0, 1.0])])
+    s = Stream(index, block=4, samples_per_frame=2, k=2)
+    assert s.step(3, [[0.5, 0.0]]) == []
+    with pytest.raises(RuntimeError):
+        s.use(index)
+    one, two = s.step(6, [[0.0, 0.9], [0.6, 0.0], [0.7, 0.0]])
+    pick = lambda hits: [(h["hotword_id"], h["variant"], h["score"], h["rank"], h["peak_frame"], h["chunk_id"], h["sample_count"], h["is_final"]) for h in hits]
+    assert pick(one) == [("b", "v1", 0.9, 1, 1, 0, 4, False), ("a", "", 0.5, 2, 0, 0, 4, False)]
+    assert pick(two) == [("b", "v1", 0.9, 1, 1, 1, 8, False), ("a", "", 0.7, 2, 3, 1, 8, False)]
+    assert pick(s.finish()) == [("b", "v1", 0.9, 1, 1, 2, 9, True), ("a", "", 0.7, 2, 3, 2, 9, True)]
+    assert s.finish() == s.last
+    for again in (lambda: s.step(1, []), lambda: s.use(index)):
+        with pytest.raises(RuntimeError):
+            again()
+    s.reset()
+    s.use(Index.of([]))
+    assert s.step(4, [[1.0, 1.0]]) == [[]] and s.finish() == []
+    exact = Stream(index, 4, 2, 1)
+    (hits,) = exact.step(4, [[1.0, 0.0], [0.0, 0.5]])
+    assert pick(exact.finish()) == [(*pick(hits)[0][:-1], True)], "a boundary at the end is the last refresh itself"
+    with pytest.raises(ValueError):
+        Stream(index, 0, 1, 1)
+
+
+def test_ten_thousand_keys(spark):
+    """The stress size of an exact search: 10,000 keys of 512 dimensions against 125 frames, in one block and in several."""
+    rng = np.random.default_rng(42)
+    keys = rng.normal(size=(10_000, 512)).astype(np.float32)
+    frames = rng.normal(size=(125, 512)).astype(np.float32)
+    keys /= np.linalg.norm(keys, axis=1, keepdims=True)
+    frames /= np.linalg.norm(frames, axis=1, keepdims=True)
+    k = spark.createDataFrame([(f"h{i:05d}", "", v.tolist()) for i, v in enumerate(keys)], "hotword_id string, variant string, key array<float>")
+    f = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(frames)], "utt int, frame int, vec array<float>")
+    want = (frames.astype(np.float64) @ keys.astype(np.float64).T).round(6).max(axis=0)
+    best = sorted(range(10_000), key=lambda i: (-want[i], i))[:50]
+    for frame_rows, key_rows in ((4096, 16384), (50, 3000)):
+        got = search.search_blocks(f, k, ["utt"], 50, frame_rows, key_rows).orderBy("rank").collect()
+        assert [r.hotword_id for r in got] == [f"h{i:05d}" for i in best] and all(abs(r.score - want[i]) < 1e-5 for r, i in zip(got, best))

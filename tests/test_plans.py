@@ -21,10 +21,37 @@ def test_scans_read_what_they_need(spark):
     text = plan(analytics.utterance_top50(spark, DATA))
     assert "ReadSchema: struct<utt_id:string,hotword_id:string,score:double,peak_frame:int>" in text and "IsNotNull(hotword_id)" in text
     assert "WindowGroupLimit" in text, "at most 50 rows a group and partition are shuffled"
-    text = plan(analytics.latency_percentiles(spark, DATA))
+    text = plan(analytics._times(spark, DATA))
     assert "batches:array<struct<timings_ms" in text, "only the timings of the nested batches"
 
 
 def test_counts_are_made_before_the_shuffle(spark):
     text = plan(analytics.stale_hits(spark, DATA))
     assert text.count("HashAggregate") >= 2
+
+
+def test_percentiles_are_counted_before_the_shuffle(spark):
+    from phrasegrid.operators import metrics
+
+    text = plan(metrics.exact_percentiles(analytics._times(spark, DATA), ["name"], "value", {"p50": 0.5}))
+    assert "percentile" not in text, "no buffer of a group's values"
+
+
+def test_no_broadcast_without_a_measured_size(spark):
+    """A table beyond the limit is not broadcast; the rows it meets are spread over salts."""
+    from pyspark.sql import functions as F
+
+    from phrasegrid.runtime import join_small
+
+    big = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
+    small = spark.createDataFrame([(0, "a" * 2000), (1, "b"), (None, "c")], "k bigint, v string")
+    assert "BroadcastHashJoin" in plan(join_small(big, small, ["k"]))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1000")
+    try:
+        out = join_small(big, small, ["k"], "left")
+        assert "Broadcast" not in plan(out) and "__salt" in plan(out)
+        assert out.groupBy("v").count().where("v is null").first()["count"] == 333 and out.count() == 1000 and out.columns == ["k", "id", "v"]
+        assert join_small(big, small, ["k"], "left_semi").count() == 667
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

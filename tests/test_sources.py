@@ -27,7 +27,7 @@ def test_jsonl(spark, tmp_path):
     assert lines == ['{"a":1,"b":"词"}', '{"a":2}']
     assert sorted(r.a for r in readers.read_jsonl(spark, str(tmp_path / "o"), schema).collect()) == [1, 2]
     (tmp_path / "bad.jsonl").write_text('﻿{"a": 1, "b": "x"}\n\n  \nnope\n[1]\n', encoding="utf-8")
-    assert [r.b for r in readers.read_jsonl(spark, str(tmp_path / "bad.jsonl"), schema, strict=False).collect()] == ["x"]
+    assert sorted((r.b or "", r._corrupt_record is None) for r in readers.read_jsonl(spark, str(tmp_path / "bad.jsonl"), schema, strict=False).collect()) == [("", False), ("", False), ("x", True)]
     with pytest.raises(Exception):
         readers.read_jsonl(spark, str(tmp_path / "bad.jsonl"), schema).collect()
 
@@ -80,3 +80,22 @@ def test_config(tmp_path):
     for bad in (lambda: config.load_config(tmp_path / "c.json"), lambda: config.parse_yaml("a"), lambda: config.parse_yaml("a:\n\tb: 1"), lambda: config.set_dotted({}, "", 1), lambda: config.set_dotted({"a": 1}, "a.b", 1), lambda: config.section({}, "x")):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_reports_and_audio(spark, tmp_path):
+    import json
+
+    writers.write_report(spark, str(tmp_path / "r.json"), {"b": 1, "a": {"词": [2]}})
+    text = (tmp_path / "r.json").read_text(encoding="utf-8")
+    assert json.loads(text) == {"a": {"词": [2]}, "b": 1} and text.index('"a"') < text.index('"b"') and text.endswith("}\n")
+    (tmp_path / "w/x").mkdir(parents=True)
+    for name in ("x/u1.wav", "u2.wav", "x/u2.wav"):
+        (tmp_path / "w" / name).write_bytes(wav([1, 2]))
+    rows = spark.createDataFrame([("u1",), ("u2",), ("u3",)], "utt_id string")
+    joined = readers.with_audio(rows, readers.file_index(spark, str(tmp_path / "w")), "utt_id")
+    assert {r.utt_id: (r.path or "").rpartition("/w/")[2] for r in joined.collect()} == {"u1": "x/u1.wav", "u2": "u2.wav", "u3": ""}
+    with pytest.raises(ValueError, match="1 records without audio: u3"):
+        readers.require_audio(joined, "utt_id")
+    assert readers.require_audio(joined.where("utt_id <> 'u3'"), "utt_id").count() == 2
+    heads = readers.wave_headers(spark.createDataFrame([(wav([1, 2]),), (b"x",), (None,)], "content binary")).collect()
+    assert [(r.rate, r.seconds, r.error is None) for r in heads] == [(16000, 2 / 16000, True), (None, None, False), (None, None, False)]
