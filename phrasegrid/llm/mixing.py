@@ -24,12 +24,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import join_small, materialize
+from ..runtime import join_small, materialize, measured
 
 _BITS = 48
 
 
-def _rates(docs: DataFrame, sources: DataFrame) -> DataFrame:
+def _rates(docs: DataFrame, sources: DataFrame, size: int) -> DataFrame:
     """``source, __rate``: a document of weight w is used min(rate * w, max_repeats) times on average.
 
     What the limit takes from heavy documents is given to the others of their source: the rate is raised until no further
@@ -38,7 +38,7 @@ def _rates(docs: DataFrame, sources: DataFrame) -> DataFrame:
     """
     most = F.coalesce(F.col("max_repeats").cast("double"), F.lit(0.0))
     cells = docs.where((F.col("tokens") > 0) & (F.col("__w") > 0)).groupBy("source", "__w").agg(F.sum("tokens").alias("__t"))
-    cells = materialize(join_small(cells, sources.select("source", "wanted", most.alias("__most")), ["source"]), "mix-weights")
+    cells = materialize(join_small(cells, sources.select("source", "wanted", most.alias("__most")), ["source"], "inner", size), "mix-weights")
     rates = materialize(sources.select("source", F.lit(0.0).alias("__rate")), "mix-rates")
     limited = -1
     while True:
@@ -46,7 +46,7 @@ def _rates(docs: DataFrame, sources: DataFrame) -> DataFrame:
         first = F.lit(limited < 0)  # before the first round nothing is at its limit
         held = F.when(at & ~first, F.col("__most") * F.col("__t")).otherwise(F.lit(0.0))
         free = F.when(at & ~first, F.lit(0.0)).otherwise(F.col("__w") * F.col("__t"))
-        sums = join_small(cells, rates, ["source"]).groupBy("source").agg(
+        sums = join_small(cells, rates, ["source"], "inner", size).groupBy("source").agg(
             F.max("wanted").alias("w"), F.sum(held).alias("h"), F.sum(free).alias("f"), F.count_if(at & ~first).alias("__limited")
         )
         rate = F.when(F.col("f") > 0, F.greatest(F.lit(0.0), F.col("w") - F.col("h")) / F.col("f")).otherwise(F.lit(float("inf")))
@@ -58,19 +58,21 @@ def _rates(docs: DataFrame, sources: DataFrame) -> DataFrame:
         limited = now
 
 
-def _allot(docs: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents with whole copies and residual probability; the sources with wanted tokens."""
+def _allot(docs: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Documents with whole copies and residual probability; the sources with wanted tokens; a bound of the bytes of any
+    table of one row a source that is made here."""
     totals = docs.groupBy("source").agg(F.sum("tokens").alias("have"))
     all_tokens = totals.agg(F.coalesce(F.sum("have"), F.lit(0)).alias("all_tokens")).first()["all_tokens"]
     wanted = targets.withColumn("wanted", F.col("target_share") * F.lit(float(all_tokens)))
     sources = wanted.join(totals, "source", "left").withColumns({"have": F.coalesce("have", F.lit(0)), "all_tokens": F.lit(all_tokens)})
     sources = materialize(sources, "mix-sources")
-    limits = sources.select("source", "max_repeats").join(_rates(docs, sources), "source", "left")
-    placed = join_small(docs, materialize(limits, "mix-limits"), ["source"], "left")
+    size = 3 * measured(sources)[1]  # their rows hold the source and at most a dozen numbers; tables that name documents are measured themselves
+    limits = sources.select("source", "max_repeats").join(_rates(docs, sources, size), "source", "left")
+    placed = join_small(docs, limits, ["source"], "left", size)
     drawn = F.when((F.col("__w") > 0) & (F.coalesce("__rate", F.lit(0.0)) > 0), F.col("__rate") * F.col("__w")).otherwise(F.lit(0.0))
     mean = F.least(drawn, F.coalesce(F.col("max_repeats").cast("double"), F.lit(0.0)))
     placed = placed.withColumn("__mean", mean).withColumn("__whole", F.floor("__mean").cast("int")).withColumn("__pi", F.col("__mean") - F.col("__whole"))
-    return placed, sources
+    return placed, sources, size
 
 
 def _after(edge: str):
@@ -79,7 +81,7 @@ def _after(edge: str):
     return F.col(edge).isNull() | (place > F.col(edge))
 
 
-def _cut(drawn: DataFrame, need: DataFrame, nearest: bool) -> DataFrame:
+def _cut(drawn: DataFrame, need: DataFrame, nearest: bool, size: int) -> DataFrame:
     """Where each source's ranking is cut: ``source, __edge`` (the last taken (key, document), null: none) and ``__left``,
     the tokens still wanted. ``nearest`` also takes the document at the cut if that comes closer than leaving it.
 
@@ -90,18 +92,18 @@ def _cut(drawn: DataFrame, need: DataFrame, nearest: bool) -> DataFrame:
         up = F.shiftright("__key", _BITS - 16 * (level - 1)) if level > 1 else F.lit(0).cast("bigint")
         digits = drawn.select("source", "tokens", up.alias("__prefix"), F.shiftright("__key", _BITS - 16 * level).alias("__next"))
         if level > 1:
-            digits = join_small(digits, cut.select("source", "__prefix"), ["source", "__prefix"], "left_semi")
+            digits = join_small(digits, cut.select("source", "__prefix"), ["source", "__prefix"], "left_semi", size)
         hist = digits.groupBy("source", "__prefix", "__next").agg(F.sum("tokens").alias("__t"))
         hist = hist.withColumn("__upto", F.sum("__t").over(Window.partitionBy("source", "__prefix").orderBy("__next").rowsBetween(Window.unboundedPreceding, 0)))
         # The cell that the need ends in, or the last one if all fits.
-        at = join_small(hist, cut, ["source", "__prefix"]).groupBy("source", "__need").agg(
+        at = join_small(hist, cut, ["source", "__prefix"], "inner", size).groupBy("source", "__need").agg(
             F.min(F.when(F.col("__upto") > F.col("__need"), F.struct("__next", "__upto", "__t"))).alias("__c"), F.max(F.struct("__next", "__upto", "__t")).alias("__z")
         )
         at = at.select("source", "__need", F.coalesce("__c", "__z").alias("c"))
         cut = at.select("source", F.col("c.__next").alias("__prefix"), (F.col("__need") - (F.col("c.__upto") - F.col("c.__t"))).alias("__need"))
         cut = materialize(cut, "mix-cut")
     cell = F.shiftright("__key", _BITS - 32)
-    last = join_small(drawn.withColumn("__prefix", cell), cut, ["source", "__prefix"])
+    last = join_small(drawn.withColumn("__prefix", cell), cut, ["source", "__prefix"], "inner", size)
     order = Window.partitionBy("source").orderBy("__key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     last = last.withColumn("__upto", F.sum("tokens").over(order))
     fits = F.col("__upto") - (F.col("tokens") / 2.0 if nearest else F.lit(0)) <= F.col("__need")
@@ -125,7 +127,7 @@ def pareto_mix(documents: DataFrame, targets: DataFrame, seed: int = 17, weight:
     docs = documents.select("doc_id", name("source").alias("source"), "tokens", F.when(F.isnan(w), 0.0).otherwise(w).alias("__w"))
     targets = targets.select(name("source").alias("source"), F.col("target_share").cast("double").alias("target_share"), "max_repeats")
     docs = materialize(docs, "mix-tokens")
-    placed, sources = _allot(docs, targets)
+    placed, sources, size = _allot(docs, targets)
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     odds = (u / (1 - u)) / (F.col("__pi") / (1 - F.col("__pi")))
     key = F.least(F.floor(odds / (1 + odds) * F.lit(float(1 << _BITS))).cast("bigint"), F.lit((1 << _BITS) - 1))
@@ -133,13 +135,11 @@ def pareto_mix(documents: DataFrame, targets: DataFrame, seed: int = 17, weight:
     placed = materialize(placed.select("doc_id", "source", "tokens", "__whole", key.alias("__key")), "mix-ranked")
     certain = placed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("__whole")).alias("certain"))
     need = sources.join(certain, "source", "left").select("source", F.greatest(F.lit(0.0), F.col("wanted") - F.coalesce("certain", F.lit(0))).alias("__need"))
-    need = materialize(need, "mix-need")
     drawn = placed.where(F.col("__key").isNotNull()).select("source", "doc_id", "tokens", "__key")
-    first = materialize(_cut(drawn, need, False), "mix-cut")
+    first = materialize(_cut(drawn, need, False, size), "mix-cut")
     # What the document at the cut was too long for is filled by those behind it that fit, in the same order.
     behind = join_small(drawn, first, ["source"]).where(_after("__edge") & (F.col("tokens") <= F.col("__left"))).select(*drawn.columns)
-    rest = materialize(first.select("source", F.col("__left").alias("__need")), "mix-need")
-    second = materialize(_cut(behind, rest, True), "mix-cut")
+    second = materialize(_cut(behind, first.select("source", F.col("__left").alias("__need")), True, size), "mix-cut")
     gap = F.coalesce(second["__left"], first["__left"])
     bounds = first.join(second.withColumnsRenamed({"source": "__s", "__edge": "__two"}), F.col("source") == F.col("__s"), "left").select(
         "source", F.col("__edge").alias("__one"), first["__left"].alias("__gap"), "__two", gap.alias("__open")

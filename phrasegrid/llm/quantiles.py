@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import join_small, materialize
+from ..runtime import join_small, materialize, measured
 
 DIGITS, WIDTH = 4, 16
 _NARROW = 8
@@ -69,14 +69,15 @@ def radix_select(data: DataFrame, groups: list[str], key: str, targets: DataFram
     rows = data.where(F.col(key).isNotNull()).select(*groups, F.col(key).alias("__key"))
     open_ = targets.select(*groups, "target", F.col("rank").alias("__rank"), F.lit(0).cast("bigint").alias("__prefix"))
     open_ = materialize(open_, "radix-ranks")
+    size = measured(open_)[1]  # every digit keeps at most these rows, with these fields
     for level in range(DIGITS):
         part = rows.select(*groups, _prefix(F.col("__key"), level).alias("__prefix"), _digit(F.col("__key"), level).alias("__digit"))
-        part = join_small(part, open_.select(*groups, "__prefix").distinct(), [*groups, "__prefix"], "left_semi")
+        part = join_small(part, open_.select(*groups, "__prefix").distinct(), [*groups, "__prefix"], "left_semi", size)
         hist = part.groupBy(*groups, "__prefix", "__digit").agg(F.count(F.lit(1)).alias("__n"))
         upto = F.sum("__n").over(Window.partitionBy(*groups, "__prefix").orderBy("__digit").rowsBetween(Window.unboundedPreceding, 0))
         hist = hist.withColumn("__upto", upto)
         found = (
-            join_small(hist, open_, [*groups, "__prefix"])
+            join_small(hist, open_, [*groups, "__prefix"], "inner", size)
             .where((F.col("__rank") < F.col("__upto")) & (F.col("__rank") >= F.col("__upto") - F.col("__n")))
             .select(
                 *groups,
@@ -109,6 +110,7 @@ def radix_summary(data: DataFrame, groups: list[str], key: str, rank_error: floa
     rows = data.where(F.col(key).isNotNull()).select(*groups, F.col(key).alias("__key"))
     # Cells of at most a quarter are made first; neighbours are then put together up to a half.
     width = materialize(rows.groupBy(*groups).agg((F.count(F.lit(1)) * F.lit(rank_error / 4)).alias("__w")), "radix-groups")
+    size = measured(width)[1]
     cells: DataFrame | None = None
     open_: DataFrame | None = None
     for level in range(64 // _NARROW):
@@ -118,7 +120,7 @@ def radix_summary(data: DataFrame, groups: list[str], key: str, rank_error: floa
         hist = part.groupBy(*groups, _prefix(F.col("__key"), level + 1, _NARROW).alias("__up")).agg(
             F.min("__key").alias("low"), F.max("__key").alias("high"), F.count(F.lit(1)).alias("n")
         )
-        hist = materialize(join_small(hist, width, groups), "radix-cells")
+        hist = materialize(join_small(hist, width, groups, "inner", size), "radix-cells")
         done = (F.col("n") <= F.col("__w")) | (F.col("low") == F.col("high"))
         out = hist.where(done).select(*groups, "low", "high", "n", "__w")
         cells = out if cells is None else cells.unionByName(out)
