@@ -107,7 +107,7 @@ def frequency_buckets(entries: DataFrame, buckets: int = 10) -> DataFrame:
     The rank over all entries comes from range partitions and their offsets, not from one task.
     """
     ranked = running(entries, [], [F.col("total_frequency").desc(), F.col("text")], "__rank")
-    n = entries.agg(F.count(F.lit(1))).first()[0]
+    n = ranked.agg(F.count(F.lit(1))).first()[0]  # of the stored rows
     b = max(1, min(int(buckets), n))
     return ranked.withColumn("bucket", F.least(F.lit(b - 1), F.expr(f"(__rank * {b}) div {max(1, n)}")).cast("int"))
 

@@ -122,6 +122,14 @@ def fitting(df: DataFrame, what: str, most: int = 64 << 20) -> DataFrame:
     return df
 
 
+def held(df: DataFrame, name: str, size: int) -> DataFrame:
+    """A table of at most ``size`` bytes (a bound that was measured), computed once: by way of the driver if it may be
+    broadcast, else ``materialize``d."""
+    if size > broadcast_limit(df.sparkSession):
+        return materialize(df, name)
+    return df.sparkSession.createDataFrame(df.toArrow())
+
+
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", size: int | None = None, salts: int = 32) -> DataFrame:
     """Null-safe equi-join (inner, left or left_semi) of rows with a table that is small as a rule, on like-named ``keys``.
 
