@@ -7,9 +7,8 @@ documents are ranked by random odds over inclusion odds, and taken in that order
 are reached: a sample of fixed size in tokens with unequal probabilities. Where a long document would pass the
 target, those behind it that still fit fill the gap, and one last document closes what is left if that comes nearer.
 
-The place where a source's ranking is cut is found by histograms of the rank's leading 16-bit digits with token
-sums, following only the digit that holds the cut; only the documents of one last cell (about 2^-32 of a source)
-are sorted. No source, however large, is sorted or gathered in one task, and documents are never shuffled: they meet
+The place where a source's ranking is cut is found by a histogram of the rank's leading 16 bits with token sums; only the
+documents of the one cell that holds the cut (about 2^-16 of a source) are sorted. No source, however large, is sorted or gathered in one task, and documents are never shuffled: they meet
 their source's numbers in small tables whose size is measured before they are broadcast.
 
 Random numbers are a hash of the document id and the seed, so a lost task repeats the same choice.
@@ -21,36 +20,53 @@ like others and cost nothing. A listed source without documents gets a row with
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import join_small, materialize, measured
+from ..runtime import broadcast_limit, held, join_small, materialize, measured
 
 _BITS = 48
 
 
+def _rate(cells: pd.DataFrame) -> float:
+    """The rate of one source. Heavier weights meet the limit first, so the limited cells are the first k by weight, for the least k that agrees."""
+    c = cells.sort_values("__w", ascending=False)
+    w, t, most, wanted = c["__w"].to_numpy(), c["__t"].to_numpy(dtype=float), float(c["__most"].iloc[0]), float(c["wanted"].iloc[0])
+    limited = np.concatenate(([0.0], np.cumsum(t))) * most
+    free = np.concatenate((np.cumsum((w * t)[::-1])[::-1], [0.0]))
+    rate = np.full(len(w) + 1, np.inf)
+    rate[:-1] = np.maximum(0.0, wanted - limited[:-1]) / free[:-1]
+    return float(rate[np.argmax(np.append(rate[:-1] * w < most, True))])
+
+
 def _rates(docs: DataFrame, sources: DataFrame, size: int) -> DataFrame:
     """``source, __rate``: a document of weight w is used min(rate * w, max_repeats) times on average.
 
     What the limit takes from heavy documents is given to the others of their source: the rate is raised until no further
-    document meets the limit, so a source gives its tokens whenever its documents can. Each round is one sum over
-    (source, weight) cells; a source whose documents all stand at the limit has an infinite rate.
+    document meets the limit, so a source gives its tokens whenever its documents can. A source whose documents all stand
+    at the limit has an infinite rate. The (source, weight) cells are solved source by source where all of them fit the
+    broadcast limit (few distinct weights); otherwise in rounds, each one sum over the cells.
     """
     most = F.coalesce(F.col("max_repeats").cast("double"), F.lit(0.0))
     cells = docs.where((F.col("tokens") > 0) & (F.col("__w") > 0)).groupBy("source", "__w").agg(F.sum("tokens").alias("__t"))
     cells = materialize(join_small(cells, sources.select("source", "wanted", most.alias("__most")), ["source"], "inner", size), "mix-weights")
-    rates = materialize(sources.select("source", F.lit(0.0).alias("__rate")), "mix-rates")
+    if measured(cells)[1] <= broadcast_limit(docs.sparkSession):
+        solved = cells.groupBy("source").applyInPandas(lambda c: pd.DataFrame({"source": c["source"][:1], "__rate": [_rate(c)]}), f"source {docs.schema['source'].dataType.simpleString()}, __rate double")
+        return held(solved, "mix-rates", size)
+    rates = sources.select("source", F.lit(0.0).alias("__rate"))
     limited = -1
     while True:
         at = F.col("__rate") * F.col("__w") >= F.col("__most")
         first = F.lit(limited < 0)  # before the first round nothing is at its limit
-        held = F.when(at & ~first, F.col("__most") * F.col("__t")).otherwise(F.lit(0.0))
+        fixed = F.when(at & ~first, F.col("__most") * F.col("__t")).otherwise(F.lit(0.0))
         free = F.when(at & ~first, F.lit(0.0)).otherwise(F.col("__w") * F.col("__t"))
         sums = join_small(cells, rates, ["source"], "inner", size).groupBy("source").agg(
-            F.max("wanted").alias("w"), F.sum(held).alias("h"), F.sum(free).alias("f"), F.count_if(at & ~first).alias("__limited")
+            F.max("wanted").alias("w"), F.sum(fixed).alias("h"), F.sum(free).alias("f"), F.count_if(at & ~first).alias("__limited")
         )
         rate = F.when(F.col("f") > 0, F.greatest(F.lit(0.0), F.col("w") - F.col("h")) / F.col("f")).otherwise(F.lit(float("inf")))
-        rates = materialize(sums.select("source", rate.alias("__rate"), "__limited"), "mix-rates")
+        rates = held(sums.select("source", rate.alias("__rate"), "__limited"), "mix-rates", size)
         now = rates.agg(F.coalesce(F.sum("__limited"), F.lit(0)).alias("n")).first()["n"]
         rates = rates.select("source", "__rate")
         if now == limited:
@@ -61,12 +77,14 @@ def _rates(docs: DataFrame, sources: DataFrame, size: int) -> DataFrame:
 def _allot(docs: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """Documents with whole copies and residual probability; the sources with wanted tokens; a bound of the bytes of any
     table of one row a source that is made here."""
-    totals = docs.groupBy("source").agg(F.sum("tokens").alias("have"))
-    all_tokens = totals.agg(F.coalesce(F.sum("have"), F.lit(0)).alias("all_tokens")).first()["all_tokens"]
+    totals = docs.groupBy("source").agg(F.sum("tokens").alias("have"), F.max(F.octet_length(F.col("doc_id").cast("string"))).alias("__id"))
+    whole = totals.agg(F.coalesce(F.sum("have"), F.lit(0)).alias("all_tokens"), F.coalesce(F.max("__id"), F.lit(0)).alias("id")).first()
+    all_tokens, totals = whole["all_tokens"], totals.drop("__id")
     wanted = targets.withColumn("wanted", F.col("target_share") * F.lit(float(all_tokens)))
     sources = wanted.join(totals, "source", "left").withColumns({"have": F.coalesce("have", F.lit(0)), "all_tokens": F.lit(all_tokens)})
-    sources = materialize(sources, "mix-sources")
-    size = 3 * measured(sources)[1]  # their rows hold the source and at most a dozen numbers; tables that name documents are measured themselves
+    rows, size = measured(targets)
+    size += rows * (200 + 4 * whole["id"])  # beside the source, at most two dozen numbers and four documents a row
+    sources = held(sources, "mix-sources", size)
     limits = sources.select("source", "max_repeats").join(_rates(docs, sources, size), "source", "left")
     placed = join_small(docs, limits, ["source"], "left", size)
     drawn = F.when((F.col("__w") > 0) & (F.coalesce("__rate", F.lit(0.0)) > 0), F.col("__rate") * F.col("__w")).otherwise(F.lit(0.0))
@@ -85,31 +103,24 @@ def _cut(drawn: DataFrame, need: DataFrame, nearest: bool, size: int) -> DataFra
     """Where each source's ranking is cut: ``source, __edge`` (the last taken (key, document), null: none) and ``__left``,
     the tokens still wanted. ``nearest`` also takes the document at the cut if that comes closer than leaving it.
 
-    Two 16-bit digits by histograms of token sums, then a running sum within the one cell that is left of a source.
+    A histogram of token sums over the leading 16 bits finds the cell of the cut, then a running sum within that one cell of a source.
     """
-    cut = need.withColumn("__prefix", F.lit(0).cast("bigint"))
-    for level in (1, 2):
-        up = F.shiftright("__key", _BITS - 16 * (level - 1)) if level > 1 else F.lit(0).cast("bigint")
-        digits = drawn.select("source", "tokens", up.alias("__prefix"), F.shiftright("__key", _BITS - 16 * level).alias("__next"))
-        if level > 1:
-            digits = join_small(digits, cut.select("source", "__prefix"), ["source", "__prefix"], "left_semi", size)
-        hist = digits.groupBy("source", "__prefix", "__next").agg(F.sum("tokens").alias("__t"))
-        hist = hist.withColumn("__upto", F.sum("__t").over(Window.partitionBy("source", "__prefix").orderBy("__next").rowsBetween(Window.unboundedPreceding, 0)))
-        # The cell that the need ends in, or the last one if all fits.
-        at = join_small(hist, cut, ["source", "__prefix"], "inner", size).groupBy("source", "__need").agg(
-            F.min(F.when(F.col("__upto") > F.col("__need"), F.struct("__next", "__upto", "__t"))).alias("__c"), F.max(F.struct("__next", "__upto", "__t")).alias("__z")
-        )
-        at = at.select("source", "__need", F.coalesce("__c", "__z").alias("c"))
-        cut = at.select("source", F.col("c.__next").alias("__prefix"), (F.col("__need") - (F.col("c.__upto") - F.col("c.__t"))).alias("__need"))
-        cut = materialize(cut, "mix-cut")
-    cell = F.shiftright("__key", _BITS - 32)
-    last = join_small(drawn.withColumn("__prefix", cell), cut, ["source", "__prefix"], "inner", size)
+    cell = F.shiftright("__key", _BITS - 16)
+    hist = drawn.groupBy("source", cell.alias("__cell")).agg(F.sum("tokens").alias("__t"))
+    hist = hist.withColumn("__upto", F.sum("__t").over(Window.partitionBy("source").orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)))
+    # The cell that the need ends in, or the last one if all fits.
+    at = join_small(hist, need, ["source"], "inner", size).groupBy("source", "__need").agg(
+        F.min(F.when(F.col("__upto") > F.col("__need"), F.struct("__cell", "__upto", "__t"))).alias("__c"), F.max(F.struct("__cell", "__upto", "__t")).alias("__z")
+    )
+    at = at.select("source", "__need", F.coalesce("__c", "__z").alias("c"))
+    cut = held(at.select("source", F.col("c.__cell").alias("__cell"), (F.col("__need") - (F.col("c.__upto") - F.col("c.__t"))).alias("__need")), "mix-cut", size)
+    last = join_small(drawn.withColumn("__cell", cell), cut, ["source", "__cell"], "inner", size)
     order = Window.partitionBy("source").orderBy("__key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     last = last.withColumn("__upto", F.sum("tokens").over(order))
     fits = F.col("__upto") - (F.col("tokens") / 2.0 if nearest else F.lit(0)) <= F.col("__need")
     edge = last.where(fits).groupBy("source").agg(F.max(F.struct(F.col("__key").alias("k"), F.col("doc_id").alias("d"))).alias("__in"), F.max("__upto").alias("__got"))
     # Nothing of the cell is taken: the edge is the place before its first document.
-    before = F.struct((F.shiftleft("__prefix", _BITS - 32) - 1).alias("k"), F.lit(None).cast(drawn.schema["doc_id"].dataType).alias("d"))
+    before = F.struct((F.shiftleft("__cell", _BITS - 16) - 1).alias("k"), F.lit(None).cast(drawn.schema["doc_id"].dataType).alias("d"))
     return cut.join(edge, "source", "left").select(
         "source", F.coalesce("__in", before).alias("__edge"), (F.col("__need") - F.coalesce("__got", F.lit(0))).alias("__left")
     )
@@ -136,24 +147,24 @@ def pareto_mix(documents: DataFrame, targets: DataFrame, seed: int = 17, weight:
     certain = placed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("__whole")).alias("certain"))
     need = sources.join(certain, "source", "left").select("source", F.greatest(F.lit(0.0), F.col("wanted") - F.coalesce("certain", F.lit(0))).alias("__need"))
     drawn = placed.where(F.col("__key").isNotNull()).select("source", "doc_id", "tokens", "__key")
-    first = materialize(_cut(drawn, need, False, size), "mix-cut")
+    first = held(_cut(drawn, need, False, size), "mix-cut", size)
     # What the document at the cut was too long for is filled by those behind it that fit, in the same order.
-    behind = join_small(drawn, first, ["source"]).where(_after("__edge") & (F.col("tokens") <= F.col("__left"))).select(*drawn.columns)
-    second = materialize(_cut(behind, first.select("source", F.col("__left").alias("__need")), True, size), "mix-cut")
+    behind = join_small(drawn, first, ["source"], "inner", size).where(_after("__edge") & (F.col("tokens") <= F.col("__left"))).select(*drawn.columns)
+    second = held(_cut(behind, first.select("source", F.col("__left").alias("__need")), True, size), "mix-cut", size)
     gap = F.coalesce(second["__left"], first["__left"])
     bounds = first.join(second.withColumnsRenamed({"source": "__s", "__edge": "__two"}), F.col("source") == F.col("__s"), "left").select(
         "source", F.col("__edge").alias("__one"), first["__left"].alias("__gap"), "__two", gap.alias("__open")
     )
     bounds = bounds.join(sources.select("source", F.col("max_repeats").alias("__most")), "source")
-    marked = join_small(placed, materialize(bounds, "mix-bounds"), ["source"], "left")
+    marked = join_small(placed, held(bounds, "mix-bounds", size), ["source"], "left", size)
     taken = ~_after("__one") | (_after("__one") & (F.col("tokens") <= F.col("__gap")) & ~_after("__two"))
     extra = F.when(F.col("__key").isNotNull() & F.col("__gap").isNotNull() & taken, 1).otherwise(0)
     # What is still open is met best by one further document of its source, if any comes nearer than none.
     off = F.abs(F.col("__open") - F.col("tokens"))
     spare = marked.where((F.col("__open") > 0) & F.col("__key").isNotNull() & (extra == 0) & (F.col("__whole") < F.col("__most")) & (off < F.col("__open")))
     last = spare.groupBy("source").agg(F.min(F.struct(off.alias("o"), F.col("__key").alias("k"), F.col("doc_id").alias("d"))).alias("p"))
-    last = materialize(last.select("source", F.col("p.d").alias("doc_id"), F.lit(1).alias("__more")), "mix-last")
-    marked = join_small(marked, last, ["source", "doc_id"], "left")
+    last = held(last.select("source", F.col("p.d").alias("doc_id"), F.lit(1).alias("__more")), "mix-last", size)
+    marked = join_small(marked, last, ["source", "doc_id"], "left", size)
     count = F.col("__whole") + F.when(extra == 1, 1).otherwise(F.coalesce("__more", F.lit(0)))
     uses = marked.select("doc_id", "source", "tokens", F.when(F.col("tokens").isNull(), 0).otherwise(count).cast("int").alias("uses"))
     used = uses.groupBy("source").agg(

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import join_small, materialize, measured
+from ..runtime import held, join_small, materialize, measured
 
 DIGITS, WIDTH = 4, 16
 _NARROW = 8
@@ -86,7 +86,7 @@ def radix_select(data: DataFrame, groups: list[str], key: str, targets: DataFram
                 F.shiftleft("__prefix", WIDTH).bitwiseOR(F.col("__digit")).alias("__prefix"),
             )
         )
-        open_ = materialize(found, "radix-ranks")
+        open_ = held(found, "radix-ranks", size)
     return open_.select(*groups, "target", F.col("__prefix").bitwiseXOR(F.lit(_TOP)).alias("key"))
 
 

@@ -180,6 +180,23 @@ def test_inclusion_follows_the_weights(spark):
 
 def test_what_the_limit_takes_goes_to_others(spark):
     """Heavy documents stand at ``max_repeats``; the rest of the source makes up for them, and the share is met."""
+    def rates():
+        return {r.source: r["__rate"] for r in mixing._rates(cells, wanted, 1000).collect()}
+
+    rng = random.Random(1)
+    cells = spark.createDataFrame([(rng.choice("ab"), rng.choice([1, 5, 30]), float(rng.choice([1, 2, 3, 50, 200]))) for _ in range(300)], "source string, tokens bigint, __w double")
+    wanted = spark.createDataFrame([("a", 1500.0, 1), ("b", 90_000.0, 2), ("c", 5.0, 1)], "source string, wanted double, max_repeats int")
+    solved = rates()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        by_rounds = rates()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert solved["a"] == pytest.approx(by_rounds["a"]) and solved["b"] == by_rounds["b"] == float("inf")
+    given = sum(r.tokens * min(solved["a"] * r["__w"], 1) for r in cells.where("source = 'a'").collect())
+    assert given == pytest.approx(1500)
+
     docs = [(i, "s", 10, 100.0 if i < 50 else 1.0 + i % 3) for i in range(1000)] + [(9_999, "rest", 10_000, 1.0), (10_000, "s", 10, None), (10_001, "s", 10, float("nan"))]
     d = spark.createDataFrame(docs, "doc_id bigint, source string, tokens bigint, w double")
     t = spark.createDataFrame([("s", 0.45, 2)], "source string, target_share double, max_repeats int")
