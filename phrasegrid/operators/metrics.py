@@ -137,18 +137,81 @@ def align(reference: list[str], hypothesis: list[str]) -> list[tuple[str | None,
 _PARTS = T.StructType([T.StructField(n, T.LongType()) for n in ("biased_ref", "biased_errors", "unbiased_ref", "unbiased_errors")])
 
 
-def _partition(reference: str, hypothesis: str, hotwords) -> tuple[int, int, int, int]:
-    whole = " " not in reference
-    cut = (lambda t: [c for c in t if c != " "]) if whole else (lambda t: t.split())
-    units = {t for w in hotwords if w is not None for t in cut(w)}
+_CELLS = 4_000_000  # cells of the tables that are filled side by side; a pair with more is aligned by itself
+
+
+def _units(text: str, whole: bool) -> list[str]:
+    return [c for c in text if c != " "] if whole else text.split()
+
+
+def _split(pairs) -> list[tuple[int, int, int, int]]:
+    """Counts (see ``_PARTS``) of each (reference, hypothesis, hotwords), all normalised."""
+    jobs, out = [], [None] * len(pairs)
+    for at, (reference, hypothesis, hotwords) in enumerate(pairs):
+        whole = " " not in reference
+        r, h = _units(reference, whole), _units(hypothesis, whole)
+        units = {t for w in hotwords for t in _units(w, whole)}
+        if len(r) * (len(h) + 1) > _CELLS:
+            out[at] = _one_split(r, h, units)
+        else:
+            jobs.append((at, r, h, units))
+    jobs.sort(key=lambda x: (len(x[1]), len(x[2])))
+    while jobs:
+        k, n, m = 1, len(jobs[-1][1]), max(len(j[2]) for j in jobs[-1:])
+        while k < len(jobs) and (k + 1) * n * (max(m, len(jobs[-k - 1][2])) + 1) <= _CELLS:
+            k += 1
+            m = max(m, len(jobs[-k][2]))
+        part, jobs = jobs[-k:], jobs[:-k]
+        for (at, *_), counts in zip(part, _many_splits([j[1:] for j in part], n, m).tolist()):
+            out[at] = tuple(counts)
+    return out
+
+
+def _one_split(r: list[str], h: list[str], units: set[str]) -> tuple[int, int, int, int]:
     counts = [0, 0, 0, 0]
-    for r, h in align(cut(reference), cut(hypothesis)):
-        at = 0 if (r if r is not None else h) in units else 2
-        counts[at] += r is not None
-        counts[at + 1] += r != h
+    for a, b in align(r, h):
+        at = 0 if (a if a is not None else b) in units else 2
+        counts[at] += a is not None
+        counts[at + 1] += a != b
     return tuple(counts)
 
 
+def _many_splits(pairs: list, n: int, m: int) -> np.ndarray:
+    """The same for many pairs at once: their tables of moves are filled row by row side by side, and walked back together."""
+    size = len(pairs)
+    r, h = np.full((size, max(1, n)), -1, dtype=np.int32), np.full((size, max(1, m)), -2, dtype=np.int32)
+    own_r, own_h = np.zeros(r.shape, dtype=bool), np.zeros(h.shape, dtype=bool)
+    i, j = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+    for p, (a, b, units) in enumerate(pairs):
+        codes = {t: k for k, t in enumerate(dict.fromkeys([*a, *b]))}
+        i[p], j[p] = len(a), len(b)
+        for side, own, tokens in ((r, own_r, a), (h, own_h, b)):
+            side[p, : len(tokens)] = [codes[t] for t in tokens]
+            own[p, : len(tokens)] = [t in units for t in tokens]
+    steps = np.arange(h.shape[1] + 1, dtype=np.int32)
+    row = np.broadcast_to(steps, (size, len(steps)))
+    moves = np.ones((n, size, len(steps)), dtype=np.int8)
+    for k in range(n):
+        diagonal, down = row[:, :-1] + (h != r[:, k : k + 1]), row[:, 1:] + 1
+        best = np.concatenate([np.full((size, 1), k + 1, dtype=np.int32), np.minimum(diagonal, down)], axis=1)
+        row = np.minimum.accumulate(best - steps, axis=1) + steps
+        moves[k, :, 1:] = np.where(row[:, 1:] == diagonal, 0, np.where(row[:, 1:] == down, 1, 2))
+    counts = np.zeros((size, 4), dtype=np.int64)
+    at = np.flatnonzero(i + j)
+    while len(at):
+        x, y = i[at], j[at]
+        move = np.where(x == 0, 2, moves[x - 1, at, y] if n else 2)
+        spoken = move < 2
+        own = np.where(spoken, own_r[at, x - 1], own_h[at, y - 1])
+        bad = (move > 0) | (r[at, x - 1] != h[at, y - 1])
+        column = np.where(own, 0, 2)
+        counts[at, column] += spoken
+        counts[at, column + 1] += bad
+        i[at], j[at] = x - spoken, y - (move != 1)
+        at = at[(i[at] + j[at]) > 0]
+    return counts
+
+
 def partitioned_errors(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Edit errors by whether the unit belongs to a hotword; an insertion counts where the inserted unit belongs.
 
@@ -157,7 +220,7 @@ def partitioned_errors(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
     def run(ref: pd.Series, hyp: pd.Series, hot: pd.Series) -> pd.DataFrame:
         words = lambda k: () if k is None else [_folded(w) for w in k if w is not None]
-        rows = [_partition(r or "", h or "", words(k)) for r, h, k in zip(ref, hyp, hot)]
+        rows = _split([(r or "", h or "", words(k)) for r, h, k in zip(ref, hyp, hot)])
         return pd.DataFrame(rows, columns=_PARTS.fieldNames(), dtype="int64")
 
     run.__annotations__ = {"ref": pd.Series, "hyp": pd.Series, "hot": pd.Series, "return": pd.DataFrame}

@@ -230,3 +230,20 @@ def test_verdict(spark):
         found = of(good | {name: bad})
         assert not found["go"] and [k for k, v in found.items() if not v] == [gate, "go"]
     assert not any(of({"x": 1.0}).values())
+
+
+def test_many_alignments_at_once_are_those_of_each(monkeypatch):
+    rng = random.Random(12)
+    pairs = []
+    for _ in range(400):
+        blank = rng.choice(["", " "])
+        text = lambda: blank.join(rng.choice(["a", "b", "词", "c"]) for _ in range(rng.randint(0, 12)))
+        pairs.append((text(), text(), [rng.choice(["a", "词 b", "", "bc"]) for _ in range(rng.randint(0, 2))]))
+    want = []
+    for r, h, k in pairs:
+        whole = " " not in r
+        want.append(metrics._one_split(metrics._units(r, whole), metrics._units(h, whole), {t for w in k for t in metrics._units(w, whole)}))
+    for cells in (4_000_000, 500, 60, 0):
+        monkeypatch.setattr(metrics, "_CELLS", cells)
+        assert metrics._split(pairs) == want
+    assert metrics._split([]) == []
