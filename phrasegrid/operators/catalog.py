@@ -266,10 +266,23 @@ def negative_vocabulary(lines: DataFrame, value: str = "value") -> DataFrame:
     return lines.select(line.alias("__l"), bare.alias("term")).where((F.col("__l") != "") & ~F.col("__l").startswith("#") & (F.col("term") != "")).select("term").distinct()
 
 
-def shared_negatives(vocabulary: DataFrame, positives: DataFrame, count: int, seed: int = 0, epoch: int = 0, step: int = 0) -> DataFrame:
-    """``count`` vocabulary terms that are no positives, the same for the same seed, epoch and step."""
-    key = F.sha2(F.concat_ws(":", F.lit(f"{(seed << 32) ^ (epoch << 16) ^ step}"), F.col("term")), 256)
-    return vocabulary.select("term").distinct().join(positives.select("term").distinct(), "term", "left_anti").orderBy(key).limit(count)
+def shared_negatives(vocabulary: DataFrame, positives: DataFrame, count: int, seed: int = 0, epoch: int = 0, step: int = 0, exact: bool = False, strict: bool = False) -> DataFrame:
+    """``count`` vocabulary terms that are no positives, the same for the same seed, epoch and step; with ``strict`` fewer raise.
+
+    The choice follows a hash order. ``exact`` draws as Python's ``random.sample`` does from the sorted terms, by way of the
+    driver, and so only for a vocabulary whose measured size may be sent there.
+    """
+    number = (seed << 32) ^ (epoch << 16) ^ step
+    left = vocabulary.select("term").where("term <> ''").distinct().join(positives.select("term").distinct(), "term", "left_anti")
+    if exact:
+        terms = sorted(r.term for r in fitting(materialize(left, "negatives"), "the vocabulary").collect())
+        drawn = random.Random(number).sample(terms, min(count, len(terms)))
+        chosen = vocabulary.sparkSession.createDataFrame([(t,) for t in drawn], "term string")
+    else:
+        chosen = left.orderBy(F.sha2(F.concat_ws(":", F.lit(f"{number}"), F.col("term")), 256)).limit(count)
+    if strict and chosen.count() < count:
+        raise ValueError(f"fewer than {count} terms are left")
+    return chosen
 
 
 def local_positive(text: str, utt_id: str, epoch: int, seed: int, low: int = 2, high: int = 8) -> str:
@@ -277,7 +290,7 @@ def local_positive(text: str, utt_id: str, epoch: int, seed: int, low: int = 2,
     if not text:
         raise ValueError("empty transcript")
     low, high = min(low, len(text)), min(high, len(text))
-    rng = random.Random(int.from_bytes(hashlib.sha256(f"{seed}:{epoch}:{utt_id}".encode()).digest()[:8], "big"))
+    rng = random.Random(int.from_bytes(hashlib.sha256(f"{seed}:{epoch}:{utt_id}".encode()).digest()[:8], "little"))
     size = rng.randint(low, high)
     at = rng.randint(0, len(text) - size)
     return text[at : at + size]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import random
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -183,6 +184,13 @@ def epoch_order(key: str, seed: int, epoch: int) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(f"{seed}:{epoch}"), F.col(key).cast("string")), 256)
 
 
+def exact_epoch(records: list, seed: int, epoch: int) -> list:
+    """The order of one epoch as Python's generator shuffles a list; on the driver, for a list that lies there anyway."""
+    shuffled = list(records)
+    random.Random(seed + epoch).shuffle(shuffled)
+    return shuffled
+
+
 def batch_numbers(df: DataFrame, order: list[Column], size: int, within: list[str]) -> DataFrame:
     """``batch`` of ``size`` consecutive rows within each of ``within`` (a shard, say)."""
     if size <= 0:

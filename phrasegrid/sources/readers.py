@@ -28,6 +28,17 @@ def parse_jsonl(lines: DataFrame, value: str, schema: T.StructType, strict: bool
     return parsed.select("r.*")
 
 
+def named_sources(values: list[str]) -> dict[str, str]:
+    """``NAME=PATH`` arguments as a mapping; names must differ, and neither part may be empty."""
+    out: dict[str, str] = {}
+    for value in values:
+        name, _, path = (x.strip() for x in value.partition("="))
+        if not name or not path or name in out:
+            raise ValueError(f"no NAME=PATH of a source of its own: {value}")
+        out[name] = path
+    return out
+
+
 def read_word_lines(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
     """``source, value`` of several named text files or folders."""
     if not sources:

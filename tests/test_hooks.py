@@ -1,4 +1,5 @@
 import json
+import random
 
 import numpy as np
 import pytest
@@ -40,6 +41,9 @@ def test_small_rules(spark):
     assert [tuple(r) for r in row] == [("Chinese", "/m/x.wav", ["all"], "static"), ("Cantonese", "http://h/x", ["i"], "static\nHotwords: i")]
     out = hooks.decode_projection(df, "e", "n", "r", "t").collect()
     assert (out[0].duration_sec, out[0].rtf, out[0].revision_rate) == (0.5, 4.0, 1.5) and out[1].rtf == pytest.approx(1e9)
+    shuffled = list("abcdef")
+    random.Random(44).shuffle(shuffled)
+    assert hooks.exact_epoch(list("abcdef"), 42, 2) == shuffled
     with pytest.raises(ValueError):
         hooks.batch_numbers(df, [F.col("n")], 0, [])
 

@@ -71,6 +71,13 @@ def test_waves(spark, tmp_path):
     assert [[tuple(x) for x in r.p] for r in p.collect()] == [[], [(0, 0, 2), (1, 2, 2), (2, 4, 1)]]
 
 
+def test_named_sources():
+    assert readers.named_sources(["a=/x", " b = y=z "]) == {"a": "/x", "b": "y=z"}
+    for bad in (["a"], ["=x"], ["a="], ["a=1", "a=2"]):
+        with pytest.raises(ValueError):
+            readers.named_sources(bad)
+
+
 def test_config(tmp_path):
     (tmp_path / "c.yaml").write_text("# c\na:\n  b: 1\n  c: [1, 2]  # x\n  d: 'q'\ne: true\nf:\ng: none\n", encoding="utf-8")
     c = config.load_config(tmp_path / "c.yaml", ("a.b=5", "h.i=text", "e=false"))

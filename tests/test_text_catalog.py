@@ -128,3 +128,23 @@ def test_sql_has_no_unknown_query():
     from phrasegrid.plans import queries
 
     assert set(sql.oracle_sql()) <= set(queries.queries())
+
+
+def test_draws_follow_pythons_generator(spark):
+    import hashlib
+    import random
+
+    digest = hashlib.sha256(b"42:3:u1").digest()
+    rng = random.Random(int.from_bytes(digest[:8], "little"))
+    n = rng.randint(2, 8)
+    at = rng.randint(0, 20 - n)
+    text = "".join(chr(0x4E00 + i) for i in range(20))
+    assert catalog.local_positive(text, "u1", 3, 42) == text[at : at + n]
+    v = spark.createDataFrame([(f"t{i:02d}",) for i in range(30)] + [("",), (None,), ("t01",)], "term string")
+    p = spark.createDataFrame([("t03",), ("zz",)], "term string")
+    want = random.Random((1 << 32) ^ (2 << 16) ^ 5).sample([f"t{i:02d}" for i in range(30) if i != 3], 7)
+    assert [r.term for r in catalog.shared_negatives(v, p, 7, 1, 2, 5, exact=True).collect()] == want
+    assert catalog.shared_negatives(v, p, 99, exact=True).count() == 29
+    for exact in (True, False):
+        with pytest.raises(ValueError):
+            catalog.shared_negatives(v, p, 30, exact=exact, strict=True)
