@@ -114,10 +114,11 @@ def local_positives(spark: SparkSession, d: str) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"record_no": pdf["record_no"], "positive": [catalog.local_positive(t, str(n), 0, 42) for n, t in zip(pdf["record_no"], pdf["t"])]})
+            yield pd.DataFrame({"record_no": pdf["record_no"], "positive": [catalog.local_positive(t, k, 0, 42) for k, t in zip(pdf["k"], pdf["t"])]})
 
-    text = annotate.first_filled(F.get_json_object("value", "$.target"), F.get_json_object("value", "$.text"))
-    rows = read(spark, d, "manifest_raw").select("record_no", nfkc_term(text).alias("t")).where("t <> ''")
+    j = lambda n: F.get_json_object("value", f"$.{n}")
+    key = F.coalesce(annotate.first_filled(j("key"), j("utt_id")), F.lit(""))
+    rows = read(spark, d, "manifest_raw").select("record_no", key.alias("k"), nfkc_term(annotate.first_filled(j("target"), j("text"))).alias("t")).where("t <> ''")
     return rows.mapInPandas(run, "record_no bigint, positive string")
 
 
