@@ -2,14 +2,16 @@
 
 A source that must give W tokens and has T uses every document W/T times on average; with weights, in proportion to
 them. No document is used more than ``max_repeats`` times on average, and what that takes from the heavy ones is given to
-the others of the source (``_rates``). The whole part of that number is allotted for certain. The rest is an inclusion probability:
-documents are ranked by random odds over inclusion odds, and taken in that order until the source's remaining tokens
-are reached: a sample of fixed size in tokens with unequal probabilities. Where a long document would pass the
-target, those behind it that still fit fill the gap, and one last document closes what is left if that comes nearer.
+the others of the source (``_rates``). The whole part of that number is allotted for certain. The rest is an inclusion
+probability: documents are ranked by random odds over inclusion odds, and taken in that order until the source's
+remaining tokens are reached: a sample of fixed size in tokens with unequal probabilities. Where a long document would
+pass the target, those behind it that are short against the gap (an eighth) fill it, and one last document closes what
+is left if that comes nearer.
 
 The place where a source's ranking is cut is found by a histogram of the rank's leading 16 bits with token sums; only the
-documents of the one cell that holds the cut (about 2^-16 of a source) are sorted. No source, however large, is sorted or gathered in one task, and documents are never shuffled: they meet
-their source's numbers in small tables whose size is measured before they are broadcast.
+documents of the one cell that holds the cut (about 2^-16 of a source) are sorted. No source, however large, is sorted
+or gathered in one task, and documents are never shuffled: they meet their source's numbers in small tables whose size
+is measured before they are broadcast.
 
 Random numbers are a hash of the document id and the seed, so a lost task repeats the same choice.
 
@@ -99,9 +101,9 @@ def _after(edge: str):
     return F.col(edge).isNull() | (place > F.col(edge))
 
 
-def _cut(drawn: DataFrame, need: DataFrame, nearest: bool, size: int) -> DataFrame:
+def _cut(drawn: DataFrame, need: DataFrame, size: int) -> DataFrame:
     """Where each source's ranking is cut: ``source, __edge`` (the last taken (key, document), null: none) and ``__left``,
-    the tokens still wanted. ``nearest`` also takes the document at the cut if that comes closer than leaving it.
+    the tokens still wanted, as the document at the cut is left out.
 
     A histogram of token sums over the leading 16 bits finds the cell of the cut, then a running sum within that one cell of a source.
     """
@@ -117,7 +119,7 @@ def _cut(drawn: DataFrame, need: DataFrame, nearest: bool, size: int) -> DataFra
     last = join_small(drawn.withColumn("__cell", cell), cut, ["source", "__cell"], "inner", size)
     order = Window.partitionBy("source").orderBy("__key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     last = last.withColumn("__upto", F.sum("tokens").over(order))
-    fits = F.col("__upto") - (F.col("tokens") / 2.0 if nearest else F.lit(0)) <= F.col("__need")
+    fits = F.col("__upto") <= F.col("__need")
     edge = last.where(fits).groupBy("source").agg(F.max(F.struct(F.col("__key").alias("k"), F.col("doc_id").alias("d"))).alias("__in"), F.max("__upto").alias("__got"))
     # Nothing of the cell is taken: the edge is the place before its first document.
     before = F.struct((F.shiftleft("__cell", _BITS - 16) - 1).alias("k"), F.lit(None).cast(drawn.schema["doc_id"].dataType).alias("d"))
@@ -147,17 +149,17 @@ def pareto_mix(documents: DataFrame, targets: DataFrame, seed: int = 17, weight:
     certain = placed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("__whole")).alias("certain"))
     need = sources.join(certain, "source", "left").select("source", F.greatest(F.lit(0.0), F.col("wanted") - F.coalesce("certain", F.lit(0))).alias("__need"))
     drawn = placed.where(F.col("__key").isNotNull()).select("source", "doc_id", "tokens", "__key")
-    first = held(_cut(drawn, need, False, size), "mix-cut", size)
-    # What the document at the cut was too long for is filled by those behind it that fit, in the same order.
-    behind = join_small(drawn, first, ["source"], "inner", size).where(_after("__edge") & (F.col("tokens") <= F.col("__left"))).select(*drawn.columns)
-    second = held(_cut(behind, first.select("source", F.col("__left").alias("__need")), True, size), "mix-cut", size)
+    first = held(_cut(drawn, need, size), "mix-cut", size)
+    # What the document at the cut was too long for is filled by those behind it, in the same order, of at most an eighth of it.
+    behind = join_small(drawn, first, ["source"], "inner", size).where(_after("__edge") & (F.col("tokens") * 8 <= F.col("__left"))).select(*drawn.columns)
+    second = held(_cut(behind, first.select("source", F.col("__left").alias("__need")), size), "mix-cut", size)
     gap = F.coalesce(second["__left"], first["__left"])
     bounds = first.join(second.withColumnsRenamed({"source": "__s", "__edge": "__two"}), F.col("source") == F.col("__s"), "left").select(
         "source", F.col("__edge").alias("__one"), first["__left"].alias("__gap"), "__two", gap.alias("__open")
     )
     bounds = bounds.join(sources.select("source", F.col("max_repeats").alias("__most")), "source")
     marked = join_small(placed, held(bounds, "mix-bounds", size), ["source"], "left", size)
-    taken = ~_after("__one") | (_after("__one") & (F.col("tokens") <= F.col("__gap")) & ~_after("__two"))
+    taken = ~_after("__one") | (_after("__one") & (F.col("tokens") * 8 <= F.col("__gap")) & ~_after("__two"))
     extra = F.when(F.col("__key").isNotNull() & F.col("__gap").isNotNull() & taken, 1).otherwise(0)
     # What is still open is met best by one further document of its source, if any comes nearer than none.
     off = F.abs(F.col("__open") - F.col("tokens"))
