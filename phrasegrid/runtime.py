@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,9 +40,14 @@ def shared_dir(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _fallback()
+
+
+@cache
+def _fallback() -> str:
+    """One temporary folder a process; the setting itself cannot be changed once a session runs."""
     base = tempfile.mkdtemp(prefix="phrasegrid-")
     atexit.register(shutil.rmtree, base, True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{base}")
     return f"file://{base}"
 
 
@@ -51,12 +57,31 @@ def hadoop_path(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+_roots: dict[tuple[str, str], str] = {}
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """This application's own folder below the shared one, removed when the driver's JVM ends, whatever the file system."""
+    key = spark.sparkContext.applicationId, shared_dir(spark)
+    if key not in _roots:
+        root = f"{key[1]}/phrasegrid/{uuid.uuid4().hex}"
+        where, files = hadoop_path(spark, root)
+        files.mkdirs(where)
+        files.deleteOnExit(where)  # takes only what exists
+        _roots[key] = root
+    return _roots[key]
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, removed when the driver's JVM ends, whatever the file system."""
-    path = f"{shared_dir(spark)}/phrasegrid/{name}-{uuid.uuid4().hex}"
-    where, files = hadoop_path(spark, path)
-    files.deleteOnExit(where)
-    return path
+    """A fresh path below ``scratch_root``."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what the application has written so far; for a session that goes on after its results are stored."""
+    where, files = hadoop_path(spark, scratch_root(spark))
+    files.delete(where, True)
+    files.mkdirs(where)
 
 
 @contextmanager

@@ -108,7 +108,6 @@ def _send(spark, catalog: Catalog) -> str:
     """Give every worker a copy as a file in the shared folder: the stream's driver-side worker loads no broadcast."""
     path = scratch_path(spark, "catalog") + ".pickle"
     where, files = hadoop_path(spark, path)
-    files.deleteOnExit(where)
     out = files.create(where)
     out.write(bytearray(pickle.dumps(catalog)))
     out.close()

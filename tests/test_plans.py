@@ -55,3 +55,36 @@ def test_no_broadcast_without_a_measured_size(spark):
         assert join_small(big, small, ["k"], "left_semi").count() == 667
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("setting", [True, False])
+def test_scratch_goes_when_the_driver_ends(tmp_path, setting):
+    """In a process of its own, with and without a shared folder set: tables lie there while it runs, and are gone afterwards."""
+    import subprocess
+    import sys
+    import time
+
+    (tmp_path / "conf").mkdir()
+    (tmp_path / "tmp").mkdir()
+    if setting:
+        (tmp_path / "conf/spark-defaults.conf").write_text(f"spark.checkpoint.dir file://{tmp_path}/shared\n")
+    code = """
+from phrasegrid.runtime import clear_scratch, local_session, materialize, shared_dir
+spark = local_session("1", 1)
+assert materialize(spark.range(3).toDF("a"), "t").count() == 3
+print(shared_dir(spark))
+clear_scratch(spark)
+assert materialize(spark.range(2).toDF("a"), "t").count() == 2
+"""
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path / "conf"), "TMPDIR": str(tmp_path / "tmp")}
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], timeout=120, cwd=root, capture_output=True, env=env, text=True)
+    assert done.returncode == 0, done.stderr
+    where = done.stdout.split()[-1].removeprefix("file://")
+    assert where.startswith(str(tmp_path / ("shared" if setting else "tmp")))
+    left = lambda: os.path.isdir(f"{where}/phrasegrid") and os.listdir(f"{where}/phrasegrid")
+    for _ in range(100):  # the JVM ends a moment after the process that started it
+        if not left():
+            break
+        time.sleep(0.2)
+    assert not left()
