@@ -292,13 +292,13 @@ def _value_intervals():
 
 
 def value_frequencies(df: DataFrame, value: str, document: str, amount: str) -> DataFrame:
-    """Whole values as tokens of their documents: ``term, total, records, shards`` of each value that is not null.
+    """Whole values as tokens of their documents: ``term, total, records, shards`` of each value that is not null; a null amount is 0.
 
     The suffix array is cut at one token and ordered by (value, document), so that the intervals are the values and a
     document's repeats are neighbours. Equal rows are put together within Arrow batches before the shuffle; the range
     partitions split a hot value by its documents, and intervals cut by a border are added up.
     """
-    rows = df.where(F.col(value).isNotNull()).select(F.col(value).alias("value"), F.col(document).alias("document"), F.col(amount).alias("amount"))
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).alias("value"), F.col(document).alias("document"), F.coalesce(F.col(amount).cast("bigint"), F.lit(0)).alias("amount"))
     counts = T.StructType([rows.schema["value"], rows.schema["document"], *(T.StructField(c, T.LongType()) for c in ("n", "high", "low"))])
     stored = materialize(rows.mapInArrow(_combined, counts), "values")
     ordered = stored.repartitionByRange("value", "document").sortWithinPartitions("value", "document")

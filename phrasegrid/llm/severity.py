@@ -92,13 +92,14 @@ def featurize(texts: list[str]) -> Windows:
     for c in _ENDS:
         ends |= code == c
     ends[:-1] |= (code[:-1] == 46) & (code[1:] == 32)
-    at = np.arange(size, dtype=np.int64)
+    at = np.arange(size, dtype=np.int32)
     stop = np.flatnonzero(ends)
-    since = np.zeros(size, dtype=np.int64)
+    since = np.zeros(size, dtype=np.int32)
     since[stop[:-1] + 1] = stop[:-1] + 1
     np.maximum.accumulate(since, out=since)
     run = at - since + 1
     run[ends] = 0
+    del at, since
     buckets = []
     h = code * np.uint32(0x9E3779B1)
     rolled, n = h.copy(), 1
@@ -204,18 +205,17 @@ def _start(w: Windows, grades: np.ndarray, weight: np.ndarray, support: int, sca
     void, n = 1 << BITS, len(grades)
     top = grades == GRADES - 1
     size1, size0 = max(1.0, weight[top].sum()), max(1.0, weight[~top].sum())
-    owner_at = np.zeros(len(w.buckets[0]), dtype=np.int64)
+    owner_at = np.zeros(len(w.buckets[0]), dtype=np.int32)
     owner_at[w.begin] = w.owner
     np.maximum.accumulate(owner_at, out=owner_at)
     weights = np.zeros((len(ORDERS), void + 1), dtype=np.float32)
     usable = np.zeros((len(ORDERS), void + 1), dtype=bool)
+    edge = np.searchsorted(owner_at, np.arange(n + 1))
     for k, b in enumerate(w.buckets):
-        pairs = np.unique(b.astype(np.int64) * n + owner_at)
-        pairs = pairs[pairs < void * n]
-        f, d = pairs // n, pairs % n
-        hot = top[d]
-        n1 = np.bincount(f[hot], weights=weight[d[hot]], minlength=void)
-        n0 = np.bincount(f[~hot], weights=weight[d[~hot]], minlength=void)
+        n1, n0 = np.zeros(void + 1), np.zeros(void + 1)
+        for d in range(n):  # a text counts once for each of its n-grams
+            (n1 if top[d] else n0)[np.unique(b[edge[d] : edge[d + 1]])] += weight[d]
+        n1, n0 = n1[:void], n0[:void]
         usable[k, :void] = n0 + n1 >= support
         odds = np.log((n1 + 0.5) / (size1 + 1)) - np.log((n0 + 0.5) / (size0 + 1))
         sure = odds - 1.5 * np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))  # a lower bound: names met by chance get nothing
@@ -298,7 +298,8 @@ def train(documents: DataFrame, labels: DataFrame, **bounds) -> Model | None:
     """Fit on a bounded ``sample``.
 
     The ids of the sample pass the driver (at most 8,000), its texts go to the one task that fits (at most 16 million
-    characters: about 500 MB there), and the model comes back (5 MB). None of these grows with the tables.
+    characters, at about 83 bytes each: 0.55 GB for 6.7 million, 1.3 GB at most), and the model comes back (5 MB). None of
+    these grows with the tables.
     """
     rows = sample(documents, labels, **bounds)
     if rows is None:

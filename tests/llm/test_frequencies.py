@@ -81,7 +81,8 @@ def hot_values():
 
 def test_values_in_documents_equal_brute_force(spark):
     rows = hot_values()
-    df = spark.createDataFrame(rows, "v string, d string, n bigint").repartition(7)
+    df = spark.createDataFrame([*rows, (None, "s1", 5), ("b", "s1", None)], "v string, d string, n bigint").repartition(7)
+    rows.append(("b", "s1", 0))
     want = {t: (min(a, 2**63 - 1), b, c) for t, (a, b, c) in shards_of(rows).items()}
     keys = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")
     before = [spark.conf.get(k) for k in keys]
