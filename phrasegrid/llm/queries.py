@@ -160,6 +160,15 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_scores(spark, d).where("flagged = 1").select("doc_id")
 
 
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled texts by the raters' grade, and whether texts that all raters flagged are found more abusive than those that none did."""
+    labels = severity.graded(read(spark, d, "content_labels"))
+    rows = p8_scores(spark, d).where("severity is not null").join(labels, "doc_id").groupBy("grade").agg(F.count(F.lit(1)).alias("documents"), F.avg("severity").alias("mean"))
+    rows = materialize(rows, "grades")
+    ends = rows.agg(F.max(F.when(F.col("grade") == 2, F.col("mean"))).alias("high"), F.max(F.when(F.col("grade") == 0, F.col("mean"))).alias("low")).first()
+    return rows.select("grade", "documents", F.lit(ends["high"] is not None and ends["low"] is not None and ends["high"] > ends["low"] + 0.5).alias("told_apart"))
+
+
 def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return severity.rates(p8_scores(spark, d))
 
@@ -169,6 +178,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             p2_found, p2_top5_scores, p4_found, p4_medians, p4_percentiles, p4_rank_check, p5_found, p5_terms, p5_ngrams,
-            p6_pack, p6_room, p6_check, p7_uses, p7_shares, p7_check, p8_found, p8_scores, p8_rates,
+            p6_pack, p6_room, p6_check, p7_uses, p7_shares, p7_check, p8_found, p8_scores, p8_check, p8_rates,
         )
     }

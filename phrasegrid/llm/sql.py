@@ -44,6 +44,9 @@ SELECT ngram, count(*) AS occurrences, count(DISTINCT r) AS records FROM g GROUP
         "p6_check": f"SELECT coalesce({_SOURCE}, '') AS source, count(*) AS documents, true AS once_and_whole, true AS no_needless_cut, true AS within_capacity, true AS no_gap FROM documents WHERE text IS NOT NULL GROUP BY 1",
         "p7_check": f"""WITH d AS (SELECT {_SOURCE} AS source, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1), t AS (SELECT {_SOURCE} AS source FROM mix_targets)
 SELECT t.source, coalesce(d.n, 0) AS documents, true AS within_repeats, true AS share_met FROM t LEFT JOIN d USING (source)""",
+        "p8_check": """WITH v AS (SELECT DISTINCT doc_id, rater, flagged FROM content_labels WHERE doc_id IS NOT NULL AND flagged IN (0, 1)),
+g AS (SELECT doc_id, CASE WHEN avg(flagged) = 0 THEN 0 WHEN avg(flagged) = 1 THEN 2 ELSE 1 END AS grade FROM v GROUP BY doc_id)
+SELECT CAST(grade AS INTEGER) AS grade, count(*) AS documents, true AS told_apart FROM g JOIN documents USING (doc_id) WHERE text IS NOT NULL GROUP BY grade""",
         "p4_rank_check": _TIMINGS + """ SELECT timing, chunk_id, percentile, n AS "values", true AS within_bound FROM m, (VALUES ('p50'), ('p90'), ('p95'), ('p99')) p(percentile)""",
         "p4_medians": _TIMINGS + " SELECT timing, chunk_id, median FROM m",
     }
