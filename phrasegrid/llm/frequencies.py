@@ -183,10 +183,11 @@ def loaded_once(entries: DataFrame, **others: F.Column) -> DataFrame:
     Rows with one ``entry_id`` are one record (the row loaded last; of several, the greatest term, then ``others``);
     a null id is nobody's repeat. Null text counts nowhere.
     """
-    rows = entries.where(F.col("text").isNotNull()).select("entry_id", "loaded_at", nfkc_term(F.col("text")).alias("term"), *(c.alias(n) for n, c in others.items()))
+    # A row without an id gets a number of its own, so that one pass and one grouping do for all.
+    alone = F.when(F.col("entry_id").isNull(), F.monotonically_increasing_id())
+    rows = entries.where(F.col("text").isNotNull()).select("entry_id", alone.alias("__alone"), "loaded_at", nfkc_term(F.col("text")).alias("term"), *(c.alias(n) for n, c in others.items()))
     names = ["term", *others]
-    known = rows.where(F.col("entry_id").isNotNull()).groupBy("entry_id").agg(F.max(F.struct("loaded_at", *names)).alias("r"))
-    return known.select(*(f"r.{n}" for n in names)).unionByName(rows.where(F.col("entry_id").isNull()).select(*names))
+    return rows.groupBy("entry_id", "__alone").agg(F.max(F.struct("loaded_at", *names)).alias("r")).select(*(f"r.{n}" for n in names))
 
 
 _LOW = (1 << 32) - 1
