@@ -52,7 +52,7 @@ def _best(scored: DataFrame, unit: list[str], k: int) -> DataFrame:
     return ranked.select(*unit, "hotword_id", (-F.col("b.s")).alias("score"), "rank", F.col("b.peak_frame").alias("peak_frame"), F.col("b.variant").alias("variant"))
 
 
-def _kernel(unit: list[str], k: int, decimals: int, growing: bool):
+def _kernel(unit: list[str], k: int, decimals: int):
     """One block of frames against one block of keys; at most k phrases a unit leave it."""
 
     def run(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -70,14 +70,9 @@ def _kernel(unit: list[str], k: int, decimals: int, growing: bool):
         first = np.flatnonzero(np.r_[True, phrase[1:] != phrase[:-1]])
         owner = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(phrase)]))
         variant = right["variant"].to_numpy()
-        out, best, peak, before = [], None, None, None
+        out = []
         for b, e in zip(begin, end):
             top, at = s[b:e].max(axis=0), frame[b + s[b:e].argmax(axis=0)]
-            stream = tuple(left.loc[b, unit[:-1]])
-            if growing and before == stream:  # a longer prefix of the same stream: the greatest score so far
-                at = np.where(top > best, at, peak)
-                top = np.maximum(top, best)
-            best, peak, before = top, at, stream
             score = np.maximum.reduceat(top, first)
             hit = np.flatnonzero(top == score[owner])
             which = hit[np.unique(owner[hit], return_index=True)[1]]  # the first of equal variants
@@ -89,6 +84,46 @@ def _kernel(unit: list[str], k: int, decimals: int, growing: bool):
     return run
 
 
+def _growing(best: DataFrame, unit: list[str], k: int) -> DataFrame:
+    """From every chunk's own top k, that of all chunks up to it.
+
+    A phrase among the k best so far is among the k best of the chunk where it scored highest: whatever beats it there beats
+    it in all. So a stream is read in order of its chunks, at most k rows each, and only the k best so far are held.
+    """
+    stream, names = unit[:-1], best.columns
+    ordered = (best.repartition(*stream) if stream else best.coalesce(1)).sortWithinPartitions(*unit, "rank")
+    place = lambda h: (-h[1], h[0])
+
+    def run(batches):
+        current, chunk, so_far, out = None, None, {}, []
+
+        def close() -> None:
+            nonlocal so_far
+            kept = sorted(so_far.values(), key=place)[:k]
+            so_far = {h[0]: h for h in kept}
+            out.extend((*current, chunk, h[0], h[1], r, h[3], h[2]) for r, h in enumerate(kept, 1))
+
+        for pdf in batches:
+            for row in pdf.itertuples(index=False, name=None):
+                where, at = tuple(None if v != v else v for v in row[: len(stream)]), row[len(stream)]
+                if current is not None and (where, at) != (current, chunk):
+                    close()
+                if where != current:
+                    so_far = {}
+                current, chunk = where, at
+                phrase, score, _, frame, variant = row[len(unit) :]
+                new, old = (phrase, score, variant, frame), so_far.get(phrase)
+                if old is None or (-score, variant, frame) < (-old[1], old[2], old[3]):
+                    so_far[phrase] = new
+            yield pd.DataFrame(out, columns=names)
+            out.clear()
+        if current is not None:
+            close()
+            yield pd.DataFrame(out, columns=names)
+
+    return ordered.mapInPandas(run, best.schema)
+
+
 def search_blocks(
     frames: DataFrame, keys: DataFrame, unit: list[str], k: int, frame_rows: int = 4096, key_rows: int = 16384, decimals: int = 6, growing: bool = False
 ) -> DataFrame:
@@ -97,26 +132,25 @@ def search_blocks(
     ``frames``: ``unit, frame int, vec``; ``keys``: ``hotword_id, variant, key``; vectors normalised beforehand.
     All variants of a phrase are in one key block. Frames of a unit are spread over all frame blocks: a phrase of the whole
     top k is in the top k of the block that holds its best frame, so only k rows a unit and block are shuffled on. Each side is sent once per block of the other.
-    With ``growing`` the last column of ``unit`` is a chunk: a chunk's result is that of all frames up to it, kept as a
-    running greatest score, without another look at earlier frames; there all frames of a stream are in one block. Similarities are rounded to ``decimals``.
+    With ``growing`` the last column of ``unit`` is a chunk: a chunk's result is that of all frames up to it (see
+    ``_growing``). Similarities are rounded to ``decimals``.
     """
     if k < 0:
         raise ValueError("k must not be negative")
     check_dimensions(keys, "key")
-    # Any frame block's own top k is enough, as the greatest score of a phrase lies in some block; only growing results need a stream's frames together.
-    stream = (unit[:-1] or unit) if growing else [*unit, "frame"]
     frame_blocks = max(1, -(-frames.count() // frame_rows))
     key_blocks = max(1, -(-keys.count() // key_rows))
     left = frames.select(*unit, "frame", "vec").withColumns(
-        {"__f": F.pmod(F.xxhash64(*stream), F.lit(frame_blocks)), "__k": F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(key_blocks - 1).cast("bigint")))}
+        {"__f": F.pmod(F.xxhash64(*unit, "frame"), F.lit(frame_blocks)), "__k": F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(key_blocks - 1).cast("bigint")))}
     )
     right = keys.select("hotword_id", F.coalesce("variant", F.lit("")).alias("variant"), "key").withColumns(
         {"__k": F.pmod(F.xxhash64("hotword_id"), F.lit(key_blocks)), "__f": F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(frame_blocks - 1).cast("bigint")))}
     )
     types = dict(frames.dtypes)
     schema = ", ".join(f"{u} {types[u]}" for u in unit) + ", hotword_id string, variant string, score double, peak_frame int"
-    found = left.groupBy("__f", "__k").cogroup(right.groupBy("__f", "__k")).applyInPandas(_kernel(unit, k, decimals, growing), schema)
-    return _best(found, unit, k)
+    found = left.groupBy("__f", "__k").cogroup(right.groupBy("__f", "__k")).applyInPandas(_kernel(unit, k, decimals), schema)
+    best = _best(found, unit, k)
+    return _growing(best, unit, k) if growing else best
 
 
 def search_native(frames: DataFrame, keys: DataFrame, unit: list[str], k: int, decimals: int = 6, blocks: int = 8) -> DataFrame:

@@ -187,3 +187,12 @@ def test_ten_thousand_keys(spark):
     for frame_rows, key_rows in ((4096, 16384), (50, 3000)):
         got = search.search_blocks(f, k, ["utt"], 50, frame_rows, key_rows).orderBy("rank").collect()
         assert [r.hotword_id for r in got] == [f"h{i:05d}" for i in best] and all(abs(r.score - want[i]) < 1e-5 for r, i in zip(got, best))
+
+
+def test_growing_search_of_streams_without_a_name(spark):
+    keys = spark.createDataFrame([("a", "", [1.0, 0.0]), ("b", "", [0.0, 1.0])], "hotword_id string, variant string, key array<double>")
+    rows = [(None, 0, 0, [0.5, 0.2]), (None, 1, 1, [0.1, 0.9]), (None, 2, 2, [0.0, 0.0]), (7, 1, 0, [0.3, 0.1])]
+    frames = spark.createDataFrame(rows, "u int, c int, frame int, vec array<double>")
+    got = sorted((r.u or 0, r.c, r["rank"], r.hotword_id, r.score, r.peak_frame) for r in search.search_blocks(frames, keys, ["u", "c"], 1, 1, 1, growing=True).collect())
+    assert got == [(0, 0, 1, "a", 0.5, 0), (0, 1, 1, "b", 0.9, 1), (0, 2, 1, "b", 0.9, 1), (7, 1, 1, "a", 0.3, 0)]
+    assert search.search_blocks(frames.where("false"), keys, ["u", "c"], 1, growing=True).count() == 0
